@@ -33,7 +33,7 @@ LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("local_phone", "social")
-KINDS = (*BASE, *LOOSE, *(f"{k}_like" for k in BASE))  # _like: has the shape, fails the check, accepted by the classifier
+KINDS = (*BASE, *LOOSE)
 NEAR = 24  # characters of context on either side
 
 # Gazetteers and context words.
@@ -197,13 +197,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spots = settle(spots.withColumn("checked", checked).select("id", seen.alias("seen")))
     weights = train(spots.where(F.size("seen") > 0).select(F.inline("seen")))
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int")
-    span = lambda x, k: F.struct(x["start"].alias("start"), rank(k).alias("rank"), x["end"].alias("end"), k.alias("kind"))
-    out = spots.withColumn("base", F.array_sort(F.transform(F.filter("seen", lambda x: x["base"]), lambda x: span(x, x["kind"]))))
+    span = lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
+    out = spots.withColumn("base", F.array_sort(F.transform(F.filter("seen", lambda x: x["base"]), span)))
     if not weights:
         return out.select(F.col("id").alias(id_col), "base", F.col("base").alias("spans"))
-    more = F.filter("seen", lambda x: ~x["base"] & (score(x, weights) > 0) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    named = F.transform(more, lambda x: span(x, F.when(x["kind"].isin(*BASE), F.concat(x["kind"], F.lit("_like"))).otherwise(x["kind"])))
-    return out.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", named)).alias("spans"))
+    # What an exact pattern's own check refutes is never added, whatever the others say.
+    more = F.filter("seen", lambda x: (x["v1"] >= 0) & ~x["base"] & (score(x, weights) > 0) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return out.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.transform(more, span))).alias("spans"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
