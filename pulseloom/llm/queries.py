@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pulseloom.llm.decontamination import op7_decontamination
 from pulseloom.llm.license_scan import OP8_SQL, op8_license_scan
+from pulseloom.llm.minhash_dedup import op6_minhash_dedup
 from pulseloom.llm.pii import op5_pii
 from pulseloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from pulseloom.llm.sharding import op2_sharding
@@ -11,6 +13,8 @@ from pulseloom.llm.source_mix import OP10_SQL, op10_source_mix
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_pii": op5_pii,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
