@@ -5,7 +5,7 @@ k = m x ERROR edits of words; it is cut into k + 1 pieces, and whatever k edits
 pieces, found by hashes of all word runs of the pieces' lengths, give the windows of a document in which Myers' bit-parallel
 distance, with words as symbols, decides whether the item comes within k edits.
 
-Documents are scanned in one pass of Arrow batches and never shuffled. The items are broadcast in blocks of at most
+Documents are scanned in one pass of Arrow batches and never shuffled. The items are sent to the executors in blocks of at most
 BLOCK_WORDS words; a larger benchmark takes a pass per block, and nothing is dropped.
 
 Defined results: a null or empty text holds nothing; an item of fewer than LEAST_WORDS words says nothing and is found
@@ -143,14 +143,13 @@ MATCHES = "doc_id long, item_id long, distance int, n_words int, start_word int,
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance, n_words, start_word, end_word: each item found in each document, at its best place."""
-    spark, out = docs.sparkSession, None
+    out = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for block in blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in sent.value.matches(t.as_py())]
+                found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in block.matches(t.as_py())]
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in found], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"])
 
@@ -161,13 +160,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no item is found, with their own columns."""
-    at, spark = [c.lower() for c in docs.columns].index(text_col.lower()), docs.sparkSession
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
     for block in blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not block.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
