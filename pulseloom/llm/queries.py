@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pulseloom.llm.decontamination import op7_decontamination
+from pulseloom.llm.language_id import op3_language_id
 from pulseloom.llm.license_scan import OP8_SQL, op8_license_scan
 from pulseloom.llm.minhash_dedup import op6_minhash_dedup
 from pulseloom.llm.pii import op5_pii
 from pulseloom.llm.quality_rules import OP9_SQL, op9_quality_rules
+from pulseloom.llm.secret_scan import op1_secret_scan
 from pulseloom.llm.sharding import op2_sharding
 from pulseloom.llm.source_mix import OP10_SQL, op10_source_mix
+from pulseloom.llm.token_ids import op4_token_ids
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_token_ids": op4_token_ids,
     "op5_pii": op5_pii,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_decontamination": op7_decontamination,
