@@ -10,7 +10,8 @@ hubs and every member is compared with these two. The sketch turns away what is
 estimate below the threshold), full sets decide the rest, and links make components. Buckets that then still hold nodes
 of different components go through an exact way for the rest: over their members, an index of the rarest shingles (the
 prefix filter with positions, exact for a Jaccard threshold) gives every pair across components that can still reach the
-threshold, and full sets decide again. Two similar documents are only missed if they share no band: 5e-8 at the
+threshold, and full sets decide again. Both ways also use a parity bitmap of the whole set: its XOR population count is
+never above the number of shingles in which two sets differ, so what it turns away can't be a link. Two similar documents are only missed if they share no band: 5e-8 at the
 threshold itself, less above.
 
 Components are found by alternating large and small stars, a table of links per round; nothing of it goes to the driver
@@ -79,11 +80,21 @@ def bands_and_sketches(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros((rows, BANDS), np.uint64)
     for k in range(ROWS):
         keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + mixed.reshape(rows, BANDS, ROWS)[:, :, k]
-    bit = (mixed >> np.uint64(20)) % np.uint64(SKETCH_BITS)
-    words = np.zeros((rows, SKETCH_BITS // 64), np.uint64)
-    at = np.repeat(np.arange(rows), SAMPLES)
-    np.bitwise_xor.at(words, (at, (bit // np.uint64(64)).ravel().astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)).ravel())
-    return keys.view(np.int64), words.view(np.int64)
+    bit = ((mixed >> np.uint64(20)) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(rows)[:, None] * SKETCH_BITS
+    return keys.view(np.int64), parity_words(bit.ravel(), rows)
+
+
+def parity_words(bits: np.ndarray, rows: int) -> np.ndarray:
+    """Bits that are named an odd number of times, as SKETCH_BITS / 64 signed integers a row."""
+    odd = (np.bincount(bits, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(rows, -1).view(np.int64)
+
+
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmap of each whole set."""
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * SKETCH_BITS
+    bits = (np.concatenate(sets) >> np.uint64(7)) % np.uint64(SKETCH_BITS)
+    return parity_words(bits.astype(np.int64) + at, len(sets))
 
 
 def most_differing(percent: int, deviations: float = 5.0) -> int:
@@ -95,7 +106,7 @@ def most_differing(percent: int, deviations: float = 5.0) -> int:
     return math.ceil(mean + deviations)
 
 
-SIGNATURE = "doc_id long, n int, node binary, text_hash long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n int, node binary, text_hash long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -107,11 +118,12 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 part = batch.slice(at, 1024)
                 sets = [shingles(x, width) for x in part.column(2).to_pylist()]
                 full = np.array([len(s) > 0 for s in sets], bool)
-                keys, words = bands_and_sketches(np.stack([samples(s) for s in sets if len(s)])) if full.any() else (np.zeros((0, BANDS), np.int64), np.zeros((0, SKETCH_BITS // 64), np.int64))
+                own = [s for s in sets if len(s)]
+                keys, words, whole = (*bands_and_sketches(np.stack([samples(s) for s in own])), parity(own)) if own else [np.zeros((0, 1), np.int64)] * 3
                 where = np.cumsum(full) - 1
                 lists = lambda rows: pa.array([rows[where[i]] if full[i] else None for i in range(len(sets))], pa.list_(pa.int64()))  # noqa: E731, B023
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.binary()), part.column(1), lists(keys), lists(words)], names=["doc_id", "n", "node", "text_hash", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.binary()), part.column(1), lists(keys), lists(words), lists(whole)], names=["doc_id", "n", "node", "text_hash", "bands", "sketch", "parity"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -178,27 +190,33 @@ def _differing(one: Column, other: Column) -> Column:
     return total
 
 
+def able(n: str, m: str, p: str, q: str, percent: int) -> Column:
+    """False only for sets that can't reach the threshold, by their sizes and parity bitmaps."""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(F.col(p), F.col(q)) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
+
+
 def screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and odd sketches allow the threshold."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_differing(F.col("sa"), F.col("sb")) <= most_differing(percent))
+    """The pairs (a, b) whose sizes, odd sketches and parity bitmaps allow the threshold."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
+    near = able("na", "nb", "pa", "pb", percent) & (_differing(F.col("sa"), F.col("sb")) <= most_differing(percent))
     return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
 
 
 def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of members (node, label, n) with different labels that can reach the threshold, by its rarest shingles."""
-    each = members.join(sets, "node").select("node", "label", "n", F.explode("shingles").alias("s"))
+    """Every pair (a, b) of members (node, label, n, parity) with different labels that can reach the threshold, by its rarest shingles."""
+    each = members.select("node", "n").join(sets, "node").select("node", "n", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node")
     ranked = each.join(shared, "s").withColumns({"k": F.row_number().over(own.orderBy("df", "s")), "c": F.count("*").over(own)})
     # Shingles that no other member has come first in the order; they take up positions, and no pair meets at them.
     ranked = ranked.withColumn("i", F.col("n") - F.col("c") + F.col("k") - 1).where(F.col("i") * 100 <= F.col("n") * (100 - percent))
-    a = ranked.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = ranked.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    ranked = ranked.select("node", "s", "i").join(members, "node")
+    a = ranked.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
+    b = ranked.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    able = (rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return a.join(b, (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & able).select("a", "b").distinct()
+    meet = (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return a.join(b, meet & able("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,7 +228,7 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, chosen for every document; chosen is true for one row or group of identical rows of each component."""
     rows = settle(signatures(docs, width, id_col, text_col))
-    nodes = settle(rows.where("n > 0").select("node", "n", "text_hash", "bands", "sketch").dropDuplicates(["node"]))
+    nodes = settle(rows.where("n > 0").select("node", "n", "text_hash", "bands", "sketch", "parity").dropDuplicates(["node"]))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
     members = settle(buckets.join(hubs, "bucket"))
@@ -222,8 +240,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     # The rest: buckets of three and more whose members aren't all of one component.
     placed = labelled(members.where("size > 2").select("node", "bucket"), labels)
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    rest = settle(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n"), "node"))
-    more = settle(confirmed(screened(rare_prefix_pairs(rest, sets, percent), nodes, percent), sets, percent))
+    rest = settle(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "parity"), "node"))
+    more = settle(confirmed(rare_prefix_pairs(rest, sets, percent), sets, percent))
     if not more.isEmpty():
         to_label = rest.select("node", "label")
         across = more.join(to_label.toDF("a", "la"), "a").join(to_label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
