@@ -1,4 +1,9 @@
 """All queries and their SQL."""
 
+from pulseloom.plans import hrv
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (hrv,):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
