@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from pulseloom.plans import hrv
+from pulseloom.plans import groups, hrv
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (hrv,):
+for part in (hrv, groups):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
