@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import documents, free_name, words
+from pulseloom.llm.common import documents, words
 
 WINDOW = 5
 
@@ -118,9 +118,10 @@ def ablation(book: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) ->
 
 def keep_good(docs: DataFrame, policy: Policy = POLICIES["v1"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
-    text, row = free_name(docs, "pl_text"), free_name(docs, "pl_row")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[text_col].alias(text))
-    return judge(ledger(whole, row, text), policy).where("kept").select(f"{row}.*")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    # The row number keeps the optimiser from copying the whole ledger into a filter below the measurements.
+    judged = judge(ledger(whole, "row", "text"), policy).withColumn("number", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
