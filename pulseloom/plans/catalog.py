@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from pulseloom.plans import groups, hrv
+from pulseloom.plans import groups, hrv, models
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (hrv, groups):
+for part in (hrv, groups, models):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
