@@ -123,7 +123,7 @@ def balance_rule(lf_hf: Column) -> Column:
 
 
 def density(df: DataFrame, x: str, y: str, eps: float, least: int, key: str) -> DataFrame:
-    """Density clusters in two dimensions: neighbours by an eps grid, core points, least label over core links; -1 is noise."""
+    """Density clusters in two dimensions: neighbours by an eps grid, core points, least label over core links, as text; -1 is noise."""
     p = df.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
     around = p.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy").withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
     near = p.join(around, ["cx", "cy"]).where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 <= eps * eps).select("id", "o")
@@ -140,4 +140,4 @@ def density(df: DataFrame, x: str, y: str, eps: float, least: int, key: str) ->
         if done:
             break
     border = near.join(label.select(F.col("id").alias("o"), "label"), "o").groupBy("id").agg(F.min("label").alias("label"))
-    return df.join(border, df[key] == border["id"], "left").withColumn("cluster", F.coalesce("label", F.lit(-1))).drop("id", "label")
+    return df.join(border, df[key] == border["id"], "left").withColumn("cluster", F.coalesce(F.col("label").cast("string"), F.lit("-1"))).drop("id", "label")
