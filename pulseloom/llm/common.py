@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseloom.functions.lineage import settle, shared_dir
+
+__all__ = ["documents", "free_name", "settle", "shared_dir", "word_count", "words"]
+
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -22,26 +23,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of our own where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = tempfile.mkdtemp(prefix="pulseloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back with the same schema.
-
-    The files outlive lost executors. They stay until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulseloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, with underscores in front as long as df has a column of that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -77,7 +77,10 @@ class Models:
         inner = np.full((SIZE, SIZE), 1 / SIZE)
         known = random.sum(1, keepdims=True)
         learnt = np.where(known > 0, random / np.maximum(known, 1), inner)
-        self.ratio = np.log(0.5 * learnt + 0.5 * inner) - np.log((ordinary + 0.5) / (ordinary.sum(1, keepdims=True) + 0.5 * SIZE))
+        # After a character that ordinary text hardly has, its next one goes by how common that is in all.
+        common = (ordinary.sum(0, keepdims=True) + 0.05) / (ordinary.sum() + 0.05 * SIZE)
+        usual = (ordinary + 5 * common) / (ordinary.sum(1, keepdims=True) + 5)
+        self.ratio = np.log(0.5 * learnt + 0.5 * inner) - np.log(usual)
 
     def llr(self, token: str) -> float:
         """The log-likelihood ratio of a token's inner transitions."""
