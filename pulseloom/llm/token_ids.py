@@ -21,6 +21,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,7 +43,7 @@ SEGMENT_IDS = 1 << 20
 SAMPLE_ROWS = 1000  # documents that the dictionary is trained on
 SAMPLE_IDS = 8192  # and at most so many ids of each
 DICTIONARY = 64 << 10
-CACHED = 1_000_000
+CACHED = 1_500_000
 MAGIC = b"PLT1"
 ENTRY, ENTRY_BYTES = "<qBII", 17
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -104,6 +106,14 @@ class Encoder:
         return [(b"".join(map(self.known.__getitem__, pieces)) if pieces is not None else self._encode([t])[0]) + end for t, pieces in zip(texts, cut, strict=True)]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """This Python worker's encoder: later tasks in the worker go on with the pieces that earlier ones met."""
+    place = sys.modules.setdefault("pulseloom_worker_state", types.ModuleType("pulseloom_worker_state"))
+    if getattr(place, "encoder_of", None) != path:
+        place.encoder, place.encoder_of = Encoder(path), path
+    return place.encoder
+
+
 def train_dictionary(rows: list[bytes], size: int = DICTIONARY) -> bytes:
     """A dictionary for serialised ids; the newest of the samples themselves where they are too few to train on."""
     try:
@@ -153,7 +163,7 @@ def fit_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Trained on SAMPLE_ROWS documents, those with the least hashes of id and text; encoded by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             rows = [narrow(x[: 4 * SAMPLE_IDS])[1] for x in encoder.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
@@ -171,7 +181,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     dictionary = fit_dictionary(docs, path, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, ids_held, seq, before, part = Encoder(path), [], 0, 0, 0, None
+        encoder, held, ids_held, seq, before, part = worker_encoder(path), [], 0, 0, 0, None
 
         def image():
             columns = [[part], [seq], [before], [ids_held // 4], [held[0][0]], [held[-1][0]], [pack(held, dictionary)]]
