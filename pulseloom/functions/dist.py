@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _gammaln = np.vectorize(math.lgamma, otypes=[float])
 _erf = np.vectorize(math.erf, otypes=[float])
@@ -85,22 +86,22 @@ def normal_quantile(p: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(t.isna() | df.isna(), np.nan, t_two_sided(t.fillna(0), df.fillna(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(np.where(f.isna(), np.nan, f_upper(f.fillna(0), d1.fillna(1), d2.fillna(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(x.isna(), np.nan, chi2_upper(x.fillna(0), df.fillna(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _z(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), np.nan, 2 * (1 - normal_cdf(z.abs().fillna(0)))))
 

@@ -11,18 +11,23 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("series_id").orderBy("i")
-ALL = Window.partitionBy("series_id")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("i")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def build_series(df: DataFrame, series: str, at: str, value: str, how: str = "mean", least: int = 3) -> DataFrame:
     """series_id, i, y: mean or median of value per step, for series of `least` steps and more."""
     made = F.avg(value) if how == "mean" else F.percentile(value, F.lit(0.5))
     d = df.groupBy(F.col(series).alias("series_id"), F.col(at).alias("at")).agg(made.alias("y")).where("y is not null")
-    d = d.withColumns({"i": F.row_number().over(Window.partitionBy("series_id").orderBy("at")) - 1, "n": F.count("*").over(ALL)})
+    d = d.withColumns({"i": F.row_number().over(Window.partitionBy("series_id").orderBy("at")) - 1, "n": F.count("*").over(whole())})
     return d.where(F.col("n") >= least).select("series_id", F.col("i").cast("long").alias("i"), "y")
 
 
@@ -47,7 +52,7 @@ def smoothing_forecast(series: DataFrame, alpha: float = 0.3, most: int = 5) ->
 
 def adaptation(series: DataFrame) -> DataFrame:
     """trend, slope, rate, phase and r2 per series."""
-    n = F.count("*").over(ALL)
+    n = F.count("*").over(whole())
     d = series.withColumns({"n": n, "half": F.floor(n / 2)})
     s = d.groupBy("series_id").agg(
         F.max("n").alias("n"), F.regr_slope("y", "i").alias("slope"), F.stddev_pop("y").alias("sd"), F.regr_r2("y", "i").alias("r2"),
@@ -75,7 +80,7 @@ def future_class(series: DataFrame, forecast: DataFrame) -> DataFrame:
 
 def trend_strength(series: DataFrame) -> DataFrame:
     """Share of variance that the centred rolling mean over max(3, n / 10) steps keeps; series of 8 and more."""
-    d = series.withColumns({"n": F.count("*").over(ALL), "w": F.greatest(F.lit(3), F.floor(F.count("*").over(ALL) / 10)).cast("int")}).where("n >= 8")
+    d = series.withColumns({"n": F.count("*").over(whole()), "w": F.greatest(F.lit(3), F.floor(F.count("*").over(whole()) / 10)).cast("int")}).where("n >= 8")
     near = d.select("series_id", F.explode(F.sequence(F.col("i") - F.col("w") + 1 + F.floor(F.col("w") / 2), F.col("i") + F.floor(F.col("w") / 2))).alias("i"), F.col("y").alias("x"))
     m = near.groupBy("series_id", "i").agg(F.avg("x").alias("m"))
     j = d.join(m, ["series_id", "i"]).groupBy("series_id").agg(F.var_pop("m").alias("vm"), F.var_pop("y").alias("vy"), F.regr_slope("y", "i").alias("slope"))
@@ -84,8 +89,8 @@ def trend_strength(series: DataFrame) -> DataFrame:
 
 def adf(series: DataFrame) -> DataFrame:
     """t of y's level in dy = a + b y + c dy_before, by normal equations as sums; below -2.86 at 5 % means stationary."""
-    dy = F.col("y") - F.lag("y").over(BY_TIME)
-    d = series.withColumn("dy", dy).withColumns({"x": F.lag("y").over(BY_TIME), "z": F.lag("dy").over(BY_TIME)}).where("z is not null")
+    dy = F.col("y") - F.lag("y").over(by_time())
+    d = series.withColumn("dy", dy).withColumns({"x": F.lag("y").over(by_time()), "z": F.lag("dy").over(by_time())}).where("z is not null")
     s = d.groupBy("series_id").agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in (("x", "x"), ("z", "z"), ("x", "z"), ("x", "dy"), ("z", "dy"), ("dy", "dy"))])
     det = F.col("x_x") * F.col("z_z") - F.col("x_z") * F.col("x_z")
     b, c = (F.col("x_dy") * F.col("z_z") - F.col("z_dy") * F.col("x_z")) / det, (F.col("z_dy") * F.col("x_x") - F.col("x_dy") * F.col("x_z")) / det
@@ -96,8 +101,8 @@ def adf(series: DataFrame) -> DataFrame:
 
 def kpss(series: DataFrame) -> DataFrame:
     """Sum of squared partial sums over n^2 times the long-run variance, without lags; over 0.463 at 5 % means not stationary."""
-    d = series.withColumn("e", F.col("y") - F.avg("y").over(ALL))
-    d = d.withColumn("s", F.sum("e").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    d = series.withColumn("e", F.col("y") - F.avg("y").over(whole()))
+    d = d.withColumn("s", F.sum("e").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     s = d.groupBy("series_id").agg((F.sum(F.col("s") * F.col("s")) / (F.count("*") * F.sum(F.col("e") * F.col("e")))).alias("kpss"))
     return s.withColumn("kpss_stationary", F.col("kpss") < 0.463)
 
@@ -121,7 +126,7 @@ def accuracy(actual: DataFrame, forecast: DataFrame) -> DataFrame:
 
 def holdout(series: DataFrame, test: int = 5) -> DataFrame:
     """Accuracy of flat smoothing on each series' last `test` steps."""
-    d = series.withColumn("n", F.count("*").over(ALL))
+    d = series.withColumn("n", F.count("*").over(whole()))
     train, rest = d.where(F.col("i") < F.col("n") - test).drop("n"), d.where(F.col("i") >= F.col("n") - test).drop("n")
     level = exponential_smoothing(train).groupBy("series_id").agg(F.max_by("smooth", "i").alias("forecast"))
     return accuracy(rest, rest.select("series_id", "i").join(level, "series_id"))
@@ -158,8 +163,8 @@ def autoregression(series: DataFrame, orders: Sequence[tuple[int, int]] = ((1, 0
     for p, d in orders:
         x = series
         for _ in range(d):
-            x = x.withColumn("y", F.col("y") - F.lag("y").over(BY_TIME))
-        x = x.withColumns({f"l{k}": F.lag("y", k).over(BY_TIME) for k in range(1, p + 1)}).where(F.col("i") >= top)
+            x = x.withColumn("y", F.col("y") - F.lag("y").over(by_time()))
+        x = x.withColumns({f"l{k}": F.lag("y", k).over(by_time()) for k in range(1, p + 1)}).where(F.col("i") >= top)
         fit = _solve(x, [f"l{k}" for k in range(1, p + 1)])
         n = F.col("n")
         last = x.withColumn("back", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("i")))).where("back = 1")
@@ -184,7 +189,7 @@ def _waves(at: Column, period: float, terms: int) -> dict[str, Column]:
 
 def seasonal_regression(series: DataFrame, period: float = 12, terms: int = 2, steps: int = 6) -> DataFrame:
     """Line, hinge at the middle and Fourier terms: a forecast of `steps` with a 95 % band."""
-    d = series.withColumns({"t": F.col("i").cast("double"), "hinge": F.greatest(F.lit(0.0), F.col("i") - F.count("*").over(ALL) / 2), **_waves(F.col("i"), period, terms)})
+    d = series.withColumns({"t": F.col("i").cast("double"), "hinge": F.greatest(F.lit(0.0), F.col("i") - F.count("*").over(whole()) / 2), **_waves(F.col("i"), period, terms)})
     names = ["t", "hinge", *_waves(F.col("i"), period, terms)]
     fit = _solve(d, names).join(series.groupBy("series_id").agg(F.max("i").alias("last")), "series_id")
     f = fit.withColumn("i", F.explode(F.sequence(F.col("last") + 1, F.col("last") + steps)))
