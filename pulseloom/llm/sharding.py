@@ -28,6 +28,7 @@ from pulseloom.llm.common import documents, settle
 SHARDS = 40
 RANGE_BYTES = 256 << 20
 PROBES = 1 << 16
+INNER = 0.25  # how far off a cut within a shard may be, which only parts the sorting
 COARSE = 12  # leading bits of the hash that find a row's cuts in the table
 LEAST = -(1 << 63)
 
@@ -99,15 +100,16 @@ class Cut:
     rows_before: int
 
 
-def find_cuts(keys: DataFrame, parts: int, tolerance: float = 0.0) -> tuple[list[Cut], int]:
-    """The parts - 1 cuts nearest to equal bytes in keys (h, id, size, c), and the number of rows."""
+def find_cuts(keys: DataFrame, parts: int, per_shard: int = 1, tolerance: float = 0.0) -> list[Cut]:
+    """The parts - 1 cuts of equal bytes in keys (h, id, size, c): every per_shard-th one nearest to it or within
+    tolerance x a part, those between only within INNER x a part."""
     whole = keys.agg(*_fold()).first()
     if not whole["rows"]:
-        return [], 0
+        return []
     all_ = Slice(0, 0, whole["bytes"], whole["rows"], (whole["low_h"], whole["low_id"]), (whole["high_h"], whole["high_id"]))
     past = Cut(1 << 60, LEAST, all_.rows)
     cuts: dict[int, Cut] = {}
-    slack = tolerance * all_.bytes / parts
+    slack = lambda j: (tolerance if j % per_shard == 0 else INNER) * all_.bytes / parts
     open_ = [(all_, list(range(1, parts)))]
     while open_:
         nxt: list[tuple[Slice, list[int]]] = []
@@ -122,7 +124,7 @@ def find_cuts(keys: DataFrame, parts: int, tolerance: float = 0.0) -> tuple[list
                 s = subs[at]
                 left, right = goal - s.bytes_before * parts, (s.bytes_before + s.bytes) * parts - goal
                 near = min(left, right)
-                if s.one_key or s.rows == 1 or near <= slack * parts:
+                if s.one_key or s.rows == 1 or near <= slack(j) * parts:
                     # left of the slice's middle the cut is before it; at the middle and past it, after it
                     if left * 2 <= s.bytes * parts:
                         cuts[j] = Cut(*_first(s), s.rows_before)
@@ -134,7 +136,7 @@ def find_cuts(keys: DataFrame, parts: int, tolerance: float = 0.0) -> tuple[list
                     inside.setdefault(at, []).append(j)
             nxt += [(subs[k], js) for k, js in inside.items()]
         open_ = nxt
-    return [cuts[j] for j in range(1, parts)], all_.rows
+    return [cuts[j] for j in range(1, parts)]
 
 
 def _first(s: Slice) -> tuple[int, int]:
@@ -181,7 +183,7 @@ def shard_documents(docs: DataFrame, payload: dict[str, Column], shards: int = S
     keys = settle(with_keys(docs, id_col, text_col))
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * range_bytes)))
-    cuts, _ = find_cuts(keys, shards * per_shard, tolerance)
+    cuts = find_cuts(keys, shards * per_shard, per_shard, tolerance)
     rows = docs.select(F.struct(*[c.alias(n) for n, c in payload.items()]).alias("row"), F.col(id_col).alias("k_id"), F.col(text_col).alias("k_text"))
     keyed = rows.select("row", text_key(F.col("k_text")).alias("h"), F.coalesce(F.col("k_id").cast("long"), F.lit(LEAST)).alias("id"))
     keyed = keyed.withColumn("c", F.shiftright("h", 60 - COARSE).cast("int"))
