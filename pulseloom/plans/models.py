@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
 from pulseloom.operators import cluster, forecast, hrv
+from pulseloom.operators import models as linear
 from pulseloom.plans.base import beats, nn_sql
-from pulseloom.plans.groups import SERIES, series
+from pulseloom.plans.groups import SERIES, _long, series
 from pulseloom.plans.hrv import TIME
 from pulseloom.sources.files import header_report, sample_rows
 from pulseloom.sources.samples import event_samples, table
@@ -98,3 +99,23 @@ query("s9_header_report", "SELECT x AS header, CAST(count(DISTINCT source) AS BI
 query("u7_windowed_heart_rate", "SELECT event_type AS subject, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, round(avg(value + 40), 6) AS mean_hr, round(min(value + 40), 6) AS min_hr, round(max(value + 40), 6) AS max_hr FROM events WHERE value + 40 BETWEEN 30 AND 220 GROUP BY ALL")(
     lambda s, d: windowed_heart_rate(event_samples(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 )
+
+# T: models
+
+COLS = ["l_quantity", "l_discount", "l_tax"]
+_li = lambda s, d: table(s, d, "lineitem")
+query("t2_ks_normal", digits=5)(lambda s, d: linear.ks_normal(_long(s, d)))
+query("t2_anderson_darling", digits=4)(lambda s, d: linear.anderson_darling(_long(s, d)))
+query("t3_shapiro_francia")(lambda s, d: linear.shapiro_francia(_long(s, d)))
+query("t21_ols_one_predictor", "SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS coef, count(*) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")(
+    lambda s, d: linear.ols(_li(s, d), "l_extendedprice", ["l_quantity"]).where("term = 'l_quantity'").select("term", F.round("coef", 4).alias("coef"), "n", "r2")
+)
+query("t21_ols", digits=4)(lambda s, d: linear.ols(_li(s, d), "l_extendedprice", COLS))
+query("t21_confounding", digits=4)(lambda s, d: linear.confounding(_li(s, d), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"]))
+query("t22_diagnostics", digits=3)(lambda s, d: linear.diagnostics(_li(s, d), "l_extendedprice", COLS))
+query("t22_vif", digits=6)(lambda s, d: linear.inflation(_li(s, d), COLS))
+query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d).withColumn("x", F.col("i").cast("double")), "x", "y"))
+query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
+query("t29_factors_groups")(lambda s, d: linear.factors(_li(s, d), "l_extendedprice", ["l_returnflag", "l_linestatus"], ["l_tax"])[0])
+query("t29_factors_lines")(lambda s, d: linear.factors(_li(s, d), "l_extendedprice", ["l_returnflag"], ["l_tax", "l_discount"])[1])
+query("h23_bootstrap_intervals")(lambda s, d: linear.bootstrap_intervals(beats(s, d)))

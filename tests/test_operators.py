@@ -228,3 +228,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, windowed_heart_rate(d).collect()))
     assert sorted(map(tuple, spark.table("live").collect())) == want and len(want) == 5
+
+
+def test_least_squares_against_numpy(spark):
+    from pulseloom.operators import models
+
+    rnd = np.random.default_rng(10)
+    x = rnd.normal(size=(200, 2))
+    y = 3 + 2 * x[:, 0] - x[:, 1] + rnd.normal(0, 0.5, 200)
+    d = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    got = {r["term"]: r for r in models.ols(d, "y", ["a", "b"]).collect()}
+    m = np.column_stack([np.ones(200), x])
+    beta, sse, *_ = np.linalg.lstsq(m, y, rcond=None)
+    se = np.sqrt(np.diag(np.linalg.inv(m.T @ m)) * sse[0] / 197)
+    for k, t in enumerate(("intercept", "a", "b")):
+        assert math.isclose(got[t]["coef"], beta[k], rel_tol=1e-9) and math.isclose(got[t]["se"], se[k], rel_tol=1e-9)
+    assert math.isclose(got["a"]["r2"], 1 - sse[0] / ((y - y.mean()) ** 2).sum(), rel_tol=1e-9)
+    assert all(0.9 < r["vif"] < 1.2 for r in models.inflation(d, ["a", "b"]).collect())
+    assert models.mahalanobis_outliers(d, ["a", "b"]).where("outlier").count() == pytest.approx(20, abs=3)
+
+
+def test_normality_tells_normal_from_skewed(spark):
+    from pulseloom.operators import models
+
+    rnd = np.random.default_rng(11)
+    rows = [("m", "normal", float(v)) for v in rnd.normal(5, 2, 500)] + [("m", "skewed", float(v)) for v in rnd.exponential(2, 500)]
+    d = spark.createDataFrame(rows, "metric string, grp string, value double")
+    for f, name, less in ((models.ks_normal, "d", True), (models.anderson_darling, "a2", True), (models.shapiro_francia, "w_prime", False)):
+        got = {r["grp"]: r[name] for r in f(d).collect()}
+        assert (got["normal"] < got["skewed"]) == less
+    assert {r["grp"]: r["w_prime"] for r in models.shapiro_francia(d).collect()}["normal"] > 0.98
+
+
+def test_segment_intervals_hold_the_value(spark):
+    from pulseloom.operators import models
+
+    b = beats(spark, np.random.default_rng(12).normal(800, 50, 200))
+    i, t = models.bootstrap_intervals(b, KEY).first(), hrv.time_domain(b, KEY).first()
+    assert i["sdnn_low"] < t["sdnn"] < i["sdnn_high"]
