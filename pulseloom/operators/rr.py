@@ -42,8 +42,8 @@ def karlsson(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """artifact: off the median of five around it by more than 15 % of it and three MAD."""
     w = Window.partitionBy(*keys).orderBy("i")
     d = rr.withColumns({"five": F.collect_list("rr").over(w.rowsBetween(-2, 2)), "n": F.count("*").over(Window.partitionBy(*keys))})
-    d = d.withColumn("med", F.array_sort("five")[2])
-    mad = F.array_sort(F.transform("five", lambda x: F.abs(x - F.col("med"))))[2]
+    d = d.withColumn("med", F.get(F.array_sort("five"), F.lit(2)))
+    mad = F.get(F.array_sort(F.transform("five", lambda x: F.abs(x - F.col("med")))), F.lit(2))
     off = (F.size("five") == 5) & (F.col("n") >= 10) & (F.abs(F.col("rr") - F.col("med")) > F.greatest(0.15 * F.col("med"), 3 * mad))
     return d.withColumn("artifact", F.when(F.size("five") == 5, off).otherwise(False)).drop("five", "med", "n")
 
@@ -129,7 +129,7 @@ def smooth(rr: DataFrame, how: str = "savgol", keys: Sequence[str] = SEGMENT, wi
     half, w = window // 2, Window.partitionBy(*keys).orderBy("i")
     if how == "median":
         got = F.array_sort(F.collect_list("rr").over(w.rowsBetween(-half, half)))
-        return rr.withColumn("smooth", F.when(F.size(got) == window, got[half]))
+        return rr.withColumn("smooth", F.when(F.size(got) == window, F.get(got, F.lit(half))))
     if how == "savgol":
         weights = savitzky_golay_weights(window, order)
     elif how == "lowpass":

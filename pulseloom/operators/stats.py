@@ -25,7 +25,7 @@ def describe(long: DataFrame) -> DataFrame:
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     d = long.join(s.select("metric", "grp", F.col("median").alias("m"), (F.col("q1") - fence).alias("lo"), (F.col("q3") + fence).alias("hi")), ["metric", "grp"])
     d = d.groupBy("metric", "grp").agg(median(F.abs(F.col("value") - F.col("m"))).alias("mad"), F.count_if(~F.col("value").between(F.col("lo"), F.col("hi"))).alias("n_outliers"))
-    return s.join(d, ["metric", "grp"]).withColumns({"cv": F.col("std") / F.col("mean"), "value_range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1")})
+    return s.join(d, ["metric", "grp"]).withColumns({"cv": F.try_divide("std", "mean"), "value_range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1")})
 
 
 def mode(long: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def t_test(long: DataFrame, a: str, b: str, equal: bool = False) -> DataFrame:
     if equal:
         df, se = (na + nb - 2).cast("double"), F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb))
     else:
-        df, se = (va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), F.sqrt(va / na + vb / nb)
-    m = m.withColumns({"t": (F.col("ma") - F.col("mb")) / se, "df": df, "difference": F.col("ma") - F.col("mb")})
+        df, se = F.try_divide((va / na + vb / nb) ** 2, (va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), F.sqrt(va / na + vb / nb)
+    m = m.withColumns({"t": F.try_divide(F.col("ma") - F.col("mb"), se), "df": df, "difference": F.col("ma") - F.col("mb")})
     return m.select("metric", "t", "df", "difference", p_t(F.col("t"), F.col("df")).alias("p_value"))
 
 
@@ -62,8 +62,8 @@ def effect_sizes(long: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's d, Hedges' g, Glass's delta, point-biserial r, percent difference, and P(a > b) + P(a = b) / 2 from cumulative counts."""
     m = two_groups(long, a, b)
     na, nb, va, vb, diff = F.col("na"), F.col("nb"), F.col("va"), F.col("vb"), F.col("ma") - F.col("mb")
-    d = diff / F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))
-    m = m.select("metric", d.alias("cohen_d"), (d * (1 - 3 / (4 * (na + nb) - 9))).alias("hedges_g"), (diff / F.sqrt(vb)).alias("glass_delta"), (100 * diff / F.col("mb")).alias("percent_difference"), (d / F.sqrt(d * d + (na + nb) * (na + nb) / (na * nb))).alias("point_biserial"), (na * nb).alias("pairs"))
+    d = F.try_divide(diff, F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)))
+    m = m.select("metric", d.alias("cohen_d"), (d * (1 - 3 / (4 * (na + nb) - 9))).alias("hedges_g"), F.try_divide(diff, F.sqrt(vb)).alias("glass_delta"), F.try_divide(100 * diff, F.col("mb")).alias("percent_difference"), (d / F.sqrt(d * d + (na + nb) * (na + nb) / (na * nb))).alias("point_biserial"), (na * nb).alias("pairs"))
     c = value_counts(long, a, b)
     w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("below", F.coalesce(F.sum("cb").over(w), F.lit(0)))
@@ -103,15 +103,15 @@ def anova(long: DataFrame) -> DataFrame:
     """One-way F, eta squared, p; and Welch's F with its degrees of freedom."""
     g = long.groupBy("metric", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v")).where("n > 1")
     all_ = Window.partitionBy("metric")
-    w = F.col("n") / F.col("v")
-    g = g.withColumns({"grand": F.sum(F.col("n") * F.col("m")).over(all_) / F.sum("n").over(all_), "w": w, "sw": F.sum(w).over(all_), "centre": F.sum(w * F.col("m")).over(all_) / F.sum(w).over(all_)})
+    w = F.try_divide("n", "v")
+    g = g.withColumns({"grand": F.sum(F.col("n") * F.col("m")).over(all_) / F.sum("n").over(all_), "w": w, "sw": F.sum(w).over(all_), "centre": F.try_divide(F.sum(w * F.col("m")).over(all_), F.sum(w).over(all_))})
     s = g.groupBy("metric").agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"),
-        F.sum(F.col("w") * (F.col("m") - F.col("centre")) ** 2).alias("wb"), F.sum((1 - F.col("w") / F.col("sw")) ** 2 / (F.col("n") - 1)).alias("lam"),
+        F.sum(F.col("w") * (F.col("m") - F.col("centre")) ** 2).alias("wb"), F.sum((1 - F.try_divide("w", "sw")) ** 2 / (F.col("n") - 1)).alias("lam"),
     )
     k, n = F.col("k"), F.col("n")
-    s = s.withColumns({"df1": (k - 1).cast("double"), "df2": (n - k).cast("double"), "f": F.col("between") / (k - 1) / (F.col("within") / (n - k)), "eta_squared": F.col("between") / (F.col("between") + F.col("within"))})
-    s = s.withColumns({"welch_f": F.col("wb") / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("lam")), "welch_df2": (k * k - 1) / (3 * F.col("lam"))})
+    s = s.withColumns({"df1": (k - 1).cast("double"), "df2": (n - k).cast("double"), "f": F.try_divide(F.try_divide(F.col("between"), k - 1), F.try_divide(F.col("within"), n - k)), "eta_squared": F.try_divide(F.col("between"), F.col("between") + F.col("within"))})
+    s = s.withColumns({"welch_f": F.try_divide(F.try_divide(F.col("wb"), k - 1), 1 + F.try_divide(2 * (k - 2), k * k - 1) * F.col("lam")), "welch_df2": F.try_divide(k * k - 1, 3 * F.col("lam"))})
     return s.select("metric", "f", "df1", "df2", "eta_squared", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("p_value"), "welch_f", "welch_df2", p_f(F.col("welch_f"), F.col("df1"), F.col("welch_df2")).alias("welch_p"))
 
 
@@ -137,9 +137,9 @@ def kruskal(long: DataFrame) -> DataFrame:
     """H with tie correction, epsilon squared, p."""
     s = rank_sums(long).groupBy("metric").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"), F.max("ties").alias("ties"))
     n = F.col("n")
-    h = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
     s = s.withColumns({"h": h, "df": (F.col("k") - 1).cast("double")})
-    return s.select("metric", "h", "df", ((F.col("h") - F.col("k") + 1) / (n - F.col("k"))).alias("epsilon_squared"), p_chi2(F.col("h"), F.col("df")).alias("p_value"))
+    return s.select("metric", "h", "df", F.try_divide(F.col("h") - F.col("k") + 1, n - F.col("k")).alias("epsilon_squared"), p_chi2(F.col("h"), F.col("df")).alias("p_value"))
 
 
 def pairwise(long: DataFrame) -> DataFrame:
@@ -150,8 +150,8 @@ def pairwise(long: DataFrame) -> DataFrame:
     j = a.join(b, (F.col("metric") == F.col("mb_")) & (F.col("a") < F.col("b")))
     na, nb, va, vb = (F.col(c) for c in ("na", "nb", "va", "vb"))
     se2 = va / na + vb / nb
-    g = (F.col("ma") - F.col("mb")) / F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) * (1 - 3 / (4 * (na + nb) - 9))
-    j = j.withColumns({"t": (F.col("ma") - F.col("mb")) / F.sqrt(se2), "df": se2**2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), "hedges_g": g})
+    g = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))) * (1 - 3 / (4 * (na + nb) - 9))
+    j = j.withColumns({"t": F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(se2)), "df": F.try_divide(se2**2, (va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), "hedges_g": g})
     j = j.select("metric", "a", "b", "t", "df", "hedges_g").withColumn("p_value", p_t(F.col("t"), F.col("df")))
     return adjust(j, ["metric"])
 
