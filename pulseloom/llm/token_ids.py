@@ -97,7 +97,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         cut = [None if t and _ODD.search(t) else _PIECES.findall(t or "") for t in texts]
-        fresh = list({p for pieces in cut if pieces for p in pieces} - self.known.keys())
+        fresh = [p for p in {p for pieces in cut if pieces for p in pieces} if p not in self.known]
         if len(self.known) + len(fresh) > CACHED:
             self.known.clear()
             fresh = list({p for pieces in cut if pieces for p in pieces})
