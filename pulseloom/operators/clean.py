@@ -45,11 +45,10 @@ def quality_pipeline(samples: DataFrame, keys: Sequence[str] = SEGMENT, z: float
     most `rate` bpm a second since the row before, where any does. stage is 4 for what passes all, else the last passed.
     """
     w = Window.partitionBy(*keys)
+    # Medians as windows keep all of it on one exchange by segment.
     ok = samples.withColumn("in_range", range_null(F.col("hr")))
-    stats = ok.groupBy(*keys).agg(median("in_range").alias("med"), F.count("in_range").alias("n"))
-    ok = ok.join(stats, list(keys))
-    spread = ok.groupBy(*keys).agg(median(F.abs(F.col("in_range") - F.col("med"))).alias("mad"))
-    ok = ok.join(spread, list(keys))
+    ok = ok.withColumns({"med": median("in_range").over(w), "n": F.count("in_range").over(w)})
+    ok = ok.withColumn("mad", median(F.abs(F.col("in_range") - F.col("med"))).over(w))
     score = F.abs(F.lit(0.6745) * (F.col("in_range") - F.col("med")) / F.col("mad"))
     third = F.col("in_range").isNotNull() & F.when((F.col("n") > 10) & (F.col("mad") > 0), score <= z).otherwise(True)
     ok = ok.withColumn("third", F.coalesce(third, F.lit(False)))
@@ -78,7 +77,9 @@ def quality_record(samples: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFra
     """Totals, ratios, spread, coverage and a status per segment, over valid heart rates."""
     hr = range_null(F.col("hr"))
     q = lambda p: F.percentile("v", F.lit(p))
-    v = samples.withColumn("v", hr)
+    w = Window.partitionBy(*keys)
+    v = samples.withColumn("v", hr).withColumns({"q1": q(0.25).over(w), "q3": q(0.75).over(w)})
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
     s = v.groupBy(*keys).agg(
         F.count("*").alias("n_total"),
         F.count("v").alias("n_valid"),
@@ -88,14 +89,10 @@ def quality_record(samples: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFra
         F.max("v").alias("max_hr"),
         q(0.10).alias("resting_hr"),
         q(0.95).alias("q95"),
-        q(0.25).alias("q1"),
-        q(0.75).alias("q3"),
         ((F.max("t") - F.min("t")) / 3600).alias("coverage_hours"),
+        F.count_if((F.col("v") < F.col("q1") - fence) | (F.col("v") > F.col("q3") + fence)).alias("n_out"),
     )
-    fence = 1.5 * (F.col("q3") - F.col("q1"))
-    outside = v.join(s.select(*keys, (F.col("q1") - fence).alias("lo"), (F.col("q3") + fence).alias("hi")), list(keys))
-    outside = outside.groupBy(*keys).agg(F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("n_out"))
-    s = s.join(outside, list(keys)).withColumn("valid_ratio", F.col("n_valid") / F.col("n_total"))
+    s = s.withColumn("valid_ratio", F.col("n_valid") / F.col("n_total"))
     status = F.when(F.col("valid_ratio") >= 0.8, "EXCELLENT").when(F.col("valid_ratio") >= 0.7, "GOOD").when(F.col("valid_ratio") >= 0.6, "FAIR").otherwise("POOR")
     return s.select(
         *keys, "n_total", "n_valid", "valid_ratio", (1 - F.col("valid_ratio")).alias("missing_ratio"),
@@ -142,11 +139,11 @@ def missing_rate(samples: DataFrame, keys: Sequence[str] = SEGMENT, over: float
 
 def sigma_clip(samples: DataFrame, keys: Sequence[str] = SEGMENT, sigmas: float = 4.0, least: int = 50) -> DataFrame:
     """Positive heart rates within the mean and `sigmas` deviations and [30, 200], of segments that keep `least` or more."""
-    up = samples.where("hr > 0")
-    s = up.groupBy(*keys).agg(F.avg("hr").alias("m"), F.stddev_samp("hr").alias("s"))
+    w = Window.partitionBy(*keys)
+    up = samples.where("hr > 0").withColumns({"m": F.avg("hr").over(w), "s": F.stddev_samp("hr").over(w)})
     lo, hi = F.greatest(F.lit(30.0), F.col("m") - sigmas * F.col("s")), F.least(F.lit(200.0), F.col("m") + sigmas * F.col("s"))
-    kept = up.join(s, list(keys)).where((F.col("hr") >= lo) & (F.col("hr") <= hi)).drop("m", "s")
-    return kept.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("n") >= least).drop("n")
+    kept = up.where((F.col("hr") >= lo) & (F.col("hr") <= hi)).drop("m", "s")
+    return kept.withColumn("n", F.count("*").over(w)).where(F.col("n") >= least).drop("n")
 
 
 def mean_fill(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:

@@ -24,13 +24,29 @@ def with_differences(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 
 def time_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Level, spread and successive differences; 0 where a segment is too short for a metric."""
-    d = with_differences(rr, keys)
+    a = _moments(rr, keys)
+    return a.select(*keys, *TIME_DOMAIN)
+
+
+TIME_DOMAIN = ("n", "mean_nni", "sdnn", "rmssd", "nn50", "pnn50", "nn20", "pnn20", "sdsd", "cvsd", "cvnn", "mcv_nni", "median_nni", "mad_nni", "mean_hr", "std_hr", "min_hr", "max_hr")
+
+
+def core(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """The usual time-domain and Poincare metrics from one aggregation on one exchange by segment."""
+    return _moments(rr, keys).select(*keys, "n", "mean_nni", "sdnn", "rmssd", "pnn50", "sd1", "sd2")
+
+
+def _moments(rr: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = with_differences(rr, keys).withColumn("med", median("rr").over(Window.partitionBy(*keys)))
     hr = F.lit(60000.0) / F.col("rr")
     a = d.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg("rr").alias("mean_nni"),
         F.coalesce(F.stddev_samp("rr"), F.lit(0.0)).alias("sdnn"),
-        median("rr").alias("median_nni"),
+        F.max("med").alias("median_nni"),
+        median(F.abs(F.col("rr") - F.col("med"))).alias("mad_nni"),
+        F.coalesce(F.stddev_pop("d") / math.sqrt(2), F.lit(0.0)).alias("sd1"),
+        F.coalesce(F.stddev_pop("s") / math.sqrt(2), F.lit(0.0)).alias("sd2"),
         F.coalesce(F.sqrt(F.avg(F.col("d") * F.col("d"))), F.lit(0.0)).alias("rmssd"),
         F.count_if(F.abs("d") > 50).alias("nn50"),
         F.count_if(F.abs("d") > 20).alias("nn20"),
@@ -41,14 +57,15 @@ def time_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
         F.min(hr).alias("min_hr"),
         F.max(hr).alias("max_hr"),
     )
-    mad = rr.join(a.select(*keys, "median_nni"), list(keys)).groupBy(*keys).agg(median(F.abs(F.col("rr") - F.col("median_nni"))).alias("mad_nni"))
-    a = a.join(mad, list(keys))
-    return a.select(
-        *keys, "n", "mean_nni", "sdnn", "rmssd", "nn50", ratio(100 * F.col("nn50"), F.col("n") - 1).alias("pnn50"),
-        "nn20", ratio(100 * F.col("nn20"), F.col("n") - 1).alias("pnn20"), "sdsd", ratio(F.col("sdsd") * 100, F.col("mean_abs_d")).alias("cvsd"),
-        (F.col("sdnn") / F.col("mean_nni") * 100).alias("cvnn"), (F.col("mad_nni") / F.col("median_nni") * 100).alias("mcv_nni"),
-        "median_nni", "mad_nni", "mean_hr", "std_hr", "min_hr", "max_hr",
-    )
+    return a.withColumns(
+        {
+            "pnn50": ratio(100 * F.col("nn50"), F.col("n") - 1),
+            "pnn20": ratio(100 * F.col("nn20"), F.col("n") - 1),
+            "cvsd": ratio(F.col("sdsd") * 100, F.col("mean_abs_d")),
+            "cvnn": F.col("sdnn") / F.col("mean_nni") * 100,
+            "mcv_nni": F.col("mad_nni") / F.col("median_nni") * 100,
+        }
+    )
 
 
 def basic_table(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:

@@ -57,10 +57,11 @@ def kamath(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 
 def iqr(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """artifact: outside 1.5 interquartile ranges."""
-    s = rr.groupBy(*keys).agg(F.percentile("rr", F.lit(0.25)).alias("q1"), F.percentile("rr", F.lit(0.75)).alias("q3"), F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    d = rr.withColumns({"q1": F.percentile("rr", F.lit(0.25)).over(w), "q3": F.percentile("rr", F.lit(0.75)).over(w), "n": F.count("*").over(w)})
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     off = (F.col("n") >= 10) & ((F.col("rr") < F.col("q1") - fence) | (F.col("rr") > F.col("q3") + fence))
-    return rr.join(s, list(keys)).withColumn("artifact", off).drop("q1", "q3", "n")
+    return d.withColumn("artifact", off).drop("q1", "q3", "n")
 
 
 def zscore(rr: DataFrame, keys: Sequence[str] = SEGMENT, most: float = 3.0) -> DataFrame:

@@ -81,8 +81,8 @@ query("f9_missing_rate", f"WITH {SAMPLES} SELECT subject, sol, round(100 * avg((
 query(
     "f10_sigma_clip",
     f"""WITH {SAMPLES}, u AS (SELECT * FROM samples WHERE hr > 0), b AS (SELECT subject, sol, greatest(30, avg(hr) - 4 * stddev_samp(hr)) AS lo, least(200, avg(hr) + 4 * stddev_samp(hr)) AS hi FROM u GROUP BY subject, sol)
-SELECT subject, sol, count(*) AS n, round(avg(hr), 6) AS mean_hr, round(max(hr), 6) AS max_hr FROM u JOIN b USING (subject, sol) WHERE hr BETWEEN lo AND hi GROUP BY subject, sol HAVING count(*) >= 50""",
-)(lambda s, d: clean.sigma_clip(event_samples(s, d)).groupBy("subject", "sol").agg(F.count("*").alias("n"), F.avg("hr").alias("mean_hr"), F.max("hr").alias("max_hr")))
+SELECT subject, sol, count(*) AS n, round(sum(hr), 4) AS total_hr, round(max(hr), 6) AS max_hr FROM u JOIN b USING (subject, sol) WHERE hr BETWEEN lo AND hi GROUP BY subject, sol HAVING count(*) >= 50""",
+)(lambda s, d: clean.sigma_clip(event_samples(s, d)).groupBy("subject", "sol").agg(F.count("*").alias("n"), F.round(F.sum("hr"), 4).alias("total_hr"), F.max("hr").alias("max_hr")))
 query("f11_mean_fill", f"WITH {SAMPLES} SELECT subject, seq, round(coalesce(CASE WHEN seq % 7 <> 0 THEN hr END, avg(CASE WHEN seq % 7 <> 0 THEN hr END) OVER (PARTITION BY subject)), 6) AS hr FROM samples")(
     lambda s, d: clean.mean_fill(_holed(s, d), "hr", SUBJECT).select("subject", "seq", "hr")
 )
@@ -185,7 +185,7 @@ a AS (SELECT *, sqrt(5.991::DOUBLE) * sd2 * cos(k * (2 * pi() / 99)) AS u, sqrt(
 query(
     "hrv_core_metrics",
     f"""WITH {nn_sql()}, {TIME.format(keys=SEG)}, {POINCARE.format(keys=SEG)} SELECT subject, sol, n, round(mean_nni, 6) AS mean_nni, round(sdnn, 6) AS sdnn, round(rmssd, 6) AS rmssd, round(pnn50, 6) AS pnn50, round(sd1, 6) AS sd1, round(sd2, 6) AS sd2 FROM tt JOIN pc USING (subject, sol)""",
-)(lambda s, d: (lambda b: hrv.time_domain(b).select("subject", "sol", "n", "mean_nni", "sdnn", "rmssd", "pnn50").join(hrv.poincare(b).select("subject", "sol", "sd1", "sd2"), ["subject", "sol"]))(hrv.guard(beats(s, d))))
+)(lambda s, d: hrv.core(hrv.guard(beats(s, d))))
 
 
 def _histogram(bins: int, keys: str) -> str:
