@@ -96,14 +96,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [None if t and _ODD.search(t) else _PIECES.findall(t or "") for t in texts]
-        fresh = [p for p in {p for pieces in cut if pieces for p in pieces} if p not in self.known]
-        if len(self.known) + len(fresh) > CACHED:
+        if len(self.known) > CACHED:
             self.known.clear()
-            fresh = list({p for pieces in cut if pieces for p in pieces})
-        self._learn(fresh)
+        cut = [None if t and _ODD.search(t) else _PIECES.findall(t or "") for t in texts]
+        found = [None if pieces is None else list(map(self.known.get, pieces)) for pieces in cut]
+        gaps = [() if ids is None else [k for k, x in enumerate(ids) if x is None] for ids in found]
+        self._learn(list({pieces[k] for pieces, at in zip(cut, gaps, strict=True) for k in at}))
+        for pieces, ids, at in zip(cut, found, gaps, strict=True):
+            for k in at:
+                ids[k] = self.known[pieces[k]]
         end = np.uint32(END).tobytes()
-        return [(b"".join(map(self.known.__getitem__, pieces)) if pieces is not None else self._encode([t])[0]) + end for t, pieces in zip(texts, cut, strict=True)]
+        return [(b"".join(ids) if ids is not None else self._encode([t])[0]) + end for t, ids in zip(texts, found, strict=True)]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -134,8 +137,9 @@ def pack(rows: list[tuple[int | None, bytes]], dictionary: bytes) -> bytes:
     if shared:
         shared.precompute_compress(level=3)
     compress = zstandard.ZstdCompressor(level=3, dict_data=shared).compress
-    wide = any(narrow(x)[0] == 4 for _, x in rows)
-    frames = [compress(x if wide else narrow(x)[1]) for _, x in rows]
+    narrowed = [narrow(x) for _, x in rows]
+    wide = any(width == 4 for width, _ in narrowed)
+    frames = [compress(x if wide else small) for (_, x), (_, small) in zip(rows, narrowed, strict=True)]
     index, at = [], 0
     for (doc_id, ids), frame in zip(rows, frames, strict=True):
         index.append(struct.pack(ENTRY, doc_id or 0, doc_id is None, at, len(ids) // 4))
