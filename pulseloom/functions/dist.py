@@ -10,8 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_gammaln = np.vectorize(math.lgamma, otypes=[float])
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _each(f, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel()], float).reshape(x.shape)
+
+
+def _gammaln(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erf(x) -> np.ndarray:
+    return _each(math.erf, x)
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
