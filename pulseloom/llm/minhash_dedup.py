@@ -250,7 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
         labels = settle(moved.select("node", F.coalesce("new", "old").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti")))
     out = labelled(rows.select("doc_id", "text_hash", "n", "node"), labels)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = out.where("n > 0").groupBy("label").agg(F.min(own).alias("first")).withColumnRenamed("label", "f_label")
+    # Settled, so that what joins it is an exchange that adaptive execution can split where one label has very many rows.
+    out = settle(out)
+    first = settle(out.where("n > 0").groupBy("label").agg(F.min(own).alias("first")).withColumnRenamed("label", "f_label"))
     out = out.join(first, (F.col("label") == F.col("f_label")) & (F.col("n") > 0), "left")
     alone = F.col("n") == 0
     return out.select(
