@@ -1,15 +1,18 @@
 """Secret scans by character Markov models.
 
-Two first-order models over the characters of tokens, one of random strings and one of ordinary text, are trained from
-labelled samples: here what three exact patterns (assignments, access keys, long hexadecimal runs) find is random and all
-else ordinary, and `train` takes any labelled strings. Tokens of 20 characters and more whose log-likelihood ratio favours
-the random model clearly, in all and per character, become `random` spans beside those of the patterns, which always stay.
+Two first-order models over the characters of tokens, one of random strings and one of ordinary identifiers, are trained
+from labelled samples, and `train` takes any labelled strings. Here what three exact patterns (assignments, access keys,
+long hexadecimal runs) find is random. Ordinary is, in equal parts, the labelled list of `identifiers` and the words and
+identifiers of the documents outside those finds; long tokens there that don't look like words count for neither. Only
+transitions inside tokens count. The threshold per character is such that 1 of 200 identifiers of held-out words reaches
+it. Tokens of 20 characters and more whose log-likelihood ratio favours the random model clearly, in all and per character,
+become `random` spans beside those of the patterns, which always stay.
 
 Training sums transition counts per partition, two tables of 66 x 66 cells at any input size, over all documents. Texts are
 read whole, twice, and never shuffled. Half of the random model is uniform, so alphabets that no sample had count too.
 
-Spans count code points, end exclusive. Defined results: a null or empty text has no spans; without any sample both
-models are uniform and no token is added; repeated rows give repeated results; an empty table gives none; other columns are
+Spans count code points, end exclusive. Defined results: a null or empty text has no spans; `train` without any sample
+makes both models uniform and no token is added; repeated rows give repeated results; an empty table gives none; other columns are
 not looked at.
 """
 
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseloom.llm import identifiers
 from pulseloom.llm.common import documents
 
 KINDS = ("assign", "access", "hex", "random")
@@ -31,12 +35,15 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Words of two letters and more, joined by signs or humps, with at most a few digits at the end of each.
+_WORDLIKE = re.compile(r"[+/_=-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+[a-z]*+)(?:[0-9]{1,4}+(?![A-Za-z]))?[+/_=-]*+)++")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # 0 stands for all else
 _CODE = np.zeros(256, np.uint16)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, SIZE)
 LEAST_RATIO, LEAST_PER_CHARACTER = 12.0, 0.5
+HELD_OUT_ABOVE = 0.005
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,32 +62,54 @@ def longest(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
-def secret_strings(text: str) -> list[str]:
-    """The secrets in a text without their names: the random samples."""
+def secret_strings(text: str, base: list[tuple[int, int, int]]) -> list[str]:
+    """The secrets at the base spans of a text without their names: the random samples."""
     out = []
-    for start, kind, end in base_spans(text):
+    for start, kind, end in base:
         out.append(_ASSIGN.match(text, start)[2] if kind == 0 else text[start:end])
     return out
 
 
+def ordinary_parts(text: str, base: list[tuple[int, int, int]]) -> list[str]:
+    """What is left of a text without its base spans and without long tokens that don't look like words."""
+    cuts = [(s, e) for s, _, e in base]
+    if longest(text) >= 20:
+        cuts = sorted(cuts + [m.span() for m in _TOKEN.finditer(text) if not _WORDLIKE.fullmatch(m[0])])
+    out, at = [], 0
+    for start, end in cuts:
+        out.append(text[at:start])
+        at = max(at, end)
+    return [*out, text[at:]]
+
+
 def transitions(strings: Iterable[str]) -> np.ndarray:
-    """Counts of (character, next) over strings, each between two outer characters."""
-    code = _CODE[np.frombuffer(b"\n" + "\n".join(strings).encode("utf-8", "surrogatepass") + b"\n", np.uint8)]
-    return np.bincount(code[:-1] * np.uint16(SIZE) + code[1:], minlength=SIZE * SIZE).astype(np.int64)
+    """Counts of (character, next) inside the tokens of strings; other characters are the outside."""
+    code = _CODE[np.frombuffer("\n".join(strings).encode("utf-8", "surrogatepass"), np.uint8)]
+    n = np.bincount(code[:-1] * np.uint16(SIZE) + code[1:], minlength=SIZE * SIZE).astype(np.int64).reshape(SIZE, SIZE)
+    n[0], n[:, 0] = 0, 0
+    return n.ravel()
+
+
+def _usual(ordinary: np.ndarray) -> np.ndarray:
+    """P(b after a). After a character that ordinary strings hardly have, its next one goes by how common that is in all."""
+    common = (ordinary.sum(0, keepdims=True) + 0.05) / (ordinary.sum() + 0.05 * SIZE)
+    return (ordinary + 5 * common) / (ordinary.sum(1, keepdims=True) + 5)
 
 
 class Models:
-    """ratio[a, b]: log P(b after a | random) - log P(b after a | ordinary)."""
+    """ratio[a, b]: log P(b after a | random) - log P(b after a | ordinary), the latter in equal parts from listed counts, where given."""
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray):
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, listed: np.ndarray | None = None):
         random, ordinary = (np.maximum(x, 0).reshape(SIZE, SIZE).astype(float) for x in (random, ordinary))
         inner = np.full((SIZE, SIZE), 1 / SIZE)
         known = random.sum(1, keepdims=True)
         learnt = np.where(known > 0, random / np.maximum(known, 1), inner)
-        # After a character that ordinary text hardly has, its next one goes by how common that is in all.
-        common = (ordinary.sum(0, keepdims=True) + 0.05) / (ordinary.sum() + 0.05 * SIZE)
-        usual = (ordinary + 5 * common) / (ordinary.sum(1, keepdims=True) + 5)
+        usual = _usual(ordinary)
+        if listed is not None:
+            known, listed = ordinary.sum(1, keepdims=True) > 0, _usual(listed.reshape(SIZE, SIZE).astype(float))
+            usual = np.where(known, 0.5 * usual + 0.5 * listed, listed)
         self.ratio = np.log(0.5 * learnt + 0.5 * inner) - np.log(usual)
+        self.least = LEAST_PER_CHARACTER
 
     def llr(self, token: str) -> float:
         """The log-likelihood ratio of a token's inner transitions."""
@@ -89,14 +118,19 @@ class Models:
 
     def is_random(self, token: str) -> bool:
         ratio = self.llr(token)
-        return ratio >= LEAST_RATIO and ratio >= LEAST_PER_CHARACTER * len(token) and not token.isdigit()
+        return ratio >= LEAST_RATIO and ratio >= self.least * len(token) and not token.isdigit()
+
+    def held_against(self, ordinary: list[str]) -> Models:
+        """Raises the threshold per character until HELD_OUT_ABOVE of the ordinary strings reach it."""
+        self.least = max(self.least, float(np.quantile([self.llr(x) / len(x) for x in ordinary], 1 - HELD_OUT_ABOVE)))
+        return self
 
 
-def _counted(rows: DataFrame, run) -> Models:
+def _counted(rows: DataFrame, run) -> np.ndarray:
     sums = np.zeros((2, SIZE * SIZE), np.int64)
     for r in rows.mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():  # 2 x SIZE x SIZE rows at most
         sums[r["label"], r["cell"]] = r["n"]
-    return Models(sums[1], sums[0])
+    return sums
 
 
 def _cells(sums: np.ndarray) -> pa.RecordBatch:
@@ -116,23 +150,25 @@ def train(samples: DataFrame, text_col: str = "text", label_col: str = "random")
         yield _cells(sums)
 
     known = samples.select(F.col(text_col).alias("t"), F.col(label_col).cast("boolean").alias("x")).where("t is not null and x is not null")
-    return _counted(known, run)
+    ordinary, random = _counted(known, run)
+    return Models(random, ordinary)
 
 
 def train_on_documents(docs: DataFrame, text_col: str = "text") -> Models:
-    """Models from documents: their secrets by the exact patterns against all else in them."""
+    """Models from documents: their secrets by the exact patterns against listed identifiers and the words and identifiers in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 texts = [t for t in batch.column(0).slice(at, 64).to_pylist() if t]
-                found = transitions([s for t in texts for s in secret_strings(t)])
-                sums[0] += transitions(texts) - found
-                sums[1] += found
+                found = [(t, base_spans(t)) for t in texts]
+                sums[0] += transitions([x for t, base in found for x in ordinary_parts(t, base)])
+                sums[1] += transitions([s for t, base in found for s in secret_strings(t, base)])
         yield _cells(sums)
 
-    return _counted(docs.select(text_col), run)
+    ordinary, random = _counted(docs.select(text_col), run)
+    return Models(random, ordinary, transitions(identifiers.trained())).held_against(identifiers.held_out(20))
 
 
 def spans(text: str, models: Models) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

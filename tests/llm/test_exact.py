@@ -287,6 +287,22 @@ def test_secret_models_on_held_out_strings(spark):
     assert sum(map(models.is_random, noise[200:])) >= 190 and sum(map(models.is_random, plain[200:])) <= 4
 
 
+def test_identifiers_are_no_secrets(spark, docs):
+    import random
+
+    usual = "get_user_by_email_address getUserByEmailAddress /usr/local/share/applications MAX_CONNECTION_RETRY_COUNT my-very-long-kebab-case-name com/example/project/service/impl AbstractSingletonProxyFactoryBean utm_source=newsletter_weekly 2024-01-01/2024-12-31 node_modules/react-dom/index --------------------".split()
+    rnd = random.Random(4)
+    noise = ["".join(rnd.choice(secret_scan.ALPHABET[:62]) for _ in range(24)) for _ in range(200)]
+    # Secrets that no pattern finds must not teach what is ordinary.
+    more = spark.createDataFrame([(k, f"see {x} here") for k, x in enumerate(noise * 5)], "doc_id long, text string")
+    for d in (docs, docs.select("doc_id", "text").union(more)):
+        models = secret_scan.train_on_documents(d)
+        assert not [x for x in usual if models.is_random(x)] and sum(map(models.is_random, noise)) >= 195
+        held = secret_scan.identifiers.held_out(20)
+        assert len(held) > 1000 and sum(map(models.is_random, held)) <= 0.01 * len(held)
+    assert not set(secret_scan.identifiers.WORDS[::2]) & set(secret_scan.identifiers.WORDS[1::2])
+
+
 def test_language(spark, docs, none):
     sample = {"en": "the of and with that there", "de": "der und nicht über schön für", "fr": "le être où déjà très élève", "es": "el niño año mañana qué aquí", "pt": "não coração você então", "it": "perché città più così", "nl": "het een van ijs zijn", "pl": "się że być łódź"}
     made = [(f"{w} " * 4 + t, lang) for lang, t in sample.items() for w in t.split()]
