@@ -5,6 +5,8 @@ looked up among known licence sentences, which gives each document a sequence of
 licensing sentence that isn't known. Ordered licence rules then match the sequence, the more specific first; what a rule
 has matched is taken out before the next is tried. One scan of built-in expressions, no shuffle.
 
+`scan` is what its SQL says: it looks only at sentences that hold a word of SPEAKS. `scan_texts` finds every known sentence.
+
 Defined results: a null or empty text has no sentences and no licences (empty strings, zeros); a repeated sentence is
 counted each time, its licence is named once; repeated rows give repeated results; an empty table gives none; other
 columns of the input are not looked at.
@@ -12,6 +14,8 @@ columns of the input are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ from pulseloom.llm.common import documents
 SPEAKS = "(?i)licen[cs]|copyright|redistribut|warrant|permission|public domain"
 OPENING = "^(?:(?:this|the|all) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|available|published|provided|covered) under (?:the terms of )?(?:the )?"
 
+#: What a known sentence holds at least: a word of SPEAKS, or one of the forms that do without.
+MAY_SPEAK = SPEAKS.replace("public domain", r"public\W+domain") + r"|rights\W+reserved|(?:licensed|released|distributed|available|published|provided|covered)\W+under"
+
 # Known licence sentences, normalised, and their identifiers.
 SENTENCES = {
     "under apache license version 2.0": "apache2",
@@ -110,14 +117,31 @@ def sentence_ids(text: Column) -> Column:
     return F.transform(said, lambda x: F.coalesce(F.try_element_at(known, normalise(x)), F.lit("unknown")))
 
 
+def text_ids(text: Column) -> Column:
+    """Identifiers of the known and of the other licensing sentences of a text, in order."""
+    cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09]+", "$1\n"), r"[\r\n]+", -1)
+    said = F.filter(cut, lambda x: x.rlike(MAY_SPEAK))
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    return F.array_compact(F.transform(said, lambda x: F.coalesce(F.try_element_at(known, normalise(x)), F.when(x.rlike(SPEAKS), "unknown"))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentence_ids, licenses, n_known, n_unknown for every document."""
     text = F.col(text_col)
-    d = docs.select(F.col(id_col), F.when(text.rlike(SPEAKS), sentence_ids(text)).alias("ids"))
+    return _matched(docs.select(F.col(id_col), F.when(text.rlike(SPEAKS), sentence_ids(text)).alias("ids")), id_col, RULES)
+
+
+def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As scan, with every known sentence found, whether or not it holds a word of SPEAKS."""
+    text = F.col(text_col)
+    return _matched(docs.select(F.col(id_col), F.when(text.rlike(MAY_SPEAK), text_ids(text)).alias("ids")), id_col, RULES)
+
+
+def _matched(d: DataFrame, id_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
     d = d.select(id_col, F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     d = d.withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))
     left, names = F.col("sequence"), []
-    for name, rule in RULES:
+    for name, rule in rules:
         names.append(F.when(left.rlike(f" {rule} "), F.lit(name)))
         left = F.regexp_replace(left, f" {rule}(?= )", " taken")
     licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",")
@@ -130,6 +154,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op8_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_texts(documents(spark, sf_dir))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

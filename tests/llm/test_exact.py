@@ -262,6 +262,15 @@ def test_license_rules_are_ordered(spark):
     assert rows(license_scan.scan(d), "doc_id", "licenses") == [(1, "MIT"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "MIT")]
 
 
+def test_license_texts_find_sentences_without_a_word_of_licensing(spark, docs, none):
+    lines = ["Foo. All rights reserved.", "Released under CC0 1.0.", "This dataset is available under CC BY-SA 4.0. Bye.", "He was released under bail.", "Our license is our own.", None]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = rows(license_scan.scan_texts(d), "doc_id", "sentence_ids", "licenses", "n_unknown")
+    assert got == [(0, "reserved", "", 0), (1, "cc0", "CC0-1.0", 0), (2, "cc_by_sa4", "CC-BY-SA-4.0", 0), (3, "", "", 0), (4, "unknown", "", 1), (5, "", "", 0)]
+    assert all(re.search(license_scan.MAY_SPEAK, x if not x.startswith("under") else f"released {x}") for x in license_scan.SENTENCES)
+    assert license_scan.scan_texts(none).count() == 0 and license_scan.scan_texts(docs).count() == docs.count()
+
+
 def test_secrets(docs, none):
     models = secret_scan.train_on_documents(docs)
     got = {(r["doc_id"], r["base_sha256"], r["spans"]) for r in secret_scan.scan(docs, models).collect()}
