@@ -5,7 +5,8 @@ looked up among known licence sentences, which gives each document a sequence of
 licensing sentence that isn't known. Ordered licence rules then match the sequence, the more specific first; what a rule
 has matched is taken out before the next is tried. One scan of built-in expressions, no shuffle.
 
-`scan` is what its SQL says: it looks only at sentences that hold a word of SPEAKS. `scan_texts` finds every known sentence.
+`scan` is what its SQL says: it looks only at sentences that hold a word of SPEAKS. `scan_texts` finds every known sentence,
+also over line ends and behind comment leaders, and is the one for whole licence texts.
 
 Defined results: a null or empty text has no sentences and no licences (empty strings, zeros); a repeated sentence is
 counted each time, its licence is named once; repeated rows give repeated results; an empty table gives none; other
@@ -102,6 +103,26 @@ RULES = (
 )
 
 
+SENTENCE_END = r"(?<=[.!?])\s+|\n[^\p{L}\p{N}]*\n"
+DEFINED = r"(?i)\((?:[^\p{L}\p{N}()]*the)?[^\p{L}\p{N}()]*license[^\p{L}\p{N}()]*\)"
+#: The address that the Apache header has in a paragraph of its own.
+AT_ADDRESS = r"(?i)(copy\W+of\W+the\W+license\W+at):?[^\p{L}\p{N}]+(?=https?://)"
+# What the canonical texts say besides, as they say it.
+TEXT_SENTENCES = SENTENCES | {
+    "under apache license version 2.0 the license": "apache2",
+    "you may obtain a copy of the license at http wwwapacheorg licenses license 2.0": "apache_copy",
+    "see the license for the specific language governing permissions and limitations under the license": "apache_see",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "no_event",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "no_event",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_as_is",
+    "you should have received a copy of the gnu general public license along with this program": "gpl_copy",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_as_is",
+}
+TEXT_RULES = tuple(
+    (name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES
+)
+
+
 def normalise(sentence: Column) -> Column:
     """Lower case, one space for all between words, no dots but those before digits, one opening for all grants."""
     s = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}.+]+", " ")
@@ -118,11 +139,27 @@ def sentence_ids(text: Column) -> Column:
 
 
 def text_ids(text: Column) -> Column:
-    """Identifiers of the known and of the other licensing sentences of a text, in order."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09]+", "$1\n"), r"[\r\n]+", -1)
-    said = F.filter(cut, lambda x: x.rlike(MAY_SPEAK))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.array_compact(F.transform(said, lambda x: F.coalesce(F.try_element_at(known, normalise(x)), F.when(x.rlike(SPEAKS), "unknown"))))
+    """Identifiers of the known and of the other licensing sentences of a text, in order.
+
+    A sentence goes on over line ends; it ends with a full stop before a space or at a line without letters and digits. One that
+    isn't known is looked up by its clauses, and a clause that isn't by its lines; what is left unknown counts if it speaks of licensing.
+    """
+    known = F.create_map(*[F.lit(x) for pair in TEXT_SENTENCES.items() for x in pair])
+    look = lambda x: F.try_element_at(known, normalise(F.regexp_replace(F.regexp_replace(x, DEFINED, " "), "(?i)https://", "http://")))
+    looked = lambda xs: F.transform(F.filter(xs, lambda x: x.rlike(MAY_SPEAK)), lambda x: F.struct(x.alias("x"), look(x).alias("id")))
+    other = lambda x: F.when(x["x"].rlike(SPEAKS), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>"))
+
+    def ids(xs: Column, *finer: str) -> Column:
+        def parts(x: Column) -> Column:
+            if not finer:
+                return other(x)
+            inner = ids(F.split(x["x"], finer[0], -1), *finer[1:])
+            return F.when(F.exists(inner, lambda i: i != "unknown"), inner).otherwise(other(x))
+
+        return F.flatten(F.transform(looked(xs), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(parts(x))))
+
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?im)^[\x20\x09]*(?:dnl|rem)\b", ""), AT_ADDRESS, "$1 ")
+    return ids(F.split(whole, SENTENCE_END, -1), r"(?<=[;:])[\x20\x09\n]+", r"\n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,9 +169,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As scan, with every known sentence found, whether or not it holds a word of SPEAKS."""
+    """As scan, with every known sentence found, wherever its lines break and whether or not it holds a word of SPEAKS."""
     text = F.col(text_col)
-    return _matched(docs.select(F.col(id_col), F.when(text.rlike(MAY_SPEAK), text_ids(text)).alias("ids")), id_col, RULES)
+    return _matched(docs.select(F.col(id_col), F.when(text.rlike(MAY_SPEAK), text_ids(text)).alias("ids")), id_col, TEXT_RULES)
 
 
 def _matched(d: DataFrame, id_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:

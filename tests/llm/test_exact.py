@@ -271,6 +271,48 @@ def test_license_texts_find_sentences_without_a_word_of_licensing(spark, docs, n
     assert license_scan.scan_texts(none).count() == 0 and license_scan.scan_texts(docs).count() == docs.count()
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def test_license_texts_over_line_ends(spark):
+    import textwrap
+
+    wanted = {"MIT": (MIT, "mit_grant mit_notice as_is no_event"), "Apache-2.0": (APACHE, "apache2 apache_compliance apache_copy apache_basis apache_see"), "BSD-3-Clause": (BSD, "bsd_head bsd_source bsd_binary bsd_names bsd_as_is"), "GPL-3.0-or-later": (GPL, "gpl3plus_head gpl_useful gpl_see")}
+    made, want = [], []
+    for name, (text, ids) in wanted.items():
+        for width in (40, 72, 80, 10000):
+            for lead in ("", "# ", " * ", "// ", "dnl "):
+                lines = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n\n")).split("\n")
+                made.append((len(made), "\r\n".join((lead + x).rstrip() for x in lines) if width == 72 else "\n".join((lead + x).rstrip() for x in lines)))
+                want.append((len(want), ids, name, 0))
+    odd = [("# Foo\nLicensed under the MIT License\nSee docs", "mit", "MIT", 0), ("Licence: Licensed under the MIT License.", "unknown mit", "MIT", 1), ("Our license\nis our own; and so is\nthis licence.", "unknown", "", 1), (MIT.upper().replace("GRANTED", "SOLD"), "unknown mit_notice as_is no_event", "", 1)]
+    made += [(len(made) + k, x[0]) for k, x in enumerate(odd)]
+    want += [(len(want) + k, *x[1:]) for k, x in enumerate(odd)]
+    got = rows(license_scan.scan_texts(spark.createDataFrame(made, "doc_id long, text string")), "doc_id", "sentence_ids", "licenses", "n_unknown")
+    assert [(a, b) for a, b in zip(got, want, strict=True) if a != b] == []
+
+
 def test_secrets(docs, none):
     models = secret_scan.train_on_documents(docs)
     got = {(r["doc_id"], r["base_sha256"], r["spans"]) for r in secret_scan.scan(docs, models).collect()}
