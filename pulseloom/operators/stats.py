@@ -6,8 +6,10 @@ exact and raw rows are never sorted in one task beyond a metric's distinct value
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,7 +249,7 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def bootstrap(long: DataFrame, statistic: Callable[[Column], Column] = F.avg, reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def bootstrap(long: DataFrame, statistic: Callable[[Column], Column] = F.avg, reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """estimate, low, high per (metric, grp): each row counts Poisson(1) times in each repetition, drawn from its key's hash.
 
     statistic builds an aggregate of a column. Rows need a column `id`. The reps x rows are summed in one aggregation.
@@ -262,16 +264,52 @@ def bootstrap(long: DataFrame, statistic: Callable[[Column], Column] = F.avg, re
     return long.groupBy("metric", "grp").agg(statistic(F.col("value")).alias("estimate")).join(ci, ["metric", "grp"])
 
 
-def permutation(long: DataFrame, a: str, b: str, reps: int = 500, seed: int = 11) -> DataFrame:
-    """difference of means, and the share of label shuffles whose absolute difference reaches it. Rows need `id`.
+def _repetitions(counts: DataFrame, keys: list[str], reps: int, seed: int, draw: Callable) -> DataFrame:
+    """keys, rep, n, s: number and sum of what draw(generator, c, share, reps) takes of the c rows of each value, from rows (keys, value, c, share).
 
-    A shuffle assigns each row to the first group with the group's share as probability, by a hash of (row, repetition).
+    A value's draws depend on its key and the seed alone. Partitions add up their values, so reps rows a key and partition are shuffled.
     """
-    d = long.where(F.col("grp").isin(a, b))
-    real = d.groupBy("metric").agg((F.avg(F.when(F.col("grp") == a, F.col("value"))) - F.avg(F.when(F.col("grp") == b, F.col("value")))).alias("difference"), F.avg((F.col("grp") == a).cast("double")).alias("share"))
-    r = d.join(real, "metric").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    u = F.pmod(F.xxhash64("metric", "grp", "id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    r = r.withColumn("first", u < F.col("share")).groupBy("metric", "rep").agg((F.avg(F.when(F.col("first"), F.col("value"))) - F.avg(F.when(~F.col("first"), F.col("value")))).alias("x"), F.first("difference").alias("difference"))
+    names = [f"k{k}" for k in range(len(keys))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *key, h, value, c, share = (x.to_pylist() for x in batch.columns)
+            sums: dict[tuple, list[np.ndarray]] = {}
+            for at, *k in zip(range(len(h)), *key, strict=True):
+                n = draw(np.random.default_rng(h[at] % (1 << 64)), c[at], share[at], reps)
+                n_s = sums.setdefault(tuple(k), [np.zeros(reps, np.int64), np.zeros(reps)])
+                n_s[0] += n
+                n_s[1] += n * value[at]
+            for k, (n, total) in sums.items():
+                yield pa.RecordBatch.from_arrays([*[pa.array([x] * reps, pa.string()) for x in k], pa.array(np.arange(1, reps + 1), pa.int32()), pa.array(n), pa.array(total)], names=[*names, "rep", "n", "s"])
+
+    d = counts.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)], F.xxhash64(*keys, "value", F.lit(seed)), F.col("value").cast("double"), "c", F.col("share").cast("double"))
+    got = d.mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", rep int, n long, s double")
+    return got.groupBy(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def bootstrap_means(long: DataFrame, reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """bootstrap of the mean from counts of distinct values: a value with c rows counts Poisson(c) times in each repetition."""
+    d = long.where("value is not null")
+    c = d.groupBy("metric", "grp", "value").agg(F.count("*").alias("c")).withColumn("share", F.lit(1.0))
+    got = _repetitions(c, ["metric", "grp"], reps, seed, lambda g, n, share, size: g.poisson(n, size)).withColumn("s", F.try_divide("s", "n"))
+    tail = (1 - level) / 2
+    ci = got.groupBy("metric", "grp").agg(F.percentile("s", F.lit(tail)).alias("low"), F.percentile("s", F.lit(1 - tail)).alias("high"))
+    return d.groupBy("metric", "grp").agg(F.avg("value").alias("estimate")).join(ci, ["metric", "grp"])
+
+
+def permutation(long: DataFrame, a: str, b: str, reps: int = 10_000, seed: int = 11) -> DataFrame:
+    """difference of means, and the share of label shuffles whose absolute difference reaches it.
+
+    A shuffle assigns each row to the first group with the group's share as probability: of a value's c rows, Binomial(c, share) go there.
+    """
+    first = F.col("grp") == a
+    c = long.where(F.col("grp").isin(a, b) & F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("c"), F.count_if(first).alias("ca"))
+    total = c.groupBy("metric").agg(F.sum("c").alias("all_n"), F.sum(F.col("c") * F.col("value")).alias("all_s"), F.sum("ca").alias("na"), F.sum(F.col("ca") * F.col("value")).alias("sa"))
+    apart = lambda n, s: F.try_divide(F.col(s), F.col(n)) - F.try_divide(F.col("all_s") - F.col(s), F.col("all_n") - F.col(n))
+    total = total.withColumns({"difference": apart("na", "sa"), "share": F.col("na") / F.col("all_n")})
+    drawn = _repetitions(c.join(total.select("metric", "share"), "metric"), ["metric"], reps, seed, lambda g, n, share, size: g.binomial(n, share, size))
+    r = drawn.join(total, "metric").withColumn("x", apart("n", "s"))
     return r.groupBy("metric").agg(F.first("difference").alias("difference"), F.avg((F.abs("x") >= F.abs("difference")).cast("double")).alias("p_value"))
 
 

@@ -179,8 +179,8 @@ e AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
 SELECT metric, round(dd, 6) AS cohen_d, round(dd * (1 - 3 / (4 * (na + nb) - 9)), 6) AS hedges_g, round((ma - mb) / sqrt(vb), 6) AS glass_delta, round(100 * (ma - mb) / mb, 6) AS percent_difference, round(dd / sqrt(dd * dd + (na + nb) * (na + nb) / (na * nb)), 6) AS point_biserial, round(wins / (na * nb), 6) AS cles FROM e""",
 )(lambda s, d: stats.effect_sizes(_long(s, d), "A", "R"))
 query("t15_labels")(lambda s, d: stats.pairwise(_long(s, d)).select("metric", "a", "b", stats.magnitude(F.col("hedges_g")).alias("effect"), stats.stars(F.col("p_value")).alias("stars")))
-query("t16_bootstrap")(lambda s, d: stats.bootstrap(_long(s, d), F.avg, reps=50))
-query("t18_permutation")(lambda s, d: stats.permutation(_long(s, d), "A", "R", reps=50))
+query("t16_bootstrap")(lambda s, d: stats.bootstrap_means(_long(s, d), reps=1000))
+query("t18_permutation")(lambda s, d: stats.permutation(_long(s, d), "A", "R", reps=10_000))
 COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 query("t19_pearson", "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for k, a in enumerate(COLS) for b in COLS[k + 1 :]))(lambda s, d: stats.correlations(table(s, d, "lineitem"), list(COLS)).drop("p_value"))
 query("t19_spearman", "WITH r AS (SELECT (rank() OVER (ORDER BY o_totalprice) * 2 + count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS x, (rank() OVER (ORDER BY o_custkey) * 2 + count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS y FROM orders) SELECT 'o_totalprice' AS a, 'o_custkey' AS b, count(*) AS n, round(corr(x, y), 6) AS r FROM r")(

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions import dist
 from pulseloom.operators import align, clean, cluster, forecast, hrv, rr, stats, timeagg
+from pulseloom.plans import catalog
 from pulseloom.sources import files
 from pulseloom.streaming.live import windowed_heart_rate
 
@@ -156,6 +158,28 @@ def test_bootstrap_holds_the_mean(spark):
     assert stats.bootstrap(d, lambda c: F.percentile(c, F.lit(0.5)), reps=20).count() == 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_resampling_queries_have_the_references_repetitions(spark):
+    sf = "/root/testdata/sf0.001"
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_quantity", "l_discount").collect()
+    values = lambda metric, grp: np.array([r[metric] for r in li if r["l_returnflag"] == grp])
+    b = {(r["metric"], r["grp"]): r for r in catalog.QUERIES["t16_bootstrap"](spark, sf).collect()}
+    p = {r["metric"]: r for r in catalog.QUERIES["t18_permutation"](spark, sf).collect()}
+    assert set(p) == {"l_quantity", "l_discount"} and len(b) == 6
+    for (metric, grp), r in b.items():
+        v = values(metric, grp)
+        assert math.isclose(r["estimate"], v.mean(), abs_tol=1e-6) and abs((r["high"] - r["low"]) / (2 * 1.959964 * v.std() / math.sqrt(len(v))) - 1) < 0.15
+    for metric, r in p.items():
+        x, y = (values(metric, g) for g in "AR")
+        z = (x.mean() - y.mean()) / math.sqrt(x.var() / len(x) + y.var() / len(y))
+        assert abs(r["p_value"] - math.erfc(abs(z) / math.sqrt(2))) < 0.02 and math.isclose(r["p_value"] * 10_000, round(r["p_value"] * 10_000), abs_tol=1e-6)
+    assert any(not math.isclose(r["p_value"] * 50, round(r["p_value"] * 50), abs_tol=1e-6) for r in p.values())
+    d = spark.createDataFrame([("m", g, float(i % 40) + 2.4 * (g == "h")) for g in "gh" for i in range(320)] + [("m", "h", None)], "metric string, grp string, value double")
+    one = stats.permutation(d, "g", "h").first()
+    assert 0 < one["p_value"] < 0.02 and stats.permutation(d.repartition(7), "g", "h").first()["p_value"] == one["p_value"]
+    assert stats.permutation(d.where("false"), "g", "h").count() == 0
+
+
 def test_merge_and_positions(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "subject string, v int")
     got = align.merge_external(a, {"sleep": spark.createDataFrame([("x", 7)], "subject string, v int"), "none": spark.createDataFrame([(1,)], "k int")})
