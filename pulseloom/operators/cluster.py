@@ -27,7 +27,7 @@ def _vector(df: DataFrame, kept: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"z_{f}" for f in kept], outputCol="features").transform(df)
 
 
-def kmeans(df: DataFrame, kept: Sequence[str], k: int, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def kmeans(df: DataFrame, kept: Sequence[str], k: int, seeds: Sequence[int] = range(1, 11)) -> DataFrame:
     """cluster of the best of several seeds by inertia."""
     v = _vector(df, kept).cache()
     models = [KMeans(k=k, seed=s, maxIter=50).fit(v) for s in seeds]
@@ -63,15 +63,17 @@ def validate(df: DataFrame, kept: Sequence[str]) -> DataFrame:
     return ch.select("k", (F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("total") - F.col("k")))).alias("calinski_harabasz"), F.col("w").alias("inertia")).join(db)
 
 
-def choose_k(df: DataFrame, kept: Sequence[str], ks: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """k, silhouette, calinski_harabasz, davies_bouldin, inertia and votes for each k."""
-    spark, rows = df.sparkSession, []
-    for k in ks:
-        got = kmeans(df, kept, k, seeds=(1,))
+def choose_k(df: DataFrame, kept: Sequence[str], ks: Sequence[int] = range(2, 11), seeds: Sequence[int] = range(1, 11)) -> DataFrame:
+    """k, silhouette, calinski_harabasz, davies_bouldin, inertia and votes for each k; the elbow, the greatest second difference of inertia, votes too."""
+    spark, rows, n = df.sparkSession, [], df.count()
+    for k in (k for k in ks if k < n):
+        got = kmeans(df, kept, k, seeds)
         sil = ClusteringEvaluator(predictionCol="cluster").evaluate(_vector(got, kept))
         v = validate(got, kept).first()
         rows.append((k, float(sil), float(v["calinski_harabasz"]), float(v["davies_bouldin"]), float(v["inertia"])))
     best = [max(rows, key=lambda r: r[1])[0], max(rows, key=lambda r: r[2])[0], min(rows, key=lambda r: r[3])[0]]
+    bends = [(a[4] - 2 * b[4] + c[4], b[0]) for a, b, c in zip(rows, rows[1:], rows[2:], strict=False)]
+    best.append(max(bends)[1] if bends else best[0])
     return spark.createDataFrame([(*r, best.count(r[0])) for r in rows], "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, votes int")
 
 

@@ -180,6 +180,16 @@ def test_resampling_queries_have_the_references_repetitions(spark):
     assert stats.permutation(d.where("false"), "g", "h").count() == 0
 
 
+def test_choose_k_finds_six_clusters(spark):
+    rng = np.random.default_rng(2)
+    at = [(20 * math.cos(a), 20 * math.sin(a)) for a in np.arange(6) * math.pi / 3]
+    d = spark.createDataFrame([(float(x + rng.normal()), float(y + rng.normal())) for x, y in at for _ in range(20)], "x double, y double").coalesce(1)
+    p, kept = cluster.prepare(d, ["x", "y"])
+    got = cluster.choose_k(p, kept).collect()
+    assert [r["k"] for r in got] == list(range(2, 11)) and sum(r["votes"] for r in got) == 4
+    assert max(got, key=lambda r: r["votes"])["k"] == 6
+
+
 def test_merge_and_positions(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "subject string, v int")
     got = align.merge_external(a, {"sleep": spark.createDataFrame([("x", 7)], "subject string, v int"), "none": spark.createDataFrame([(1,)], "k int")})
