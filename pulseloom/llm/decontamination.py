@@ -1,16 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Test items and documents are compared as sequences of normalised words. An item of m words may differ from a passage by
-k = m x ERROR edits of words; it is cut into k + 1 pieces, and whatever k edits do, one piece stays whole. Exact hits of
+k = m x ERROR edits of words, rounded down; it is cut into k + 1 pieces, and whatever k edits do, one piece stays whole. Exact hits of
 pieces, found by hashes of all word runs of the pieces' lengths, give the windows of a document in which Myers' bit-parallel
 distance, with words as symbols, decides whether the item comes within k edits.
 
 Documents are scanned in one pass of Arrow batches and never shuffled. The items are sent to the executors in blocks of at most
-BLOCK_WORDS words; a larger benchmark takes a pass per block, and nothing is dropped.
+BLOCK_CHARS characters; a larger benchmark takes a pass per block, and nothing is dropped. Scripts that are written without spaces go by
+the character.
 
-Defined results: a null or empty text holds nothing; an item of fewer than LEAST_WORDS words says nothing and is found
-nowhere; items of the same words are found each by itself; a null id stays null; an empty benchmark or table gives no
-matches. `without_leaks` keeps the documents' own columns, whatever their names.
+Defined results: a null or empty text holds nothing; an item of fewer than 1 / ERROR words has no budget and is found word for
+word, one without words nowhere; items of the same words are found each by itself; a null id stays null; an empty benchmark or
+table gives no matches. Of all places of an item the one of least distance is told, the first to end in a tie, and of that the shortest. `without_leaks` keeps the documents' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import documents, words
+from pulseloom.llm.common import documents
 
 ERROR = 0.2
-LEAST_WORDS = 5
-BLOCK_WORDS = 1_000_000
-_WORD = re.compile(r"\w+")
+BLOCK_CHARS = 6_000_000
+#: Thai to Khmer, kana, Han and half-width forms are words of one character each.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -58,7 +60,7 @@ class Items:
         self.items, pieces = {}, defaultdict(lambda: defaultdict(list))
         for number, (item_id, text) in enumerate(rows):
             w = normal_words(text)
-            if len(w) < LEAST_WORDS:
+            if not w:
                 continue
             budget = math.floor(len(w) * error)
             each = word_hashes(w)
@@ -92,7 +94,9 @@ class Items:
                 if distance <= budget and (best is None or distance < best[0]):
                     best = (distance, lo + end)
             if best:
-                out.append((item_id, best[0], len(w), max(0, best[1] - len(w)), best[1]))
+                distance, end = best
+                reach = each[max(0, end - len(w) - budget) : end].tolist()
+                out.append((item_id, distance, len(w), end - myers(w[::-1], reach[::-1], anchored=True)[1], end))
         return out
 
 
@@ -106,8 +110,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def myers(pattern: list, text: list) -> tuple[int, int]:
-    """The least edit distance of the pattern to any part of the text, and where the first such part ends."""
+def myers(pattern: list, text: list, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of the pattern to any part of the text (any that begins where the text does), and where the first such part ends."""
     m = len(pattern)
     where: dict = defaultdict(int)
     for k, symbol in enumerate(pattern):
@@ -121,18 +125,18 @@ def myers(pattern: list, text: list) -> tuple[int, int]:
         horizontal = ((((eq & up) + up) ^ up) | eq) & all_
         more, less = (down | ~(horizontal | up)) & all_, up & horizontal
         score += bool(more & top) - bool(less & top)
-        more, less = (more << 1) & all_, (less << 1) & all_
+        more, less = (more << 1 | anchored) & all_, (less << 1) & all_
         up, down = (less | ~(vertical | more)) & all_, more & vertical
         if score < best[0]:
             best = (score, at)
     return best
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items in blocks of about so many words, each small enough for the driver and every executor."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).alias("n"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    count = max(1, math.ceil(total / block_words))
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[Items]:
+    """The items in blocks of about so many characters, each small enough for the driver and every executor."""
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    count = max(1, math.ceil(total / block_chars))
     for k in range(count):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
         yield Items([(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()])

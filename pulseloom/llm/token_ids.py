@@ -2,7 +2,7 @@
 
 Texts are encoded with the tokenizers library, an end id is appended, and the ids of each document are compressed by
 themselves with one zstandard dictionary, trained on the serialised ids of a bounded sample. Documents are range-sorted by
-id; every SEGMENT documents become one file image: a header with the dictionary's hash, an index of (id, offset, ids), and
+id (where ids repeat or are null, by the text's first characters too), into as many ranges as their bytes need; every SEGMENT documents become one file image: a header with the dictionary's hash, an index of (id, offset, ids), and
 the frames. File images are the `payload` of Parquet rows in the given folder, so they are written by Spark's committers to
 any store that Spark writes, survive lost executors, and one short document is read by its segment's row and its own frame.
 
@@ -10,7 +10,7 @@ any store that Spark writes, survive lost executors, and one short document is r
 
 Encoding goes by the pieces between single spaces, with a bounded cache of their ids: this tokenizer's own cut never
 joins what such a space parts, and a test holds it against whole texts. A text with white space other than space, tab and
-line ends is encoded as a whole. Strings of special tokens in a text are ordinary text.
+line ends is encoded as a whole, and so is one with the string of a token that the tokenizer's file adds: it gets that token's id.
 
 Defined results: a null or empty text has the end id alone; null ids come first; ties in the id go by the text; repeated
 rows are documents of their own; an empty table gives none. The dictionary is empty where there is nothing to train on.
@@ -40,8 +40,9 @@ from pulseloom.llm.common import documents, shared_dir
 END = 0
 SEGMENT = 256
 SEGMENT_IDS = 1 << 20
-SAMPLE_ROWS = 1000  # documents that the dictionary is trained on
-SAMPLE_IDS = 8192  # and at most so many ids of each
+SAMPLE_ROWS = 1000  # documents that the dictionary is trained on, about so many
+SAMPLE_BYTES = 32 << 10  # and of at most so many bytes, as it is for short documents
+RANGE_BYTES = 256 << 20
 DICTIONARY = 64 << 10
 CACHED = 1_500_000
 MAGIC = b"PLT1"
@@ -64,8 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: one character each in a byte-level vocabulary
         for token, k in vocabulary.items():
@@ -96,9 +97,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        return [x for at in range(0, len(texts), 64) for x in self._encode_few(texts[at : at + 64])]
+
+    def _encode_few(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()
-        cut = [None if t and _ODD.search(t) else _PIECES.findall(t or "") for t in texts]
+        whole = lambda t: _ODD.search(t) or any(x in t for x in self.added)
+        cut = [None if t and whole(t) else _PIECES.findall(t or "") for t in texts]
         found = [None if pieces is None else list(map(self.known.get, pieces)) for pieces in cut]
         gaps = [() if ids is None else [k for k, x in enumerate(ids) if x is None] for ids in found]
         self._learn(list({pieces[k] for pieces, at in zip(cut, gaps, strict=True) for k in at}))
@@ -163,26 +168,25 @@ def unpack(payload: bytes, dictionary: bytes, only: int | None = None) -> Iterat
         yield None if none else doc_id, ids
 
 
-def fit_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """Trained on SAMPLE_ROWS documents, those with the least hashes of id and text; encoded by the executors."""
+def fit_dictionary(docs: DataFrame, n_rows: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """Trained on about SAMPLE_ROWS of the n_rows documents, chosen by a hash of id and text, of at most SAMPLE_BYTES bytes; encoded whole by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for batch in batches:
-            rows = [narrow(x[: 4 * SAMPLE_IDS])[1] for x in encoder.encode(batch.column(0).to_pylist())]
+            rows = [narrow(x)[1] for x in encoder.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
-    part = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
-    # The sample by its hashes first, so that texts outside it never move.
-    last = part.select("k").orderBy("k").limit(SAMPLE_ROWS).agg(F.max("k")).first()[0]
-    chosen = part.where(F.col("k") <= F.lit(last)).select("text") if last is not None else part.select("text").limit(0)
-    return train_dictionary(sorted(r["ids"] for r in chosen.mapInArrow(run, "ids binary").limit(2 * SAMPLE_ROWS).collect()))
+    share = min(1.0, SAMPLE_ROWS / max(1, n_rows))
+    chosen = docs.where((F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES))
+    return train_dictionary(sorted(r["ids"] for r in chosen.select(text_col).mapInArrow(run, "ids binary").limit(2 * SAMPLE_ROWS).collect()))
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> bytes:
     """Writes docs as file images into folder, in ascending order of id, and returns the dictionary, which folder/dictionary holds too."""
     path, spark = path or tokenizer_path(), docs.sparkSession
-    dictionary = fit_dictionary(docs, path, id_col, text_col)
+    whole = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    dictionary = fit_dictionary(docs, whole["n"], path, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, ids_held, seq, before, part = worker_encoder(path), [], 0, 0, 0, None
@@ -193,7 +197,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
+            for at in range(0, batch.num_rows, 64):  # few enough to hold their ids
                 rows = batch.slice(at, 64)
                 part = rows.column(2)[0].as_py()
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
@@ -206,9 +210,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
             yield image()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(whole["bytes"] or 0) // RANGE_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    # The first characters of a text are in the order of the texts: rows that share an id spread over ranges.
+    ranged = rows.repartitionByRange(count, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 24).asc_nulls_first()).sortWithinPartitions(*order)
     ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, FILE).write.parquet(f"{folder}/files")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     return dictionary

@@ -159,14 +159,58 @@ def test_decontamination(spark, docs, none):
     far = [w if i % 3 else "zz" for i, w in enumerate(item)]
     texts = [" ".join(words(30, 3) + item + words(9, 4)), "A, " + ", ".join(edited).upper() + "!", " ".join(far), " ".join(item[:6]), None, ""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (None, None)], "item_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (None, None), (9, "...")], "item_id long, text string")
     got = rows(decontamination.leaks(d, items), "doc_id", "item_id", "distance")
     assert got == [(0, 7, 0), (1, 7, 3)]
     assert rows(decontamination.without_leaks(d, items), "doc_id") == [(2,), (3,), (4,), (5,)]
     assert decontamination.without_leaks(docs, items).columns == docs.columns
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(d, items.limit(0)).count() == 0
-    small = list(decontamination.blocks(items, "item_id", "text", block_words=10))
-    assert sum(len(b.items) for b in small) == 1 and len(small) > 1
+    small = list(decontamination.blocks(items, "item_id", "text", block_chars=100))
+    assert sum(len(b.items) for b in small) == 2 and len(small) > 1
+
+
+def test_decontamination_against_a_table_for_every_item_and_document(spark):
+    """Sellers' table over all items and documents: least distance, first end, shortest start."""
+    import random
+
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(25)]
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 9, 10, 15, 20, 31)] + [["zz", "yy", "xx", "vv"]]
+
+    def edited(w):
+        out = []
+        for x in w:
+            out += rnd.choice(([x], [x], [x], [x], [x], [x], [], ["new"], [x, "more"]))
+        return out
+
+    texts = [[rnd.choice(vocabulary[5:]) for _ in range(rnd.randint(0, 30))] + edited(rnd.choice(items)) + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))] for _ in range(120)]
+    texts.append([*"abc", *items[-1], "end"])
+
+    def table(p, t):
+        cost, start = list(range(len(p) + 1)), [0] * (len(p) + 1)
+        best = (len(p) + 1, 0, 0)
+        for at, c in enumerate(t, 1):
+            now, first = [0], [at]
+            for i, x in enumerate(p, 1):
+                choices = [(cost[i - 1] + (x != c), -start[i - 1]), (cost[i] + 1, -start[i]), (now[i - 1] + 1, -first[i - 1])]
+                least = min(choices)
+                now.append(least[0])
+                first.append(-least[1])
+            cost, start = now, first
+            if cost[-1] < best[0]:
+                best = (cost[-1], start[-1], at)
+        return best
+
+    want = [(d, k, *best[:1], *best[1:]) for d, t in enumerate(texts) for k, p in enumerate(items) for best in [table(p, t)] if best[0] <= len(p) // 5]
+    docs_ = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = rows(decontamination.leaks(docs_, spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(items)], "item_id long, text string")), "doc_id", "item_id", "distance", "start_word", "end_word")
+    assert got == sorted(want) and len(want) > 100 and (120, len(items) - 1, 0, 3, 7) in got
+
+
+def test_decontamination_of_a_script_without_spaces(spark):
+    d = spark.createDataFrame([(1, "前言：今天天气很好我们去公园吧。后记"), (2, "今天下雨"), (3, "ABC, now")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "今天天气很好我们去海边吧"), (6, "abc")], "item_id long, text string")
+    assert rows(decontamination.leaks(d, items), "doc_id", "item_id", "distance", "n_words", "start_word", "end_word") == [(1, 5, 2, 12, 2, 14), (3, 6, 0, 1, 0, 1)]
 
 
 def test_myers_against_a_table():
@@ -377,11 +421,11 @@ def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_ids.tokenizer_path())
-    t.encode_special_tokens = True
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     more = spark.createDataFrame([(100, "it's we'll  two  spaces\n\n end   nbsp em <|endoftext|> x", *[None] * 12), (101, "\tTab start ’quote’ 12a3 — dash ", *[None] * 12)], SCHEMA)
     d = docs.union(more)
     folder = str(tmp_path / "tokens")
-    token_ids.write(d, folder, partitions=3)
+    token_ids.write(d, folder, partitions=7)
     got = sorted(token_ids.read(spark, folder).collect(), key=lambda r: r["start"])
     want, at = [], 0
     import numpy as np
