@@ -5,8 +5,9 @@ from labelled samples, and `train` takes any labelled strings. Here what three e
 long hexadecimal runs) find is random. Ordinary is, in equal parts, the labelled list of `identifiers` and the words and
 identifiers of the documents outside those finds; long tokens there that don't look like words count for neither. Only
 transitions inside tokens count. The threshold per character is such that 1 of 200 identifiers of held-out words reaches
-it. Tokens of 20 characters and more whose log-likelihood ratio favours the random model clearly, in all and per character,
-become `random` spans beside those of the patterns, which always stay.
+it, set for short, middle and long tokens apart, as a short one's ratio varies more. Tokens of SHORTEST characters and more whose
+log-likelihood ratio favours the random model clearly, in all and per character, become `random` spans beside those of the
+patterns, which always stay.
 
 Training sums transition counts per partition, two tables of 66 x 66 cells at any input size, over all documents. Texts are
 read whole, twice, and never shuffled. Half of the random model is uniform, so alphabets that no sample had count too.
@@ -34,7 +35,9 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 12
+BANDS = (SHORTEST, 16, 20)  # lengths from which a threshold of its own holds
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Words of two letters and more, joined by signs or humps, with at most a few digits at the end of each.
 _WORDLIKE = re.compile(r"[+/_=-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+[a-z]*+)(?:[0-9]{1,4}+(?![A-Za-z]))?[+/_=-]*+)++")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -73,7 +76,7 @@ def secret_strings(text: str, base: list[tuple[int, int, int]]) -> list[str]:
 def ordinary_parts(text: str, base: list[tuple[int, int, int]]) -> list[str]:
     """What is left of a text without its base spans and without long tokens that don't look like words."""
     cuts = [(s, e) for s, _, e in base]
-    if longest(text) >= 20:
+    if longest(text) >= SHORTEST:
         cuts = sorted(cuts + [m.span() for m in _TOKEN.finditer(text) if not _WORDLIKE.fullmatch(m[0])])
     out, at = [], 0
     for start, end in cuts:
@@ -109,7 +112,7 @@ class Models:
             known, listed = ordinary.sum(1, keepdims=True) > 0, _usual(listed.reshape(SIZE, SIZE).astype(float))
             usual = np.where(known, 0.5 * usual + 0.5 * listed, listed)
         self.ratio = np.log(0.5 * learnt + 0.5 * inner) - np.log(usual)
-        self.least = LEAST_PER_CHARACTER
+        self.least = dict.fromkeys(BANDS, LEAST_PER_CHARACTER)
 
     def llr(self, token: str) -> float:
         """The log-likelihood ratio of a token's inner transitions."""
@@ -118,14 +121,21 @@ class Models:
 
     def is_random(self, token: str) -> bool:
         ratio = self.llr(token)
-        return ratio >= LEAST_RATIO and ratio >= self.least * len(token) and not token.isdigit()
+        return ratio >= LEAST_RATIO and ratio >= self.least[band(token)] * len(token) and not token.isdigit()
 
     def held_against(self, ordinary: list[str]) -> Models:
-        """Raises the threshold per character until HELD_OUT_ABOVE of the ordinary strings reach it."""
-        self.least = max(self.least, float(np.quantile([self.llr(x) / len(x) for x in ordinary], 1 - HELD_OUT_ABOVE)))
+        """Raises each band's threshold per character until HELD_OUT_ABOVE of the ordinary strings of its lengths reach it."""
+        for low in BANDS:
+            own = [self.llr(x) / len(x) for x in ordinary if band(x) == low]
+            if own:
+                self.least[low] = max(self.least[low], float(np.quantile(own, 1 - HELD_OUT_ABOVE)))
         return self
 
 
+def band(token: str) -> int:
+    return max((low for low in BANDS if low <= len(token)), default=SHORTEST)
+
+
 def _counted(rows: DataFrame, run) -> np.ndarray:
     sums = np.zeros((2, SIZE * SIZE), np.int64)
     for r in rows.mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():  # 2 x SIZE x SIZE rows at most
@@ -168,14 +178,14 @@ def train_on_documents(docs: DataFrame, text_col: str = "text") -> Models:
         yield _cells(sums)
 
     ordinary, random = _counted(docs.select(text_col), run)
-    return Models(random, ordinary, transitions(identifiers.trained())).held_against(identifiers.held_out(20))
+    return Models(random, ordinary, transitions(identifiers.trained())).held_against(identifiers.held_out(SHORTEST))
 
 
 def spans(text: str, models: Models) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans of a text, and these with the random ones that touch none of them."""
     base = base_spans(text)
     more = []
-    if longest(text) >= 20:
+    if longest(text) >= SHORTEST:
         for m in _TOKEN.finditer(text):
             if all(e <= m.start() or m.end() <= s for s, _, e in base) and models.is_random(m[0]):
                 more.append((m.start(), 3, m.end()))
@@ -186,7 +196,7 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-SCAN = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+SCAN = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, n_spans long, base_sha256 string, spans string"
 
 
 def scan(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +208,8 @@ def scan(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 base, found = spans(text.as_py() or "", models)
                 kinds = [k for _, k, _ in found]
-                rows.append((doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-            kinds = [*[pa.int64()] * 5, pa.string(), pa.string()]
+                rows.append((doc_id, *(kinds.count(k) for k in range(4)), len(kinds), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
+            kinds = [*[pa.int64()] * 6, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in SCAN.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCAN)

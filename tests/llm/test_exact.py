@@ -287,6 +287,88 @@ def test_pii(docs, none):
     assert pii.find(none).count() == 0
 
 
+GOOD = {
+    "local_phone": "Call me at {}.|My phone: {} (mobile)|You can reach us under {} today|tel. {}|Fax {}, room 2",
+    "social": "Her SSN is {}.|social security {}|SSN: {}",
+    "iban": "Please pay to {}.|IBAN {}|my account is {} at the bank|Konto: {}",
+    "spelled_email": "Write to {}.|my mail is {}, thanks|contact {} soon",
+    "name": "My name is {}.|Dear {},|Signed, {}|we met {} yesterday|the patient {} was seen",
+    "street": "She lives at {}.|ship it to {}, please|My address: {}|Sie wohnt in der {}.",
+    "birth": "born on {} in town|date of birth: {}|DOB {}|geboren am {}",
+}
+BAD = {
+    "local_phone": "order {} was late|serial {} is void|part {} of the set|item {}|invoice {} is open|model {} in stock",
+    "social": "serial {}|part {} fits|order {}|item no. {}",
+    "iban": "the code {} failed|part {}|serial {}",
+    "birth": "released on {}|version {}|published {} again|the meeting of {}",
+    "name": "we saw {} University|visit {} Street|the {} Award|the {} Museum",
+}
+
+
+def personal_data(seed):
+    """Labelled texts: (text, kind of a personal span in it or None, start, end)."""
+    import random
+
+    rnd = random.Random(seed)
+    two, pick = lambda k: "".join(rnd.choice("0123456789") for _ in range(k)), rnd.choice
+
+    def iban(wrong):
+        rest = "37040044" + two(10)
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + "DE00")) % 97
+        return f"DE{(check + wrong * 5) % 97:02d}" + "".join(" " * (k % 4 == 0) + c for k, c in enumerate(rest))
+
+    def made(kind, bad):
+        if kind == "local_phone":
+            return f"{pick('23456789')}{two(2)}{pick('-. ')}{two(3)}-{two(4)}"
+        if kind == "social":
+            return f"{pick('12345')}{two(2)}-{pick('123')}{pick('123456789')}-{pick('123')}{two(3)}"
+        if kind == "iban":
+            return iban(bad)
+        if kind == "spelled_email":
+            return f"{pick(('jo', 'ann', 'k.lee'))}{two(2)}{pick((' at ', ' (at) ', '[at]'))}mail{two(1)}{pick((' dot ', ' [dot] ', '(dot)'))}{pick(('com', 'org', 'de'))}"
+        if kind == "name":
+            return f"{pick(pii.GIVEN.split('|'))} {pick(('Smith', 'Müller', 'García', 'Okafor', 'Leroy', 'Kowalski'))}" if not bad else pick(("Martin", "John", "Paul", "Elizabeth"))
+        if kind == "street":
+            return pick((f"{two(2)} Main Street", f"{two(3)} North Oak Avenue", f"Lindenstraße {two(2)}", f"{two(2)} rue de Rivoli"))
+        return pick((f"19{two(2)}-0{pick('123456789')}-1{two(1)}", f"1{two(1)}.0{pick('123456789')}.19{two(2)}"))
+
+    out = []
+    for table, bad in ((GOOD, False), (BAD, True)):
+        for kind, templates in table.items():
+            for t in templates.split("|"):
+                for _ in range(12):
+                    hit = made(kind, bad)
+                    at = t.index("{}")
+                    out.append((f"Well, {t.replace('{}', hit)}", None if bad else kind, at + 6, at + 6 + len(hit)))
+    rnd.shuffle(out)
+    return out
+
+
+def test_pii_finds_what_is_labelled(spark):
+    """The classifier sees no label. Recall and false finds over all kinds and per kind."""
+    made = personal_data(3)
+    plain = [f"{x} and then {y} 12 times" for x, y in zip(words(300, 5), words(300, 6), strict=True)]
+    d = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(made)] + [(10_000 + k, t) for k, t in enumerate(plain)], "doc_id long, text string")
+    got = {r["doc_id"]: {(x["kind"], x["start"], x["end"]) for x in r["spans"]} for r in pii.find(d).select("doc_id", "spans").collect()}
+    hits, false = defaultdict(list), defaultdict(list)
+    for k, (text, kind, start, end) in enumerate(made):
+        if kind:
+            hits[kind].append(any(x == kind and s <= start + 1 and e >= end - 1 for x, s, e in got[k]))
+        else:
+            false[text[:40]].append(bool(got[k]))
+    share = lambda table: sum(map(sum, table.values())) / sum(map(len, table.values()))
+    assert all(sum(v) >= 0.9 * len(v) for v in hits.values()), {k: sum(v) / len(v) for k, v in hits.items()}
+    assert share(hits) >= 0.95 and share(false) <= 0.02, [k for k, v in false.items() if any(v)]
+    assert not any(got[10_000 + k] for k in range(len(plain)))
+
+
+def test_pii_of_many_matches_keeps_its_places(spark):
+    text = "x 10.0.0.1, " * 1000 + "é😀 mail a@b.com"
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["base"]
+    assert [(x["start"], x["end"]) for x in got if x["kind"] == "ip"] == [(12 * k + 2, 12 * k + 10) for k in range(1000)]
+    assert [(x["start"], x["end"]) for x in got if x["kind"] == "email"] == [(12008, 12015)]
+
+
 def test_pii_reliabilities_find_the_good_labeler():
     counts = [((1, 1, 0, 0), 90.0), ((-1, -1, 0, 0), 90.0), ((1, -1, 0, 0), 5.0), ((-1, 1, 0, 0), 5.0)]
     p = pii.reliabilities(counts)
