@@ -1,12 +1,13 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; those that speak of licensing are normalised (case, punctuation, opening phrases) and
-looked up among known licence sentences, which gives each document a sequence of sentence identifiers; `unknown` marks a
-licensing sentence that isn't known. Ordered licence rules then match the sequence, the more specific first; what a rule
-has matched is taken out before the next is tried. One scan of built-in expressions, no shuffle.
+A text is cut into sentences, over line ends and behind comment leaders; those that may speak of licensing are normalised
+(case, punctuation, opening phrases, defined terms) and looked up among known licence sentences, which gives each document a
+sequence of sentence identifiers, those of SPDX lines first; `unknown` marks a licensing sentence that isn't known. Ordered
+licence rules then match the sequence, the more specific first; what a rule has matched is taken out before the next is tried.
+One scan of built-in expressions, no shuffle.
 
-`scan` is what its SQL says: it looks only at sentences that hold a word of SPEAKS. `scan_texts` finds every known sentence,
-also over line ends and behind comment leaders, and is the one for whole licence texts.
+`scan` is the operator; `scan_lines` is its simpler form, in which every line end ends a sentence and only sentences with a
+word of SPEAKS are looked up.
 
 Defined results: a null or empty text has no sentences and no licences (empty strings, zeros); a repeated sentence is
 counted each time, its licence is named once; repeated rows give repeated results; an empty table gives none; other
@@ -103,24 +104,41 @@ RULES = (
 )
 
 
-SENTENCE_END = r"(?<=[.!?])\s+|\n[^\p{L}\p{N}]*\n"
+SENTENCE_END = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[^\p{L}\p{N}]*\n"
+CLAUSE_END = r"(?<=[;:])[\x20\x09\n]+"
 DEFINED = r"(?i)\((?:[^\p{L}\p{N}()]*the)?[^\p{L}\p{N}()]*license[^\p{L}\p{N}()]*\)"
-#: The address that the Apache header has in a paragraph of its own.
-AT_ADDRESS = r"(?i)(copy\W+of\W+the\W+license\W+at):?[^\p{L}\p{N}]+(?=https?://)"
+SPDX = r"(?i)SPDX-License-Identifier:[\x20\x09]*([^\n]*)"
+#: Done to the whole text first: line ends, leaders that are words, "v. 2", and the address that the Apache header has in a paragraph of its own.
+PREPARE = (
+    (r"\r\n?", "\n"),
+    (r"(?im)^[\x20\x09]*(?:dnl|rem)\b", ""),
+    (r"(?i)\bv\.[\x20\x09-\x0D]+([0-9])", "v $1"),
+    (r"(?i)(copy\W+of\W+the\W+license\W+at):?[^\p{L}\p{N}]+(https?://)", "$1 $2"),
+)
 # What the canonical texts say besides, as they say it.
-TEXT_SENTENCES = SENTENCES | {
+TEXT_SENTENCES = {k: v for k, v in SENTENCES.items() if "www." not in k} | {
     "under apache license version 2.0 the license": "apache2",
     "you may obtain a copy of the license at http wwwapacheorg licenses license 2.0": "apache_copy",
     "see the license for the specific language governing permissions and limitations under the license": "apache_see",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "no_event",
     "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "no_event",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "no_event",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_as_is",
     "you should have received a copy of the gnu general public license along with this program": "gpl_copy",
     "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_as_is",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3plus",
 }
-TEXT_RULES = tuple(
-    (name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES
+TEXT_RULES = (
+    *((name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?(?: no_event)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES),
+    ("ISC", "isc"),
+    ("LGPL-2.1-or-later", "lgpl21plus"),
+    ("LGPL-3.0-or-later", "lgpl3plus"),
+    ("AGPL-3.0-or-later", "agpl3plus"),
 )
+#: SPDX names in lower case, from the rules of one identifier, and the older short ones.
+NAMES = {name.lower(): rule for name, rule in TEXT_RULES if rule.isidentifier()} | {"gpl-2.0": "gpl2", "gpl-2.0+": "gpl2plus", "gpl-3.0": "gpl3", "gpl-3.0+": "gpl3plus", "lgpl-2.1": "lgpl21", "lgpl-2.1+": "lgpl21plus", "lgpl-3.0": "lgpl3", "lgpl-3.0+": "lgpl3plus", "agpl-3.0": "agpl3"}
 
 
 def normalise(sentence: Column) -> Column:
@@ -130,16 +148,29 @@ def normalise(sentence: Column) -> Column:
     return F.regexp_replace(s, OPENING, "under ")
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the licensing sentences of a text, in order."""
+def line_ids(text: Column) -> Column:
+    """Identifiers of the licensing sentences of a text, in order; every line end ends a sentence."""
     cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09]+", "$1\n"), r"[\r\n]+", -1)
     said = F.filter(cut, lambda x: x.rlike(SPEAKS))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     return F.transform(said, lambda x: F.coalesce(F.try_element_at(known, normalise(x)), F.lit("unknown")))
 
 
-def text_ids(text: Column) -> Column:
-    """Identifiers of the known and of the other licensing sentences of a text, in order.
+def prepared(text: Column) -> Column:
+    for pattern, by in PREPARE:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def spdx_ids(whole: Column) -> Column:
+    """Identifiers of the licences that SPDX lines name; a line that names none of the known is unknown."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    said = lambda line: F.array_compact(F.transform(F.split(F.lower(line), "[^a-z0-9.+-]+", -1), lambda x: F.try_element_at(names, x)))
+    return F.flatten(F.transform(F.regexp_extract_all(whole, F.lit(SPDX), F.lit(1)), lambda line: F.when(F.size(said(line)) > 0, said(line)).otherwise(F.array(F.lit("unknown")))))
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known and of the other licensing sentences of a text, SPDX lines first, the others in order.
 
     A sentence goes on over line ends; it ends with a full stop before a space or at a line without letters and digits. One that
     isn't known is looked up by its clauses, and a clause that isn't by its lines; what is left unknown counts if it speaks of licensing.
@@ -158,20 +189,20 @@ def text_ids(text: Column) -> Column:
 
         return F.flatten(F.transform(looked(xs), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(parts(x))))
 
-    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?im)^[\x20\x09]*(?:dnl|rem)\b", ""), AT_ADDRESS, "$1 ")
-    return ids(F.split(whole, SENTENCE_END, -1), r"(?<=[;:])[\x20\x09\n]+", r"\n")
+    whole = prepared(text)
+    return F.concat(spdx_ids(whole), ids(F.split(F.regexp_replace(whole, SPDX, "\n\n"), SENTENCE_END, -1), CLAUSE_END, r"\n"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentence_ids, licenses, n_known, n_unknown for every document."""
     text = F.col(text_col)
-    return _matched(docs.select(F.col(id_col), F.when(text.rlike(SPEAKS), sentence_ids(text)).alias("ids")), id_col, RULES)
+    return _matched(docs.select(F.col(id_col), F.when(text.rlike(MAY_SPEAK), sentence_ids(text)).alias("ids")), id_col, TEXT_RULES)
 
 
-def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As scan, with every known sentence found, wherever its lines break and whether or not it holds a word of SPEAKS."""
+def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As scan, by lines and for sentences with a word of SPEAKS alone."""
     text = F.col(text_col)
-    return _matched(docs.select(F.col(id_col), F.when(text.rlike(MAY_SPEAK), text_ids(text)).alias("ids")), id_col, TEXT_RULES)
+    return _matched(docs.select(F.col(id_col), F.when(text.rlike(SPEAKS), line_ids(text)).alias("ids")), id_col, RULES)
 
 
 def _matched(d: DataFrame, id_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -191,34 +222,95 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
-def op8_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_texts(documents(spark, sf_dir))
+def op8_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_lines(documents(spark, sf_dir))
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def oracle() -> str:
-    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
-    left, steps = "sequence", []
-    parts = ["SELECT *, sequence AS s0 FROM q"]
-    for k, (name, rule) in enumerate(RULES):
+def _replaced(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
+
+
+def _normalised(x: str) -> str:
+    x = f"trim({_replaced(_replaced(f'lower({x})', r'[^\p{L}\p{N}.+]+', ' '), r'\.([^0-9])', '$1')})"
+    return f"regexp_replace(regexp_replace({x}, '\\.$', ''), {_quoted(OPENING)}, 'under ')"
+
+
+def _rules_sql(rules: Sequence[tuple[str, str]], ctes: str) -> str:
+    """The licences from CTEs that end in q (doc_id, sentence_ids, sequence, n_known, n_unknown)."""
+    steps, part = [], "SELECT *, sequence AS s0 FROM q"
+    for k, (name, rule) in enumerate(rules):
         steps.append(f"CASE WHEN regexp_matches(s{k}, {_quoted(f' {rule} ')}) THEN {_quoted(name)} END")
         # RE2 has no lookahead: every space is doubled first, so that neighbours don't share one
-        parts.append(f"SELECT *, replace(regexp_replace(replace(s{k}, ' ', '  '), {_quoted(' ' + rule.replace(' ', '  ') + ' ')}, ' taken ', 'g'), '  ', ' ') AS s{k + 1} FROM ({parts[-1]})")
-    del left
-    return rf"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
-s AS (SELECT r, unnest(string_split_regex(regexp_replace(text, '([.!?;:])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+')) AS x, generate_subscripts(string_split_regex(regexp_replace(text, '([.!?;:])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+'), 1) AS i FROM d),
-n AS (SELECT r, i, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}.+]+', ' ', 'g'), '\.([^0-9])', '\1', 'g'), '\.$', '')), {_quoted(OPENING)}, 'under ') AS k FROM s WHERE regexp_matches(x, {_quoted(SPEAKS)})),
-known(k, sid) AS (VALUES {known}),
-a AS (SELECT r, string_agg(coalesce(sid, 'unknown'), ' ' ORDER BY i) AS ids, count(sid) AS n_known, count(*) - count(sid) AS n_unknown FROM n LEFT JOIN known USING (k) GROUP BY r),
-q AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, ' ' || coalesce(ids, '') || ' ' AS sequence, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown FROM d LEFT JOIN a USING (r)),
-z AS ({parts[-1]})
+        part = f"SELECT *, replace(regexp_replace(replace(s{k}, ' ', '  '), {_quoted(' ' + rule.replace(' ', '  ') + ' ')}, ' taken ', 'g'), '  ', ' ') AS s{k + 1} FROM ({part})"
+    return f"""
+WITH {ctes},
+z AS ({part})
 SELECT doc_id, sentence_ids, array_to_string(list_filter([x FOR x, i IN l IF i = list_position(l, x)], lambda x: x IS NOT NULL), ',') AS licenses, n_known, n_unknown
 FROM (SELECT *, list_filter([{", ".join(steps)}], lambda x: x IS NOT NULL) AS l FROM z)
 """
 
 
+def _values(table: dict[str, str]) -> str:
+    return ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in table.items())
+
+
+def lines_oracle() -> str:
+    cut = r"string_split_regex(regexp_replace(text, '([.!?;:])[\x20\x09]+', '\1' || chr(10), 'g'), '[\r\n]+')"
+    ctes = f"""d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+s AS (SELECT r, unnest({cut}) AS x, generate_subscripts({cut}, 1) AS i FROM d),
+n AS (SELECT r, i, {_normalised("x")} AS k FROM s WHERE regexp_matches(x, {_quoted(SPEAKS)})),
+known(k, sid) AS (VALUES {_values(SENTENCES)}),
+a AS (SELECT r, string_agg(coalesce(sid, 'unknown'), ' ' ORDER BY i) AS ids, count(sid) AS n_known, count(*) - count(sid) AS n_unknown FROM n LEFT JOIN known USING (k) GROUP BY r),
+q AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, ' ' || coalesce(ids, '') || ' ' AS sequence, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown FROM d LEFT JOIN a USING (r))"""
+    return _rules_sql(RULES, ctes)
+
+
+def oracle() -> str:
+    whole = "text"
+    for pattern, by in PREPARE:
+        whole = _replaced(whole, pattern, by)
+    look = _normalised(_replaced(_replaced("x", DEFINED, " "), "(?i)https://", "http://"))
+    may, speaks = (f"regexp_matches(x, {_quoted(p)})" for p in (MAY_SPEAK, SPEAKS))
+    # RE2 has no lookbehind: the mark stays before a control character at which the text is cut.
+    cut = lambda x, pattern: f"string_split({_replaced(x, pattern, '$1' + chr(1))}, chr(1))"
+    sentences = cut(f"regexp_replace(t, {_quoted(SPDX)}, chr(10) || chr(10), 'g')", r"([.!?])[\x20\x09-\x0D]+|\n[^\p{L}\p{N}]*\n")
+    clauses = cut("x", r"([;:])[\x20\x09\n]+")
+
+    def level(n: int, keys: str, source: str, parts: str) -> str:
+        own = f"{keys}, k{n}"
+        return f"""c{n} AS (SELECT {keys}, unnest({parts}) AS x, generate_subscripts({parts}, 1) AS k{n} FROM {source}),
+l{n} AS (SELECT {own}, c.x, sid FROM (SELECT {own}, x, {look} AS k FROM c{n} WHERE {may}) c LEFT JOIN known USING (k))"""
+
+    def gathered(n: int, keys: str) -> str:
+        """What each sentence of level n comes to, from the lists of the next level."""
+        if n == 3:
+            return f"e3 AS (SELECT {keys}, k3, CASE WHEN sid IS NOT NULL THEN [sid] WHEN {speaks} THEN ['unknown'] ELSE [] END AS l FROM l3), g3 AS (SELECT {keys}, flatten(list(l ORDER BY k3)) AS l FROM e3 GROUP BY {keys})"
+        found = "len(list_filter(g.l, lambda i: i <> 'unknown')) > 0"
+        return f"""e{n} AS (SELECT {keys}, k{n}, CASE WHEN sid IS NOT NULL THEN [sid] WHEN {found} THEN g.l WHEN {speaks} THEN ['unknown'] ELSE [] END AS l FROM l{n} LEFT JOIN g{n + 1} g USING ({keys}, k{n})), g{n} AS (SELECT {keys}, flatten(list(l ORDER BY k{n})) AS l FROM e{n} GROUP BY {keys})"""
+
+    ctes = f"""d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+p AS (SELECT r, {whole} AS t FROM d WHERE regexp_matches(text, {_quoted(MAY_SPEAK)})),
+known(k, sid) AS (VALUES {_values(TEXT_SENTENCES)}),
+names(k, sid) AS (VALUES {_values(NAMES)}),
+sl AS (SELECT r, unnest(regexp_extract_all(t, {_quoted(SPDX)}, 1)) AS line, generate_subscripts(regexp_extract_all(t, {_quoted(SPDX)}, 1), 1) AS i FROM p),
+st AS (SELECT r, i, unnest(string_split_regex(lower(line), '[^a-z0-9.+-]+')) AS k, generate_subscripts(string_split_regex(lower(line), '[^a-z0-9.+-]+'), 1) AS j FROM sl),
+sg AS (SELECT r, i, coalesce(list(sid ORDER BY j) FILTER (sid IS NOT NULL), ['unknown']) AS l FROM st LEFT JOIN names USING (k) GROUP BY r, i),
+sx AS (SELECT r, flatten(list(l ORDER BY i)) AS l FROM sg GROUP BY r),
+{level(1, "r", "p", sentences)},
+{level(2, "r, k1", "(SELECT * FROM l1 WHERE sid IS NULL)", clauses)},
+{level(3, "r, k1, k2", "(SELECT * FROM l2 WHERE sid IS NULL)", "string_split(x, chr(10))")},
+{gathered(3, "r, k1, k2")},
+{gathered(2, "r, k1")},
+{gathered(1, "r")},
+a AS (SELECT r, list_concat(coalesce(sx.l, []), coalesce(g1.l, [])) AS l FROM p LEFT JOIN sx USING (r) LEFT JOIN g1 USING (r)),
+q AS (SELECT doc_id, coalesce(array_to_string(l, ' '), '') AS sentence_ids, ' ' || coalesce(array_to_string(l, ' '), '') || ' ' AS sequence, CAST(coalesce(len(list_filter(l, lambda i: i <> 'unknown')), 0) AS BIGINT) AS n_known,
+ CAST(coalesce(len(list_filter(l, lambda i: i = 'unknown')), 0) AS BIGINT) AS n_unknown FROM d LEFT JOIN a USING (r))"""
+    return _rules_sql(TEXT_RULES, ctes)
+
+
 OP8_SQL = oracle()
+OP8_LINES_SQL = lines_oracle()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pulseloom.llm.decontamination import op7_decontamination
 from pulseloom.llm.language_id import op3_language_id
-from pulseloom.llm.license_scan import OP8_SQL, op8_license_scan, op8_license_texts
+from pulseloom.llm.license_scan import OP8_LINES_SQL, OP8_SQL, op8_license_lines, op8_license_scan
 from pulseloom.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
 from pulseloom.llm.pii import op5_pii
 from pulseloom.llm.quality_rules import OP9_SQL, op9_quality_rules
@@ -22,8 +22,8 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_license_scan": op8_license_scan,
-    "op8_license_texts": op8_license_texts,
+    "op8_license_lines": op8_license_lines,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES = {"op6_minhash_dedup": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_source_mix": OP10_SQL}
+ORACLES = {"op6_minhash_dedup": OP6_SQL, "op8_license_scan": OP8_SQL, "op8_license_lines": OP8_LINES_SQL, "op9_quality_rules": OP9_SQL, "op10_source_mix": OP10_SQL}

@@ -376,25 +376,25 @@ def test_pii_reliabilities_find_the_good_labeler():
 
 
 def test_license(docs, none):
-    got = {r["doc_id"]: (r["licenses"], r["n_known"], r["n_unknown"]) for r in license_scan.scan(docs).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: (r["licenses"], r["n_known"], r["n_unknown"]) for r in license_scan.scan_lines(docs).collect() if r["doc_id"] is not None}
     assert got[27] == ("Apache-2.0", 1, 0) and got[28] == ("GPL-3.0-only", 1, 0) and got[29] == ("", 0, 1) and got[0] == ("", 0, 0)
-    assert license_scan.scan(none).count() == 0
+    assert license_scan.scan_lines(none).count() == 0
 
 
 def test_license_rules_are_ordered(spark):
     mit = "\n".join(x for x, k in license_scan.SENTENCES.items() if k in ("mit_grant", "mit_notice", "as_is"))
     bsd = "\n".join(x for x, k in license_scan.SENTENCES.items() if k in ("bsd_head", "bsd_source", "bsd_binary", "bsd_names"))
     d = spark.createDataFrame([(1, mit), (2, bsd), (3, bsd.rsplit("\n", 1)[0]), (4, "Released under the MIT License. Released under the MIT License.")], "doc_id long, text string")
-    assert rows(license_scan.scan(d), "doc_id", "licenses") == [(1, "MIT"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "MIT")]
+    assert rows(license_scan.scan_lines(d), "doc_id", "licenses") == [(1, "MIT"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "MIT")]
 
 
 def test_license_texts_find_sentences_without_a_word_of_licensing(spark, docs, none):
     lines = ["Foo. All rights reserved.", "Released under CC0 1.0.", "This dataset is available under CC BY-SA 4.0. Bye.", "He was released under bail.", "Our license is our own.", None]
     d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = rows(license_scan.scan_texts(d), "doc_id", "sentence_ids", "licenses", "n_unknown")
+    got = rows(license_scan.scan(d), "doc_id", "sentence_ids", "licenses", "n_unknown")
     assert got == [(0, "reserved", "", 0), (1, "cc0", "CC0-1.0", 0), (2, "cc_by_sa4", "CC-BY-SA-4.0", 0), (3, "", "", 0), (4, "unknown", "", 1), (5, "", "", 0)]
     assert all(re.search(license_scan.MAY_SPEAK, x if not x.startswith("under") else f"released {x}") for x in license_scan.SENTENCES)
-    assert license_scan.scan_texts(none).count() == 0 and license_scan.scan_texts(docs).count() == docs.count()
+    assert license_scan.scan(none).count() == 0 and license_scan.scan(docs).count() == docs.count()
 
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -435,10 +435,35 @@ def test_license_texts_over_line_ends(spark):
     odd = [("# Foo\nLicensed under the MIT License\nSee docs", "mit", "MIT", 0), ("Licence: Licensed under the MIT License.", "unknown mit", "MIT", 1), ("Our license\nis our own; and so is\nthis licence.", "unknown", "", 1), (MIT.upper().replace("GRANTED", "SOLD"), "unknown mit_notice as_is no_event", "", 1)]
     made += [(len(made) + k, x[0]) for k, x in enumerate(odd)]
     want += [(len(want) + k, *x[1:]) for k, x in enumerate(odd)]
-    got = rows(license_scan.scan_texts(spark.createDataFrame(made, "doc_id long, text string")), "doc_id", "sentence_ids", "licenses", "n_unknown")
+    got = rows(license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")), "doc_id", "sentence_ids", "licenses", "n_unknown")
     assert [(a, b) for a, b in zip(got, want, strict=True) if a != b] == []
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_licenses_of_whole_texts_and_spdx_lines(spark):
+    import textwrap
+
+    bsd2 = "\n\n".join(x for x in BSD.split("\n\n") if not x.startswith("3."))
+    gpl2 = GPL.replace("version 3", "version 2").replace("software:", "software;").replace("Foundation, either", "Foundation; either")
+    wanted = [(MPL, "MPL-2.0"), (ISC, "ISC"), (bsd2, "BSD-2-Clause"), (gpl2, "GPL-2.0-or-later"), (LGPL, "LGPL-2.1-or-later"), (f"Copyright (c) 2020 Jo\n\n{MIT}", "MIT")]
+    wanted = [("\n".join(lead + x for part in text.split("\n\n") for x in [*textwrap.wrap(part, 76, break_on_hyphens=False), ""]), name) for text, name in wanted for lead in ("", "// ", " * ")]
+    wanted += [("// SPDX-License-Identifier: MIT\nint main() {}", "MIT"), ("# SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-only", "Apache-2.0,GPL-2.0-only"), ("/* SPDX-License-Identifier: (BSD-3-Clause AND CC0-1.0) */", "BSD-3-Clause,CC0-1.0"), ("SPDX-License-Identifier: LicenseRef-mine", "")]
+    got = rows(license_scan.scan(spark.createDataFrame([(k, x) for k, (x, _) in enumerate(wanted)], "doc_id long, text string")), "doc_id", "licenses")
+    assert [(a, wanted[a[0]]) for a in got if a[1] != wanted[a[0]][1]] == []
+
+
+def test_every_known_sentence_is_reached(spark):
+    said = [(f"Well. This work is licensed {k}. Bye." if k.startswith("under") else f"Well. {k.capitalize()}. Bye.", v) for k, v in license_scan.TEXT_SENTENCES.items() if "wwwapacheorg" not in k]
+    got = rows(license_scan.scan(spark.createDataFrame([(k, x) for k, (x, _) in enumerate(said)], "doc_id long, text string")), "doc_id", "sentence_ids")
+    assert [(a, said[a[0]]) for a in got if a[1] != said[a[0]][1]] == []
+
+
 def test_secrets(docs, none):
     models = secret_scan.train_on_documents(docs)
     got = {(r["doc_id"], r["base_sha256"], r["spans"]) for r in secret_scan.scan(docs, models).collect()}
@@ -464,6 +489,27 @@ def test_secret_models_on_held_out_strings(spark):
     assert sum(map(models.is_random, noise[200:])) >= 190 and sum(map(models.is_random, plain[200:])) <= 4
 
 
+def test_short_secrets_on_held_out_strings(spark, docs):
+    """Recall over random strings of 12 characters and more, false finds over identifiers of words that trained nothing."""
+    import random
+
+    rnd = random.Random(8)
+    noise = ["".join(rnd.choice(secret_scan.ALPHABET[:62]) for _ in range(rnd.randint(12, 30))) for _ in range(500)]
+    models = secret_scan.train_on_documents(docs)
+    held = [x for x in secret_scan.identifiers.held_out(12) if secret_scan._TOKEN.fullmatch(x)]
+    usual = "getUserNameListFromDatabase org_apache_spark_sql_functions AbstractSingletonProxyFactoryBean internationalization_of_words configuration_manager_instance XMLHttpRequestEventTarget MAX_CONCURRENT_CONNECTIONS src/main/java/org/example/App NumberFormatException12345 createElementNSWithPrefix".split()
+    assert sum(map(models.is_random, noise)) >= 0.9 * len(noise) and sum(map(models.is_random, held)) <= 0.02 * len(held)
+    assert not [x for x in usual if models.is_random(x)]
+    made = [f"Ünser {a} word {b}, end" for a, b in zip(noise[::2], held, strict=False)]
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), models).collect()
+    for r in got:
+        text = made[r["doc_id"]]
+        base = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", text)]
+        want = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text) if models.is_random(m[0]) and all(e <= m.start() or m.end() <= s for s, e in base)]
+        assert r["n_random"] == len(want) and {f"random:{s}:{e}" for s, e in want} <= set(r["spans"].split(",")) and r["n_spans"] == len(r["spans"].split(","))
+    assert sum(r["n_random"] for r in got) >= 0.9 * len(made)
+
+
 def test_identifiers_are_no_secrets(spark, docs):
     import random
 
