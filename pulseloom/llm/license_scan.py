@@ -27,7 +27,7 @@ SPEAKS = "(?i)licen[cs]|copyright|redistribut|warrant|permission|public domain"
 OPENING = "^(?:(?:this|the|all) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|available|published|provided|covered) under (?:the terms of )?(?:the )?"
 
 #: What a known sentence holds at least: a word of SPEAKS, or one of the forms that do without.
-MAY_SPEAK = SPEAKS.replace("public domain", r"public\W+domain") + r"|rights\W+reserved|(?:licensed|released|distributed|available|published|provided|covered)\W+under"
+MAY_SPEAK = SPEAKS.replace("public domain", r"public\W+domain") + r"|rights\W+reserved|be\W+liable|(?:licensed|released|distributed|available|published|provided|covered)\W+under"
 
 # Known licence sentences, normalised, and their identifiers.
 SENTENCES = {
@@ -138,7 +138,7 @@ TEXT_RULES = (
     ("AGPL-3.0-or-later", "agpl3plus"),
 )
 #: SPDX names in lower case, from the rules of one identifier, and the older short ones.
-NAMES = {name.lower(): rule for name, rule in TEXT_RULES if rule.isidentifier()} | {"gpl-2.0": "gpl2", "gpl-2.0+": "gpl2plus", "gpl-3.0": "gpl3", "gpl-3.0+": "gpl3plus", "lgpl-2.1": "lgpl21", "lgpl-2.1+": "lgpl21plus", "lgpl-3.0": "lgpl3", "lgpl-3.0+": "lgpl3plus", "agpl-3.0": "agpl3"}
+NAMES = {name.lower(): rule for name, rule in TEXT_RULES if rule.isidentifier()} | {"apache-2.0": "apache2", "gpl-2.0": "gpl2", "gpl-2.0+": "gpl2plus", "gpl-3.0": "gpl3", "gpl-3.0+": "gpl3plus", "lgpl-2.1": "lgpl21", "lgpl-2.1+": "lgpl21plus", "lgpl-3.0": "lgpl3", "lgpl-3.0+": "lgpl3plus", "agpl-3.0": "agpl3"}
 
 
 def normalise(sentence: Column) -> Column:
