@@ -109,6 +109,22 @@ def test_sharding_is_even_with_a_hot_group(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_sharding_parts_rows_alike_and_ranges_of_one_text(spark, monkeypatch):
+    """With few probes a round, so that hot texts, ids and row numbers all take several rounds."""
+    monkeypatch.setattr(sharding, "PROBES", 16)
+    rows_ = [(7, "alike")] * 700 + [(None, None)] * 300 + [(i * 1000, "one text of many ids") for i in range(900)] + [((1 << 63) - 1, "alike")] * 50 + [(-(i + 1), f"own text {i}") for i in range(400)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    got = sharding.shard_documents(d, {"doc_id": d["doc_id"], "text": d["text"]}, 9, range_bytes=600).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append((r["slot"], r["row"]["text"] is not None, hashlib.md5((r["row"]["text"] or "").encode()).hexdigest()[:15], r["row"]["doc_id"] or -(1 << 63), r["size"]))
+    sizes = [sum(x[4] for x in v) for v in by.values()]
+    assert len(got) == len(rows_) and len(by) == 9 and max(sizes) - min(sizes) <= 2 * 36
+    assert Counter((r["row"]["doc_id"], r["row"]["text"]) for r in got) == Counter(rows_)
+    flat = [x[1:4] for k in sorted(by) for x in sorted(by[k])]
+    assert flat == sorted(flat) and all([x[0] for x in sorted(v)] == list(range(len(v))) for v in by.values())
+
+
 def test_dedup(spark, docs, none):
     extra = [(1000 + i, " ".join(BASE[:i] + [f"new{i}"] + BASE[i + 1 :]), *[None] * 12) for i in range(1, 110, 3)]
     extra += [(2000 + i, " ".join(words(40, 50 + i) + BASE[:40]), *[None] * 12) for i in range(12)]

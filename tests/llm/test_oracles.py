@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from pulseloom.llm import license_scan, queries
+from pulseloom.llm import license_scan, queries, sharding
 from tests.test_oracles import close, plain
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -47,3 +47,13 @@ def test_license_sql_on_whole_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     for name in ("op8_license_scan", "op8_license_lines"):
         compared(queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLES[name])
+
+
+def test_sharding_against_sql(spark, tmp_path):
+    """Shards and slots; DuckDB has no crc32."""
+    rows = [(k, f"text {k % 700} " + "x" * (k % 97)) for k in range(4000)] + [(None, None)] * 3 + [(None, "no id"), (5000, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for path in (f"{tmp_path}/documents.parquet/*.parquet", f"{SF}/documents.parquet"):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}'")
+        compared(sharding.op2_sharding(spark, path.removesuffix("/*.parquet").removesuffix("/documents.parquet")).select("doc_id", "size", "shard", "slot"), con, sharding.OP2_SQL)
