@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.functions.lineage import settle, shared_dir
+from pulseloom.functions.lineage import remove, settle, shared_dir
 
-__all__ = ["documents", "free_name", "settle", "shared_dir", "word_count", "words"]
+__all__ = ["documents", "free_name", "remove", "settle", "shared_dir", "word_count", "words"]
 
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"

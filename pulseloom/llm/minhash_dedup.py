@@ -1,6 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Documents with the same set are one node. Per node,
+A document's set is its distinct word shingles, as 64-bit hashes. Documents with the same set (by a 128-bit digest) are one
+node, which gets a number. Per node,
 128 MinHash samples make 32 bands of 4 and are folded into an odd sketch: sample i with value v flips bit h(i, v) of 1024,
 and the population count of two sketches' XOR estimates how many samples differ, so the similarity, closely where it is
 high.
@@ -10,13 +11,13 @@ hubs and every member is compared with these two. The sketch turns away what is
 estimate below the threshold), full sets decide the rest, and links make components. Buckets that then still hold nodes
 of different components go through an exact way for the rest: over their members, an index of the rarest shingles (the
 prefix filter with positions, exact for a Jaccard threshold) gives every pair across components that can still reach the
-threshold, and full sets decide again. Both ways also use a parity bitmap of the whole set: its XOR population count is
+threshold, and full sets decide again; nodes of one component never meet there. Both ways also use a parity bitmap of the whole set: its XOR population count is
 never above the number of shingles in which two sets differ, so what it turns away can't be a link. Two similar documents are only missed if they share no band: 5e-8 at the
 threshold itself, less above.
 
 Components are found by alternating large and small stars, a table of links per round; nothing of it goes to the driver
-but counts. Sets of candidates are made anew from the texts; the list of whose is broadcast only up to BROADCAST_ROWS
-rows of 24 bytes, and shuffled beyond.
+but counts. Sets of candidates are made anew from one text of each node. What joins a side that may hold a hot key is settled
+first, so that adaptive execution can split that key; Spark chooses what it broadcasts. Tables that are no longer read are removed.
 
 Defined results: a null text, or one without words, has no shingles and is linked with nothing; a text of fewer words
 than a shingle is one shingle; rows of the same set are one component; ids may repeat or be null: null ids come after all
@@ -35,12 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulseloom.llm.common import documents, free_name, settle
+from pulseloom.llm.common import documents, free_name, remove, settle
 
 SAMPLES, ROWS, SKETCH_BITS = 128, 4, 1024
 BANDS = SAMPLES // ROWS
 PERCENT = 80
-BROADCAST_ROWS = 2_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -106,7 +106,7 @@ def most_differing(percent: int, deviations: float = 5.0) -> int:
     return math.ceil(mean + deviations)
 
 
-SIGNATURE = "doc_id long, n int, node binary, text_hash long, bands array<long>, sketch array<long>, parity array<long>"
+SIGNATURE = "doc_id long, n int, digest binary, text_hash long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -122,26 +122,26 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 keys, words, whole = (*bands_and_sketches(np.stack([samples(s) for s in own])), parity(own)) if own else [np.zeros((0, 1), np.int64)] * 3
                 where = np.cumsum(full) - 1
                 lists = lambda rows: pa.array([rows[where[i]] if full[i] else None for i in range(len(sets))], pa.list_(pa.int64()))  # noqa: E731, B023
-                nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.binary()), part.column(1), lists(keys), lists(words), lists(whole)], names=["doc_id", "n", "node", "text_hash", "bands", "sketch", "parity"])
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), part.column(1), lists(keys), lists(words), lists(whole)], names=["doc_id", "n", "digest", "text_hash", "bands", "sketch", "parity"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
-    """node, shingles for the wanted nodes (node, text_hash), made from the texts again."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles for the wanted nodes (node, digest, w_id, w_hash), made again from a text of that id and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [(n, s) for n, s in zip(part.column(0).to_pylist(), (shingles(x, width) for x in part.column(1).to_pylist()), strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.binary()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
+                sets = [shingles(x, width) for x in part.column(2).to_pylist()]
+                rows = [(n, s) for n, d, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == d]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "text_hash").select("node", "text")
-    return texts.mapInArrow(run, "node binary, shingles array<long>").dropDuplicates(["node"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "digest", "text")
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,27 +159,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, trash: list[str] | None = None) -> DataFrame:
     """node, label for every node of links (a, b) but the labels themselves: the least node of its component."""
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    spark, own = links.sparkSession, []
+    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), own)
     state = _state(edges)
     while state[0]:
+        old, own = own, []
         both = edges.union(edges.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # Settled, so that the join after it can split a node with very many links.
+        least = settle(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), old)
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(low).distinct())
+        edges = settle(small.union(low).distinct(), own)
         before, state = state, _state(edges)
+        remove(spark, old)
         if state == before:
             break
+    if trash is not None:
+        trash += own
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -212,11 +218,14 @@ def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
     # Shingles that no other member has come first in the order; they take up positions, and no pair meets at them.
     ranked = ranked.withColumn("i", F.col("n") - F.col("c") + F.col("k") - 1).where(F.col("i") * 100 <= F.col("n") * (100 - percent))
     ranked = ranked.select("node", "s", "i").join(members, "node")
-    a = ranked.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
-    b = ranked.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
+    # Labels meet first: a shingle that only nodes of one label hold makes no pair, however many these are.
+    held = ranked.select("s", "label").distinct()
+    meeting = held.join(held.toDF("s", "other"), "s").where(F.col("label") < F.col("other"))
+    a = ranked.select("s", "label", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
+    b = ranked.select("s", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    meet = (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    return a.join(b, meet & able("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
+    found = a.join(meeting, ["s", "label"]).join(b, ["s", "other"]).where((rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & able("na", "nb", "pa", "pb", percent))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,34 +234,38 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(found, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("l_label", "node")).drop("l_node", "l_label")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", trash: list[str] | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, chosen for every document; chosen is true for one row or group of identical rows of each component."""
-    rows = settle(signatures(docs, width, id_col, text_col))
-    nodes = settle(rows.where("n > 0").select("node", "n", "text_hash", "bands", "sketch", "parity").dropDuplicates(["node"]))
+    spent: list[str] = []
+    kept = trash if trash is not None else []
+    rows = settle(signatures(docs, width, id_col, text_col), spent)
+    nodes = rows.where("n > 0").select("digest", "n", "doc_id", "text_hash", "bands", "sketch", "parity").dropDuplicates(["digest"])
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), spent)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
-    members = settle(buckets.join(hubs, "bucket"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
-    sets = settle(shingle_sets(docs, wanted, width, text_col))
+    hubs = settle(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"), spent)
+    members = settle(buckets.join(hubs, "bucket"), spent)
+    wanted = settle(members.select("node").distinct().join(nodes.select("node", "digest", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "node"), spent)
+    sets = settle(shingle_sets(docs, wanted, width, id_col, text_col), spent)
     spokes = members.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     pairs = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    labels = components(confirmed(screened(pairs, nodes, percent), sets, percent))
+    labels = components(confirmed(screened(pairs, nodes, percent), sets, percent), spent)
     # The rest: buckets of three and more whose members aren't all of one component.
-    placed = labelled(members.where("size > 2").select("node", "bucket"), labels)
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    rest = settle(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "parity"), "node"))
-    more = settle(confirmed(rare_prefix_pairs(rest, sets, percent), sets, percent))
+    placed = settle(labelled(members.where("size > 2").select("node", "bucket"), labels), spent)
+    mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket"), spent)
+    rest = settle(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "parity"), "node"), spent)
+    more = settle(confirmed(rare_prefix_pairs(rest, sets, percent), sets, percent), spent)
     if not more.isEmpty():
         to_label = rest.select("node", "label")
         across = more.join(to_label.toDF("a", "la"), "a").join(to_label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        joined = components(across)
+        joined = components(across, spent)
         moved = labels.select("node", F.col("label").alias("old")).join(joined.toDF("old", "new"), "old", "left")
-        labels = settle(moved.select("node", F.coalesce("new", "old").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti")))
-    out = labelled(rows.select("doc_id", "text_hash", "n", "node"), labels)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        labels = settle(moved.select("node", F.coalesce("new", "old").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti")), spent)
+    named = settle(labelled(nodes.select("digest", "node"), labels).select("digest", "label"), spent)
     # Settled, so that what joins it is an exchange that adaptive execution can split where one label has very many rows.
-    out = settle(out)
-    first = settle(out.where("n > 0").groupBy("label").agg(F.min(own).alias("first")).withColumnRenamed("label", "f_label"))
+    out = settle(rows.select("doc_id", "text_hash", "n", "digest").join(named, "digest", "left").drop("digest"), kept)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = settle(out.where("n > 0").groupBy("label").agg(F.min(own).alias("first")).withColumnRenamed("label", "f_label"), kept)
+    remove(docs.sparkSession, spent)
     out = out.join(first, (F.col("label") == F.col("f_label")) & (F.col("n") > 0), "left")
     alone = F.col("n") == 0
     return out.select(
@@ -266,7 +279,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
 
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, and every document without words, with their own columns."""
-    verdict = settle(near_duplicates(docs, width, percent, id_col, text_col))
+    spent: list[str] = []
+    verdict = settle(near_duplicates(docs, width, percent, id_col, text_col, spent))
+    remove(docs.sparkSession, spent)
     stay = verdict.where("chosen").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), F.min("n_shingles").alias("n"))
     repeats = not stay.where("times > 1 and n > 0").isEmpty()
     an_id, a_hash, a_text = (free_name(docs, f"pl_{x}") for x in ("id", "hash", "text"))

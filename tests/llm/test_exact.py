@@ -164,9 +164,9 @@ def test_dedup(spark, docs, none):
 
 
 def test_components(spark):
-    links = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(40)] + [(b"a", b"b"), (b"c", b"b"), (b"c", b"a")]
-    got = {bytes(r["node"]): bytes(r["label"]) for r in minhash_dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
-    assert all(got[f"{i:04d}".encode()] == b"0000" for i in range(1, 41)) and got[b"b"] == got[b"c"] == b"a"
+    links = [(i, i + 1) for i in range(40)] + [(101, 102), (103, 102), (103, 101)] + [(200, 201 + k) for k in range(300)]
+    got = {r["node"]: r["label"] for r in minhash_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 41)) and got[102] == got[103] == 101 and all(got[201 + k] == 200 for k in range(300))
 
 
 def test_decontamination(spark, docs, none):
