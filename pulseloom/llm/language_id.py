@@ -6,8 +6,11 @@ from counts over all labelled documents; a second pass over these measures each
 shares weigh its loss when a text is decoded: the codeword of least weighted logistic loss wins, and one that is hardly
 better than the next is flagged as ambiguous.
 
-Counts go from executors to the driver as (language, trigram bucket) sums, BUCKETS rows per language at most; the number
-of languages is that of distinct labels and is taken to be small. Texts are read whole, three times, and never shuffled.
+A text's evidence is its mean over all its trigrams times LONGEST or, in a shorter text, their number: a long text is read whole
+and its score doesn't go to certainty with its length.
+
+Counts go from executors to the driver as (language, trigram bucket) sums, BUCKETS rows per language at most; more than
+MOST_LANGUAGES labels are an error, as labels of that kind aren't languages. Texts are read whole, three times, and never shuffled.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled text all are `und`; with
 one language all texts are of it, score 1; rows without a label or a letter teach nothing; a null id isn't held out;
@@ -30,6 +33,7 @@ BUCKETS = 1 << 15
 SMOOTH = 0.5
 LONGEST = 40  # trigrams that a text's evidence is scaled to
 AMBIGUOUS = 0.05
+MOST_LANGUAGES = 512
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -121,6 +125,8 @@ def train(rows: DataFrame) -> Model | None:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
 
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS))
     for r in _grouped(count, rows, "lang string, bucket int"):
         counts[r["lang"]][r["bucket"]] = r["n"]

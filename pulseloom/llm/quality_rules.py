@@ -16,9 +16,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import documents, words
+from pulseloom.llm.common import documents, settle, words
 
 WINDOW = 5
+#: A word without a letter; lines that begin with a bullet or end with an ellipsis.
+LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
+LINES = {"n_bullet_lines": r"^[\x20\x09]*[-*•‣◦·]", "n_cut_lines": r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"}
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,9 @@ RULES = (
     Rule("repeated_lines", 3, lambda: F.col("n_dup_lines") * 100 > F.col("n_lines") * 40),
     Rule("short_words", 4, lambda: F.col("word_chars") < F.col("n_words") * 2),
     Rule("long_words", 5, lambda: F.col("word_chars") > F.col("n_words") * 15),
+    Rule("no_letters", 6, lambda: F.col("n_letterless") * 100 > F.col("n_words") * 50),
+    Rule("bullets", 7, lambda: (F.col("n_lines") >= 3) & (F.col("n_bullet_lines") * 100 > F.col("n_lines") * 90)),
+    Rule("cut_lines", 8, lambda: (F.col("n_lines") >= 3) & (F.col("n_cut_lines") * 100 > F.col("n_lines") * 30)),
 )
 BASE = ("few_words", "repeated_words")
 
@@ -51,18 +57,22 @@ class Policy:
         return sum(known[x] for x in dict.fromkeys(self.rules))
 
 
-POLICIES = {p.version: p for p in (Policy("base", BASE), Policy("v1", tuple(r.name for r in RULES)))}
+POLICIES = {p.version: p for p in (Policy("base", BASE), Policy("v1", tuple(r.name for r in RULES[:6])), Policy("v2", tuple(r.name for r in RULES)))}
+
+
+def _matching(strings: str, pattern: str) -> Column:
+    return F.size(F.filter(strings, lambda x: x.rlike(pattern))).cast("long")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words for every document."""
+    """id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words for every document, and the counts of words without a letter, of bulleted lines and of lines that break off."""
     text, w, n = F.col("t"), F.col("w"), F.col("n")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     starts = F.sequence(F.lit(0), n - WINDOW)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.withColumn("w", words(text)).withColumn("ls", lines)
-    d = d.select("id", "t", "w", F.size("w").alias("n"), F.size("ls").cast("long").alias("n_lines"), (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"))
+    d = d.select("id", "t", "w", F.size("w").alias("n"), F.size("ls").cast("long").alias("n_lines"), (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"), *[_matching("ls", p).alias(n) for n, p in LINES.items()])
     d = d.withColumn("h", F.when(n > WINDOW, hashes))
     # Only a text in which some window's hash comes twice is compared by the words themselves.
     twice = F.coalesce(F.size(F.array_distinct("h")) < F.size("h"), F.lit(False))
@@ -80,6 +90,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         "n_lines",
         "n_dup_lines",
+        F.regexp_count(text, F.lit(LETTERLESS)).cast("long").alias("n_letterless"),
+        *LINES,
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
@@ -131,7 +143,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "fail_bits")
 
 
-OP9_SQL = r"""
+def op9_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy over one stored ledger: what it keeps, and what each of its rules costs."""
+    book = settle(ledger(documents(spark, sf_dir)))
+    out = None
+    for policy in POLICIES.values():
+        kept = judge(book, policy).agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
+        part = ablation(book, policy).join(F.broadcast(kept)).select(F.lit(policy.version).alias("policy"), "*")  # one row
+        out = part if out is None else out.union(part)
+    return out
+
+
+_BOOK = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -141,8 +164,19 @@ rep AS (SELECT r, sum(least(5, coalesce(nx - i, 5))) AS n FROM p GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+      len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_letterless, len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣◦·]'))) AS n_bullet_lines,
+      len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
       CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT
-      + 8 * (100 * n_dup_lines > 40 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+      + 8 * (100 * n_dup_lines > 40 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT + 64 * (100 * n_letterless > 50 * n_words)::INT
+      + 128 * (n_lines >= 3 AND 100 * n_bullet_lines > 90 * n_lines)::INT + 256 * (n_lines >= 3 AND 100 * n_cut_lines > 30 * n_lines)::INT AS BIGINT) AS fail_bits FROM m)
 """
+OP9_SQL = _BOOK + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits FROM b"
+OP9_ABLATION_SQL = (
+    _BOOK.rstrip()
+    + """,
+policies(policy, mask) AS (VALUES ('base', 3), ('v1', 63), ('v2', 511)),
+rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32), ('no_letters', 64), ('bullets', 128), ('cut_lines', 256))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS failed_alone, count(*) FILTER (fail_bits & (mask - bit) = 0) AS kept_without,
+count(*) FILTER (fail_bits & mask = 0) AS kept, count(*) AS n FROM b, policies, rules WHERE bit & mask <> 0 GROUP BY policy, rule, mask, bit"""
+)

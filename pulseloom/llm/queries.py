@@ -7,7 +7,7 @@ from pulseloom.llm.language_id import op3_language_id
 from pulseloom.llm.license_scan import OP8_LINES_SQL, OP8_SQL, op8_license_lines, op8_license_scan
 from pulseloom.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
 from pulseloom.llm.pii import op5_pii
-from pulseloom.llm.quality_rules import OP9_SQL, op9_quality_rules
+from pulseloom.llm.quality_rules import OP9_ABLATION_SQL, OP9_SQL, op9_ablation, op9_quality_rules
 from pulseloom.llm.secret_scan import op1_secret_scan
 from pulseloom.llm.sharding import op2_sharding
 from pulseloom.llm.source_mix import OP10_SQL, op10_source_mix
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op8_license_lines": op8_license_lines,
     "op9_quality_rules": op9_quality_rules,
+    "op9_ablation": op9_ablation,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES = {"op6_minhash_dedup": OP6_SQL, "op8_license_scan": OP8_SQL, "op8_license_lines": OP8_LINES_SQL, "op9_quality_rules": OP9_SQL, "op10_source_mix": OP10_SQL}
+ORACLES = {"op6_minhash_dedup": OP6_SQL, "op8_license_scan": OP8_SQL, "op8_license_lines": OP8_LINES_SQL, "op9_quality_rules": OP9_SQL, "op9_ablation": OP9_ABLATION_SQL, "op10_source_mix": OP10_SQL}

@@ -3,11 +3,12 @@
 A document's key is an exponential variate, drawn from its id and a seed, over its quality weight; the smallest keys
 come first. Each source first takes whole epochs of all its documents; the rest of its budget goes to the documents in
 key order whose running sum of sizes reaches it. The running sum is two-level: exact sums per (source, key slice) come
-first, and only a slice, 1/1024 of a source, is ever sorted in one task, so a source with a third of all rows is no
-hot spot. What goes back from sources to documents is one row per source, joined without a forced broadcast.
+first, and only a slice is ever sorted in one task: 1/SLICES of a source, or less where that would be more than SLICE_ROWS, so a
+source with a third of all rows is no hot spot. What goes back from sources to documents is one row per source, joined without a
+forced broadcast.
 
 Defined results: a null text has size 0; null sources are one source, the last; a source without words has target 0 and
-takes 0; ties in the key go by id, size; a null id draws the key of an empty string; repeated rows are documents of
+takes 0; ties in the key go by id, size; a null id draws its key from the text; repeated rows are documents of
 their own; no documents give no rows. Other columns of the input are not looked at.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pulseloom.llm.common import documents, free_name, settle, word_count
 
 SLICES = 1024
+SLICE_ROWS = 1_000_000
 MOST = 3  # times that a document may be taken, and a source's size that its target may reach
 
 
@@ -42,17 +44,18 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0, most: float = MOS
     return s.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def exponential_key(doc_id: Column, quality: Column, seed: int) -> Column:
-    """-ln(u) / quality with u from 52 bits of md5(seed:id)."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+def exponential_key(drawn_from: Column, quality: Column, seed: int) -> Column:
+    """-ln(u) / quality with u from 52 bits of md5(seed:string)."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), drawn_from)), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / quality
 
 
-def mix(rows: DataFrame, seed: int = 17, slices: int = SLICES, most: int = MOST) -> DataFrame:
-    """Adds source_size, target and taken to rows with columns doc_id, source, size and quality (over 0)."""
-    keyed = rows.withColumn("key", exponential_key(F.col("doc_id"), F.col("quality"), seed))
+def mix(rows: DataFrame, seed: int = 17, slices: int | None = None, most: int = MOST) -> DataFrame:
+    """Adds source_size, target and taken to rows with columns doc_id, draw, source, size and quality (over 0), and drops draw."""
+    keyed = settle(rows.withColumn("key", exponential_key(F.col("draw"), F.col("quality"), seed)).drop("draw"))
+    slices = slices or max(SLICES, -(-keyed.count() // SLICE_ROWS))
     # 1 - exp(-key) spreads the keys of documents of quality 1 evenly over the slices and keeps the order.
-    keyed = settle(keyed.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int")))
+    keyed = keyed.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("int"))
     parts = keyed.groupBy("source", "slice").agg(F.sum("size").alias("part"))
     targets = source_targets(parts.withColumnRenamed("part", "size"))
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
@@ -81,15 +84,22 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("quality", F.coalesce("quality", F.lit(1.0)))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, draw (what a document's key is drawn from), and more columns."""
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), *more)
 
 
 def repeat_to_targets(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns. Rows that share an id, or have none, are taken as often as the one of them taken most."""
-    plan_id, copies = free_name(docs, "pl_id"), free_name(docs, "pl_copies")
-    plan = mix(with_quality(sized(docs), labels), seed).groupBy(F.col("doc_id").alias(plan_id)).agg(F.max("copies").alias(copies))
-    out = docs.join(plan.where(F.col(copies) > 0), docs["doc_id"].eqNullSafe(F.col(plan_id)))
+    """The mix itself: every document as often as it is taken, with its own columns. Rows alike in all columns come as often as they are taken together."""
+    row_hash, plan_hash, plan_id, copies, times = (free_name(docs, f"pl_{x}") for x in ("row", "hash", "id", "copies", "times"))
+    whole = F.xxhash64(*[docs[c] for c in docs.columns])
+    plan = mix(with_quality(sized(docs, whole.alias("row_hash")), labels), seed)
+    plan = settle(plan.groupBy(F.col("doc_id").alias(plan_id), F.col("row_hash").alias(plan_hash)).agg(F.sum("copies").alias(copies), F.count("*").alias(times)))
+    out = docs.withColumn(row_hash, whole)
+    if not plan.where(F.col(times) > 1).isEmpty():
+        out = out.dropDuplicates([*docs.columns])
+    out = out.join(plan.where(F.col(copies) > 0), docs["doc_id"].eqNullSafe(F.col(plan_id)) & (F.col(row_hash) == F.col(plan_hash)))
     return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
@@ -101,8 +111,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH q AS (SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-d AS (SELECT d.doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(q.quality, 1.0::DOUBLE) AS quality FROM documents d LEFT JOIN q USING (doc_id)),
-k AS (SELECT *, -ln((CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / quality AS key FROM d),
+d AS (SELECT d.doc_id, coalesce(CAST(d.doc_id AS VARCHAR), '#' || md5(coalesce(text, ''))) AS draw, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(q.quality, 1.0::DOUBLE) AS quality FROM documents d LEFT JOIN q USING (doc_id)),
+k AS (SELECT *, -ln((CAST(('0x' || substr(md5('17:' || draw), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / quality AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER o AS rn
