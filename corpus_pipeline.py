@@ -1,14 +1,19 @@
 """A corpus from raw documents: quality rules, near-dedup, decontamination, mixing, sharding.
 
-Each stage works on all that its predecessor kept; run() writes each one's result as Parquet and reads it again.
-Near-dedup takes shingles of five words and a similarity of 0.8.
+Each stage works on all that its predecessor kept; run() writes each one's result as Parquet and reads it again, and removes what
+the next has read. Near-dedup takes shingles of five words and a similarity of 0.8.
+
+Defined results: a null or empty text has too few words and goes with the first stage; null ids, sources and languages are kept as
+they are; rows that share an id are documents of their own, exact copies among them leave one with the second stage; extra columns
+stay until the last stage, which returns digests; an empty benchmark removes nothing, empty labels make all weigh the same, no
+documents give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm.common import documents, settle
+from pulseloom.llm.common import documents, remove, settle
 from pulseloom.llm.decontamination import without_leaks
 from pulseloom.llm.minhash_dedup import without_near_copies
 from pulseloom.llm.quality_rules import keep_good
@@ -48,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, spent = documents(spark, sf_dir), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = settle(docs)
+            before, spent = spent, []
+            docs = settle(docs, spent)
+            remove(spark, before)
     return docs
