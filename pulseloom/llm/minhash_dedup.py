@@ -16,8 +16,9 @@ never above the number of shingles in which two sets differ, so what it turns aw
 threshold itself, less above.
 
 Components are found by alternating large and small stars, a table of links per round; nothing of it goes to the driver
-but counts. Sets of candidates are made anew from one text of each node. What joins a side that may hold a hot key is settled
-first, so that adaptive execution can split that key; Spark chooses what it broadcasts. Tables that are no longer read are removed.
+but counts. Sets of candidates are made anew from one text of each node; the list of whose is broadcast up to BROADCAST_ROWS
+rows of 48 bytes, and shuffled beyond. What joins a side that may hold a hot key is settled first, so that adaptive execution
+can split that key. Tables that are no longer read are removed.
 
 Defined results: a null text, or one without words, has no shingles and is linked with nothing; a text of fewer words
 than a shingle is one shingle; rows of the same set are one component; ids may repeat or be null: null ids come after all
@@ -41,6 +42,7 @@ from pulseloom.llm.common import documents, free_name, remove, settle
 SAMPLES, ROWS, SKETCH_BITS = 128, 4, 1024
 BANDS = SAMPLES // ROWS
 PERCENT = 80
+BROADCAST_ROWS = 2_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -140,7 +142,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, te
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "digest", "text")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(wanted) if few else wanted, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "digest", "text")
     return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -218,14 +221,14 @@ def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
     # Shingles that no other member has come first in the order; they take up positions, and no pair meets at them.
     ranked = ranked.withColumn("i", F.col("n") - F.col("c") + F.col("k") - 1).where(F.col("i") * 100 <= F.col("n") * (100 - percent))
     ranked = ranked.select("node", "s", "i").join(members, "node")
-    # Labels meet first: a shingle that only nodes of one label hold makes no pair, however many these are.
-    held = ranked.select("s", "label").distinct()
-    meeting = held.join(held.toDF("s", "other"), "s").where(F.col("label") < F.col("other"))
-    a = ranked.select("s", "label", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
-    b = ranked.select("s", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
+    # A shingle that only nodes of one label hold makes no pair, however many these are.
+    several = ranked.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("s")
+    ranked = ranked.join(several, "s", "left_semi")
+    a = ranked.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
+    b = ranked.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    found = a.join(meeting, ["s", "label"]).join(b, ["s", "other"]).where((rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & able("na", "nb", "pa", "pb", percent))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meet = (F.col("s") == F.col("t")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return a.join(b, meet & able("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
