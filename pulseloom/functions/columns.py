@@ -29,3 +29,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def median(x) -> Column:
     return F.percentile(x, F.lit(0.5))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over rows that have both; null where one of them doesn't vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -4,14 +4,37 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import SEGMENT, clip01, median, ratio
+from pulseloom.functions.columns import SEGMENT, clip01, correlation, median, ratio
+from pulseloom.functions.lineage import settle
 from pulseloom.operators.rr import resample
 
 
+@dataclass
+class Shared:
+    """What several domains need of the same beats: the beats, their moments and their bands, one row per segment of the latter two."""
+
+    beats: DataFrame
+    moments: DataFrame
+    bands: DataFrame
+
+    @classmethod
+    def settled(cls, rr: DataFrame, keys: Sequence[str] = SEGMENT) -> Shared:
+        """Each made once and kept as a table, for analyses of many domains."""
+        beats = settle(rr.select(*keys, "i", "rr"))
+        return cls(beats, settle(_moments(beats, keys)), settle(frequency_domain(beats, keys)))
+
+    @classmethod
+    def of(cls, rr: DataFrame, keys: Sequence[str] = SEGMENT) -> Shared:
+        return cls(rr, _moments(rr, keys), frequency_domain(rr, keys))
+
+
 def guard(rr: DataFrame) -> DataFrame:
     """Finite beats within [300, 2000] ms."""
     return rr.where(F.col("rr").between(300, 2000))
@@ -22,9 +45,9 @@ def with_differences(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     return rr.withColumns({"d": F.col("rr") - F.lag("rr").over(w), "s": F.col("rr") + F.lag("rr").over(w)})
 
 
-def time_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
+def time_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
     """Level, spread and successive differences; 0 where a segment is too short for a metric."""
-    a = _moments(rr, keys)
+    a = shared.moments if shared else _moments(rr, keys)
     return a.select(*keys, *TIME_DOMAIN)
 
 
@@ -56,6 +79,9 @@ def _moments(rr: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.coalesce(F.stddev_samp(hr), F.lit(0.0)).alias("std_hr"),
         F.min(hr).alias("min_hr"),
         F.max(hr).alias("max_hr"),
+        (F.stddev_pop("rr") / F.avg("rr")).alias("cv"),
+        (F.max("rr") - F.min("rr")).alias("range_nn"),
+        (F.sum("rr") / 60000).alias("minutes"),
     )
     return a.withColumns(
         {
@@ -78,9 +104,9 @@ def basic_table(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     return a.select(*keys, "n_beats", "mean_rr", "sdnn", "rmssd", (100 * F.col("nn50") / (F.col("n_beats") - 1)).alias("pnn50"), (60000 / F.col("mean_rr")).alias("mean_hr"), (60000 / F.col("max_rr")).alias("min_hr"), (60000 / F.col("min_rr")).alias("max_hr"), "range_nn")
 
 
-def poincare(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
+def poincare(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
     """sd1, sd2, sd2 / sd1 and the ellipse's area."""
-    a = with_differences(rr, keys).groupBy(*keys).agg((F.stddev_pop("d") / math.sqrt(2)).alias("sd1"), (F.stddev_pop("s") / math.sqrt(2)).alias("sd2"))
+    a = shared.moments if shared else with_differences(rr, keys).groupBy(*keys).agg((F.stddev_pop("d") / math.sqrt(2)).alias("sd1"), (F.stddev_pop("s") / math.sqrt(2)).alias("sd2"))
     a = a.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sd1", "sd2")])
     return a.withColumns({"sd1_sd2_ratio": ratio(F.col("sd2"), F.col("sd1")), "ellipse_area": F.lit(math.pi) * F.col("sd1") * F.col("sd2")})
 
@@ -117,7 +143,8 @@ def psd(rr: DataFrame, keys: Sequence[str] = SEGMENT, hz: float = 4.0, longest:
     """Welch's spectrum on the regular grid: keys, nperseg, k, freq, power; frequencies below `top` only.
 
     The grid is detrended linearly, cut into windows of min(N / 4, longest) with half overlap, each less its mean, Hann
-    weighted and transformed by sums of x cos and x sin: a join with a table of windows by explode and one aggregation.
+    weighted and transformed: grid points go to their windows by explode, a row per window carries its points, and numpy
+    transforms these rows in Arrow batches.
     """
     grid = resample(rr, keys, hz, centre=True)
     fit = grid.groupBy(*keys).agg(F.count("*").alias("big_n"), F.regr_slope("x", "g").alias("slope"), F.regr_intercept("x", "g").alias("icpt"))
@@ -129,15 +156,25 @@ def psd(rr: DataFrame, keys: Sequence[str] = SEGMENT, hz: float = 4.0, longest:
     last = F.least(F.col("windows") - 1, F.floor(F.col("g") / F.col("hop")))
     d = d.withColumns({"first": first.cast("int"), "last": last.cast("int")}).where("first <= last")
     d = d.withColumn("w", F.explode(F.sequence("first", "last"))).withColumn("j", (F.col("g") - F.col("w") * F.col("hop")).cast("int"))
-    win = Window.partitionBy(*keys, "w")
-    hann = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("j") / F.col("m"))
-    d = d.withColumns({"h": hann, "y": (F.col("x") - F.avg("x").over(win)) * hann})
-    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("m") / 2), F.ceil(F.lit(top / hz) * F.col("m"))).cast("int"))))
-    angle = F.lit(2 * math.pi) * F.col("k") * F.col("j") / F.col("m")
-    d = d.groupBy(*keys, "m", "w", "k").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im"), F.sum(F.col("h") * F.col("h")).alias("ww"))
-    sides = F.when((F.col("k") == 0) | ((F.col("m") % 2 == 0) & (F.col("k") == F.col("m") / 2)), 1.0).otherwise(2.0)
-    power = sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (hz * F.col("ww"))
-    out = d.groupBy(*keys, "m", "k").agg(F.avg(power).alias("power"))
+    # A window has `longest` points at most: its array is bounded, whatever the segment's length.
+    arrays = d.groupBy(*keys, "m", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("xs"))
+
+    @F.pandas_udf("array<double>")
+    def periodogram(xs: pd.Series) -> pd.Series:
+        out = np.empty(len(xs), object)
+        sizes = xs.map(len).to_numpy()
+        for m in np.unique(sizes):
+            at = np.flatnonzero(sizes == m)
+            x = np.stack(xs.iloc[at].to_list())
+            hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)
+            power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * hann)) ** 2 / (hz * (hann**2).sum())
+            power[:, 1 : (m + 1) // 2] *= 2
+            for k, row in zip(at, power[:, : math.ceil(top / hz * m) + 1], strict=True):
+                out[k] = row
+        return pd.Series(out)
+
+    d = arrays.select(*keys, "m", F.posexplode(periodogram("xs")).alias("k", "power"))
+    out = d.groupBy(*keys, "m", "k").agg(F.avg("power").alias("power"))
     return out.select(*keys, F.col("m").alias("nperseg"), "k", (F.col("k") * hz / F.col("m")).alias("freq"), "power").where(F.col("freq") < top)
 
 
@@ -173,15 +210,22 @@ def dfa(rr: DataFrame, keys: Sequence[str] = SEGMENT, max_boxes: int | None = No
     run = w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     d = rr.withColumns({"n": F.count("*").over(w), "mean": F.avg("rr").over(w)}).where("n >= 100")
     d = d.withColumn("y", F.sum(F.col("rr") - F.col("mean")).over(run))
+    # Running sums of y, py and y^2: a box of any scale is the difference of two of them, so only box ends become rows, about 3 a beat.
+    p = F.col("i").cast("double")
+    d = d.withColumns({"s0": F.sum("y").over(run), "s1": F.sum(p * F.col("y")).over(run), "s2": F.sum(F.col("y") * F.col("y")).over(run)})
     top = F.least(F.lit(64), F.floor(F.col("n") / 4).cast("int") - 1)
-    d = d.withColumn("scale", F.explode(F.sequence(F.lit(4), top))).withColumn("box", F.floor((F.col("i") - 1) / F.col("scale")))
-    whole = F.floor(F.col("n") / F.col("scale"))
-    d = d.where((F.col("box") < whole) & (whole >= 4))
+    ends = d.withColumn("scale", F.explode(F.filter(F.sequence(F.lit(4), top), lambda s: F.col("i") % s == 0)))
+    ends = ends.where(F.floor(F.col("n") / F.col("scale")) >= 4)
     if max_boxes:
-        d = d.where(F.col("box") < max_boxes)
-    x = (F.col("i") - 1 - F.col("box") * F.col("scale")).cast("double")
-    boxes = d.withColumn("x", x).groupBy(*keys, "scale", "box").agg(F.regr_syy("y", "x").alias("yy"), F.regr_sxx("y", "x").alias("xx"), F.regr_sxy("y", "x").alias("xy"))
-    rms = F.sqrt(F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"), F.lit(0.0)) / F.col("scale"))
+        ends = ends.where(F.col("i") <= max_boxes * F.col("scale"))
+    before = Window.partitionBy(*keys, "scale").orderBy("i")
+    part = lambda c: F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0.0))
+    boxes = ends.select(*keys, "scale", "i", part("s0").alias("y"), part("s1").alias("py"), part("s2").alias("y2"))
+    size = F.col("scale").cast("double")
+    middle = F.col("i") - (size - 1) / 2
+    xy, xx = F.col("py") - middle * F.col("y"), (size**3 - size) / 12
+    yy = F.col("y2") - F.col("y") * F.col("y") / size
+    rms = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / size)
     f = boxes.groupBy(*keys, "scale").agg(F.avg(rms).alias("f"))
     f = f.withColumns({"lx": F.log10("scale"), "ly": F.when(F.col("f") > 0, F.log10("f"))})
 
@@ -197,15 +241,16 @@ def dfa(rr: DataFrame, keys: Sequence[str] = SEGMENT, max_boxes: int | None = No
 def entropy(rr: DataFrame, keys: Sequence[str] = SEGMENT, m: int = 2, r: float = 0.2, least: int = 50) -> DataFrame:
     """phi(m) - phi(m + 1) with self-matches, all templates, tolerance r x sd; 0 below `least` beats.
 
-    Templates meet only in neighbouring buckets of their first value, as wide as the tolerance.
+    Templates meet only in neighbouring buckets of their first two values, as wide as the tolerance.
     """
     w = Window.partitionBy(*keys)
     o = w.orderBy("i")
     d = rr.withColumns({"n": F.count("*").over(w), "tol": r * F.stddev_pop("rr").over(w)}).where(F.col("n") >= least)
     d = d.select(*keys, "i", "n", "tol", *[F.lead("rr", k).over(o).alias(f"x{k}") for k in range(m + 1)]).where(F.col(f"x{m - 1}").isNotNull())
-    cell = F.when(F.col("tol") > 0, F.floor(F.col("x0") / F.col("tol"))).otherwise(F.floor("x0"))
-    a = d.withColumn("cell", cell)
-    b = a.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)], F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("b_cell"))
+    bucket = lambda x: F.floor(F.col(x) / F.when(F.col("tol") > 0, F.col("tol")).otherwise(1.0))
+    a = d.withColumn("cell", F.struct(bucket("x0").alias("p"), bucket(f"x{min(1, m - 1)}").alias("q")))
+    around = F.array(*[F.struct((F.col("cell.p") + p).alias("p"), (F.col("cell.q") + q).alias("q")) for p in (-1, 0, 1) for q in ((-1, 0, 1) if m > 1 else (p,))])
+    b = a.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)], F.explode(around).alias("b_cell"))
     near = F.col("cell") == F.col("b_cell")
     for k in keys:
         near = near & (F.col(k) == F.col(f"b_{k}"))
@@ -218,18 +263,25 @@ def entropy(rr: DataFrame, keys: Sequence[str] = SEGMENT, m: int = 2, r: float =
     return rr.select(*keys).distinct().join(got, list(keys), "left").fillna(0.0)
 
 
-def nonlinear(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    out = poincare(rr, keys)
+def nonlinear(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    out = poincare(rr, keys, shared)
     for part in (dfa(rr, keys), entropy(rr, keys), triangular(rr, keys)):
         out = out.join(part, list(keys))
     return out
 
 
-def parasympathetic(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    t, f, p = time_domain(rr, keys), frequency_domain(rr, keys), poincare(rr, keys)
+def extended(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    """What outside toolkits name besides: median, range, cardiac sympathetic and vagal index of the Poincare plot (T = 4 sd1, L = 4 sd2)."""
+    a = shared.moments if shared else _moments(rr, keys)
+    across, along = 4 * F.col("sd1"), 4 * F.col("sd2")
+    return a.select(*keys, F.col("median_nni").alias("median_nn"), "range_nn", ratio(along, across).alias("csi"), F.when((across > 0) & (along > 0), F.log10(along * across)).otherwise(0.0).alias("cvi"), ratio(along * along, across).alias("modified_csi"))
+
+
+def parasympathetic(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    known = shared or Shared.of(rr, keys)
     late = rr.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("i")))).where("back <= 100")
     late = late.groupBy(*keys).agg(F.stddev_pop("rr").alias("rsa_amplitude"))
-    j = t.select(*keys, "n", "rmssd", "pnn50").join(f.select(*keys, "hf_power", "hf_nu", "hf_peak", "total_power"), list(keys)).join(p.select(*keys, "sd1"), list(keys)).join(late, list(keys))
+    j = known.moments.select(*keys, "n", "rmssd", "pnn50", "sd1").join(known.bands.select(*keys, "hf_power", "hf_nu", "hf_peak", "total_power"), list(keys)).join(late, list(keys))
     index = (clip01(F.col("rmssd") / 100) + clip01(F.col("pnn50") / 50) + F.col("hf_nu") / 100 + clip01(F.col("sd1") / 50)) / 4
     vagal = 0.4 * F.col("hf_nu") / 100 + 0.25 * clip01(F.col("rmssd") / 100) + 0.2 * F.col("pnn50") / 100 + 0.15 * clip01(F.col("sd1") / 50)
     coherence = F.when((F.col("n") >= 50) & (F.col("hf_peak") > 0), clip01(ratio(10 * F.col("hf_power"), F.col("total_power")))).otherwise(0.0)
@@ -242,10 +294,9 @@ def stress_index(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     return h.select(*keys, ratio(100 * F.col("peak") / F.col("n"), 2 * (F.col("hi") - F.col("lo")) * F.sqrt(F.col("lo") * F.col("hi"))).alias("stress_index"))
 
 
-def sympathetic(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    f, t = frequency_domain(rr, keys), time_domain(rr, keys)
-    cv = rr.groupBy(*keys).agg((F.stddev_pop("rr") / F.avg("rr")).alias("cv"))
-    j = f.join(stress_index(rr, keys), list(keys)).join(t.select(*keys, "n", "sdnn", "mean_hr"), list(keys)).join(cv, list(keys))
+def sympathetic(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    known = shared or Shared.of(rr, keys)
+    j = known.bands.join(stress_index(rr, keys), list(keys)).join(known.moments.select(*keys, "n", "sdnn", "mean_hr", "cv"), list(keys))
     si, lf = F.col("stress_index"), F.col("lf_power")
     index = (F.col("lf_nu") / 100 + clip01(F.col("lf_hf_ratio") / 5) + clip01(si / 100)) / 3
     cardiac = 0.5 * F.col("lf_nu") / 100 + 0.3 * clip01(si / 100) + 0.2 * F.when(F.col("mean_hr") > 60, clip01((F.col("mean_hr") - 60) / 60)).otherwise(0.0)
@@ -270,8 +321,8 @@ def baroreflex(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """20 x the absolute correlation of a difference, negated, with the next one, at most 20; 0 below 100 beats."""
     w = Window.partitionBy(*keys).orderBy("i")
     d = with_differences(rr, keys).withColumn("d2", F.lead("d").over(w))
-    got = d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(-F.col("d"), F.col("d2")).alias("c"))
-    return got.select(*keys, F.when(F.col("n") >= 100, F.least(F.lit(20.0), 20 * F.abs(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0))))).otherwise(0.0).alias("baroreflex_sensitivity"))
+    got = d.groupBy(*keys).agg(F.count("*").alias("n"), correlation(-F.col("d"), F.col("d2")).alias("c"))
+    return got.select(*keys, F.when(F.col("n") >= 100, F.least(F.lit(20.0), 20 * F.abs(F.coalesce("c", F.lit(0.0))))).otherwise(0.0).alias("baroreflex_sensitivity"))
 
 
 def complexity(rr: DataFrame, keys: Sequence[str] = SEGMENT, scales: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
@@ -294,13 +345,15 @@ def rsa_coupling(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     d = d.withColumn("win", F.explode(F.sequence("a", "b"))).withColumn("i", (F.col("i") - F.col("win") * F.col("hop")).cast("int")).select(*keys, "win", "i", "rr")
     own = (*keys, "win")
     j = frequency_domain(d, own).select(*own, "hf_power").join(time_domain(d, own).select(*own, "rmssd"), list(own))
-    got = j.groupBy(*keys).agg(F.count("*").alias("c"), F.corr("hf_power", "rmssd").alias("r")).select(*keys, F.when(F.col("c") > 3, F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("rsa_coupling_index"))
+    got = j.groupBy(*keys).agg(F.count("*").alias("c"), correlation(F.col("hf_power"), F.col("rmssd")).alias("r")).select(*keys, F.when(F.col("c") > 3, F.coalesce("r", F.lit(0.0))).otherwise(0.0).alias("rsa_coupling_index"))
     return rr.select(*keys).distinct().join(got, list(keys), "left").fillna(0.0)
 
 
-def ans_balance(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    s = sympathetic(rr, keys).select(*keys, "lf_nu", "lf_hf_ratio", "stress_index", "sympathetic_index", "autonomic_balance")
-    p = parasympathetic(rr, keys).select(*keys, "hf_nu", "parasympathetic_index")
+def ans_balance(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    known = shared or Shared.settled(rr, keys)
+    rr = known.beats
+    s = sympathetic(rr, keys, known).select(*keys, "lf_nu", "lf_hf_ratio", "stress_index", "sympathetic_index", "autonomic_balance")
+    p = parasympathetic(rr, keys, known).select(*keys, "hf_nu", "parasympathetic_index")
     j = s.join(p, list(keys)).join(complexity(rr, keys), list(keys)).join(reactivity(rr, keys), list(keys)).join(baroreflex(rr, keys), list(keys))
     para, sym, si = F.col("parasympathetic_index"), F.col("sympathetic_index"), F.col("stress_index")
     traditional = clip01(F.when(F.col("hf_nu") > 0, F.col("lf_nu") / F.col("hf_nu")).otherwise(10.0) / 10)
@@ -310,21 +363,45 @@ def ans_balance(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 
 def analysis_quality(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Data quality by the number of beats, reliability by RMSSD and spectral power, minutes, recommendations."""
-    j = time_domain(rr, keys).select(*keys, "n", "rmssd").join(frequency_domain(rr, keys).select(*keys, "total_power"), list(keys)).join(rr.groupBy(*keys).agg((F.sum("rr") / 60000).alias("minutes")), list(keys))
+    known = Shared.of(rr, keys)
+    j = known.moments.select(*keys, "n", "rmssd", "minutes").join(known.bands.select(*keys, "total_power"), list(keys))
     n, ok = F.col("n"), (F.col("rmssd") > 10).cast("int") + (F.col("total_power") > 100).cast("int")
     quality = F.when(n < 50, "poor").when(n < 200, "fair").when(n < 500, "good").otherwise("excellent")
     advice = F.array_compact(F.array(F.when(n < 50, "insufficient data").when(n < 200, "short recording"), F.when(F.col("rmssd") <= 10, "low rmssd"), F.when(F.col("total_power") <= 100, "low power"), F.when(ok < 2, "consider preprocessing")))
     return j.select(*keys, n.alias("n_intervals"), quality.alias("data_quality"), F.when(ok == 2, "high").otherwise("low").alias("reliability"), "minutes", F.when(F.size(advice) > 0, F.array_join(advice, ";")).otherwise("acceptable").alias("recommendations"))
 
 
-DOMAINS = {"time": time_domain, "frequency": frequency_domain, "nonlinear": nonlinear, "parasympathetic": parasympathetic, "sympathetic": sympathetic, "ans": ans_balance}
+DOMAINS = {
+    "time": time_domain,
+    "frequency": lambda rr, keys, shared: shared.bands,
+    "nonlinear": nonlinear,
+    "parasympathetic": parasympathetic,
+    "sympathetic": sympathetic,
+    "ans": ans_balance,
+}
 
 
 def analyse(rr: DataFrame, domains: Sequence[str] = tuple(DOMAINS), keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """The chosen domains side by side, columns named domain_metric."""
-    out = None
+    """The chosen domains side by side, columns named domain_metric. Beats, moments and bands are made once for all of them."""
+    known, out = Shared.settled(rr, keys), None
     for d in domains:
-        part = DOMAINS[d](rr, keys)
+        part = DOMAINS[d](known.beats, keys, known)
         part = part.select(*keys, *[F.col(c).alias(f"{d}_{c}") for c in part.columns if c not in keys])
         out = part if out is None else out.join(part, list(keys))
     return out
+
+
+#: Columns of the phase table and the analysis columns that they are taken from.
+PHASE_ROW = {
+    "mean_nni": "time_mean_nni", "sdnn": "time_sdnn", "rmssd": "time_rmssd", "pnn50": "time_pnn50", "pnn20": "time_pnn20", "cvnn": "time_cvnn", "cvsd": "time_cvsd", "mean_hr": "time_mean_hr", "std_hr": "time_std_hr", "min_hr": "time_min_hr", "max_hr": "time_max_hr",
+    "vlf_power": "frequency_vlf_power", "lf_power": "frequency_lf_power", "hf_power": "frequency_hf_power", "total_power": "frequency_total_power", "lf_nu": "frequency_lf_nu", "hf_nu": "frequency_hf_nu", "lf_hf_ratio": "frequency_lf_hf_ratio",
+    "sd1": "nonlinear_sd1", "sd2": "nonlinear_sd2", "sd1_sd2_ratio": "nonlinear_sd1_sd2_ratio", "ellipse_area": "nonlinear_ellipse_area", "dfa_alpha1": "nonlinear_dfa_alpha1", "dfa_alpha2": "nonlinear_dfa_alpha2", "sample_entropy": "nonlinear_sample_entropy",
+    "triangular_index": "nonlinear_triangular_index", "tinn": "nonlinear_tinn", "parasympathetic_index": "parasympathetic_parasympathetic_index", "rsa_amplitude": "parasympathetic_rsa_amplitude", "vagal_tone_index": "parasympathetic_vagal_tone_index",
+    "stress_index": "sympathetic_stress_index", "sympathetic_index": "sympathetic_sympathetic_index", "cardiac_sympathetic_index": "sympathetic_cardiac_sympathetic_index", "autonomic_balance": "ans_autonomic_balance", "sympathovagal_index": "ans_sympathovagal_index",
+    "ans_complexity": "ans_ans_complexity", "cardiac_autonomic_balance": "ans_cardiac_autonomic_balance", "autonomic_reactivity": "ans_autonomic_reactivity", "baroreflex_sensitivity": "ans_baroreflex_sensitivity",
+}
+
+
+def phase_rows(analysis: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """One wide row per segment with the plain names that phase comparisons use."""
+    return analysis.select(*keys, *[F.col(c).alias(name) for name, c in PHASE_ROW.items()])

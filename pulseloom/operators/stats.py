@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import median, ratio
+from pulseloom.functions.columns import correlation, median, ratio
 from pulseloom.functions.dist import normal_quantile, p_chi2, p_f, p_t, p_z
 
 
@@ -206,9 +206,9 @@ def correlations(df: DataFrame, metrics: list[str]) -> DataFrame:
     """a, b, n, r, p for all pairs of columns over rows that have both: one aggregation."""
     pairs = [(a, b) for k, a in enumerate(metrics) for b in metrics[k + 1 :]]
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double"))
-    per = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(both(a, b, a)).alias("n"), F.corr(both(a, b, a), both(a, b, b)).alias("r")) for a, b in pairs]
+    per = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(both(a, b, a)).alias("n"), correlation(both(a, b, a), both(a, b, b)).alias("r")) for a, b in pairs]
     d = df.agg(F.array(*per).alias("x")).select(F.inline("x"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     return d.withColumn("p_value", p_t(t, F.col("n") - 2))
 
 

@@ -266,7 +266,7 @@ REACT = """rw AS (SELECT {keys}, n, least(30, n // 10) AS size, (i - 1) // least
 rs AS (SELECT {keys}, win, stddev_pop(rr) AS sd FROM rw WHERE win * size < n - size GROUP BY ALL),
 rx AS (SELECT {keys}, CASE WHEN count(*) > 1 THEN least(1, CASE WHEN avg(sd) > 0 THEN stddev_pop(sd) / avg(sd) ELSE 0 END) ELSE 0 END AS v FROM rs GROUP BY {keys})"""
 query("h21_reactivity", f"WITH {nn_sql('subject')}, {REACT.format(keys='subject')} SELECT subject, round(coalesce(v, 0), 6) AS autonomic_reactivity FROM (SELECT DISTINCT subject FROM nn) LEFT JOIN rx USING (subject)")(lambda s, d: hrv.reactivity(beats(s, d, SUBJECT), SUBJECT))
-query("h22_baroreflex", f"WITH {nn_sql('subject')}, n2 AS (SELECT subject, d, lead(d) OVER (PARTITION BY subject ORDER BY i) AS d2 FROM dd) SELECT subject, round(CASE WHEN count(*) >= 100 THEN least(20, 20 * abs(coalesce(corr(-d, d2), 0))) ELSE 0 END, 6) AS baroreflex_sensitivity FROM n2 GROUP BY subject")(
+query("h22_baroreflex", f"WITH {nn_sql('subject')}, n2 AS (SELECT subject, d, lead(d) OVER (PARTITION BY subject ORDER BY i) AS d2 FROM dd) SELECT subject, round(CASE WHEN count(*) >= 100 THEN least(20, 20 * abs(coalesce(nullif(corr(-d, d2), 'nan'::DOUBLE), 0))) ELSE 0 END, 6) AS baroreflex_sensitivity FROM n2 GROUP BY subject")(
     lambda s, d: hrv.baroreflex(beats(s, d, SUBJECT), SUBJECT)
 )
 query(
@@ -274,8 +274,28 @@ query(
     f"""WITH {nn_sql('subject')}, cg AS (SELECT subject, scale, (i - 1) // scale + 1 AS i, avg(rr) AS rr FROM (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM nn), (VALUES (1), (2), (4), (8)) AS v(scale) WHERE n >= 100 AND ((i - 1) // scale + 1) * scale <= n GROUP BY ALL),
 {entropy_sql('subject, scale', 'cg', 51)} SELECT subject, round(coalesce(avg(e), 0), 6) AS ans_complexity FROM (SELECT DISTINCT subject FROM nn) LEFT JOIN en USING (subject) GROUP BY subject""",
 )(lambda s, d: hrv.complexity(beats(s, d, SUBJECT), SUBJECT))
-query("h14_rsa_coupling")(lambda s, d: hrv.rsa_coupling(beats(s, d, SUBJECT), SUBJECT))
-query("h19_ans_balance")(lambda s, d: hrv.ans_balance(beats(s, d)))
+COUPLING = f"""WITH {nn_sql('subject')},
+wn AS (SELECT subject, i, rr, n, size, size // 2 AS hop, CAST(ceil((n - size) / (size // 2)) AS BIGINT) AS windows FROM (SELECT *, least(60, n // 4) AS size FROM (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM nn) WHERE n >= 100)),
+w2 AS (SELECT subject, win, i - win * hop AS i, rr FROM (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((i - size) / hop) AS BIGINT)), least(windows - 1, (i - 1) // hop))) AS win FROM wn)),
+{SPECTRUM.format(keys='subject, win').replace('FROM nn', 'FROM w2')},
+wr AS (SELECT subject, win, coalesce(sqrt(avg(d * d)), 0) AS rmssd FROM (SELECT *, rr - lag(rr) OVER (PARTITION BY subject, win ORDER BY i) AS d FROM w2) GROUP BY subject, win),
+cr AS (SELECT subject, CASE WHEN count(*) > 3 THEN coalesce(nullif(corr(hf_power, rmssd), 'nan'::DOUBLE), 0) ELSE 0 END AS r FROM fd JOIN wr USING (subject, win) GROUP BY subject)"""
+query("h14_rsa_coupling", COUPLING + " SELECT subject, round(coalesce(r, 0), 6) AS rsa_coupling_index FROM (SELECT DISTINCT subject FROM nn) LEFT JOIN cr USING (subject)")(lambda s, d: hrv.rsa_coupling(beats(s, d, SUBJECT), SUBJECT))
+ANS = f"""{_ALL}, {SYMP}, {REACT.format(keys=SEG)},
+cg AS (SELECT subject, sol, scale, (i - 1) // scale + 1 AS i, avg(rr) AS rr FROM (SELECT *, count(*) OVER (PARTITION BY subject, sol) AS n FROM nn), (VALUES (1), (2), (4), (8)) AS v(scale) WHERE n >= 100 AND ((i - 1) // scale + 1) * scale <= n GROUP BY ALL),
+{entropy_sql('subject, sol, scale', 'cg', 51)},
+cx AS (SELECT subject, sol, avg(e) AS c FROM en GROUP BY subject, sol),
+bf AS (SELECT subject, sol, CASE WHEN count(*) >= 100 THEN least(20, 20 * abs(coalesce(nullif(corr(-d, d2), 'nan'::DOUBLE), 0))) ELSE 0 END AS b FROM (SELECT *, lead(d) OVER (PARTITION BY subject, sol ORDER BY i) AS d2 FROM dd) GROUP BY subject, sol),
+aj AS (SELECT subject, sol, sj.lf_hf_ratio, autonomic_balance, parasympathetic_index AS pa, sympathetic_index AS sy, stress_index AS st, coalesce(c, 0) AS ans_complexity, coalesce(v, 0) AS autonomic_reactivity, b AS baroreflex_sensitivity,
+ least(1, CASE WHEN sj.hf_nu > 0 THEN sj.lf_nu / sj.hf_nu ELSE 10 END / 10) AS traditional FROM sj JOIN pj USING (subject, sol) LEFT JOIN cx USING (subject, sol) LEFT JOIN rx USING (subject, sol) JOIN bf USING (subject, sol)),
+ab AS (SELECT *, (traditional + CASE WHEN st + pa * 100 > 0 THEN st / (st + pa * 100) ELSE 0.5 END) / 2 AS sympathovagal_index, CASE WHEN pa + sy > 0 THEN pa / (pa + sy) ELSE 0.5 END AS cardiac_autonomic_balance FROM aj)"""
+ANS_COLUMNS = ("lf_hf_ratio", "autonomic_balance", "sympathovagal_index", "ans_complexity", "cardiac_autonomic_balance", "autonomic_reactivity", "baroreflex_sensitivity")
+query("h19_ans_balance", f"{ANS} SELECT subject, sol, {r4(*ANS_COLUMNS)} FROM ab")(lambda s, d: rounded(hrv.ans_balance(beats(s, d)), 4))
+query(
+    "h32_extended",
+    f"""WITH {nn_sql()}, {POINCARE.format(keys=SEG)}, mr AS (SELECT subject, sol, quantile_cont(rr, 0.5) AS median_nn, max(rr) - min(rr) AS range_nn FROM nn GROUP BY subject, sol)
+SELECT subject, sol, {r6('median_nn', 'range_nn')}, round(CASE WHEN sd1 > 0 THEN sd2 / sd1 ELSE 0 END, 6) AS csi, round(CASE WHEN sd1 > 0 AND sd2 > 0 THEN log10(16 * sd1 * sd2) ELSE 0 END, 6) AS cvi, round(CASE WHEN sd1 > 0 THEN 4 * sd2 * sd2 / sd1 ELSE 0 END, 4) AS modified_csi FROM pc JOIN mr USING (subject, sol)""",
+)(lambda s, d: rounded(hrv.extended(beats(s, d))).withColumn("modified_csi", F.round("modified_csi", 4)))
 query(
     "h25_analysis_quality",
     f"""{_ALL}, qq AS (SELECT subject, sol, n, rmssd, total_power, (SELECT sum(rr) / 60000 FROM nn WHERE nn.subject = tt.subject AND nn.sol = tt.sol) AS minutes FROM tt JOIN fd USING (subject, sol)),
@@ -283,4 +303,29 @@ qa AS (SELECT *, list_filter([CASE WHEN n < 50 THEN 'insufficient data' WHEN n <
 SELECT subject, sol, n AS n_intervals, CASE WHEN n < 50 THEN 'poor' WHEN n < 200 THEN 'fair' WHEN n < 500 THEN 'good' ELSE 'excellent' END AS data_quality, CASE WHEN rmssd > 10 AND total_power > 100 THEN 'high' ELSE 'low' END AS reliability, round(minutes, 6) AS minutes,
 CASE WHEN len(a) > 0 THEN array_to_string(a, ';') ELSE 'acceptable' END AS recommendations FROM qa""",
 )(lambda s, d: hrv.analysis_quality(beats(s, d)))
-query("h26_all_domains")(lambda s, d: hrv.analyse(beats(s, d), ("time", "frequency")))
+_TEMPLATES = entropy_sql(SEG).replace("tp ", "tn ").replace("hc ", "hn ").replace("en AS", "es AS")
+_PEAK128 = _histogram(128, SEG).replace("lim ", "lim2 ").replace("JOIN lim", "JOIN lim2").replace("hb ", "hb2 ").replace("FROM hb", "FROM hb2").replace("pk AS", "pk2 AS").replace("hb22", "hb2").replace("lim22", "lim2")
+ALL_DOMAINS = f"""{ANS}, {DFA.format(keys=SEG)}, {_TEMPLATES}, {_PEAK128},
+nl AS (SELECT subject, sol, sd1, sd2, CASE WHEN sd1 > 0 THEN sd2 / sd1 ELSE 0 END AS sd1_sd2_ratio, pi() * sd1 * sd2 AS ellipse_area, dfa_alpha1, dfa_alpha2, coalesce(e, 0) AS sample_entropy, coalesce(e, 0) AS approximate_entropy, CASE WHEN n >= 50 THEN 2 * n / peak ELSE 0 END AS tinn, CASE WHEN n >= 50 THEN n / peak ELSE 0 END AS triangular_index
+ FROM pc JOIN df USING (subject, sol) LEFT JOIN es USING (subject, sol) JOIN pk2 USING (subject, sol))"""
+DOMAIN_SQL = {
+    "time": ("tt", ("n", "mean_nni", "sdnn", "rmssd", "nn50", "pnn50", "nn20", "pnn20", "sdsd", "cvsd", "cvnn", "mcv_nni", "median_nni", "mad_nni", "mean_hr", "std_hr", "min_hr", "max_hr")),
+    "frequency": ("fd", FREQUENCY_COLUMNS),
+    "nonlinear": ("nl", ("sd1", "sd2", "sd1_sd2_ratio", "ellipse_area", "dfa_alpha1", "dfa_alpha2", "sample_entropy", "approximate_entropy", "tinn", "triangular_index")),
+    "parasympathetic": ("pj", ("hf_power", "rmssd", "pnn50", "sd1", "hf_nu", "parasympathetic_index", "rsa_amplitude", "respiratory_frequency", "hf_rmssd_ratio", "vagal_tone_index", "respiratory_coherence")),
+    "sympathetic": ("sj", ("lf_power", "lf_nu", "lf_hf_ratio", "stress_index", "sympathetic_index", "autonomic_balance", "sympathovagal_balance", "cardiac_sympathetic_index", "sympathetic_modulation", "beta_adrenergic_sensitivity")),
+    "ans": ("ab", ANS_COLUMNS),
+}
+_WHOLE = {"n", "nn50", "nn20"}
+
+
+def _domains(columns: dict[str, str], digits: int) -> str:
+    """The given analysis columns, renamed."""
+    named = {f"{d}_{c}": (f"{t}.{c}", c) for d, (t, cs) in DOMAIN_SQL.items() for c in cs}
+    shown = ", ".join(f"{named[c][0]} AS {name}" if named[c][1] in _WHOLE else f"round({named[c][0]}, {digits}) AS {name}" for name, c in columns.items())
+    joins = " ".join(f"JOIN {t} USING (subject, sol)" for t, _ in list(DOMAIN_SQL.values())[1:])
+    return f"{ALL_DOMAINS} SELECT subject, sol, {shown} FROM tt {joins}"
+
+
+query("h26_all_domains", _domains({f"{d}_{c}": f"{d}_{c}" for d, (_, cs) in DOMAIN_SQL.items() for c in cs}, 3))(lambda s, d: rounded(hrv.analyse(beats(s, d)), 3))
+query("h31_phase_rows", _domains(hrv.PHASE_ROW, 3))(lambda s, d: rounded(hrv.phase_rows(hrv.analyse(beats(s, d))), 3))
