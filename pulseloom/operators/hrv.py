@@ -146,12 +146,13 @@ def psd(rr: DataFrame, keys: Sequence[str] = SEGMENT, hz: float = 4.0, longest:
     weighted and transformed: grid points go to their windows by explode, a row per window carries its points, and numpy
     transforms these rows in Arrow batches.
     """
-    grid = resample(rr, keys, hz, centre=True)
-    fit = grid.groupBy(*keys).agg(F.count("*").alias("big_n"), F.regr_slope("x", "g").alias("slope"), F.regr_intercept("x", "g").alias("icpt"))
-    beats = rr.groupBy(*keys).agg(F.count("*").alias("beats")).where(F.col("beats") >= least).select(*keys)
-    fit = fit.join(beats, list(keys)).withColumn("m", F.least(F.floor(F.col("big_n") / 4), F.lit(longest)).cast("int")).where("m >= 4 and big_n >= 10")
-    fit = fit.withColumn("hop", F.col("m") - F.floor(F.col("m") / 2).cast("int")).withColumn("windows", (F.floor((F.col("big_n") - F.col("m")) / F.col("hop")) + 1).cast("int"))
-    d = grid.join(fit, list(keys)).withColumn("x", F.col("x") - F.col("slope") * F.col("g") - F.col("icpt"))
+    # All windows below are over the segment: one exchange serves them.
+    whole = Window.partitionBy(*keys)
+    grid = resample(rr.withColumn("beats", F.count("*").over(whole)).where(F.col("beats") >= least), keys, hz, centre=True)
+    d = grid.withColumns({"big_n": F.count("*").over(whole), "slope": F.regr_slope("x", "g").over(whole), "icpt": F.regr_intercept("x", "g").over(whole)})
+    d = d.withColumn("m", F.least(F.floor(F.col("big_n") / 4), F.lit(longest)).cast("int")).where("m >= 4 and big_n >= 10")
+    d = d.withColumn("hop", F.col("m") - F.floor(F.col("m") / 2).cast("int")).withColumn("windows", (F.floor((F.col("big_n") - F.col("m")) / F.col("hop")) + 1).cast("int"))
+    d = d.withColumn("x", F.col("x") - F.col("slope") * F.col("g") - F.col("icpt"))
     first = F.greatest(F.lit(0), F.ceil((F.col("g") - F.col("m") + 1) / F.col("hop")))
     last = F.least(F.col("windows") - 1, F.floor(F.col("g") / F.col("hop")))
     d = d.withColumns({"first": first.cast("int"), "last": last.cast("int")}).where("first <= last")
@@ -238,18 +239,24 @@ def dfa(rr: DataFrame, keys: Sequence[str] = SEGMENT, max_boxes: int | None = No
     return rr.select(*keys).distinct().join(got, list(keys), "left").fillna(0.0)
 
 
+LONG = 5000  # beats from which templates are bucketed by two values
+
+
 def entropy(rr: DataFrame, keys: Sequence[str] = SEGMENT, m: int = 2, r: float = 0.2, least: int = 50) -> DataFrame:
     """phi(m) - phi(m + 1) with self-matches, all templates, tolerance r x sd; 0 below `least` beats.
 
-    Templates meet only in neighbouring buckets of their first two values, as wide as the tolerance.
+    Templates meet only in neighbouring buckets of their first value, in segments of LONG beats and more of their first two, as
+    wide as the tolerance.
     """
     w = Window.partitionBy(*keys)
     o = w.orderBy("i")
     d = rr.withColumns({"n": F.count("*").over(w), "tol": r * F.stddev_pop("rr").over(w)}).where(F.col("n") >= least)
     d = d.select(*keys, "i", "n", "tol", *[F.lead("rr", k).over(o).alias(f"x{k}") for k in range(m + 1)]).where(F.col(f"x{m - 1}").isNotNull())
     bucket = lambda x: F.floor(F.col(x) / F.when(F.col("tol") > 0, F.col("tol")).otherwise(1.0))
-    a = d.withColumn("cell", F.struct(bucket("x0").alias("p"), bucket(f"x{min(1, m - 1)}").alias("q")))
-    around = F.array(*[F.struct((F.col("cell.p") + p).alias("p"), (F.col("cell.q") + q).alias("q")) for p in (-1, 0, 1) for q in ((-1, 0, 1) if m > 1 else (p,))])
+    fine = (F.col("n") >= LONG) & F.lit(m > 1)
+    a = d.withColumn("cell", F.struct(bucket("x0").alias("p"), F.when(fine, bucket(f"x{min(1, m - 1)}")).otherwise(F.lit(0).cast("long")).alias("q")))
+    beside = lambda p, q: F.struct((F.col("cell.p") + p).alias("p"), (F.col("cell.q") + q).alias("q"))
+    around = F.when(fine, F.array(*[beside(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1)])).otherwise(F.array(*[beside(p, 0) for p in (-1, 0, 1)]))
     b = a.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)], F.explode(around).alias("b_cell"))
     near = F.col("cell") == F.col("b_cell")
     for k in keys:
