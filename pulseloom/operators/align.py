@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,41 @@ def on_grid(signals: DataFrame, hz: float, keys: Sequence[str] = ("signal_id",))
     return d.select(*keys, "g", (F.col("value") + (F.col("g") / hz - F.col("t")) / (F.col("t2") - F.col("t")) * (F.col("v2") - F.col("value"))).alias("value"))
 
 
+def to_rate(signals: DataFrame, from_hz: float, to_hz: float, keys: Sequence[str] = ("signal_id",)) -> DataFrame:
+    """keys, g, value at multiples of 1 / to_hz: means of buckets where the rate goes down, lines between samples where it goes up."""
+    if from_hz <= 0 or to_hz <= 0:
+        raise ValueError("rates are over 0")
+    if to_hz >= from_hz:
+        return on_grid(signals, to_hz, keys)
+    return signals.groupBy(*keys, F.floor(F.col("t") * to_hz).alias("g")).agg(F.avg("value").alias("value"))
+
+
+def filter_weights(kind: str, hz: float, low: float | None = None, high: float | None = None, taps: int = 33) -> list[float]:
+    """Weights of a windowed-sinc low-, high- or band-pass; `low` and `high` are its edges in Hz, below half the rate."""
+    edges = {"low": (high,), "high": (low,), "band": (low, high)}.get(kind)
+    if edges is None:
+        raise ValueError(f"kind is low, high or band, not {kind}")
+    if any(e is None or not 0 < e < hz / 2 for e in edges) or (kind == "band" and low >= high):
+        raise ValueError("edges lie between 0 and half the rate, the lower one first")
+    if taps < 3 or taps % 2 == 0:
+        raise ValueError("taps are odd, 3 at least")
+    at = np.arange(taps) - taps // 2
+    pass_below = lambda edge: (lambda w: w / w.sum())(np.sinc(2 * edge / hz * at) * np.hamming(taps))
+    one = (at == 0).astype(float)
+    weights = pass_below(high) if kind == "low" else one - pass_below(low) if kind == "high" else pass_below(high) - pass_below(low)
+    return weights.tolist()
+
+
+def filtered(signals: DataFrame, weights: Sequence[float], keys: Sequence[str] = ("signal_id",), order: str = "g", value: str = "value") -> DataFrame:
+    """filtered: the weighted sum around each row; null where the window isn't full."""
+    half, w = len(weights) // 2, Window.partitionBy(*keys).orderBy(order)
+    total = None
+    for k, weight in enumerate(weights):
+        x = (F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w) if k > half else F.col(value)) * float(weight)
+        total = x if total is None else total + x
+    return signals.withColumn("filtered", total)
+
+
 def align(a: DataFrame, b: DataFrame, hz: float) -> DataFrame:
     """Pairs of values of two signals (t, value) on the grid of their common range: an equi-join on the grid's index."""
     one = on_grid(a.withColumn("signal_id", F.lit(0)), hz).select("g", F.col("value").alias("value_a"))

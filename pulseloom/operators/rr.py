@@ -125,6 +125,15 @@ def savitzky_golay_weights(window: int, order: int) -> list[float]:
     return np.linalg.pinv(np.vander(at, order + 1, increasing=True))[0].tolist()
 
 
+def lowpass_weights(window: int) -> list[float]:
+    """Windowed-sinc weights that pass an eighth of the rate and less."""
+    import numpy as np
+
+    at = np.arange(window) - window // 2
+    raw = np.sinc(at / 4) * np.hamming(window)
+    return (raw / raw.sum()).tolist()
+
+
 def smooth(rr: DataFrame, how: str = "savgol", keys: Sequence[str] = SEGMENT, window: int = 5, order: int = 2) -> DataFrame:
     """smooth: Savitzky-Golay, median, or a windowed-sinc low pass; null where the window isn't full."""
     half, w = window // 2, Window.partitionBy(*keys).orderBy("i")
@@ -134,11 +143,7 @@ def smooth(rr: DataFrame, how: str = "savgol", keys: Sequence[str] = SEGMENT, wi
     if how == "savgol":
         weights = savitzky_golay_weights(window, order)
     elif how == "lowpass":
-        import numpy as np
-
-        at = np.arange(window) - half
-        raw = np.sinc(at / 4) * np.hamming(window)
-        weights = (raw / raw.sum()).tolist()
+        weights = lowpass_weights(window)
     else:
         raise ValueError(f"how is savgol, median or lowpass, not {how}")
     at = [F.lag("rr", half - k).over(w) if k < half else F.lead("rr", k - half).over(w) if k > half else F.col("rr") for k in range(window)]

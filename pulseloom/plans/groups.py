@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
 from pulseloom.operators import align, hrv, stats, timeagg
-from pulseloom.operators.clean import range_null
 from pulseloom.plans.base import SAMPLES, SUBJECT, beats, nn_sql
 from pulseloom.plans.hrv import TIME, r6
 from pulseloom.sources.samples import event_samples, table
@@ -204,5 +203,3 @@ query(
 z AS (SELECT *, CASE WHEN n >= 8 THEN avg(rest) OVER (PARTITION BY series_id, i % 4) - avg(rest) OVER (PARTITION BY series_id) ELSE 0 END AS seasonal FROM r) SELECT series_id, i, round(y, 3) AS y, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(rest - seasonal, 3) AS residual FROM z""",
 )(lambda s, d: rounded(stats.decompose(series(s, d)), 3))
 query("t23_icc", f"WITH {LONG}, {ANOVA.format(src='lg')}, n0 AS (SELECT metric, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS n0 FROM gm GROUP BY metric), q AS (SELECT metric, wi / (n - k) AS w, greatest(0, (b / (k - 1) - wi / (n - k)) / n0) AS bv FROM an JOIN n0 USING (metric)) SELECT metric, round(bv, 6) AS between_variance, round(w, 6) AS within_variance, round(bv / (bv + w), 6) AS icc FROM q")(lambda s, d: stats.intraclass(_long(s, d)))
-query("t27_required_n")(lambda s, d: stats.required_n(stats.effect_sizes(_long(s, d), "A", "R")).select("metric", "cohen_d", "required_n", "magnitude"))
-query("t30_phase_tests")(lambda s, d: stats.kruskal(timeagg.phases_by_range(event_samples(s, d)).select(F.lit("hr").alias("metric"), F.col("phase").alias("grp"), range_null(F.col("hr")).alias("value"))))

@@ -150,7 +150,6 @@ query(
     "r10_median",
     f"""WITH {nn_sql()}, l AS (SELECT *, list(rr) OVER (PARTITION BY subject, sol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS five FROM nn) SELECT subject, sol, i, round(CASE WHEN len(five) = 5 THEN list_sort(five)[3] END, 6) AS smooth FROM l""",
 )(lambda s, d: rr.smooth(beats(s, d), "median").select("subject", "sol", F.col("i").cast("long").alias("i"), "smooth"))
-query("r10_lowpass")(lambda s, d: rr.smooth(beats(s, d), "lowpass", window=9).select("subject", "sol", "i", "smooth"))
 QUALITY = f"""WITH {nn_sql()}, q AS (SELECT subject, sol, count(*) AS n_beats, avg(rr) AS mean_rr, stddev_pop(rr) AS sd_rr, coalesce(sqrt(avg(d * d)), 0) AS rmssd, count(*) FILTER (abs(d) > 50) AS nn50 FROM dd GROUP BY subject, sol),
 z AS (SELECT *, CASE WHEN n_beats > 1 THEN 100 * nn50 / (n_beats - 1) ELSE 0 END AS pnn50, (least(1, n_beats / 100) + least(1, sd_rr / mean_rr / 0.1::DOUBLE) + least(1, rmssd / 30)) / 3 AS score FROM q)"""
 query(

@@ -119,7 +119,7 @@ def load_table(spark: SparkSession, name: str | None = None) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, the same ones each time: those of least hash of key and seed."""
-    return df.withColumn("pl_h", F.xxhash64(key, F.lit(seed))).orderBy("pl_h", key).limit(n).drop("pl_h")
+    return df.withColumn("pl_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("pl_h", key).limit(n).drop("pl_h")
 
 
 SAMPLES = "signal_id string, channel int, i long, t double, value double"
