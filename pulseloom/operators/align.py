@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.functions.ordered import beside, numbered
+
 
 def merge_external(df: DataFrame, others: dict[str, DataFrame], keys: Sequence[str] = ("subject",)) -> DataFrame:
     """Left joins one source after the other; columns that df has already get _name; a source without the keys is left out."""
@@ -27,8 +29,7 @@ def match_rate(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFram
 
 def on_grid(signals: DataFrame, hz: float, keys: Sequence[str] = ("signal_id",)) -> DataFrame:
     """Every signal at multiples of 1 / hz within its own range, linearly between samples: keys, g, value."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = signals.withColumns({"t2": F.lead("t").over(w), "v2": F.lead("value").over(w)}).where("t2 > t")
+    d = beside(signals.select(*keys, "t", "value"), keys, ["t"], {"t2": "t", "v2": "value"}).where("t2 > t")
     d = d.withColumns({"low": F.ceil(F.col("t") * hz), "high": F.ceil(F.col("t2") * hz) - 1}).where("low <= high")
     d = d.withColumn("g", F.explode(F.sequence("low", "high")))
     return d.select(*keys, "g", (F.col("value") + (F.col("g") / hz - F.col("t")) / (F.col("t2") - F.col("t")) * (F.col("v2") - F.col("value"))).alias("value"))
@@ -78,5 +79,6 @@ def align(a: DataFrame, b: DataFrame, hz: float) -> DataFrame:
 
 def pair_by_position(df: DataFrame, group: str, value: str, order: Sequence[str], a: str, b: str) -> DataFrame:
     """position, x, y: the k-th values of two groups; what one has more than the other is left out."""
-    d = df.where(F.col(group).isin(a, b)).withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    d = df.where(F.col(group).isin(a, b)).select(group, value, *order)
+    d = numbered(d, [group], order, "position")
     return d.where(F.col(group) == a).select("position", F.col(value).alias("x")).join(d.where(F.col(group) == b).select("position", F.col(value).alias("y")), "position")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pulseloom.functions.dist import beta_inc, normal_cdf, p_chi2, p_f, p_t, t_two_sided
+from pulseloom.functions.ordered import running
 from pulseloom.operators.models import anderson_darling, ks_normal, ols, with_residuals
 from pulseloom.operators.stats import levene, wilcoxon
 
@@ -111,8 +112,7 @@ def aligned_ranks(blocks: DataFrame) -> DataFrame:
     """The repeated-measures F over the ranks of values less their block's mean, ranked within the metric by counts of distinct values."""
     d = blocks.withColumn("aligned", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("metric", "block")), 9))
     c = d.groupBy("metric", "aligned").agg(F.count("*").alias("c"))
-    ahead = F.coalesce(F.sum("c").over(Window.partitionBy("metric").orderBy("aligned").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.select("metric", "aligned", (ahead + (F.col("c") + 1) / 2).alias("rank"))
+    c = running(c, ["metric"], "aligned", {"ahead": F.col("c")}).select("metric", "aligned", (F.col("ahead") + (F.col("c") + 1) / 2).alias("rank"))
     return repeated_anova(d.join(c, ["metric", "aligned"]).select("metric", "grp", "block", F.col("rank").alias("value")))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import SEGMENT
 from pulseloom.functions.dist import p_chi2, p_t
+from pulseloom.functions.ordered import running
 from pulseloom.operators.stats import anova, kruskal, regression
 
 
@@ -38,8 +39,7 @@ def normal_score(p: Column) -> Column:
 def _cumulated(long: DataFrame) -> DataFrame:
     """metric, grp, value, c, ahead, n: distinct values with how many come before."""
     c = long.where(F.col("value").isNotNull()).groupBy("metric", "grp", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("metric", "grp")
-    return c.withColumns({"ahead": F.coalesce(F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(w)})
+    return running(c, ["metric", "grp"], "value", {"ahead": F.col("c")}, totals=True).withColumnRenamed("total_ahead", "n")
 
 
 def ks_normal(long: DataFrame) -> DataFrame:

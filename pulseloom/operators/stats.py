@@ -1,7 +1,7 @@
 """Group statistics over a long table (metric, grp, value): all metrics in one job.
 
-Moment tests take one aggregation. Rank tests take counts per distinct (metric, value) and their running sum, so ties are
-exact and raw rows are never sorted in one task beyond a metric's distinct values.
+Moment tests take one aggregation. Rank tests take counts per distinct (metric, value) and their running sum over slices of the
+values, so ties are exact and no task sorts a whole metric.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import correlation, median, ratio
 from pulseloom.functions.dist import normal_quantile, p_chi2, p_f, p_t, p_z
+from pulseloom.functions.ordered import running
 
 
 def describe(long: DataFrame) -> DataFrame:
@@ -66,9 +67,7 @@ def effect_sizes(long: DataFrame, a: str, b: str) -> DataFrame:
     na, nb, va, vb, diff = F.col("na"), F.col("nb"), F.col("va"), F.col("vb"), F.col("ma") - F.col("mb")
     d = F.try_divide(diff, F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)))
     m = m.select("metric", d.alias("cohen_d"), (d * (1 - 3 / (4 * (na + nb) - 9))).alias("hedges_g"), F.try_divide(diff, F.sqrt(vb)).alias("glass_delta"), F.try_divide(100 * diff, F.col("mb")).alias("percent_difference"), (d / F.sqrt(d * d + (na + nb) * (na + nb) / (na * nb))).alias("point_biserial"), (na * nb).alias("pairs"))
-    c = value_counts(long, a, b)
-    w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("cb").over(w), F.lit(0)))
+    c = running(value_counts(long, a, b), ["metric"], "value", {"below": F.col("cb")})
     wins = c.groupBy("metric").agg(F.sum(F.col("ca") * (F.col("below") + F.col("cb") / 2)).alias("wins"))
     return m.join(wins, "metric").withColumn("cles", F.col("wins") / F.col("pairs")).drop("wins", "pairs")
 
@@ -81,10 +80,8 @@ def value_counts(long: DataFrame, a: str, b: str) -> DataFrame:
 
 def mann_whitney(long: DataFrame, a: str, b: str) -> DataFrame:
     """U of a, rank-biserial correlation, z with tie correction and p."""
-    c = value_counts(long, a, b)
-    w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("ca") + F.col("cb")
-    c = c.withColumn("rank", F.coalesce(F.sum(t).over(w), F.lit(0)) + (t + 1) / 2)
+    c = running(value_counts(long, a, b), ["metric"], "value", {"ahead": t}).withColumn("rank", F.col("ahead") + (t + 1) / 2)
     s = c.groupBy("metric").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("ca") * F.col("rank")).alias("ra"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     na, nb = F.col("na"), F.col("nb")
     n, u = na + nb, F.col("ra") - na * (na + 1) / 2
@@ -95,9 +92,8 @@ def mann_whitney(long: DataFrame, a: str, b: str) -> DataFrame:
 
 def ks_two_sample(long: DataFrame, a: str, b: str) -> DataFrame:
     """The greatest gap of the two distribution functions."""
-    c = value_counts(long, a, b)
-    w, all_ = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("metric")
-    gap = F.abs(F.sum("ca").over(w) / F.sum("ca").over(all_) - F.sum("cb").over(w) / F.sum("cb").over(all_))
+    c = running(value_counts(long, a, b), ["metric"], "value", {"a": F.col("ca"), "b": F.col("cb")}, totals=True)
+    gap = F.abs(F.try_divide(F.col("a") + F.col("ca"), "total_a") - F.try_divide(F.col("b") + F.col("cb"), "total_b"))
     return c.withColumn("gap", gap).groupBy("metric").agg(F.max("gap").alias("d"))
 
 
@@ -127,9 +123,8 @@ def levene(long: DataFrame) -> DataFrame:
 def rank_sums(long: DataFrame) -> DataFrame:
     """metric, grp, n, rank_sum with average ranks over all groups, and the metric's tie sum."""
     d = long.where(F.col("value").isNotNull())
-    c = d.groupBy("metric", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    c = running(d.groupBy("metric", "value").agg(F.count("*").alias("c")), ["metric"], "value", {"ahead": F.col("c")})
+    c = c.select("metric", "value", "c", (F.col("ahead") + (F.col("c") + 1) / 2).alias("rank"))
     ties = c.groupBy("metric").agg(F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"))
     g = d.groupBy("metric", "grp", "value").agg(F.count("*").alias("k")).join(c, ["metric", "value"])
     return g.groupBy("metric", "grp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("rank_sum")).join(ties, "metric")
@@ -182,8 +177,7 @@ def wilcoxon(pairs: DataFrame, key: str = "metric") -> DataFrame:
     """Signed-rank sums of pairs (x, y) without zero differences: w_plus, w_minus, z, p."""
     d = pairs.withColumn("d", F.round(F.col("x") - F.col("y"), 9)).where("d <> 0")
     c = d.groupBy(key, F.abs("d").alias("size")).agg(F.count_if(F.col("d") > 0).alias("plus"), F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    c = running(c, [key], "size", {"ahead": F.col("c")}).withColumn("rank", F.col("ahead") + (F.col("c") + 1) / 2)
     s = c.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("c") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"))
     n = F.col("n")
     s = s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48))
@@ -216,9 +210,8 @@ def ranked(df: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     """Average ranks of each column, joined back on the keys: the input of a Spearman matrix."""
     out = df.select(*keys)
     for m in metrics:
-        c = df.groupBy(m).agg(F.count("*").alias("c"))
-        w = Window.orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
-        c = c.select(F.col(m).alias("v"), (F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2).alias(f"r_{m}"))
+        c = running(df.groupBy(F.col(m).alias("v")).agg(F.count("*").alias("c")), [], "v", {"ahead": F.col("c")})
+        c = c.select("v", (F.col("ahead") + (F.col("c") + 1) / 2).alias(f"r_{m}"))
         out = out.join(df.select(*keys, m).join(c, F.col(m) == F.col("v")).select(*keys, f"r_{m}"), keys)
     return out.select(*keys, *[F.col(f"r_{m}").alias(m) for m in metrics])
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import median
+from pulseloom.functions.ordered import beside, running
+from pulseloom.operators.models import normal_score
 
 
 def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -90,6 +92,36 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) ->
     return d.groupBy(*keys, "bin", "left").agg(F.count("*").alias("n"))
 
 
+def rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """dt and rate: the time since the group's previous row, by the first column of `order`, and the change per unit of it; rows without one are left out."""
+    d = beside(df, keys, order, {"t_": order[0], "v_": value}, -1).withColumn("dt", F.col(order[0]) - F.col("t_")).where("dt > 0")
+    return d.withColumn("rate", (F.col(value) - F.col("v_")) / F.col("dt")).drop("t_", "v_")
+
+
+def quantile_plot(df: DataFrame, keys: Sequence[str], value: str, points: int = 200) -> DataFrame:
+    """k, theoretical, value: at most `points` values of each group in even steps of rank, the first and the last among them, beside the normal
+    quantile of (rank - 0.5) / n. Equal values take their places one after the other."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    c = running(c, keys, value, {"ahead": F.col("c")}, totals=True).withColumnRenamed("total_ahead", "n")
+    steps = F.least(F.col("n"), F.lit(points))
+    # Point k of `steps` stands for rank floor(k (n - 1) / (steps - 1)) + 1: the points whose ranks lie within a value's run of c.
+    rank = lambda k: F.when(steps > 1, F.floor(k * (F.col("n") - 1) / (steps - 1))).otherwise(F.lit(0)) + 1
+    first = F.ceil(F.col("ahead") * (steps - 1) / F.greatest(F.col("n") - 1, F.lit(1))) - 1
+    last = F.ceil((F.col("ahead") + F.col("c")) * (steps - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+    near = F.sequence(F.greatest(first, F.lit(0)), F.least(last, steps - 1))
+    d = c.withColumn("k", F.explode(near)).withColumn("rank", rank(F.col("k"))).where("rank > ahead and rank <= ahead + c")
+    return d.select(*keys, F.col("k").cast("int").alias("k"), normal_score((F.col("rank") - 0.5) / F.col("n")).alias("theoretical"), value)
+
+
+def pivot(df: DataFrame, by: Sequence[str], column: str, value: str, names: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
+    """Means of value, a row per `by` and a column per value of `column`: those in names, else all that occur, which may be `most` at the most."""
+    if names is None:
+        names = sorted(r[0] for r in df.select(F.col(column).cast("string")).distinct().where(F.col(column).isNotNull()).limit(most + 1).collect())
+        if len(names) > most:
+            raise ValueError(f"over {most} columns")
+    return df.groupBy(*by).pivot(column, list(names)).agg(F.avg(value))
+
+
 def autocorrelation(df: DataFrame, keys: Sequence[str], value: str = "x", at: str = "i", lags: int = 40) -> DataFrame:
     """lag, acf from 0 to `lags` for series numbered by `at`: shifted copies meet in one aggregation, without a self-join."""
     w = Window.partitionBy(*keys)

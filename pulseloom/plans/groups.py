@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
+from pulseloom.functions.ordered import numbered
 from pulseloom.operators import align, hrv, stats, timeagg
 from pulseloom.plans.base import SAMPLES, SUBJECT, beats, nn_sql
 from pulseloom.plans.hrv import TIME, r6
@@ -44,6 +45,7 @@ query("g4_day_night", f"WITH {SAMPLES} SELECT subject, hour(ts) >= 19 OR hour(ts
 query("g5_day_means", f"WITH {SAMPLES} SELECT subject, CAST(ts AS DATE) AS date, round(avg(hr), 6) AS mean, count(*) AS n FROM samples GROUP BY ALL")(lambda s, d: event_samples(s, d).groupBy("subject", F.to_date("ts").alias("date")).agg(F.avg("hr").alias("mean"), F.count("*").alias("n")))
 query("g6_ten_minutes", f"WITH {SAMPLES} SELECT subject, time_bucket(INTERVAL 10 MINUTE, ts) AS start, round(avg(hr), 6) AS mean, count(hr) AS n FROM samples GROUP BY ALL")(lambda s, d: timeagg.bucket_means(event_samples(s, d), SUBJECT, "10 minutes"))
 query("g9_pivot", f"WITH {SAMPLES} SELECT sol, round(avg(hr) FILTER (subject = 'click'), 6) AS click, round(avg(hr) FILTER (subject = 'view'), 6) AS view FROM samples GROUP BY sol")(lambda s, d: event_samples(s, d).groupBy("sol").pivot("subject", ["click", "view"]).agg(F.avg("hr")))
+query("g9_pivot_all", f"WITH {SAMPLES} SELECT sol, " + ", ".join(f"round(avg(hr) FILTER (subject = '{x}'), 6) AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM samples GROUP BY sol")(lambda s, d: timeagg.pivot(event_samples(s, d), ["sol"], "subject", "hr"))
 query("g10_completeness", "SELECT source, count(*) AS n, round(100 * count(lang) / count(*), 6) AS lang_percent, round(100 * count(quality) / count(*), 6) AS quality_percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")(
     lambda s, d: timeagg.completeness(table(s, d, "documents").select("doc_id", "source", "lang").join(table(s, d, "labels"), "doc_id", "left"), ("source",), ("lang", "quality"))
 )
@@ -64,6 +66,13 @@ query(
     f"""WITH {SAMPLES}, l AS (SELECT subject, min(hr) AS lo, max(hr) AS hi FROM samples GROUP BY subject), b AS (SELECT subject, lo, hi, least(CAST(floor((hr - lo) / (hi - lo) * 50) AS INT), 49) AS bin FROM samples JOIN l USING (subject))
 SELECT subject, bin, round(any_value(lo + bin * ((hi - lo) / 50)), 6) AS "left", count(*) AS n FROM b GROUP BY subject, bin""",
 )(lambda s, d: timeagg.histogram(event_samples(s, d), SUBJECT, "hr"))
+_T = "sqrt(-2 * ln(CASE WHEN p < 0.5 THEN p ELSE 1 - p END))"
+query(
+    "g16_quantile_plot",
+    f"""WITH {SAMPLES}, sz AS (SELECT subject, count(hr) AS n, least(count(hr), 200) AS steps FROM samples GROUP BY subject), rk AS (SELECT subject, hr, row_number() OVER (PARTITION BY subject ORDER BY hr) AS rank FROM samples WHERE hr IS NOT NULL),
+pt AS (SELECT subject, n, k, CASE WHEN steps > 1 THEN (k * (n - 1)) // (steps - 1) ELSE 0 END + 1 AS rank FROM sz, range(200) AS q(k) WHERE k < steps), pp AS (SELECT *, (rank - 0.5::DOUBLE) / n AS p FROM pt), tt AS (SELECT *, {_T} AS t FROM pp)
+SELECT subject, CAST(k AS INT) AS k, round((CASE WHEN p < 0.5 THEN -1 ELSE 1 END) * (t - (2.515517::DOUBLE + t * (0.802853::DOUBLE + t * 0.010328::DOUBLE)) / (1 + t * (1.432788::DOUBLE + t * (0.189269::DOUBLE + t * 0.001308::DOUBLE)))), 6) AS theoretical, round(hr, 6) AS hr FROM tt JOIN rk USING (subject, rank)""",
+)(lambda s, d: timeagg.quantile_plot(event_samples(s, d), SUBJECT, "hr"))
 query("g17_value_counts", "SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 10")(lambda s, d: table(s, d, "documents").groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(10))
 ROLL = "ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING"
 query("g18_rolling_mean", f"WITH {SAMPLES} SELECT subject, seq, round(avg(hr) OVER (PARTITION BY subject ORDER BY seq {ROLL.format(a=5, b=4)}), 6) AS rolling FROM samples")(lambda s, d: timeagg.rolling_mean(event_samples(s, d), SUBJECT, "seq", "hr", 10).select("subject", "seq", "rolling"))
@@ -76,7 +85,7 @@ query("g20_union", "SELECT subject, count(*) AS n FROM (SELECT event_type AS sub
     lambda s, d: event_samples(s, d).select("subject").unionByName(table(s, d, "lineitem").select(F.col("l_returnflag").alias("subject"))).groupBy("subject").agg(F.count("*").alias("n"))
 )
 query("g21_rates", f"WITH {SAMPLES}, x AS (SELECT subject, seq, t - lag(t) OVER w AS dt, hr - lag(hr) OVER w AS dh FROM samples WINDOW w AS (PARTITION BY subject ORDER BY t, seq)) SELECT subject, seq, round(dt, 6) AS dt, round(dh / dt, 6) AS rate FROM x WHERE dt > 0")(
-    lambda s, d: event_samples(s, d).withColumns({"dt": F.col("t") - F.lag("t").over(Window.partitionBy("subject").orderBy("t", "seq")), "dh": F.col("hr") - F.lag("hr").over(Window.partitionBy("subject").orderBy("t", "seq"))}).where("dt > 0").select("subject", "seq", "dt", (F.col("dh") / F.col("dt")).alias("rate"))
+    lambda s, d: timeagg.rates(event_samples(s, d), SUBJECT, ("t", "seq"), "hr").select("subject", "seq", "dt", "rate")
 )
 ACF = f"""WITH {nn_sql('subject')}, c AS (SELECT subject, i, rr - avg(rr) OVER (PARTITION BY subject) AS c FROM nn), v AS (SELECT subject, sum(c * c) AS v FROM c GROUP BY subject),
 af AS (SELECT a.subject, lag, sum(a.c * b.c) / any_value(v) AS acf FROM range(41) AS r(lag), c a JOIN c b ON a.subject = b.subject AND b.i = a.i + lag JOIN v ON v.subject = a.subject GROUP BY a.subject, lag)"""
@@ -162,7 +171,7 @@ query("t9_kruskal", f"WITH {LONG}, {RANKS}, h AS (SELECT metric, count(*) AS k,
     lambda s, d: stats.kruskal(_long(s, d)).drop("p_value").withColumn("h", F.round("h", 5))
 )
 query("t10_friedman", f"WITH {SAMPLES}, ps AS (SELECT subject, hr, row_number() OVER (PARTITION BY subject ORDER BY t, seq) AS block FROM samples), fb AS (SELECT block, subject, hr FROM ps QUALIFY count(*) OVER (PARTITION BY block) = 5), fr AS (SELECT subject, block, (rank() OVER (PARTITION BY block ORDER BY hr) * 2 + count(*) OVER (PARTITION BY block, hr) - 1) / 2 AS r FROM fb), fs AS (SELECT subject, sum(r) AS r, count(*)::DOUBLE AS n FROM fr GROUP BY subject), fq AS (SELECT count(*) AS k, max(n) AS n, 12 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3 * max(n) * (count(*) + 1) AS chi2 FROM fs) SELECT 'hr' AS metric, round(chi2, 6) AS chi2, round(chi2 / (n * (k - 1)), 6) AS kendall_w FROM fq")(
-    lambda s, d: stats.friedman(event_samples(s, d).select(F.lit("hr").alias("metric"), F.col("subject").alias("grp"), F.col("hr").alias("value"), F.row_number().over(Window.partitionBy("subject").orderBy("t", "seq")).alias("block")).withColumn("c", F.count("*").over(Window.partitionBy("block"))).where("c = 5").drop("c")).drop("p_value")
+    lambda s, d: stats.friedman(numbered(event_samples(s, d), SUBJECT, ("t", "seq"), "block").select(F.lit("hr").alias("metric"), F.col("subject").alias("grp"), F.col("hr").alias("value"), "block").withColumn("c", F.count("*").over(Window.partitionBy("block"))).where("c = 5").drop("c")).drop("p_value")
 )
 query("t12_pairwise", f"WITH {LONG}, gm AS (SELECT metric, grp, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM lg GROUP BY metric, grp) SELECT a.metric, a.grp AS a, b.grp AS b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS df, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) * (1 - 3 / (4 * (a.n + b.n) - 9)), 6) AS hedges_g FROM gm a JOIN gm b ON a.metric = b.metric AND a.grp < b.grp")(
     lambda s, d: stats.pairwise(_long(s, d)).drop("p_value", "p_bonferroni", "p_bh").withColumn("df", F.round("df", 4))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
+from pulseloom.functions.ordered import numbered
 from pulseloom.operators import align, hrv, inference, rr, stats, timeagg
 from pulseloom.plans.base import SAMPLES, beats, nn_sql
 from pulseloom.plans.groups import ANOVA, LONG, METRICS, _long
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
 
 def blocks(s, d):
     """The k-th values of all five subjects as block k."""
-    e = event_samples(s, d).select(F.lit("hr").alias("metric"), F.col("subject").alias("grp"), F.col("hr").alias("value"), F.row_number().over(Window.partitionBy("subject").orderBy("t", "seq")).cast("long").alias("block"))
+    e = numbered(event_samples(s, d), ("subject",), ("t", "seq"), "block").select(F.lit("hr").alias("metric"), F.col("subject").alias("grp"), F.col("hr").alias("value"), "block")
     return e.withColumn("c", F.count("*").over(Window.partitionBy("block"))).where("c = 5").drop("c")
 
 
