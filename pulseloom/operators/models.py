@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions.columns import SEGMENT
 from pulseloom.functions.dist import p_chi2, p_t
 from pulseloom.functions.ordered import running
+from pulseloom.operators.hrv import frequency_domain
 from pulseloom.operators.stats import anova, kruskal, regression
 
 
@@ -197,18 +198,70 @@ def factors(df: DataFrame, outcome: str, categorical: Sequence[str], continuous:
     return groups, regression(rows, ["factor"], "y", "x")
 
 
+def _draw(keys: Sequence[str], n: Column, seed: int) -> Column:
+    """The beat that draw p of repetition rep takes, 1 to n, from a hash of segment, repetition and draw."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("p").cast("string"), F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n + 1).cast("int")
+
+
+def resampled(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3) -> DataFrame:
+    """keys, rep, i, rr: each repetition's n draws of a segment's n beats, numbered anew; a join on the beat's number, no sort of raw beats."""
+    d = rr.select(*keys, F.col("i").cast("int").alias("i"), "rr")
+    draws = d.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).select(*keys, F.col("i").alias("p"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return draws.withColumn("i", _draw(keys, F.col("n"), seed)).join(d, [*keys, "i"]).select(*keys, "rep", F.col("p").alias("i"), "rr")
+
+
+def _interval(names: Sequence[str], level: float) -> list[Column]:
+    tail = (1 - level) / 2
+    return [F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in names for name, q in (("low", tail), ("high", 1 - tail))]
+
+
 def bootstrap_intervals(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3, level: float = 0.95) -> DataFrame:
-    """low and high of sdnn, rmssd, pnn50, sd1 and sd2 per segment over resampled beats; resampling loses their order.
+    """low and high of sdnn, rmssd, pnn50, sd1 and sd2 per segment over resampled beats; resampling loses their order."""
+    o = Window.partitionBy(*keys, "rep").orderBy("i")
+    got = resampled(rr, keys, reps, seed).withColumns({"d": F.col("rr") - F.lag("rr").over(o), "s": F.col("rr") + F.lag("rr").over(o)})
+    m = got.groupBy(*keys, "rep").agg(F.stddev_samp("rr").alias("sdnn"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rmssd"), (100 * F.avg((F.abs("d") > 50).cast("double"))).alias("pnn50"), (F.stddev_pop("d") / math.sqrt(2)).alias("sd1"), (F.stddev_pop("s") / math.sqrt(2)).alias("sd2"))
+    return m.groupBy(*keys).agg(*_interval(("sdnn", "rmssd", "pnn50", "sd1", "sd2"), level))
 
-    Draw p of repetition r takes beat hash(segment, r, p) mod n: a join on the beat's number, no sort of raw beats.
+
+def bootstrap_bands(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3, level: float = 0.95) -> DataFrame:
+    """low and high of lf_power, hf_power and lf_hf_ratio per segment over the spectra of resampled beats."""
+    m = frequency_domain(resampled(rr, keys, reps, seed), (*keys, "rep"))
+    return m.groupBy(*keys).agg(*_interval(("lf_power", "hf_power", "lf_hf_ratio"), level))
+
+
+def bootstrap_balance(rr: DataFrame, keys: Sequence[str] = SEGMENT, seed: int = 5, level: float = 0.95, longest: int = 500) -> DataFrame:
+    """low and high of lf_hf, sympathovagal and complexity per segment, over 50 to 200 repetitions by the segment's beats; 0 below 50 beats.
+
+    A repetition draws as many beats as there are, `longest` in segments of over 1,000. Its lf_hf is the power at 0.01 to 0.04 over
+    that at 0.04 to 0.1 cycles a beat from 100 draws on, sdnn over rmssd below and without power, held to 0.1 to 15; sympathovagal is
+    a fifth of it, complexity 15 times the variation, both at most 1. A segment's draws come from its one row, 100,000 at most.
     """
-    w = Window.partitionBy(*keys)
-    d = rr.select(*keys, "i", "rr").withColumn("n", F.count("*").over(w))
-    draws = d.select(*keys, F.col("i").alias("p"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64(*keys, "rep", "p", F.lit(seed)), F.col("n")) + 1).cast("int"))
-    got = draws.join(d.select(*keys, F.col("i").cast("int").alias("i"), "rr"), [*keys, "i"])
-    o = Window.partitionBy(*keys, "rep").orderBy("p")
-    got = got.withColumns({"d": F.col("rr") - F.lag("rr").over(o), "s": F.col("rr") + F.lag("rr").over(o)})
-    m = got.groupBy(*keys, "rep").agg(F.stddev_samp("rr").alias("sdnn"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rmssd"), (100 * F.avg((F.abs("d") > 50).cast("double"))).alias("pnn50"), (F.stddev_pop("d") / math.sqrt(2)).alias("sd1"), (F.stddev_pop("s") / math.sqrt(2)).alias("sd2"))
-    tail = (1 - level) / 2
-    return m.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("sdnn", "rmssd", "pnn50", "sd1", "sd2") for name, q in (("low", tail), ("high", 1 - tail))])
+    d = rr.select(*keys, F.col("i").cast("int").alias("i"), "rr")
+    each = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = F.col("n")
+    draws = each.where("n >= 50").withColumn("rep", F.explode(F.sequence(F.lit(1), F.when(n < 100, 50).when(n < 1000, 100).when(n < 5000, 150).otherwise(200))))
+    draws = draws.withColumn("p", F.explode(F.sequence(F.lit(1), F.when(n > 1000, F.lit(longest)).otherwise(n.cast("int")))))
+    got = draws.withColumn("i", _draw(keys, n, seed)).join(d, [*keys, "i"])
+    got = got.groupBy(*keys, "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "rr"))), lambda x: x["rr"]).alias("xs"), (F.stddev_samp("rr") / F.avg("rr")).alias("cv"))
+
+    @F.pandas_udf("double")
+    def balance(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: beat_balance(np.asarray(x, float)))
+
+    got = got.withColumn("lf_hf", balance("xs")).withColumns({"sympathovagal": F.least(F.lit(1.0), F.col("lf_hf") / 5), "complexity": F.least(F.lit(1.0), 15 * F.col("cv"))})
+    ci = got.groupBy(*keys).agg(*_interval(("lf_hf", "sympathovagal", "complexity"), level))
+    return each.select(*keys).join(ci, list(keys), "left").fillna(0.0, [c for c in ci.columns if c not in keys])
+
+
+def beat_balance(x: np.ndarray) -> float:
+    """Low over high power of beats by cycles a beat, else deviation over successive differences; within 0.1 and 15."""
+    step = math.sqrt(float(np.mean(np.diff(x) ** 2)))
+    out = float(x.std(ddof=1)) / step if step > 0 else 1.0
+    if len(x) >= 100:
+        power = np.abs(np.fft.rfft(x / x.mean() - 1)) ** 2
+        at = np.arange(len(power)) / len(x)
+        high = float(power[(at >= 0.04) & (at <= 0.1)].sum())
+        if high > 1e-18:
+            out = float(power[(at >= 0.01) & (at <= 0.04)].sum()) / high
+    return min(15.0, max(0.1, out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions.columns import rounded
 from pulseloom.operators import cluster, forecast, hrv
 from pulseloom.operators import models as linear
-from pulseloom.plans.base import beats, nn_sql
+from pulseloom.plans.base import SUBJECT, beats, nn_sql
 from pulseloom.plans.groups import SERIES, _long, series
 from pulseloom.plans.hrv import TIME
 from pulseloom.sources.files import header_report, sample_rows
@@ -133,4 +133,25 @@ query("t21_confounding", digits=4)(lambda s, d: linear.confounding(_li(s, d), "l
 query("t22_diagnostics", digits=3)(lambda s, d: linear.diagnostics(_li(s, d), "l_extendedprice", COLS))
 query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d).withColumn("x", F.col("i").cast("double")), "x", "y"))
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
-query("h23_bootstrap_intervals")(lambda s, d: linear.bootstrap_intervals(beats(s, d)))
+
+# H: bootstraps. Draws come from md5, which both engines have.
+
+_AT = "CAST('0x' || substr(md5(concat_ws(':', {keys}, rep, p, '{seed}')), 1, 8) AS BIGINT) % n + 1"
+_CI = lambda *names: ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{end}" for c in names for end, q in (("low", "0.025"), ("high", "0.975")))
+query(
+    "h23_bootstrap_intervals",
+    f"""WITH {nn_sql()}, nz AS (SELECT subject, sol, i AS p, count(*) OVER (PARTITION BY subject, sol) AS n FROM nn), dr AS (SELECT subject, sol, rep, p, {_AT.format(keys='subject, sol', seed=3)} AS i FROM nz, range(1, 51) AS q(rep)),
+x AS (SELECT subject, sol, rep, rr, rr - lag(rr) OVER w AS d, rr + lag(rr) OVER w AS s FROM dr JOIN nn USING (subject, sol, i) WINDOW w AS (PARTITION BY subject, sol, rep ORDER BY p)),
+m AS (SELECT subject, sol, rep, stddev_samp(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN abs(d) > 50 THEN 1.0::DOUBLE WHEN d IS NOT NULL THEN 0 END) AS pnn50, stddev_pop(d) / sqrt(2) AS sd1, stddev_pop(s) / sqrt(2) AS sd2 FROM x GROUP BY subject, sol, rep)
+SELECT subject, sol, {_CI('sdnn', 'rmssd', 'pnn50', 'sd1', 'sd2')} FROM m GROUP BY subject, sol""",
+)(lambda s, d: linear.bootstrap_intervals(beats(s, d)))
+query("h23_bootstrap_bands")(lambda s, d: linear.bootstrap_bands(beats(s, d, SUBJECT), SUBJECT))
+query(
+    "h24_bootstrap_balance",
+    f"""WITH {nn_sql('subject')}, nz AS (SELECT subject, count(*) AS n, CASE WHEN count(*) < 100 THEN 50 WHEN count(*) < 1000 THEN 100 WHEN count(*) < 5000 THEN 150 ELSE 200 END AS reps, CASE WHEN count(*) > 1000 THEN 500 ELSE count(*) END AS m FROM nn GROUP BY subject HAVING count(*) >= 50),
+dr AS (SELECT subject, m, rep, p, {_AT.format(keys='subject', seed=5)} AS i FROM nz, range(1, 201) AS q(rep), range(1, 1001) AS u(p) WHERE rep <= reps AND p <= m), x AS (SELECT subject, rep, p, m, rr, rr - lag(rr) OVER (PARTITION BY subject, rep ORDER BY p) AS d FROM dr JOIN nn USING (subject, i)),
+st AS (SELECT subject, rep, avg(rr) AS a, stddev_samp(rr) AS sd, sqrt(avg(d * d)) AS step FROM x GROUP BY subject, rep), ft AS (SELECT subject, rep, k / any_value(m) AS f, pow(sum((rr / a - 1) * cos(2 * pi() * k * (p - 1) / m)), 2) + pow(sum((rr / a - 1) * sin(2 * pi() * k * (p - 1) / m)), 2) AS power
+FROM x JOIN st USING (subject, rep), range(1, 101) AS g(k) WHERE m >= 100 AND k / m BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE GROUP BY subject, rep, k), fb AS (SELECT subject, rep, sum(power) FILTER (f <= 0.04::DOUBLE) AS lo, sum(power) FILTER (f >= 0.04::DOUBLE) AS hi FROM ft GROUP BY subject, rep),
+r AS (SELECT subject, sd / a AS cv, least(15.0::DOUBLE, greatest(0.1::DOUBLE, CASE WHEN hi > 1e-18 THEN lo / hi WHEN step > 0 THEN sd / step ELSE 1 END)) AS lf_hf FROM st LEFT JOIN fb USING (subject, rep)), c AS (SELECT subject, lf_hf, least(1, lf_hf / 5) AS sympathovagal, least(1, 15 * cv) AS complexity FROM r)
+SELECT subject, {_CI('lf_hf', 'sympathovagal', 'complexity')} FROM c GROUP BY subject UNION ALL SELECT subject, 0, 0, 0, 0, 0, 0 FROM nn GROUP BY subject HAVING count(*) < 50""",
+)(lambda s, d: linear.bootstrap_balance(beats(s, d, SUBJECT), SUBJECT))
