@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: ISO-8859-1 reads any bytes, so no later encoding would ever be tried.
 ENCODINGS, SEPARATORS = ("UTF-8", "ISO-8859-1"), (",", ";", "\t", "|")
 PREFERRED = ("merged_data", "hrv_data", "physiological_data")
 
@@ -37,33 +41,48 @@ def normalise_headers(df: DataFrame, rule=normalise_header) -> DataFrame:
     return df.toDF(*names)
 
 
-def probe_csv(spark: SparkSession, path: str) -> dict[str, str]:
-    """The first encoding and separator that give more than one row and column of a file's first rows."""
+def csv_shape(content: bytes) -> tuple[str, str, list[str]]:
+    """Encoding, separator and header of a CSV file: the first of both that give more than one row and column, else the first ones."""
     for encoding in ENCODINGS:
-        for sep in SEPARATORS:
-            head = spark.read.option("header", True).option("encoding", encoding).option("sep", sep).csv(path).limit(2)
-            if len(head.columns) > 1 and head.count() > 1:
-                return {"encoding": encoding, "sep": sep}
-    return {"encoding": ENCODINGS[0], "sep": SEPARATORS[0]}
+        try:
+            text = content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        top = list(islice(filter(str.strip, io.StringIO(text)), 3))
+        for sep in SEPARATORS if len(top) == 3 else ():
+            head = next(csv.reader([top[0]], delimiter=sep))
+            if len(head) > 1:
+                return encoding, sep, head
+    return ENCODINGS[0], SEPARATORS[0], []
+
+
+def probe_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, encoding, sep, header of each file, found on the executors in one job; empty files have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [csv_shape(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in shapes], pa.string()) for k in (0, 1)], pa.array([x[2] for x in shapes], pa.list_(pa.string()))], names=["path", "encoding", "sep", "header"])
+
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.url_decode("path").alias("path"), "content")
+    return files.mapInArrow(run, "path string, encoding string, sep string, header array<string>")
 
 
 def read_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All files by normalised header: one read per encoding, separator and header, missing columns null, with source_file.
 
-    Sol and subject are taken from the path where it has `Sol N` and `T##_Name`.
+    Sol and subject are taken from the path where it has `Sol N` and `T##_Name`. The driver holds a row per file.
     """
     groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        options = probe_csv(spark, p)
-        head = tuple(spark.read.option("header", True).options(**options).csv(p).columns)
-        groups.setdefault((options["encoding"], options["sep"], head), []).append(p)
+    for r in probe_csvs(spark, paths).orderBy("path").collect() if paths else ():
+        groups.setdefault((r["encoding"], r["sep"], tuple(r["header"])), []).append(r["path"])
     out = None
     for (encoding, sep, _), own in groups.items():
         d = spark.read.option("header", True).option("encoding", encoding).option("sep", sep).csv(own)
         d = normalise_headers(d).withColumn("source_path", F.input_file_name())
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if out is None:
-        raise ValueError("no files")
+        raise ValueError("no files with rows")
     plain = F.url_decode("source_path")
     return out.withColumns(
         {
@@ -141,20 +160,40 @@ def decode_wav(content: bytes) -> tuple[dict, np.ndarray]:
     return info, values.reshape(-1, info["channels"]).astype(float)
 
 
-def read_wavs(spark: SparkSession, root: str) -> DataFrame:
-    """signal_id (file name), channel, i, t (seconds), value of all WAV files below a folder; one row per sample and channel."""
+def read_wavs(spark: SparkSession, root: str, folder: bool = False) -> DataFrame:
+    """signal_id (file name), channel, i, t (seconds), value of all WAV files below a folder; one row per sample and channel; their folder where asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, place, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 info, values = decode_wav(content.as_py())
                 for lo in range(0, len(values), 1 << 18):
                     part = values[lo : lo + (1 << 18)]
                     i = np.repeat(np.arange(lo, lo + len(part)), info["channels"])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(np.tile(np.arange(info["channels"], dtype=np.int32), len(part))), pa.array(i), pa.array(i / info["rate"]), pa.array(part.ravel())], names=["signal_id", "channel", "i", "t", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(np.tile(np.arange(info["channels"], dtype=np.int32), len(part))), pa.array(i), pa.array(i / info["rate"]), pa.array(part.ravel()), pa.array([place] * len(i), pa.string())], names=["signal_id", "channel", "i", "t", "value", "folder"])
+
+    d = files.select(F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("signal_id"), _folder(F.col("path")).alias("folder"), "content").mapInArrow(run, SAMPLES + ", folder string")
+    return d if folder else d.drop("folder")
+
+
+def read_infos(spark: SparkSession, root: str) -> DataFrame:
+    """folder, start (seconds), start_date, user, devices from the info.json files below a folder; what a file lacks or has in a wrong form is null."""
+    d = spark.read.schema("timestamp string, start_date string, user string, devices string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "info.json").json(root)
+    start = F.col("timestamp").try_cast("double")
+    devices = F.coalesce(F.array_join(F.from_json("devices", "array<string>"), ", "), F.col("devices"))
+    return d.select(_folder(F.input_file_name()).alias("folder"), F.when(start > 0, start).alias("start"), "start_date", "user", devices.alias("devices"))
+
+
+def _folder(path: Column) -> Column:
+    """The path without its scheme and its last part."""
+    return F.regexp_replace(F.regexp_replace(F.url_decode(path), r"^[a-z]+:/+", "/"), r"/[^/]*$", "")
+
 
-    return files.select(F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("signal_id"), "content").mapInArrow(run, SAMPLES)
+def read_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """read_wavs with ts (the time of the sample; null without a start in the folder's info.json), start_date, user and devices."""
+    d = read_wavs(spark, root, folder=True).join(read_infos(spark, root), "folder", "left")
+    return d.withColumn("ts", F.timestamp_micros(((F.col("start") + F.col("t")) * 1e6).cast("long"))).drop("folder", "start")
 
 
 def write_samples(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -244,6 +244,30 @@ def test_wav_folder(spark, tmp_path):
     assert got[:2] == [(0, 0, 0.0, 1.0), (0, 1, 0.25, 2.0)] and got[-1] == (1, 3, 0.75, -4.0)
 
 
+def test_csv_shapes(spark, tmp_path):
+    texts = {"a": "x;y\n1;2\n3;4\n".encode(), "b": "x\té\n1\t2\n\n3\t4\n".encode("latin1"), "c": b"x|y\n1|2\n", "d": b"", "e": '"x;1",y\n1,2\n3,4\n'.encode()}
+    for name, content in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    got = {r["path"][-5]: (r["encoding"], r["sep"], r["header"]) for r in files.probe_csvs(spark, [str(tmp_path / f"{n}.csv") for n in texts]).collect()}
+    assert got["a"] == ("UTF-8", ";", ["x", "y"]) and got["b"] == ("ISO-8859-1", "\t", ["x", "é"]) and got["c"][2] == [] and "d" not in got and got["e"][:2] == ("UTF-8", ",")
+
+
+def test_recordings_have_times(spark, tmp_path):
+    pcm = struct.pack("<4h", 1, 2, 3, 4)
+    wav = b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 4, 8, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
+    infos = {"one (1)": '{"timestamp": 1704067200.5, "start_date": "2024-01-01", "user": 7, "devices": ["a", "b"]}', "two": '{"timestamp": -3}', "three": "{broken", "four": None}
+    for name, info in infos.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name[:3]}.wav").write_bytes(wav)
+        if info:
+            (tmp_path / name / "info.json").write_text(info)
+    got = {(r["signal_id"], r["i"]): r for r in files.read_recordings(spark, str(tmp_path)).withColumn("us", F.unix_micros("ts")).collect()}
+    assert len(got) == 16
+    r = got["one.wav", 3]
+    assert (r["us"], r["start_date"], r["user"], r["devices"]) == (1704067201250000, "2024-01-01", "7", "a, b")
+    assert all(got[f"{n}.wav", 0]["us"] is None for n in ("two", "thr", "fou"))
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 1, 0.0, 60.0), ("b", 1, 1.0, 61.0)], "subject string, sol int, t double, hr double")
     files.write_samples(d, str(tmp_path / "p"))
