@@ -184,6 +184,65 @@ def mahalanobis_outliers(df: DataFrame, features: Sequence[str], share: float =
     return d.withColumn("outlier", F.col("distance") > limit)
 
 
+def isolation_outliers(df: DataFrame, features: Sequence[str], key: Sequence[str], share: float = 0.1, trees: int = 100, size: int = 256, seed: int = 42) -> DataFrame:
+    """score (0 to 1, high where random cuts part a row from the others early) and outlier (the `share` of highest scores).
+
+    Each tree grows from `size` rows, as the method has it, out of trees x size rows at most that the driver draws by a hash of the key;
+    every row is scored. Rows without one of the features score null and are no outliers.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    drawn = df.select(*[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)], order.alias("h")).dropna().orderBy("h", *[f"f{k}" for k in range(len(features))]).limit(trees * size)
+    rows = np.array([r[:-1] for r in drawn.collect()], float).reshape(-1, len(features))
+    rnd = np.random.default_rng(seed)
+    size = min(size, len(rows))
+    depth = max(1, math.ceil(math.log2(max(2, size))))
+    forest = [_isolation_tree(rnd, rows[rnd.choice(len(rows), size, replace=False)], depth) for _ in range(trees)] if size > 1 else []
+    usual = _unsuccessful(size)
+
+    @F.pandas_udf("double")
+    def score(xs: pd.Series) -> pd.Series:
+        x = np.array([[np.nan if v is None else v for v in row] for row in xs], float).reshape(len(xs), len(features))
+        total = np.zeros(len(x))
+        for feature, cut, low, high, length in forest:
+            node = np.zeros(len(x), int)
+            for _ in range(depth):
+                inner = feature[node] >= 0
+                below = x[np.arange(len(x)), np.maximum(feature[node], 0)] < cut[node]
+                node = np.where(inner, np.where(below, low[node], high[node]), node)
+            total += length[node]
+        out = 2.0 ** (-total / max(1, len(forest)) / usual) if forest else np.full(len(x), 0.5)
+        return pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, out)).replace({np.nan: None}).astype("float64")
+
+    d = df.withColumn("score", score(F.array(*[F.col(f).cast("double") for f in features]))).withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    limit = d.agg(F.percentile_approx("score", F.lit(1 - share), F.lit(10000)).alias("q"))
+    return d.join(F.broadcast(limit)).withColumn("outlier", F.coalesce(F.col("score") > F.col("q"), F.lit(False))).drop("q")  # one row
+
+
+def _unsuccessful(n: int) -> float:
+    """Mean depth of a failed search in a binary tree of n rows."""
+    return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0 if n == 2 else 0.0
+
+
+def _isolation_tree(rnd: np.random.Generator, rows: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Nodes as arrays: feature (-1 at a leaf), cut, child below, child above, path length."""
+    nodes, todo = [], [(rows, 0, None)]
+    while todo:
+        x, level, parent = todo.pop()
+        if parent is not None:
+            nodes[parent[0]][parent[1]] = len(nodes)
+        spread = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 and level < depth else []
+        if len(spread) == 0:
+            nodes.append([-1, 0.0, 0, 0, level + _unsuccessful(len(x))])
+            continue
+        f = int(rnd.choice(spread))
+        cut = float(rnd.uniform(x[:, f].min(), x[:, f].max()))
+        at = len(nodes)
+        nodes.append([f, cut, 0, 0, 0.0])
+        todo += [(x[x[:, f] < cut], level + 1, (at, 2)), (x[x[:, f] >= cut], level + 1, (at, 3))]
+    columns = list(zip(*nodes, strict=True))
+    return tuple(np.array(c, kind) for c, kind in zip(columns, (int, float, int, int, float), strict=True))
+
+
 def factors(df: DataFrame, outcome: str, categorical: Sequence[str], continuous: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Contextual factors of an outcome: ANOVA and Kruskal-Wallis per categorical one, a line per continuous one."""
     long = None

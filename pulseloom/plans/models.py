@@ -133,6 +133,7 @@ query("t21_confounding", digits=4)(lambda s, d: linear.confounding(_li(s, d), "l
 query("t22_diagnostics", digits=3)(lambda s, d: linear.diagnostics(_li(s, d), "l_extendedprice", COLS))
 query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d).withColumn("x", F.col("i").cast("double")), "x", "y"))
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
+query("t28_isolation_forest")(lambda s, d: linear.isolation_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"], ["subject", "sol"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("mean_nni").alias("mean_nni"), F.avg("sdnn").alias("sdnn"), F.avg("rmssd").alias("rmssd")))
 
 # H: bootstraps. Draws come from md5, which both engines have.
 

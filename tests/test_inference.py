@@ -96,3 +96,22 @@ def test_extended_indices(spark):
     sd = lambda xs: math.sqrt(sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / len(xs)) / math.sqrt(2)
     s1, s2 = sd([b - a for a, b in pairs]), sd([b + a for a, b in pairs])
     assert abs(got["csi"] - s2 / s1) < 1e-9 and abs(got["cvi"] - math.log10(16 * s1 * s2)) < 1e-9 and abs(got["modified_csi"] - 4 * s2 * s2 / s1) < 1e-6 and got["range_nn"] == 65
+
+
+def test_isolation_forest_finds_planted_outliers(spark):
+    import numpy as np
+
+    from pulseloom.operators.models import isolation_outliers
+
+    rnd = np.random.default_rng(3)
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(rnd.normal(size=(950, 2)))] + [(1000 + k, float(a), float(b)) for k, (a, b) in enumerate(rnd.normal(8, 1, size=(50, 2)) * np.where(rnd.random((50, 2)) < 0.5, 1, -1))]
+    d = spark.createDataFrame([*rows, (5000, None, 1.0)], "id int, a double, b double")
+    got = {r["id"]: r for r in isolation_outliers(d, ["a", "b"], ["id"], 0.05).collect()}
+    out = {k for k, r in got.items() if r["outlier"]}
+    assert len(got) == 1001 and abs(len(out) - 50) <= 1 and len(out & set(range(1000, 1050))) >= 47
+    assert got[5000]["score"] is None and not got[5000]["outlier"]
+    again = {r["id"]: r["score"] for r in isolation_outliers(d.repartition(3), ["a", "b"], ["id"], 0.05).collect()}
+    assert all(again[k] == r["score"] for k, r in got.items())
+    assert isolation_outliers(d.limit(0), ["a", "b"], ["id"]).count() == 0
+    same = spark.createDataFrame([(k, 1.0) for k in range(20)], "id int, a double")
+    assert isolation_outliers(same, ["a"], ["id"]).where("outlier").count() == 0
