@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulseloom.llm.collocations import OP11_SQL, op11_phrase_collocations
 from pulseloom.llm.decontamination import op7_decontamination
 from pulseloom.llm.language_id import op3_language_id
 from pulseloom.llm.license_scan import OP8_LINES_SQL, OP8_SQL, op8_license_lines, op8_license_scan
@@ -26,5 +27,14 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op9_ablation": op9_ablation,
     "op10_source_mix": op10_source_mix,
+    "op11_phrase_collocations": op11_phrase_collocations,
+}
+ORACLES = {
+    "op6_minhash_dedup": OP6_SQL,
+    "op8_license_scan": OP8_SQL,
+    "op8_license_lines": OP8_LINES_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op9_ablation": OP9_ABLATION_SQL,
+    "op10_source_mix": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
-ORACLES = {"op6_minhash_dedup": OP6_SQL, "op8_license_scan": OP8_SQL, "op8_license_lines": OP8_LINES_SQL, "op9_quality_rules": OP9_SQL, "op9_ablation": OP9_ABLATION_SQL, "op10_source_mix": OP10_SQL}
