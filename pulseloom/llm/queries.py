@@ -12,6 +12,7 @@ from pulseloom.llm.quality_rules import OP9_ABLATION_SQL, OP9_SQL, op9_ablation,
 from pulseloom.llm.secret_scan import op1_secret_scan
 from pulseloom.llm.sharding import op2_sharding
 from pulseloom.llm.source_mix import OP10_SQL, op10_source_mix
+from pulseloom.llm.spelling import op13_spelling_variants
 from pulseloom.llm.token_ids import op4_token_ids
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_ablation": op9_ablation,
     "op10_source_mix": op10_source_mix,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
     "op6_minhash_dedup": OP6_SQL,
