@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulseloom.llm.collocations import OP11_SQL, op11_phrase_collocations
 from pulseloom.llm.decontamination import op7_decontamination
+from pulseloom.llm.jaccard_join import OP12_SQL, op12_jaccard_join
 from pulseloom.llm.language_id import op3_language_id
 from pulseloom.llm.license_scan import OP8_LINES_SQL, OP8_SQL, op8_license_lines, op8_license_scan
 from pulseloom.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_ablation": op9_ablation,
     "op10_source_mix": op10_source_mix,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
@@ -39,4 +41,5 @@ ORACLES = {
     "op9_ablation": OP9_ABLATION_SQL,
     "op10_source_mix": OP10_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op12_jaccard_join": OP12_SQL,
 }
