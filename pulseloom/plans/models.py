@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
-from pulseloom.operators import cluster, forecast, hrv
+from pulseloom.operators import cluster, forecast, hrv, neighbours
 from pulseloom.operators import models as linear
 from pulseloom.plans.base import SUBJECT, beats, nn_sql
 from pulseloom.plans.groups import SERIES, _long, series
@@ -135,6 +135,16 @@ query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
 query("t28_isolation_forest")(lambda s, d: linear.isolation_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"], ["subject", "sol"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("mean_nni").alias("mean_nni"), F.avg("sdnn").alias("sdnn"), F.avg("rmssd").alias("rmssd")))
 
+LOF = _T + """, m AS (SELECT avg(mean_nni) AS m1, stddev_pop(mean_nni) AS s1, avg(sdnn) AS m2, stddev_pop(sdnn) AS s2, avg(rmssd) AS m3, stddev_pop(rmssd) AS s3 FROM f),
+x AS (SELECT subject || ':' || sol AS id, subject, sol, mean_nni, sdnn, rmssd, (mean_nni - m1) / s1 AS x1, (sdnn - m2) / s2 AS x2, (rmssd - m3) / s3 AS x3 FROM f, m),
+d AS (SELECT a.id AS p, b.id AS q, sqrt(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.x3 - b.x3, 2)) AS d FROM x a JOIN x b ON a.id <> b.id), ne AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, q) <= 5),
+kd AS (SELECT p, max(d) AS kd FROM ne GROUP BY p), ld AS (SELECT ne.p, 1 / (avg(greatest(d, kd)) + 1e-10) AS ld FROM ne JOIN kd ON kd.p = ne.q GROUP BY ne.p), lf AS (SELECT ne.p AS id, avg(b.ld) / any_value(a.ld) AS lof FROM ne JOIN ld a ON a.p = ne.p JOIN ld b ON b.p = ne.q GROUP BY ne.p)"""
+_lof = lambda s, d: (lambda p: neighbours.local_outlier_factor(p[0], [f"z_{f}" for f in ("mean_nni", "sdnn", "rmssd")], 5))(cluster.prepare(_metrics(s, d), FEATURES))
+query("t28_local_outlier_factor", LOF + " SELECT subject, sol, round(lof, 5) AS lof FROM lf JOIN x USING (id)", 5)(lambda s, d: _lof(s, d).select("subject", "sol", "lof"))
+query("t28_local_outliers", LOF + ", o AS (SELECT *, lof > (SELECT quantile_disc(lof, 0.9) FROM lf) AS outlier FROM lf JOIN x USING (id)) SELECT outlier, count(*) AS n, round(avg(mean_nni), 4) AS mean_nni, round(avg(sdnn), 4) AS sdnn, round(avg(rmssd), 4) AS rmssd FROM o GROUP BY outlier", 4)(
+    lambda s, d: _lof(s, d).groupBy("outlier").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("mean_nni", "sdnn", "rmssd")])
+)
+
 # H: bootstraps. Draws come from md5, which both engines have.
 
 _AT = "CAST('0x' || substr(md5(concat_ws(':', {keys}, rep, p, '{seed}')), 1, 8) AS BIGINT) % n + 1"
