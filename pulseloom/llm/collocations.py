@@ -9,8 +9,10 @@ reading leaves out what can't be a candidate by a bitmap of fixed size, which is
 exactly too and falls below the support.
 
 Within a task words become numbers, phrases of a buffer of texts become packed integers and are counted by sorting; only distinct
-phrases with their counts are shuffled, so a very common phrase is a row a buffer. A language may hold all rows: every exchange is
-by phrase, and the ranking keeps each task's best rows before it brings a language together.
+phrases with their counts are shuffled, so a very common phrase is one number a buffer. The first reading's numbers travel as
+arrays, a row for each buffer, shard and bucket of keys, and are added up bucket by bucket; there are as many buckets as the texts
+need for BUCKET_BYTES of text each. A language may hold all rows: every exchange is by phrase, and the ranking keeps each task's
+best rows before it brings a language together.
 
 Defined results: null and empty texts have no words; a null language is `und` and counts with that; ids and other columns are not
 looked at, so repeated rows count as often as they come; a very long text is read whole; ties are ranked by the phrase's bytes; an
@@ -32,7 +34,8 @@ from pulseloom.llm.common import documents, remove, settle
 from pulseloom.llm.tokens import bitmap, marked, mixed, runs, utf8
 
 SUPPORT, LONGEST, TOP, CONTAINED, SHARDS = 10, 3, 2000, 50, 4
-BUFFER, ROOM = 16 << 20, 1 << 62
+BUFFER, BUCKET_BYTES, ROOM = 8 << 20, 16 << 20, 1 << 62
+MOST_BUCKETS, PARTS = 1 << 17, 16
 _SPACE, _CUT = 0x20, 0x0A
 #: A to Z become lower case, a tab a space, and what ends a piece a line feed.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 9)
@@ -80,16 +83,19 @@ def _buffers(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[
     waiting: dict[tuple[str, int], list[bytes]] = {}
     held = 0
     for batch in batches:
-        for lang, place, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if text:
-                data = utf8(text)
-                waiting.setdefault((lang, place), []).append(data)
-                held += len(data)
-                if held >= BUFFER:
-                    for (a, b), texts in waiting.items():
-                        yield a, b, Counted(a, texts, longest)
-                    waiting, held = {}, 0
-    for (a, b), texts in waiting.items():
+        for at in range(0, batch.num_rows, 512):
+            for lang, place, text in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns], strict=True):
+                if text:
+                    data = utf8(text)
+                    waiting.setdefault((lang, place), []).append(data)
+                    held += len(data)
+                    if held >= BUFFER:
+                        while waiting:
+                            (a, b), texts = waiting.popitem()
+                            yield a, b, Counted(a, texts, longest)
+                        held = 0
+    while waiting:
+        (a, b), texts = waiting.popitem()
         yield a, b, Counted(a, texts, longest)
 
 
@@ -100,25 +106,56 @@ def _placed(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataF
 
 
 def local_support(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """place, need: the local support of each language in each shard, at least 1."""
+    """place, need, own: the local support of each language in each shard, at least 1, and its bytes of text."""
     d = _placed(docs, shards, text_col, lang_col).groupBy("lang", "place").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("own"))
     total = d.groupBy("lang").agg(F.sum("own").alias("total"))
     share = F.expr(f"cast((own * cast({support} as decimal(20, 0)) + total - 1) div greatest(total, 1) as bigint)")
-    return d.join(total, "lang").select("place", F.greatest(F.lit(1), share).alias("need"))
+    return d.join(total, "lang").select("place", F.greatest(F.lit(1), share).alias("need"), "own")
 
 
-def mined(docs: DataFrame, support: int, longest: int, shards: int, text_col: str, lang_col: str) -> DataFrame:
-    """place, key, c: every phrase of every shard with how often it occurs there."""
+def locally_frequent(docs: DataFrame, need: DataFrame, longest: int, shards: int, text_col: str, lang_col: str) -> DataFrame:
+    """key of every phrase that reaches the support of a shard there, each once; need as by local_support()."""
+    size = need.agg(F.sum("own")).first()[0] or 0
+    bits = min(MOST_BUCKETS.bit_length() - 1, (size // BUCKET_BYTES).bit_length())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, place, counted in _buffers(batches, longest):
-            for parts, c in counted.found:
-                keys = counted.keys(parts).view(np.int64)
-                for at in range(0, len(c), 1 << 17):
-                    part = keys[at : at + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), place, np.int64)), pa.array(part), pa.array(c[at : at + (1 << 17)].astype(np.int64))], names=["place", "key", "c"])
-
-    return _placed(docs, shards, text_col, lang_col).mapInArrow(count, "place long, key long, c long").groupBy("place", "key").agg(F.sum("c").alias("c"))
+            keys = np.concatenate([counted.keys(parts) for parts, _ in counted.found])
+            times = np.concatenate([c for _, c in counted.found]).astype(np.int64)
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order]
+            edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+            for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
+                if a < b:
+                    once = times[a:b] == 1
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((place, pa.int64()), (bucket, pa.int32()), (keys[a:b][once].tobytes(), pa.binary()), (keys[a:b][~once].tobytes(), pa.binary()), (times[a:b][~once].tobytes(), pa.binary()))], names=["place", "bucket", "once", "more", "times"])
+
+    def add_up(held: list[tuple]) -> pa.RecordBatch:
+        found = []
+        for place in {x[0] for x in held}:
+            own = [x for x in held if x[0] == place]
+            once, more, times = (np.frombuffer(b"".join([x[k] for x in own]), kind) for k, kind in ((2, np.uint64), (3, np.uint64), (4, np.int64)))
+            keys = np.concatenate([once, more])
+            order = np.argsort(keys)
+            keys, times = keys[order], np.concatenate([np.ones(len(once), np.int64), times])[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            found.append(keys[first][np.add.reduceat(times, first) >= own[0][5]])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["key"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the rows of one bucket, which come one after the other
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = tuple(c[k].as_py() for c in batch.columns)
+                if held and held[0][1] != row[1]:
+                    yield add_up(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield add_up(held)
+
+    rows = _placed(docs, shards, text_col, lang_col).mapInArrow(pack, "place long, bucket int, once binary, more binary, times binary").join(need.select("place", "need"), "place")
+    return rows.select("place", "bucket", "once", "more", "times", "need").repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(unite, "key long")
 
 
 def counted_phrases(docs: DataFrame, candidates: DataFrame, support: int, longest: int, text_col: str, lang_col: str) -> DataFrame:
@@ -144,8 +181,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     """lang, k, phrase, f: phrases of 1 to `longest` words that occur at least `support` times in their language; with k 0, all words of a language."""
     spent: list[str] = []
     need = settle(local_support(docs, support, shards, text_col, lang_col), spent)
-    local = mined(docs, support, longest, shards, text_col, lang_col).join(need, "place").where("c >= need")
-    candidates = settle(local.select("key").distinct(), spent)
+    candidates = settle(locally_frequent(docs, need, longest, shards, text_col, lang_col), spent)
     out = counted_phrases(docs, candidates, support, longest, text_col, lang_col)
     remove(docs.sparkSession, spent)  # its bitmap is made by now
     return out
@@ -172,8 +208,11 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     inside = F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.col("k") - size + 1), lambda i: piece(i, size))))
     longer = found.where("k > 2").select("lang", F.explode(inside).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     left = scored.join(longer, ["lang", "phrase"], "left").where(~F.coalesce(F.col("longer") * 100 >= F.col("a") * contained, F.lit(False)))
-    best = Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    best = [F.desc("low.score"), F.desc("a"), "phrase"]
+    # The best of each part first, so that what a language brings to one task is at most PARTS x top rows.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best)
+    ranked = left.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "low.l", "low.r", "n", "low.score")
 
 
