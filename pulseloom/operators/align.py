@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pulseloom.functions.ordered import beside, numbered
+from pulseloom.functions.ordered import beside, framed, numbered
 
 
 def merge_external(df: DataFrame, others: dict[str, DataFrame], keys: Sequence[str] = ("subject",)) -> DataFrame:
@@ -62,12 +62,16 @@ def filter_weights(kind: str, hz: float, low: float | None = None, high: float |
 
 def filtered(signals: DataFrame, weights: Sequence[float], keys: Sequence[str] = ("signal_id",), order: str = "g", value: str = "value") -> DataFrame:
     """filtered: the weighted sum around each row; null where the window isn't full."""
-    half, w = len(weights) // 2, Window.partitionBy(*keys).orderBy(order)
-    total = None
-    for k, weight in enumerate(weights):
-        x = (F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w) if k > half else F.col(value)) * float(weight)
-        total = x if total is None else total + x
-    return signals.withColumn("filtered", total)
+    half = len(weights) // 2
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        total = None
+        for k, weight in enumerate(weights):
+            x = (F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w) if k > half else F.col(value)) * float(weight)
+            total = x if total is None else total + x
+        return {"filtered": total}
+
+    return framed(signals, keys, order, columns, half, half)
 
 
 def align(a: DataFrame, b: DataFrame, hz: float) -> DataFrame:

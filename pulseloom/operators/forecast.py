@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pulseloom.functions.ordered import recursion
+
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("series_id").orderBy("i")
@@ -32,12 +34,10 @@ def build_series(df: DataFrame, series: str, at: str, value: str, how: str = "me
 
 
 def exponential_smoothing(series: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """smooth for every step: weights in closed form, y_0 (1-a)^i + a sum of y_j (1-a)^(i-j), over one sorted array per series."""
-    arr = series.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda x: x["y"]).alias("ys"))
-    start = F.array(F.element_at("ys", 1))
-    step = lambda a, y: F.concat(a, F.array(alpha * y + (1 - alpha) * F.element_at(a, -1)))
-    done = F.aggregate(F.slice("ys", 2, F.size("ys")), start, step)
-    return arr.select("series_id", F.posexplode(F.arrays_zip("ys", done.alias("smooth"))).alias("i", "x")).select("series_id", F.col("i").cast("long").alias("i"), F.col("x.ys").alias("y"), F.col("x.smooth").alias("smooth"))
+    """smooth for every step: alpha y + (1 - alpha) of the one before, from the first y on; a linear recursion over slices of the series."""
+    d = series.select("series_id", "i", "y").join(series.groupBy("series_id").agg(F.min("i").alias("first_")), "series_id")
+    d = d.withColumn("drive_", F.when(F.col("i") == F.col("first_"), F.col("y")).otherwise(alpha * F.col("y")))
+    return recursion(d.drop("first_"), ["series_id"], "i", "drive_", "smooth", [1 - alpha]).select("series_id", "i", "y", "smooth")
 
 
 def smoothing_forecast(series: DataFrame, alpha: float = 0.3, most: int = 5) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import median
-from pulseloom.functions.ordered import beside, running
+from pulseloom.functions.ordered import beside, framed, running
 from pulseloom.operators.models import normal_score
 
 
@@ -62,16 +62,26 @@ def phases_by_quantile(df: DataFrame, at: str = "sol") -> DataFrame:
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, size: int, least: int = 1) -> DataFrame:
     """Centred mean over `size` rows (even windows reach one row further back), null below `least` rows."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size // 2), size - 1 - size // 2)
-    return df.withColumn("rolling", F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
+    back, ahead = size // 2, size - 1 - size // 2
+
+    def columns(over: WindowSpec) -> dict[str, Column]:
+        w = over.rowsBetween(-back, ahead)
+        return {"rolling": F.when(F.count(value).over(w) >= least, F.avg(value).over(w))}
+
+    return framed(df, keys, order, columns, back, ahead)
 
 
 def variability_band(df: DataFrame, keys: Sequence[str], order: str, value: str, size: int) -> DataFrame:
     """Centred mean with one deviation on both sides; null until the window is full."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size // 2), size - 1 - size // 2)
-    full = F.count(value).over(w) == size
-    m, s = F.avg(value).over(w), F.stddev_samp(value).over(w)
-    return df.withColumns({"mid": F.when(full, m), "lower": F.when(full, m - s), "upper": F.when(full, m + s)})
+    back, ahead = size // 2, size - 1 - size // 2
+
+    def columns(over: WindowSpec) -> dict[str, Column]:
+        w = over.rowsBetween(-back, ahead)
+        full = F.count(value).over(w) == size
+        m, s = F.avg(value).over(w), F.stddev_samp(value).over(w)
+        return {"mid": F.when(full, m), "lower": F.when(full, m - s), "upper": F.when(full, m + s)}
+
+    return framed(df, keys, order, columns, back, ahead)
 
 
 def box_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

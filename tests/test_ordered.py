@@ -1,8 +1,13 @@
 """Sliced running sums, numbers and neighbours against the same over one list."""
 
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulseloom.functions import ordered
 from pulseloom.functions.ordered import beside, numbered, running
 from pulseloom.operators.timeagg import quantile_plot
 
@@ -65,3 +70,49 @@ def test_quantile_plot(spark):
     assert all(x["theoretical"] < y["theoretical"] for x, y in zip(got, got[1:], strict=False))
     (one,) = quantile_plot(d, ["g"], "v", 11).where("g = 'b'").collect()
     assert one["v"] == 4.0 and abs(one["theoretical"]) < 1e-3
+
+
+def test_frames_across_blocks(spark):
+    """Blocks of few rows that also get their neighbours give the same as one window a group."""
+    rows = [(["a", "b", None][i % 7 % 3], i * 37 % 501, float(i * i % 83), i) for i in range(501)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, row_id long").repartition(5)
+
+    def columns(w):
+        f = w.rowsBetween(-7, 4)
+        return {"mean": F.avg("x").over(f), "n": F.count("x").over(f), "back": F.lag("x", 7).over(w), "ahead": F.lead("x", 4).over(w)}
+
+    want = df.withColumns(columns(Window.partitionBy("k").orderBy("t")))
+    for size in (12, 50, 10_000):
+        got = ordered.framed(df, ["k"], "t", columns, 7, 4, rows=size)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    numbered = ordered.numbered(df, ["k"], "t", "at")
+    got = ordered.framed(numbered, ["k"], "t", columns, 7, 4, number="at", rows=20).drop("at")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("factors", [[], [0.7], [0.5, -0.3], [0.0, 0.0, 0.0, 0.9], [0.2, 0.1] + [0.0] * 70 + [-0.4]])
+@pytest.mark.parametrize("slices", [1, 7, 256])
+def test_recursion_over_slices(spark, factors, slices):
+    rnd = np.random.default_rng(3)
+    rows = [(["a", "b", None][int(i > 500) + int(i > 900)], i, float(x)) for i, x in enumerate(rnd.normal(0, 1, 950))] + [("b", 5000, None)]
+    want = {}
+    for k in ("a", "b", None):
+        out = []
+        for key, i, u in rows:
+            if key == k:
+                out.append((u or 0.0) + sum(f * out[-j] for j, f in enumerate(factors, 1) if j <= len(out)))
+                want[i] = out[-1]
+    df = spark.createDataFrame(rows, "k string, i long, u double").repartition(4)
+    got = ordered.recursion(df, ["k"], "i", "u", "x", factors, slices)
+    assert got.columns == ["k", "i", "u", "x"]
+    got = {r["i"]: r["x"] for r in got.collect()}
+    np.testing.assert_allclose([got[i] for i in sorted(want)], [want[i] for i in sorted(want)], rtol=1e-9, atol=1e-9)
+
+
+def test_one_long_recursion(spark):
+    """A single series of a million steps on many tasks."""
+    df = spark.range(1_000_000).select("id", F.sin("id").alias("u"))
+    out = ordered.recursion(df, [], "id", "u", "x", [0.7])
+    (got,) = out.where("id in (999999)").select("x").collect()
+    assert abs(got["x"] - sum(0.7**j * math.sin(999_999 - j) for j in range(200))) < 1e-9 and out.count() == 1_000_000
