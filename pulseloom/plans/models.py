@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
-from pulseloom.operators import cluster, forecast, hrv, neighbours
+from pulseloom.operators import arima, cluster, forecast, hrv, neighbours
 from pulseloom.operators import models as linear
 from pulseloom.plans.base import SUBJECT, beats, nn_sql
 from pulseloom.plans.groups import SERIES, _long, series
@@ -74,6 +74,18 @@ c AS (SELECT series_id, count(*) AS n, covar_samp(x, x) AS xx, covar_samp(z, z)
 b AS (SELECT *, (xd * zz - zd * xz) / (xx * zz - xz * xz) AS b, (zd * xx - xd * xz) / (xx * zz - xz * xz) AS g FROM c), t AS (SELECT series_id, b / sqrt((dd - b * xd - g * zd) * (n - 1) / (n - 3) * zz / (xx * zz - xz * xz) / (n - 1)) AS adf FROM b) SELECT series_id, round(adf, 6) AS adf, adf < -2.86 AS adf_stationary FROM t""",
 )(lambda s, d: forecast.adf(series(s, d)))
 query("m12_autoregression", digits=3)(lambda s, d: forecast.autoregression(series(s, d)))
+ARMA = f"""WITH RECURSIVE {SERIES}, l1 AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY i) AS y1 FROM si), b1 AS (SELECT series_id, regr_slope(y, y1) AS b, regr_intercept(y, y1) AS a FROM l1 WHERE y1 IS NOT NULL GROUP BY series_id),
+e1 AS (SELECT series_id, i, y, y1, y - a - b * y1 AS e FROM l1 JOIN b1 USING (series_id) WHERE y1 IS NOT NULL), g AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY i) AS e1 FROM e1),
+s AS (SELECT series_id, count(*) AS n, covar_pop(y, y) AS yy, covar_pop(y1, y1) AS xx, covar_pop(e1, e1) AS zz, covar_pop(y1, e1) AS xz, covar_pop(y1, y) AS xy, covar_pop(e1, y) AS zy, avg(y) AS my, avg(y1) AS m1, avg(e1) AS me FROM g WHERE i >= 2 GROUP BY series_id),
+c AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS phi, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS t FROM s), f AS (SELECT *, CASE WHEN abs(t) > 1 THEN 1 / t ELSE t END AS theta, my - phi * m1 - t * me AS k, n * ln(yy - phi * xy - t * zy) + 8 AS aic, n * ln(yy - phi * xy - t * zy) + 4 * ln(n) AS bic FROM c WHERE abs(phi) < 1),
+r AS (SELECT l1.series_id, i, y, y - k - phi * y1 AS e FROM l1 JOIN f USING (series_id) WHERE i = 1 UNION ALL SELECT l1.series_id, l1.i, l1.y, l1.y - k - phi * y1 - theta * r.e FROM r JOIN l1 ON l1.series_id = r.series_id AND l1.i = r.i + 1 JOIN f ON f.series_id = r.series_id),
+m AS (SELECT series_id, max(i) AS last FROM r GROUP BY series_id), v AS (SELECT r.series_id, any_value(last) AS last, arg_max(y, i) AS y, arg_max(e, i) AS e, avg(e * e) FILTER (i > last - n) AS v, avg(abs(e)) FILTER (i > last - n) AS mae FROM r JOIN m USING (series_id) JOIN f USING (series_id) GROUP BY r.series_id),
+h AS (SELECT *, k + phi * y + theta * e AS f1 FROM v JOIN f USING (series_id)), o AS (SELECT series_id, last + 1 AS i, f1 AS forecast, 1 AS w, aic, bic, v, mae FROM h UNION ALL SELECT series_id, last + 2, k + phi * f1, 1 + pow(phi + theta, 2), aic, bic, v, mae FROM h
+UNION ALL SELECT series_id, last + 3, k + phi * (k + phi * f1), 1 + pow(phi + theta, 2) + pow(phi * (phi + theta), 2), aic, bic, v, mae FROM h)
+SELECT series_id, i, round(forecast, 2) AS forecast, round(forecast - 1.959964 * sqrt(v * w), 2) AS low, round(forecast + 1.959964 * sqrt(v * w), 2) AS high, round(aic, 2) AS aic, round(bic, 2) AS bic, round(sqrt(v), 2) AS rmse, round(mae, 2) AS mae FROM o"""
+query("m12_arma", ARMA, 2)(lambda s, d: arima.arima(series(s, d), [(1, 0, 1, 0, 0, 0)], steps=3, long=1).drop("p", "d", "q", "sp", "sd", "sq"))
+query("m12_arima", digits=2)(lambda s, d: arima.arima(series(s, d)))
+query("m12_seasonal_arima", digits=2)(lambda s, d: arima.arima(series(s, d), arima.SEASONAL, 12))
 query("m13_seasonal", digits=3)(lambda s, d: forecast.seasonal_regression(series(s, d)))
 SES = f"""WITH RECURSIVE {SERIES}, z AS (SELECT series_id, i, y, y AS smooth FROM si WHERE i = 0 UNION ALL SELECT si.series_id, si.i, si.y, 0.3::DOUBLE * si.y + 0.7::DOUBLE * z.smooth FROM z JOIN si ON si.series_id = z.series_id AND si.i = z.i + 1)"""
 query("m14_smoothing", SES + " SELECT series_id, i, round(y, 3) AS y, round(smooth, 3) AS smooth FROM z", 3)(lambda s, d: forecast.exponential_smoothing(series(s, d)))
