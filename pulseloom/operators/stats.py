@@ -6,7 +6,7 @@ values, so ties are exact and no task sorts a whole metric.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import correlation, median, ratio
 from pulseloom.functions.dist import normal_quantile, p_chi2, p_f, p_t, p_z
-from pulseloom.functions.ordered import running
+from pulseloom.functions.ordered import SLICES, running
 
 
 def describe(long: DataFrame) -> DataFrame:
@@ -291,19 +291,140 @@ def bootstrap_means(long: DataFrame, reps: int = 1000, seed: int = 7, level: flo
     return d.groupBy("metric", "grp").agg(F.avg("value").alias("estimate")).join(ci, ["metric", "grp"])
 
 
-def permutation(long: DataFrame, a: str, b: str, reps: int = 10_000, seed: int = 11) -> DataFrame:
-    """difference of means, and the share of label shuffles whose absolute difference reaches it.
+def _without_replacement(g: np.random.Generator, own: int, rest: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """How many of `own` rows are among `taken` that are drawn from own + rest rows, for each repetition.
 
-    A shuffle assigns each row to the first group with the group's share as probability: of a value's c rows, Binomial(c, share) go there.
+    numpy's draws end at 10^9 rows; beyond, the normal law of the same mean and variance stands for them.
     """
+    rest = np.maximum(0, rest)
+    if own + int(rest.max(initial=0)) < 1_000_000_000:
+        return g.hypergeometric(own, rest, taken)
+    total = own + rest
+    share = taken / np.maximum(1, total)
+    spread = np.sqrt(own * share * (1 - share) * rest / np.maximum(1, total - 1))
+    return np.clip(np.rint(own * share + spread * g.standard_normal(len(rest))), np.maximum(0, taken - rest), np.minimum(own, taken)).astype(np.int64)
+
+
+def shuffles(counts: DataFrame, reps: int, seed: int, slices: int = 64) -> DataFrame:
+    """metric, rep, n, s: rows and sum of a first group of `na` rows in each shuffle, from rows (metric, value, c, na): c rows of a value.
+
+    A metric's values are dealt to slices by hash. Which share of the first group falls into each slice is drawn first, a small table of
+    slices x repetitions; then each slice deals its own share to its values. Every shuffle moves exactly na rows, and no metric is one task.
+    """
+    d = counts.select("metric", F.col("value").cast("double").alias("value"), F.col("c").cast("long").alias("c"), F.col("na").cast("long").alias("na"), F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int").alias("slice"))
+
+    def quotas(t: pa.Table) -> pa.Table:
+        t = t.sort_by("slice")
+        g = np.random.default_rng([seed, t["h"][0].as_py() % (1 << 63)])
+        own = t["own"].to_pylist()
+        left, rest, out = np.full(reps, t["na"][0].as_py(), np.int64), sum(own), []
+        for n in own:
+            rest -= n
+            out.append(_without_replacement(g, n, np.full(reps, rest, np.int64), left))
+            left = left - out[-1]
+        return t.select(["metric", "slice"]).append_column("quota", pa.array(out, pa.list_(pa.int64())))
+
+    def deal(t: pa.Table, quota: pa.Table) -> pa.Table:
+        t = t.sort_by("value")
+        left = quota["quota"].combine_chunks().flatten().to_numpy()
+        n, total = left.copy(), np.zeros(reps)
+        rest = int(t["c"].to_numpy().sum())
+        g = np.random.default_rng([seed, t["h"][0].as_py() % (1 << 63), t["slice"][0].as_py()])
+        for value, c in zip(t["value"].to_pylist(), t["c"].to_pylist(), strict=True):
+            rest -= c
+            took = _without_replacement(g, c, np.full(reps, rest, np.int64), left)
+            left, total = left - took, total + took * value
+        return pa.table({"metric": pa.array([t["metric"][0].as_py()] * reps, pa.string()), "rep": pa.array(np.arange(1, reps + 1, dtype=np.int32)), "n": pa.array(n), "s": pa.array(total)})
+
+    d = d.withColumns({"metric": F.col("metric").cast("string"), "h": F.xxhash64("metric")})
+    per = d.groupBy("metric", "slice").agg(F.sum("c").alias("own"), F.max("na").alias("na"), F.first("h").alias("h"))
+    quota = per.groupBy("metric").applyInArrow(quotas, "metric string, slice int, quota array<long>")
+    dealt = d.groupBy("metric", "slice").cogroup(quota.groupBy("metric", "slice")).applyInArrow(deal, "metric string, rep int, n long, s double")
+    return dealt.groupBy("metric", "rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def permutation(long: DataFrame, a: str, b: str, reps: int = 10_000, seed: int = 11) -> DataFrame:
+    """difference of means, and the share of label shuffles whose absolute difference reaches it; each shuffle keeps the groups' sizes."""
     first = F.col("grp") == a
     c = long.where(F.col("grp").isin(a, b) & F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("c"), F.count_if(first).alias("ca"))
     total = c.groupBy("metric").agg(F.sum("c").alias("all_n"), F.sum(F.col("c") * F.col("value")).alias("all_s"), F.sum("ca").alias("na"), F.sum(F.col("ca") * F.col("value")).alias("sa"))
     apart = lambda n, s: F.try_divide(F.col(s), F.col(n)) - F.try_divide(F.col("all_s") - F.col(s), F.col("all_n") - F.col(n))
-    total = total.withColumns({"difference": apart("na", "sa"), "share": F.col("na") / F.col("all_n")})
-    drawn = _repetitions(c.join(total.select("metric", "share"), "metric"), ["metric"], reps, seed, lambda g, n, share, size: g.binomial(n, share, size))
-    r = drawn.join(total, "metric").withColumn("x", apart("n", "s"))
-    return r.groupBy("metric").agg(F.first("difference").alias("difference"), F.avg((F.abs("x") >= F.abs("difference")).cast("double")).alias("p_value"))
+    total = total.withColumn("difference", apart("na", "sa"))
+    r = shuffles(c.join(total.select("metric", "na"), "metric"), reps, seed).join(total.drop("na"), "metric").withColumn("x", apart("n", "s"))
+    # Sums in another order may differ in the last digits; such shuffles reach the difference.
+    reaches = F.abs("x") >= F.abs("difference") * (1 - 1e-9)
+    return r.groupBy("metric").agg(F.first("difference").alias("difference"), F.avg(reaches.cast("double")).alias("p_value"))
+
+
+def bootstrap_quantiles(long: DataFrame, quantiles: Sequence[float] = (0.5,), reps: int = 1000, seed: int = 7, level: float = 0.95, slices: int = SLICES) -> DataFrame:
+    """metric, grp, quantile, estimate, low, high: bootstrap intervals of quantiles (lines between order statistics), all repetitions at once.
+
+    A value with c rows counts Poisson(c) times in each repetition, drawn from a hash of its key. Values lie in slices by quantiles of all;
+    the first pass adds up each slice's draws, a small table tells in which slice each repetition's order statistics lie, and the second pass
+    draws again and reads them there. A group without a value in some repetition leaves that one out.
+    """
+    keys = ["metric", "grp"]
+    d = long.where("value is not null").groupBy(*keys, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    cuts = d.agg(F.percentile_approx("value", F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(100 * slices)).alias("cuts"))
+    d = d.join(F.broadcast(cuts)).withColumns({"slice": F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)), "h": F.xxhash64(*keys, "value", F.lit(seed))}).drop("cuts")
+    place = [*keys, "slice"]
+    named = lambda more: ", ".join([*[f"{k} {long.schema[k].dataType.simpleString()}" for k in keys], more])
+
+    def drawn(t: pa.Table) -> Iterator[tuple[float, np.ndarray]]:
+        for value, c, h in zip(t["value"].to_pylist(), t["c"].to_pylist(), t["h"].to_pylist(), strict=True):
+            yield value, np.random.default_rng(h % (1 << 64)).poisson(c, reps)
+
+    def add_up(t: pa.Table) -> pa.Table:
+        total = np.zeros(reps, np.int64)
+        for _, n in drawn(t):
+            total += n
+        return t.slice(0, 1).select(place).append_column("total", pa.array([total], pa.list_(pa.int64())))
+
+    def find(t: pa.Table) -> pa.Table:
+        """For each slice the repetitions' numbers (from 0) of the order statistics that lie in it."""
+        t = t.sort_by("slice")
+        upto = np.cumsum(t["total"].combine_chunks().flatten().to_numpy().reshape(-1, reps), 0)
+        out = []
+        for k, q in enumerate(quantiles):
+            at = (upto[-1] - 1) * q
+            for side, wanted in enumerate((np.floor(at), np.ceil(at))):
+                lies = (upto <= wanted).sum(0)
+                for s in np.unique(lies[upto[-1] > 0]):
+                    own = np.flatnonzero((lies == s) & (upto[-1] > 0))
+                    out.append((int(s), k, side, own, (wanted[own] - (upto[s - 1][own] if s else 0)).astype(np.int64), (at - np.floor(at))[own]))
+        rows = t.take(pa.array([x[0] for x in out], pa.int64())).select(place)
+        for name, at, kind in (("k", 1, pa.int32()), ("side", 2, pa.int32()), ("reps", 3, pa.list_(pa.int64())), ("numbers", 4, pa.list_(pa.int64())), ("shares", 5, pa.list_(pa.float64()))):
+            rows = rows.append_column(name, pa.array([x[at] for x in out], kind))
+        return rows
+
+    def read(t: pa.Table, wanted: pa.Table) -> pa.Table:
+        asks = [(a["k"], a["side"], np.array(a["reps"]), np.array(a["numbers"]), np.array(a["shares"])) for a in wanted.to_pylist()]
+        found, upto = [np.full(len(a[2]), np.nan) for a in asks], np.zeros(reps, np.int64)
+        for value, n in drawn(t.sort_by("value")) if asks else ():
+            upto += n
+            for got, (_, _, own, number, _) in zip(found, asks, strict=True):
+                got[np.isnan(got) & (upto[own] > number)] = value
+        parts = [(k, own, got * (1 - share if side == 0 else share)) for got, (k, side, own, _, share) in zip(found, asks, strict=True)]
+        first = t.slice(0, 1) if t.num_rows else wanted.slice(0, 1)
+        size = sum(len(p[1]) for p in parts)
+        out = first.select(keys).take(pa.array(np.zeros(size, np.int64)))
+        out = out.append_column("k", pa.array(np.concatenate([np.zeros(0, np.int32), *[np.full(len(own), k, np.int32) for k, own, _ in parts]])))
+        out = out.append_column("rep", pa.array(np.concatenate([np.zeros(0, np.int64), *[own for _, own, _ in parts]])))
+        return out.append_column("x", pa.array(np.concatenate([np.zeros(0), *[x for _, _, x in parts]])))
+
+    totals = d.groupBy(*place).applyInArrow(add_up, named("slice int, total array<long>"))
+    wanted = totals.groupBy(*keys).applyInArrow(find, named("slice int, k int, side int, reps array<long>, numbers array<long>, shares array<double>"))
+    got = d.groupBy(*place).cogroup(wanted.groupBy(*place)).applyInArrow(read, named("k int, rep long, x double"))
+    got = got.groupBy(*keys, "k", "rep").agg(F.sum("x").alias("x"))
+    tail = (1 - level) / 2
+    ci = got.groupBy(*keys, "k").agg(F.percentile("x", F.lit(tail)).alias("low"), F.percentile("x", F.lit(1 - tail)).alias("high"))
+    at = F.array(*[F.lit(float(q)) for q in quantiles])
+    est = long.where("value is not null").groupBy(*keys).agg(F.percentile(F.col("value").cast("double"), at).alias("est")).select(*keys, F.posexplode("est").alias("k", "estimate"))
+    ci = ci.toDF(*[f"ci_{c}" for c in (*keys, "k")], "low", "high")
+    same = F.col("k") == F.col("ci_k")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"ci_{c}"))
+    return est.join(ci, same, "left").select(*keys, at[F.col("k")].alias("quantile"), "estimate", "low", "high")
 
 
 def required_n(comparisons: DataFrame, power: float = 0.8, alpha: float = 0.05) -> DataFrame:

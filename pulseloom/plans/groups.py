@@ -188,6 +188,7 @@ SELECT metric, round(dd, 6) AS cohen_d, round(dd * (1 - 3 / (4 * (na + nb) - 9))
 )(lambda s, d: stats.effect_sizes(_long(s, d), "A", "R"))
 query("t15_labels")(lambda s, d: stats.pairwise(_long(s, d)).select("metric", "a", "b", stats.magnitude(F.col("hedges_g")).alias("effect"), stats.stars(F.col("p_value")).alias("stars")))
 query("t16_bootstrap")(lambda s, d: stats.bootstrap_means(_long(s, d), reps=1000))
+query("t17_bootstrap_quantiles")(lambda s, d: stats.bootstrap_quantiles(_long(s, d), (0.25, 0.5, 0.75), reps=1000))
 query("t18_permutation")(lambda s, d: stats.permutation(_long(s, d), "A", "R", reps=10_000))
 COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 query("t19_pearson", "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for k, a in enumerate(COLS) for b in COLS[k + 1 :]))(lambda s, d: stats.correlations(table(s, d, "lineitem"), list(COLS)).drop("p_value"))

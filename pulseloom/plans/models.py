@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
-from pulseloom.operators import arima, cluster, forecast, hrv, neighbours
+from pulseloom.operators import arima, cluster, forecast, hrv, mixed, neighbours
 from pulseloom.operators import models as linear
 from pulseloom.plans.base import SUBJECT, beats, nn_sql
 from pulseloom.plans.groups import SERIES, _long, series
@@ -147,6 +147,9 @@ query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
 query("t28_isolation_forest")(lambda s, d: linear.isolation_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"], ["subject", "sol"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("mean_nni").alias("mean_nni"), F.avg("sdnn").alias("sdnn"), F.avg("rmssd").alias("rmssd")))
 
+_mixed = lambda s, d: mixed.mixed_model(_metrics(s, d), "mean_nni", ["sol"], "subject", ["sol"])
+query("t23_mixed_model", digits=4)(lambda s, d: _mixed(s, d)[0])
+query("t23_random_effects", digits=4)(lambda s, d: _mixed(s, d)[1])
 LOF = _T + """, m AS (SELECT avg(mean_nni) AS m1, stddev_pop(mean_nni) AS s1, avg(sdnn) AS m2, stddev_pop(sdnn) AS s2, avg(rmssd) AS m3, stddev_pop(rmssd) AS s3 FROM f),
 x AS (SELECT subject || ':' || sol AS id, subject, sol, mean_nni, sdnn, rmssd, (mean_nni - m1) / s1 AS x1, (sdnn - m2) / s2 AS x2, (rmssd - m3) / s3 AS x3 FROM f, m),
 d AS (SELECT a.id AS p, b.id AS q, sqrt(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.x3 - b.x3, 2)) AS d FROM x a JOIN x b ON a.id <> b.id), ne AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, q) <= 5),
