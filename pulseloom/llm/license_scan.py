@@ -3,14 +3,17 @@
 A text is cut into sentences, over line ends and behind comment leaders; those that may speak of licensing are normalised
 (case, punctuation, opening phrases, defined terms) and looked up among known licence sentences, which gives each document a
 sequence of sentence identifiers, those of SPDX lines first; `unknown` marks a licensing sentence that isn't known. Ordered
-licence rules then match the sequence, the more specific first; what a rule has matched is taken out before the next is tried.
+licence rules then match the sequence, the more specific first; what a rule has matched is taken out before the next is tried. Sentences
+that name a holder are known with a slot for the name; titles and definitions stand for the full texts of licences; a third condition
+that isn't known keeps the licence of two conditions from being named.
 One scan of built-in expressions, no shuffle.
 
 `scan` is the operator; `scan_lines` is its simpler form, in which every line end ends a sentence and only sentences with a
 word of SPEAKS are looked up.
 
 Defined results: a null or empty text has no sentences and no licences (empty strings, zeros); a repeated sentence is
-counted each time, its licence is named once; repeated rows give repeated results; an empty table gives none; other
+counted each time, its licence is named once; a text is read whole, however long; of rules that match the same place the first
+counts; repeated rows give repeated results; an empty table gives none; other
 columns of the input are not looked at.
 """
 
@@ -126,13 +129,58 @@ TEXT_SENTENCES = {k: v for k, v in SENTENCES.items() if "www." not in k} | {
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_as_is",
     "you should have received a copy of the gnu general public license along with this program": "gpl_copy",
     "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_as_is",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "apache_text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "zero_bsd",
+    "public license fallback": "cc0",
+    "python software foundation license version 2": "psf2",
+    "gnu general public license version 1 february 1989": "gpl1",
+    "gnu general public license version 2 june 1991": "gpl2_text",
+    "gnu general public license version 3 29 june 2007": "gpl3_text",
+    "gnu library general public license version 2 june 1991": "lgpl2",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl21_text",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3",
+    "gnu free documentation license version 1.2 november 2002": "gfdl12",
+    "gnu free documentation license version 1.3 3 november 2008": "gfdl13",
+    "mozilla public license version 1.1": "mpl11",
+    "the artistic license preamble": "artistic1",
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21plus",
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3plus",
 }
+#: Known sentences with a slot for a holder's name, of 160 characters at most, or a lead: what they are looked up as. On normalised sentences.
+_NAMES = "may be used to endorse or promote products derived from this (?:software|library|package|program) without (?:specific )?prior written permission"
+_LIABLE = "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damages?"
+SLOTS = (
+    (f"^(?:[0-9a-z] )?(?:neither the names? .{{1,160}} )?nor the names of (?:its |their |the |any |other )?contributors {_NAMES}$", "bsd_names"),
+    (f"^(?:[0-9a-z] )?the names? .{{1,160}} (?:may|must) not {_NAMES.removeprefix('may ')}$", "bsd_names"),
+    ("^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [0-9a-z]$", "bsd_head"),
+    ("^this software is provided (?:by .{1,160} )?as is and any express(?:ed)? or implied warranties including but not limited to (?:the )?implied warranties of merchantability and fitness for a particular purpose are disclaimed$", "bsd_as_is"),
+    (f"^in no event shall .{{1,160}} {_LIABLE}$", "no_event"),
+    ("^begin license block this source code form is subject to the terms of the mozilla public license v 2.0$", "mpl2"),
+    ("^(?:the )?apache 2.0 license https? www.?apache.?org licenses license 2.0$", "apache2"),
+    ("^(?:the )?mit license https? (?:www)?.?opensource.?org licenses mit$", "mit"),
+)
 TEXT_RULES = (
-    *((name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?(?: no_event)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES),
+    ("GPL-3.0-or-later", "gpl3_text(?: unknown)* gpl3plus_head(?: gpl_useful)?(?: gpl_see)?(?: gpl_copy)?"),
+    ("GPL-2.0-or-later", "gpl2_text(?: unknown)* gpl2plus_head(?: gpl_useful)?(?: gpl_see)?(?: gpl_copy)?"),
+    ("LGPL-2.1-or-later", "lgpl21_text(?: unknown)* lgpl21plus"),
+    ("GPL-3.0-only", "gpl3_text"),
+    ("GPL-2.0-only", "gpl2_text"),
+    ("LGPL-2.1-only", "lgpl21_text"),
+    ("Apache-2.0", "apache_text"),
+    ("0BSD", "zero_bsd(?: isc_as_is)?(?: no_event)?"),
+    *((name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?(?: no_event)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES[:1]),
+    # A third condition that isn't known is no permission to call it the licence of two: taken out, without a name.
+    ("", "bsd_head bsd_source bsd_binary unknown"),
+    *((name, rule.replace("(?: as_is)?", "(?: as_is| isc_as_is)?(?: no_event)?" if name == "ISC" else "(?: as_is)?(?: no_event)?").replace("(?: bsd_as_is)?", "(?: bsd_as_is)?(?: no_event)?").replace("(?: gpl_see)?", "(?: gpl_see)?(?: gpl_copy)?").replace("(?: apache_basis)?", "(?: apache_basis)?(?: apache_see)?")) for name, rule in RULES[1:]),
     ("ISC", "isc"),
+    ("LGPL-2.0-only", "lgpl2"),
+    ("GPL-1.0-only", "gpl1"),
+    ("MPL-1.1", "mpl11"),
+    ("GFDL-1.2-only", "gfdl12"),
+    ("GFDL-1.3-only", "gfdl13"),
+    ("Artistic-1.0", "artistic1"),
+    ("PSF-2.0", "psf2"),
     ("LGPL-2.1-or-later", "lgpl21plus"),
     ("LGPL-3.0-or-later", "lgpl3plus"),
     ("AGPL-3.0-or-later", "agpl3plus"),
@@ -175,8 +223,15 @@ def sentence_ids(text: Column) -> Column:
     A sentence goes on over line ends; it ends with a full stop before a space or at a line without letters and digits. One that
     isn't known is looked up by its clauses, and a clause that isn't by its lines; what is left unknown counts if it speaks of licensing.
     """
-    known = F.create_map(*[F.lit(x) for pair in TEXT_SENTENCES.items() for x in pair])
-    look = lambda x: F.try_element_at(known, normalise(F.regexp_replace(F.regexp_replace(x, DEFINED, " "), "(?i)https://", "http://")))
+    known = F.create_map(*[F.lit(x) for pair in (TEXT_SENTENCES | {f"slot {by}": by for _, by in SLOTS}).items() for x in pair])
+    plain = lambda x: normalise(F.regexp_replace(F.regexp_replace(x, DEFINED, " "), "(?i)https://", "http://"))
+
+    def slotted(x: Column) -> Column:
+        for pattern, by in SLOTS:
+            x = F.regexp_replace(x, pattern, f"slot {by}")
+        return x
+
+    look = lambda x: F.try_element_at(known, slotted(plain(x)))
     looked = lambda xs: F.transform(F.filter(xs, lambda x: x.rlike(MAY_SPEAK)), lambda x: F.struct(x.alias("x"), look(x).alias("id")))
     other = lambda x: F.when(x["x"].rlike(SPEAKS), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>"))
 
@@ -210,7 +265,8 @@ def _matched(d: DataFrame, id_col: str, rules: Sequence[tuple[str, str]]) -> Dat
     d = d.withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))
     left, names = F.col("sequence"), []
     for name, rule in rules:
-        names.append(F.when(left.rlike(f" {rule} "), F.lit(name)))
+        if name:
+            names.append(F.when(left.rlike(f" {rule} "), F.lit(name)))
         left = F.regexp_replace(left, f" {rule}(?= )", " taken")
     licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",")
     plain = F.size("ids") > 0
@@ -243,7 +299,8 @@ def _rules_sql(rules: Sequence[tuple[str, str]], ctes: str) -> str:
     """The licences from CTEs that end in q (doc_id, sentence_ids, sequence, n_known, n_unknown)."""
     steps, part = [], "SELECT *, sequence AS s0 FROM q"
     for k, (name, rule) in enumerate(rules):
-        steps.append(f"CASE WHEN regexp_matches(s{k}, {_quoted(f' {rule} ')}) THEN {_quoted(name)} END")
+        if name:
+            steps.append(f"CASE WHEN regexp_matches(s{k}, {_quoted(f' {rule} ')}) THEN {_quoted(name)} END")
         # RE2 has no lookahead: every space is doubled first, so that neighbours don't share one
         part = f"SELECT *, replace(regexp_replace(replace(s{k}, ' ', '  '), {_quoted(' ' + rule.replace(' ', '  ') + ' ')}, ' taken ', 'g'), '  ', ' ') AS s{k + 1} FROM ({part})"
     return f"""
@@ -274,6 +331,8 @@ def oracle() -> str:
     for pattern, by in PREPARE:
         whole = _replaced(whole, pattern, by)
     look = _normalised(_replaced(_replaced("x", DEFINED, " "), "(?i)https://", "http://"))
+    for pattern, by in SLOTS:
+        look = f"regexp_replace({look}, {_quoted(pattern)}, {_quoted(f'slot {by}')})"
     may, speaks = (f"regexp_matches(x, {_quoted(p)})" for p in (MAY_SPEAK, SPEAKS))
     # RE2 has no lookbehind: the mark stays before a control character at which the text is cut.
     cut = lambda x, pattern: f"string_split({_replaced(x, pattern, '$1' + chr(1))}, chr(1))"
@@ -294,7 +353,7 @@ l{n} AS (SELECT {own}, c.x, sid FROM (SELECT {own}, x, {look} AS k FROM c{n} WHE
 
     ctes = f"""d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
 p AS (SELECT r, {whole} AS t FROM d WHERE regexp_matches(text, {_quoted(MAY_SPEAK)})),
-known(k, sid) AS (VALUES {_values(TEXT_SENTENCES)}),
+known(k, sid) AS (VALUES {_values(TEXT_SENTENCES | {f'slot {by}': by for _, by in SLOTS})}),
 names(k, sid) AS (VALUES {_values(NAMES)}),
 sl AS (SELECT r, unnest(regexp_extract_all(t, {_quoted(SPDX)}, 1)) AS line, generate_subscripts(regexp_extract_all(t, {_quoted(SPDX)}, 1), 1) AS i FROM p),
 st AS (SELECT r, i, unnest(string_split_regex(lower(line), '[^a-z0-9.+-]+')) AS k, generate_subscripts(string_split_regex(lower(line), '[^a-z0-9.+-]+'), 1) AS j FROM sl),

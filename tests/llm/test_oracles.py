@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from pulseloom.llm import license_scan, queries, sharding
+from tests.llm import test_licenses
 from tests.test_oracles import close, plain
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -41,7 +42,7 @@ def test_license_sql_on_whole_texts(spark, tmp_path):
             made.append("\n".join(lead + x for x in text.split("\n")))
             made.append("\r\n".join((lead + x).rstrip() for x in text.replace(", ", ",\n").split("\n")))
     made += [None, "", "// SPDX-License-Identifier: MIT OR Apache-2.0\n// Copyright me", "/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) */ x", "SPDX-License-Identifier: LicenseRef-own", "Our license\nis ours; so\nis this licence: it.", "all rights reserved. x; Licensed under the MIT License\nfoo\n\nbar licence"]
-    made += [x + "." for x in license_scan.TEXT_SENTENCES]
+    made += [x + "." for x in license_scan.TEXT_SENTENCES] + [x for _, x in test_licenses.MADE]
     spark.createDataFrame([(k, x) for k, x in enumerate(made)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
