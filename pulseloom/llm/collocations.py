@@ -10,8 +10,8 @@ exactly too and falls below the support.
 
 Within a task words become numbers, phrases of a buffer of texts become packed integers and are counted by sorting; only distinct
 phrases with their counts are shuffled, so a very common phrase is one number a buffer. The first reading's numbers travel as
-arrays, a row for each buffer, shard and bucket of keys, and are added up bucket by bucket; there are as many buckets as the texts
-need for BUCKET_BYTES of text each. A language may hold all rows: every exchange is by phrase, and the ranking keeps each task's
+arrays, a row for each buffer, shard and bucket of keys, and are added up bucket by bucket; there are as many tasks as the texts need
+for TASK_BYTES of text each, and eight buckets a task. A language may hold all rows: every exchange is by phrase, and the ranking keeps each task's
 best rows before it brings a language together.
 
 Defined results: null and empty texts have no words; a null language is `und` and counts with that; ids and other columns are not
@@ -34,8 +34,9 @@ from pulseloom.llm.common import documents, remove, settle
 from pulseloom.llm.tokens import bitmap, marked, mixed, runs, utf8
 
 SUPPORT, LONGEST, TOP, CONTAINED, SHARDS = 10, 3, 2000, 50, 4
-BUFFER, BUCKET_BYTES, ROOM = 8 << 20, 16 << 20, 1 << 62
-MOST_BUCKETS, PARTS = 1 << 17, 16
+BUFFER, TASK_BYTES, ROOM = 8 << 20, 16 << 20, 1 << 62
+#: Buckets a task of the second stage, so that hashing them to tasks is even; at most so many bits of buckets; parts of a ranking.
+TASK_BITS, MOST_BITS, PARTS = 3, 18, 16
 _SPACE, _CUT = 0x20, 0x0A
 #: A to Z become lower case, a tab a space, and what ends a piece a line feed.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 9)
@@ -116,7 +117,7 @@ def local_support(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
 def locally_frequent(docs: DataFrame, need: DataFrame, longest: int, shards: int, text_col: str, lang_col: str) -> DataFrame:
     """key of every phrase that reaches the support of a shard there, each once; need as by local_support()."""
     size = need.agg(F.sum("own")).first()[0] or 0
-    bits = min(MOST_BUCKETS.bit_length() - 1, (size // BUCKET_BYTES).bit_length())
+    bits = min(MOST_BITS, (size // TASK_BYTES).bit_length() + TASK_BITS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, place, counted in _buffers(batches, longest):
@@ -155,7 +156,7 @@ def locally_frequent(docs: DataFrame, need: DataFrame, longest: int, shards: int
             yield add_up(held)
 
     rows = _placed(docs, shards, text_col, lang_col).mapInArrow(pack, "place long, bucket int, once binary, more binary, times binary").join(need.select("place", "need"), "place")
-    return rows.select("place", "bucket", "once", "more", "times", "need").repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(unite, "key long")
+    return rows.select("place", "bucket", "once", "more", "times", "need").repartition(1 << bits - TASK_BITS, "bucket").sortWithinPartitions("bucket").mapInArrow(unite, "key long")
 
 
 def counted_phrases(docs: DataFrame, candidates: DataFrame, support: int, longest: int, text_col: str, lang_col: str) -> DataFrame:
