@@ -212,7 +212,7 @@ def screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
 
 
-def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, trash: list[str] | None = None) -> DataFrame:
     """Every pair (a, b) of members (node, label, n, parity) with different labels that can reach the threshold, by its rarest shingles."""
     each = members.select("node", "n").join(sets, "node").select("node", "n", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -223,7 +223,8 @@ def rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Data
     ranked = ranked.select("node", "s", "i").join(members, "node")
     # A shingle that only nodes of one label hold makes no pair, however many these are.
     several = ranked.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("s")
-    ranked = ranked.join(several, "s", "left_semi")
+    # Settled, so that the join with itself is an exchange that adaptive execution can split where a shingle has very many nodes.
+    ranked = settle(ranked.join(several, "s", "left_semi"), trash)
     a = ranked.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
     b = ranked.select(F.col("s").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     placed = settle(labelled(members.where("size > 2").select("node", "bucket"), labels), spent)
     mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket"), spent)
     rest = settle(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "parity"), "node"), spent)
-    more = settle(confirmed(rare_prefix_pairs(rest, sets, percent), sets, percent), spent)
+    more = settle(confirmed(rare_prefix_pairs(rest, sets, percent, spent), sets, percent), spent)
     if not more.isEmpty():
         to_label = rest.select("node", "label")
         across = more.join(to_label.toDF("a", "la"), "a").join(to_label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
