@@ -589,43 +589,88 @@ def test_token_files(spark, docs, none, tmp_path):
 
 
 def test_language_against_plain_code(spark):
-    """Counts, classifiers, their measured shares and the decoding, one text and one bit at a time."""
+    """Counts, classifiers, their shares on the left-out fold, gaps, floors, decoding and flags, one text and one bit at a time."""
     import numpy as np
 
     sample = {"en": "the of and with that there here", "de": "der und nicht über schön für wir", "fr": "le être où déjà très élève nous", "es": "el niño año mañana qué aquí"}
-    made = [(f"{w} " * 3 + t[k:], lang) for lang, t in sample.items() for k, w in enumerate(t.split())] + [("", "en"), ("12 34", "de"), (None, "fr"), ("there über", None)]
-    asked = [t for t, _ in made if t] + ["the über année", "x", "zzz qqq", "le niño the wir " * 30]
+    made = [((f"{w} " * 3 + t[k:] + " ") * (1 + k % 3), lang) for lang, t in sample.items() for k, w in enumerate(t.split() * 2)] + [("", "en"), ("12 34", "de"), (None, "fr"), ("there über", None)]
+    made += [(f"{t[k:]} {t[:k]} {t}", lang) for lang, t in sample.items() for k in range(12)]
+    asked = [t for t, _ in made if t] + ["the über année", "x", "zzz qqq", "le niño the wir " * 30, ("the of and " * 20 + "der und nicht " * 20), "жук", "the " * 40]
     model = language_id.train(spark.createDataFrame(made, "text string, lang string"))
-    code = language_id.codewords(4)
-    langs = sorted(sample)
-    counts = {x: Counter() for x in langs}
-    for t, lang in made:
-        if t and lang and any(map(str.isalpha, t)):
-            counts[lang].update(language_id.trigrams(t).tolist())
-    p = {x: {b: (c[b] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS) for b in set().union(*counts.values())} for x, c in counts.items()}
-    rare = {x: 0.5 / (sum(c.values()) + 0.5 * language_id.BUCKETS) for x, c in counts.items()}
-
-    def margin(text, bit):
-        total = 0.0
-        grams = language_id.trigrams(text).tolist()
-        for g in grams:
-            side = {v: np.mean([p[x].get(g, rare[x]) for k, x in enumerate(langs) if code[k][bit] == v]) for v in (1, -1)}
-            total += math.log(side[1]) - math.log(side[-1])
-        return total / max(1, len(grams)) * min(len(grams), language_id.LONGEST)
-
+    code, langs, longest = language_id.codewords(4), sorted(sample), language_id.LONGEST
+    known = [(t, lang) for t, lang in made if t and lang and any(map(str.isalpha, t))]
+    grams = {t: language_id.trigrams(t).tolist() for t in {*asked, *[t for t, _ in known]}}
+    out = {t: zlib.crc32(t.encode()) % language_id.FOLDS == 0 for t, _ in known}
     bits = range(code.shape[1])
-    right = {x: [np.mean([margin(t, b) * code[k][b] > 0 for t, y in made if y == x and t and any(map(str.isalpha, t))]) for b in bits] for k, x in enumerate(langs)}
-    want = []
-    for t in asked:
-        if not any(map(str.isalpha, t)):
-            want.append((t, "und", 0.0))
+
+    def tables(rows):
+        counts = {x: Counter(g for t, y in rows if y == x for g in grams[t]) for x in langs}
+        p = lambda x, g: (counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * language_id.BUCKETS)
+        side = lambda g, b, v: np.mean([p(x, g) for k, x in enumerate(langs) if code[k][b] == v])
+        return p, lambda gs, b: sum(math.log(side(g, b, 1)) - math.log(side(g, b, -1)) for g in gs)
+
+    def losses(margins, right):
+        return [sum(math.log1p(math.exp(-code[k][b] * margins[b])) * right[x][b] for b in bits) / sum(right[x]) for k, x in enumerate(langs)]
+
+    def gap(loss):
+        return sorted(loss)[1] - min(loss)
+
+    cut = lambda gs: [gs[i : i + longest] for i in range(0, len(gs) - longest + 1, longest)]
+    p, weight = tables([(t, y) for t, y in known if not out[t]])
+    left = [(gs, y) for t, y in known if out[t] for gs in cut(grams[t])]
+    assert {y for _, y in left} == set(langs) and len(left) > 8
+    right = {x: [np.mean([weight(gs, b) * code[k][b] > 0 for gs, y in left if y == x]) for b in bits] for k, x in enumerate(langs)}
+    np.testing.assert_allclose(model.right, [right[x] for x in langs], rtol=1e-6)
+    even = {x: [1.0] * len(bits) for x in langs}
+    low = lambda seen, width: (lambda at: sorted(at)[int(language_id.AMBIGUOUS * len(at))] * width)([math.floor(v / width) for v in seen])
+    gaps = []
+    for size in language_id.LENGTHS:
+        each = [(losses([weight(gs[:size], b) for b in bits], even), y) for gs, y in left]
+        gaps.append(low([gap(loss) if langs[loss.index(min(loss))] == y else 0.0 for loss, y in each], language_id._GAP))
+    np.testing.assert_allclose(model.gaps, gaps, atol=2 * language_id._GAP)
+    likely = {x: [np.mean([math.log(p(x, g)) for g in gs]) for gs, y in left if y == x] for x in langs}
+    np.testing.assert_allclose(model.floor, [low(likely[x], language_id._UNLIKELY) for x in langs], atol=2 * language_id._UNLIKELY)
+    np.testing.assert_allclose(model.usual, [np.mean(likely[x]) for x in langs], atol=2 * language_id._UNLIKELY)
+
+    p, weight = tables(known)
+    got = language_id.predict(spark.createDataFrame([(t,) for t in asked], "text string"), model, ["text"]).collect()
+    assert sorted(r["text"] for r in got) == sorted(asked) and {r["ambiguous"] for r in got} == {True, False}
+    for r in got:
+        gs = grams[r["text"]]
+        if not any(map(str.isalpha, r["text"])):
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0.0, True)
             continue
-        loss = [sum(math.log1p(math.exp(-code[k][b] * margin(t, b))) * right[x][b] for b in bits) / sum(right[x]) for k, x in enumerate(langs)]
+        n = min(len(gs), longest)
+        loss = losses([weight(gs, b) / max(1, len(gs)) * n for b in bits], right)
         best = loss.index(min(loss))
-        want.append((t, langs[best], 1 / sum(math.exp(min(loss) - v) for v in loss)))
-    got = language_id.predict(spark.createDataFrame([(t,) for t in asked], "text string"), model, ["text"]).collect()
-    for (t, lang, score), r in zip(sorted(want), sorted(got, key=lambda r: (r["text"], r["lang_pred"])), strict=True):
-        assert r["text"] == t and r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-4)
+        assert r["lang_pred"] == langs[best] and math.isclose(r["score"], 1 / sum(math.exp(min(loss) - v) for v in loss), rel_tol=1e-4)
+        mean, need = np.mean([math.log(p(langs[best], g)) for g in gs]) if gs else 0.0, np.interp(len(gs), language_id.LENGTHS, model.gaps)
+        floor = model.usual[best] - (model.usual - model.floor)[best] * math.sqrt(longest / max(1, n))
+        others = [losses([weight(c, b) for b in bits], right) for c in cut(gs)] if len(gs) >= 2 * longest else []
+        mixed = np.mean([o.index(min(o)) != best and gap(o) >= model.gaps[-1] for o in others]) if others else 0.0
+        if min(abs(gap(loss) - need), abs(mean - floor)) > 1e-3:
+            assert r["ambiguous"] == (gap(loss) < need or mean < floor or mixed >= language_id.MIXED), r
+
+
+def test_ambiguous_texts_are_flagged(spark):
+    """Texts of two of the given languages, of none of them, and clear ones, of held-out documents."""
+    import os
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) > 300")
+    rows = [(r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in docs.collect()]
+    model = language_id.train(spark.createDataFrame([(t, x) for t, x, held in rows if not held], "text string, lang string"))
+    held = [(t, x) for t, x, h in rows if h]
+    first = dict(reversed([(x, t) for t, x in held]))
+    both = [("mixed", first[a][:600] + " " + first[b][:600]) for a in first for b in first if a < b]
+    none = [("none", t) for t in ("Сегодня хорошая погода и мы идем на пляж с друзьями", "今日は天気が良いので友達と海に行きます", "xqzt vvkpq wzzx jjqk qqpw zzxk kkqj wvvx", "Det är en vacker dag och vi går till stranden med våra vänner")]
+    clear = [("clear", t) for t, _ in held]
+    got = language_id.predict(spark.createDataFrame([*both, *none, *clear], "kind string, text string"), model, ["kind"]).collect()
+    flags = {kind: [r["ambiguous"] for r in got if r["kind"] == kind] for kind in ("mixed", "none", "clear")}
+    assert len(both) >= 3 and all(flags["mixed"]) and all(flags["none"])
+    assert len(clear) > 20 and sum(flags["clear"]) <= max(1, 0.02 * len(clear))
 
 
 def test_language_on_held_out_documents(spark):
