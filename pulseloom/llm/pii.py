@@ -1,16 +1,18 @@
 """Personal data by weak supervision.
 
 Regex, gazetteer, context and form labelers vote (1 personal, -1 not, 0 no opinion) on candidate spans: the spans of four
-exact patterns and seven looser shapes (local phones, social security numbers, IBANs, spelled-out mail addresses, names,
-streets, birth dates). Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is; its
-probabilities then train the final span classifier, a naive Bayes over features of a candidate that no labeler votes by:
-kind, size, neighbouring characters, the word before. A candidate is added to the spans of the exact patterns, which always
-stay, if the classifier accepts it, more labelers are for it than against it, and neither a check nor the context is.
+exact patterns and eight looser shapes (local phones, social security numbers, IBANs, spelled-out mail addresses, names,
+streets, birth dates, passports). Expectation-maximisation over the counts of vote patterns, for each kind by itself, estimates how
+reliable each labeler is; its probabilities then train the final span classifier, a naive Bayes over features of a candidate that no
+labeler votes by: kind, size, neighbouring characters, the word before. A candidate is added to the spans of the exact patterns,
+which always stay, if the classifier's odds and those of its votes accept it together, the labelers are for it both by number and by
+their reliabilities, and neither a check nor the context is against it. Names are found by their shape, listed or not, and need a context that speaks of a person and not of a work.
 
 Texts are read once with built-in expressions; what is found goes to a settled table. The driver sees only the counts of
-vote and feature patterns, at most 3^4 x 11 x 3 x 4 x 4 x (CUES + 2) rows at any input size.
+vote and feature patterns, at most 3^4 x 12 x 3 x 4 x 4 x (CUES + 2) rows at any input size.
 
-Spans count code points, end exclusive. Defined results: a null or empty text has no spans; where no candidates exist the
+Spans count code points, end exclusive. Defined results: a text is read whole, however long; of matches of one pattern the leftmost
+counts, and added spans may overlap each other; a null or empty text has no spans; where no candidates exist the
 classifier adds nothing; repeated rows give repeated results; an empty table gives none; other columns of the input are
 not looked at. Patterns are possessive or anchored at the start of a run, so that a run of any length costs linear time
 and no recursion.
@@ -37,6 +39,12 @@ GIVEN = (
     "Joseph|Joshua|Juan|Julia|Karen|Karl|Katharina|Katherine|Kevin|Klaus|Laura|Lauren|Linda|Lisa|Louis|Lucas|Lucía|Luis|Manuel|Marco|Margaret|Maria|María|Marie|Mark|Martin|Mary|Matthew|Melissa|Michael|Michelle|Miguel|Mohammed|Nancy|Nicholas|Nicole|Olivia|"
     "Pablo|Patricia|Patrick|Paul|Pedro|Peter|Philip|Pierre|Rachel|Rebecca|Richard|Robert|Ronald|Ruth|Ryan|Samuel|Sandra|Sarah|Sean|Sofia|Sophie|Stefan|Stephen|Steven|Susan|Teresa|Thomas|Timothy|Ursula|Victor|Wei|William|Wolfgang|Yuki"
 )
+#: Capitalised words that a name doesn't start with.
+NOT_FIRST = (
+    "Dear|Contact|Patient|Employee|Customer|Client|Tenant|Member|My|Our|His|Her|Its|Your|Their|The|This|That|These|Those|Call|Ask|Signed|Name|Hi|Hello|From|To|Best|Kind|Warm|Regards|Sincerely|With|In|On|At|For|And|But|Or|If|When|While|Please|Mail|Email|Write|Send|Tell|"
+    "Meet|See|Is|Are|Was|It|He|She|We|They|You|Yours|Attn|Attention|Speak|Novel|Painted|Directed|Written|Visit|After|Before|Ich|Mein|Der|Die|Das|Frau|Herr|Je|Le|La|Les|Mon|El|Los|Las|Mi|Soy|Von|Thanks|Passport|President|King|Queen|Saint|Mount|Lake|New|North|South|East|West"
+)
+MONTHS = "Jan(?:uary|uar)?|Feb(?:ruary|ruar)?|Mar(?:ch|s|zo)?|März|Apr(?:il)?|May|Mai|Mayo|June?|Juni|Juin|Junio|July?|Juli|Juillet|Julio|Aug(?:ust)?|Août|Agosto|Sept?(?:ember|embre|iembre)?|Oct(?:ober|obre|ubre)?|Okt(?:ober)?|Nov(?:ember|embre|iembre)?|Dec(?:ember)?|Dez(?:ember)?|Déc(?:embre)?|Dic(?:iembre)?|Enero|Febrero|Janvier|Février|Avril|Abril"
 NO_NAMES = "Street|Avenue|Road|University|College|School|Hospital|Church|Award|Prize|Museum|Airport|Bridge|River|Lake|Island|Islands|County|City|Park|Day|Act|Theorem|Inc|Ltd|GmbH|Corporation|Foundation"
 WAYS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Square|Way|Terrace"
 TELLS = {
@@ -48,11 +56,18 @@ TELLS = {
     "social": "ssn|social|security|tax",
     "iban": "iban|bank|account|konto|cuenta|compte|transfer|pay",
     "spelled_email": "mail|contact|write|reach|correo|courriel|schreib",
-    "name": "name|i am|signed|sincerely|regards|dear|contact|employee|patient|customer|heiße|llamo|appelle|born|lives|by",
     "street": "live|lives|living|address|home|ship|send|moved|resid|wohn|adresse|dirección|domicil|habit",
     "birth": "born|birth|dob|geboren|geburt|nacid|nacim|né le|née|naiss",
+    "passport": "passport|reisepass|pasaporte|passeport",
 }
-AGAINST = r"(?i)(?:\bversion|\bv|\bisbn|\bissn|\bdoi|\bno|\bnr|\bitem|\bpart|\bserial|\border|\binvoice|\bticket|\bmodel|\bsku|\bref|\breference|\bcase|\bbuild|\brelease|\blot|\bbatch|\bnumber|\bcode|#|\$|=|/)[\x20.:]*$"
+#: What stands before or after a person's name where it is personal, and where it is not.
+NAME_BEFORE = r"(?i)(?:\bname(?:\x20is|\x20was|d)?|\bi\x20am|\bi['’]m|\bsigned(?:\x20by)?|sincerely|regards|wishes|\bdear|\bhi|\bhello|\bcontact|\bemployee|\bpatient|\bcustomer|\bclient|\btenant|\bmember|\bheiße|\bich\x20bin|\bllamo|\bsoy|\bappelle|\bje\x20suis|\bask\x20for|\bspeak\x20(?:to|with)|\battn|\battention|\bmet(?:\x20with)?|\bphoned|\bemailed)[\x20:,.\n-]*$"
+NAME_AFTER = r"(?i)^[\x20,]*(?:\(?(?:ssn|dob|date\x20of\x20birth|phone|tel\b|e-?mail|passport|id\x20number)|(?:was\x20)?born\x20on|lives\x20(?:at|in|on)|can\x20be\x20reached|['’]s\x20(?:phone|address|number|e-?mail|passport|ssn|birthday|home))"
+NAME_AGAINST = r"(?i)(?<!signed\x20)(?:\bby|\bnovel(?:ist)?|\bpainter|\bauthor|\bpoet|\bcomposer|\bdirector|\bact(?:or|ress)|\bpresident|\bking|\bqueen|\bemperor|\bphilosopher|\bscientist|\bphysicist|\bmathematician|\bwriter|\bstarring|\bplays?|\bfilms?|\bsongs?|\balbums?|\b(?:biography|works|city|life|death|age)\x20of|\bnear|\bvisit)[\x20:,]*(?:the\x20)?$"
+NAME_AGAINST_AFTER = r"(?i)^(?:['’]s\x20(?:novels?|theor|painting|symphon|plays?|poems?|laws?|films?|works?)|[\x20,]*(?:\(?1[0-9]{3}\b|wrote|composed|painted|crossed|discovered|invented|directed|founded|theorem|street|award|prize|university|museum))"
+#: Before a number: what it is the number of, and words that say so only where nothing personal stands before them.
+AGAINST = r"(?i)(?:(?:\bversion|\bv|\bisbn|\bissn|\bdoi|\bitem|\bpart|\bserial|\border|\binvoice|\bticket|\bmodel|\bsku|\bref|\breference|\bcase|\bbuild|\brelease|\blot|\bbatch)[\x20.:]*(?:(?:no|nr|number|code|id)\b)?[\x20.:#]*|\$|=|/)$"
+AGAINST_WEAK = r"(?i)(?:\bno|\bnr|\bnumber|\bcode|#)[\x20.:]*$"
 AGAINST_AFTER = r"(?i)^[\x20,]*(?:parts?|units?|items?|pcs|pieces|serial|edition|build|release|theorem|street|award)\b"
 CUES = "address|appelle|born|by|call|card|case|contact|dear|dob|fax|from|home|host|iban|in|ip|is|item|invoice|live|lives|mail|mobile|name|nr|number|order|part|patient|phone|reach|ref|regards|serial|server|sincerely|ssn|tel|the|ticket|to|version|with|write".split("|")
 
@@ -62,21 +77,30 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser shapes; the classifier decides.
-LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+LOCAL_PHONE = (
+    r"(?<![0-9+])(?<![0-9][\x20-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|\(?0[0-9]{1,4}\)?[\x20/-]{1,2}[0-9]{3,4}[\x20-]?[0-9]{3,5}|0[0-9](?:[\x20.][0-9]{2}){4}|[0-9]{3}-[0-9]{4})(?![\x20-]?[0-9])"
+)
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _AT, _DOT = r"(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)", r"(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)"
 SPELLED = rf"(?i)(?<!{L}){L}{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,63}}+){{1,4}}"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}+"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}|(?:{GIVEN})\x20(?:\p{{Lu}}\.\x20)?{_NAME})(?![\p{{L}}\p{{N}}])"
+NAME = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}"
+    rf"|(?!(?:{NOT_FIRST})\x20){_NAME}(?:\x20(?:\p{{Lu}}\.|de|del|van|von|der|den|al|bin|da|di|la|el)){{0,2}}\x20(?!(?:{NOT_FIRST})\x20){_NAME}(?:\x20{_NAME})?)(?![\p{{L}}\p{{N}}])"
+)
+PASSPORT = r"(?<![A-Za-z0-9])(?:[A-Z]{1,2}[0-9]{6,8}|[0-9]{9}|[CFGHJK][0-9CFGHJKLMNPRTVWXYZ]{8})(?![A-Za-z0-9])"
 STREET = (
     rf"(?<![\p{{L}}\p{{N}}])(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:\p{{Lu}}[\p{{L}}'.-]{{0,30}}+\x20){{1,3}}(?:{WAYS})(?![\p{{L}}\p{{N}}])"
     r"|\p{Lu}[\p{L}-]{1,30}?(?:straße|strasse|str\.|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?(?![\p{L}\p{N}])"
     r"|(?:[0-9]{1,4},?\x20)?(?:[Rr]ue|[Cc]alle|[Aa]venida|[Pp]laza)\x20(?:(?:de|del|des|du|la|les)\x20){0,3}\p{Lu}[\p{L}'-]{1,30}+(?:,?\x20[0-9]{1,4})?(?![\p{L}\p{N}]))"
 )
-BIRTH = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9/-])"
+BIRTH = (
+    r"(?<![\p{L}\p{N}./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:(?:19|20)[0-9]{2}|[0-9]{2})"
+    rf"|[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)?(?:\x20de|\x20of)?\x20(?i:{MONTHS})\.?,?(?:\x20de|\x20del)?\x20(?:19|20)[0-9]{{2}}|(?i:{MONTHS})\.?\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20(?:19|20)[0-9]{{2}})(?![\p{{L}}\p{{N}}/-])"
+)
 BASE = ("email", "ip", "card", "phone")
-LOOSE = ("local_phone", "social", "iban", "spelled_email", "name", "street", "birth")
+LOOSE = ("local_phone", "social", "iban", "spelled_email", "name", "street", "birth", "passport")
 KINDS = (*BASE, *LOOSE)
 NEAR = 24  # characters of context on either side
 CHUNK = 128
@@ -117,7 +141,7 @@ def valid(kind: str, hit: Column) -> Column:
         return ~hit.rlike("^(?:000|666|9)|-00-|-0000$")
     if kind == "birth":
         day, month = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])"
-        return hit.rlike(rf"^(?:[0-9]{{4}}-{month}-{day}|{day}[./]{month}[./][0-9]{{4}}|{month}[./]{day}[./][0-9]{{4}})$")
+        return ~hit.rlike("^[0-9./-]+$") | hit.rlike(rf"^(?:[0-9]{{4}}-{month}-{day}|{day}[./]{month}[./](?:[0-9]{{2}}){{1,2}}|{month}[./]{day}[./](?:[0-9]{{2}}){{1,2}})$")
     return F.lit(True)
 
 
@@ -154,7 +178,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     digit = F.col("has_digit")
     gates = {
         "email": (EMAIL, F.col("has_at")), "ip": (IP, digit & t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, digit), "phone": (PHONE, F.col("has_plus")), "local_phone": (LOCAL_PHONE, digit), "social": (SOCIAL, digit),
-        "iban": (IBAN, digit & t.rlike("[A-Z]{2}[0-9]{2}")), "spelled_email": (SPELLED, t.rlike(r"(?i)[\[(\x20]dot[\])\x20]")), "name": (NAME, t.rlike(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{TITLES}|{GIVEN})[.\x20]")), "street": (STREET, t.rlike("[0-9]")), "birth": (BIRTH, digit),
+        "iban": (IBAN, digit & t.rlike("[A-Z]{2}[0-9]{2}")), "spelled_email": (SPELLED, t.rlike(r"(?i)[\[(\x20]dot[\])\x20]")), "name": (NAME, t.rlike(r"\p{Lu}[\p{L}'’-]+\x20\p{Lu}|\p{Lu}[\p{L}'’-]+\x20(?:de|del|van|von|der|den|al|bin|da|di|la|el)\x20") | t.rlike(rf"(?:{TITLES})\.?\x20\p{{Lu}}")), "street": (STREET, t.rlike("[0-9]")),
+        "birth": (BIRTH, digit), "passport": (PASSPORT, digit & t.rlike(rf"(?i){TELLS['passport']}")),
     }
     empty = F.array().cast("array<struct<kind:string,hit:string,start:int,end:int,before:string,after:string>>")
     per_kind = [F.coalesce(found(t, k, p, g), empty).alias(k) for k, (p, g) in gates.items()]
@@ -170,24 +195,28 @@ def observed(spot) -> dict[str, Column]:
         .when(kind == "ip", F.when(hit.rlike(r"^(?:0|127|255|1\.0\.0)\."), -1).otherwise(1))
         .when(kind == "card", F.when(d.rlike(f"^(?:{ISSUERS})"), 1).otherwise(-1))
         .when(kind == "phone", F.when(d.rlike(f"^(?:{CODES})"), 1).otherwise(-1))
-        .when(kind == "local_phone", F.when(d.rlike("^[2-9]"), 1).otherwise(-1))
+        .when(kind == "local_phone", F.when(F.length(d) == 7, 0).when(d.rlike("^[02-9]"), 1).otherwise(-1))
         .when(kind == "iban", F.when(hit.rlike(f"^(?:{BANKS})"), 1).otherwise(-1))
         .when(kind == "spelled_email", F.when(hit.rlike(rf"(?i)(?:{ENDINGS})$"), 1).otherwise(-1))
-        .when(kind == "name", F.when(hit.rlike(rf"\b(?:{NO_NAMES})$"), -1).otherwise(1))
+        .when(kind == "name", F.when(hit.rlike(rf"\b(?:{NO_NAMES})$"), -1).when(hit.rlike(rf"^(?:{GIVEN}|{TITLES})\b"), 1).otherwise(0))
         .when(kind == "street", F.when(hit.rlike("[0-9]"), 1).otherwise(-1))
         .otherwise(0)
     )
     tells = F.lit(None).cast("string")
     for k, told in TELLS.items():
         tells = F.when(kind == k, F.lit(rf"(?i)(?:{told})")).otherwise(tells)
-    near = F.concat_ws(" ", spot["before"], F.left(spot["after"], F.lit(8)))
-    context = F.when(spot["before"].rlike(AGAINST) | spot["after"].rlike(AGAINST_AFTER), -1).when(F.regexp_like(near, tells), 1).otherwise(0)
+    before, after = spot["before"], spot["after"]
+    said = lambda x: F.coalesce(F.regexp_like(x, tells), F.lit(False))
+    number = F.when(before.rlike(AGAINST) | after.rlike(AGAINST_AFTER), -1).when(said(before), 1).when(before.rlike(AGAINST_WEAK), -1).when(said(F.left(after, F.lit(12))), 1).otherwise(0)
+    person = F.when(before.rlike(NAME_AGAINST) | after.rlike(NAME_AGAINST_AFTER), -1).when(before.rlike(NAME_BEFORE) | after.rlike(NAME_AFTER) | hit.rlike(rf"^(?:{TITLES})\b"), 1).otherwise(0)
+    context = F.when(kind == "name", person).otherwise(number)
     n = F.length(d)
     form = (
         F.when(kind.isin("email", "spelled_email"), F.when(F.length(hit) <= 80, 1).otherwise(-1))
         .when(kind == "ip", F.when(F.length(hit) <= 15, 1).otherwise(-1))
         .when(kind == "card", F.when(n.isin(14, 15, 16, 19), 1).otherwise(-1))
-        .when(kind.isin("phone", "local_phone"), F.when(n.between(10, 13), 1).otherwise(-1))
+        .when(kind == "local_phone", F.when(n.between(9, 13), 1).otherwise(0))
+        .when(kind == "phone", F.when(n.between(10, 13), 1).otherwise(-1))
         .when(kind == "social", 1)
         .otherwise(0)
     )
@@ -229,16 +258,17 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 60)
     return p
 
 
-def train(voted: DataFrame) -> dict[str, tuple[float, dict]]:
-    """The span classifier, by kind: the prior's log odds and those per value of each other feature, from one row per candidate."""
+def train(voted: DataFrame) -> tuple[dict[str, tuple[float, dict]], dict[str, dict[tuple[int, ...], float]]]:
+    """The span classifier, by kind: the prior's log odds and those per value of each other feature, from one row per candidate; and
+    what EM makes of each pattern of votes of that kind, whose labelers are judged by that kind's votes alone."""
     rows = voted.groupBy(*VOTES, *FEATURES).count().collect()  # bounded by the number of patterns
-    votes: dict[tuple[int, ...], float] = {}
-    for r in rows:
-        key = tuple(r[v] for v in VOTES)
-        votes[key] = votes.get(key, 0) + r["count"]
-    p = reliabilities(sorted(votes.items()))
-    weights = {}
+    weights, believed = {}, {}
     for kind in sorted({r["kind"] for r in rows}):
+        votes: dict[tuple[int, ...], float] = {}
+        for r in (r for r in rows if r["kind"] == kind):
+            key = tuple(r[v] for v in VOTES)
+            votes[key] = votes.get(key, 0) + r["count"]
+        p = believed[kind] = reliabilities(sorted(votes.items()))
         both = [1.0, 1.0]
         each: dict[str, dict[str, list[float]]] = {f: {} for f in FEATURES if f != "kind"}
         for r in (r for r in rows if r["kind"] == kind):
@@ -249,7 +279,7 @@ def train(voted: DataFrame) -> dict[str, tuple[float, dict]]:
                     seen.setdefault(r[f], [1.0, 1.0])[k] += x
         odds = {f: {x: math.log(y / (both[0] + len(seen)) * (both[1] + len(seen)) / z) for x, (y, z) in seen.items()} for f, seen in each.items()}
         weights[kind] = (math.log(both[0] / both[1]), odds)
-    return weights
+    return weights, believed
 
 
 def score(spot, weights: dict[str, tuple[float, dict]]) -> Column:
@@ -277,16 +307,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     checked = F.transform("spots", lambda x: x.withField("valid", F.coalesce(*[F.when(x["kind"] == k, valid(k, x["hit"])) for k in ("ip", "card", "phone", "iban", "social", "birth")], F.lit(True))))
     seen = F.transform("checked", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["kind"].isin(*BASE) & x["valid"]).alias("base"), *[c.alias(n) for n, c in observed(x).items()]))
     spots = settle(spots.withColumn("checked", checked).select("id", seen.alias("seen")))
-    weights = train(spots.where(F.size("seen") > 0).select(F.inline("seen")))
+    weights, believed = train(spots.where(F.size("seen") > 0).select(F.inline("seen")))
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int")
     span = lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     out = spots.withColumn("base", F.array_sort(F.transform(F.filter("seen", lambda x: x["base"]), span)))
     if not weights:
         return out.select(F.col("id").alias(id_col), "base", F.col("base").alias("spans"))
-    # What a check or the context refutes is never added, whatever the others say.
-    favoured = lambda x: (x["v1"] >= 0) & (x["v3"] >= 0) & (x["v1"] + x["v2"] + x["v3"] + x["v4"] > 0)
+    # What a check or the context refutes is never added, whatever the others say; a name is personal only where the context says so.
+    voted = lambda x: F.concat_ws(" ", x["kind"], *[x[v].cast("string") for v in VOTES])
+    trust = {" ".join([k, *map(str, v)]): math.log(max(1e-9, share) / max(1e-9, 1 - share)) for k, p in believed.items() if k in LOOSE for v, share in p.items()}
+    table = F.create_map(*[F.lit(x) for pair in (trust or {"": 0.0}).items() for x in pair])
+    belief = lambda x: F.coalesce(F.try_element_at(table, voted(x)), F.lit(-1.0))
+    favoured = lambda x: (x["v1"] >= 0) & (x["v3"] >= 0) & ((x["kind"] != "name") | (x["v3"] > 0)) & (x["v1"] + x["v2"] + x["v3"] + x["v4"] > 0) & (belief(x) > 0)
     loose = {k: w for k, w in weights.items() if k in LOOSE}
-    more = F.filter("seen", lambda x: x["kind"].isin(*LOOSE) & favoured(x) & (score(x, loose) > 0) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    more = F.filter("seen", lambda x: x["kind"].isin(*LOOSE) & favoured(x) & (score(x, loose) + belief(x) > 0) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return out.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.transform(more, span))).alias("spans"))
 
 
