@@ -44,7 +44,7 @@ query("g3_hour_of_day", f"WITH {SAMPLES} SELECT subject, CAST(hour(ts) AS INT) A
 query("g4_day_night", f"WITH {SAMPLES} SELECT subject, hour(ts) >= 19 OR hour(ts) < 7 AS is_night, {D} FROM samples GROUP BY ALL")(lambda s, d: timeagg.describe(event_samples(s, d).withColumn("is_night", timeagg.night(F.hour("ts"))), ("subject", "is_night"), "hr"))
 query("g5_day_means", f"WITH {SAMPLES} SELECT subject, CAST(ts AS DATE) AS date, round(avg(hr), 6) AS mean, count(*) AS n FROM samples GROUP BY ALL")(lambda s, d: event_samples(s, d).groupBy("subject", F.to_date("ts").alias("date")).agg(F.avg("hr").alias("mean"), F.count("*").alias("n")))
 query("g6_ten_minutes", f"WITH {SAMPLES} SELECT subject, time_bucket(INTERVAL 10 MINUTE, ts) AS start, round(avg(hr), 6) AS mean, count(hr) AS n FROM samples GROUP BY ALL")(lambda s, d: timeagg.bucket_means(event_samples(s, d), SUBJECT, "10 minutes"))
-query("g9_pivot", f"WITH {SAMPLES} SELECT sol, round(avg(hr) FILTER (subject = 'click'), 6) AS click, round(avg(hr) FILTER (subject = 'view'), 6) AS view FROM samples GROUP BY sol")(lambda s, d: event_samples(s, d).groupBy("sol").pivot("subject", ["click", "view"]).agg(F.avg("hr")))
+query("g9_pivot", f"WITH {SAMPLES} SELECT sol, " + ", ".join(f"round(avg(hr) FILTER (subject = '{x}'), 6) AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM samples GROUP BY sol")(lambda s, d: timeagg.pivot(event_samples(s, d), ["sol"], "subject", "hr"))
 query("g9_pivot_all", f"WITH {SAMPLES} SELECT sol, " + ", ".join(f"round(avg(hr) FILTER (subject = '{x}'), 6) AS {x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM samples GROUP BY sol")(lambda s, d: timeagg.pivot(event_samples(s, d), ["sol"], "subject", "hr"))
 query("g10_completeness", "SELECT source, count(*) AS n, round(100 * count(lang) / count(*), 6) AS lang_percent, round(100 * count(quality) / count(*), 6) AS quality_percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")(
     lambda s, d: timeagg.completeness(table(s, d, "documents").select("doc_id", "source", "lang").join(table(s, d, "labels"), "doc_id", "left"), ("source",), ("lang", "quality"))

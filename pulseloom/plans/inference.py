@@ -69,8 +69,8 @@ q AS (SELECT metric, grp, z1, (1 - 2 / (9 * a) - sign(cube) * pow(abs(cube), 1 /
 )(lambda s, d: inference.dagostino(_long(s, d)).select("metric", "grp", F.round("z_skew", 5).alias("z_skew"), F.round("z_kurtosis", 5).alias("z_kurtosis"), F.round("k2", 4).alias("k2")))
 query("t2_normality")(lambda s, d: inference.normality(_long(s, d)))
 query("t11_choose_test")(lambda s, d: inference.choose_test(_long(s, d)))
-query("t27_power")(lambda s, d: inference.power(stats.pairwise(_long(s, d)).select("metric", "a", "b", F.col("hedges_g").alias("effect"), F.lit(200).alias("n"))))
-query("t27_power_anova")(lambda s, d: inference.power(stats.anova(_long(s, d)).select("metric", F.sqrt(F.col("eta_squared") / (1 - F.col("eta_squared"))).alias("effect"), F.lit(200).alias("n"), (F.col("df1") + 1).alias("k")), "anova"))
+query("t27_power")(lambda s, d: inference.pairwise_power(_long(s, d)))
+query("t27_power_anova")(lambda s, d: inference.groups_power(_long(s, d)))
 query(
     "t21_effect_modification",
     "WITH p AS (SELECT regr_slope(l_extendedprice, l_quantity) AS pooled FROM lineitem), s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(slope, 4) AS slope, n, round(pooled, 4) AS pooled, round(100 * abs((slope - pooled) / pooled), 4) AS change_percent FROM s, p",

@@ -115,3 +115,22 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert isolation_outliers(d.limit(0), ["a", "b"], ["id"]).count() == 0
     same = spark.createDataFrame([(k, 1.0) for k in range(20)], "id int, a double")
     assert isolation_outliers(same, ["a"], ["id"]).where("outlier").count() == 0
+
+
+def test_power_of_many_rows_meets_that_of_fewer(monkeypatch):
+    """The limiting laws against the exact ones where both can be had."""
+    for d, n in ((0.02, 9_000), (0.05, 8_000), (0.0, 9_500)):
+        exact, f = inference.t_power(d, n), inference.anova_power(d / 2, 3, 6_000)
+        monkeypatch.setattr(inference, "LARGE", 1_000)
+        assert abs(inference.t_power(d, n) - exact) < 1e-3 and abs(inference.anova_power(d / 2, 3, 6_000) - f) < 1e-3
+        monkeypatch.undo()
+    assert 0.8 <= inference.t_power(0.001, inference.least_n(lambda m: inference.t_power(0.001, m))) < 0.8001
+
+
+def test_power_uses_the_groups_own_sizes(spark):
+    rows = [("m", "a", float(k % 7), 1) for k in range(40)] + [("m", "b", float(k % 7) + 1, 1) for k in range(120)]
+    long = spark.createDataFrame(rows, "metric string, grp string, value double, n int")
+    (r,) = inference.pairwise_power(long).collect()
+    assert r["n"] == 2 * 40 * 120 / 160 and abs(r["power"] - inference.t_power(r["effect"], 60)) < 1e-9
+    (g,) = inference.groups_power(long).collect()
+    assert g["n"] == 80 and abs(g["power"] - inference.anova_power(g["effect"], 2, 80)) < 1e-9
