@@ -78,6 +78,19 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+def t_reach(level: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The t with `level` between -t and t, by bisection of the distribution function."""
+    level, df = np.broadcast_arrays(np.asarray(level, float), np.asarray(df, float))
+    lo, hi = np.zeros(len(df)), np.ones(len(df))
+    for _ in range(100):
+        hi = np.where(t_two_sided(hi, df) > 1 - level, 2 * hi, hi)
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        above = t_two_sided(mid, df) > 1 - level
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return (lo + hi) / 2
+
+
 def f_upper(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(f, 0)))
@@ -98,12 +111,17 @@ def normal_quantile(p: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def _t(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(np.where(t.isna() | df.isna(), np.nan, t_two_sided(t.fillna(0), df.fillna(1))))
+    return pd.Series(np.where(t.isna() | ~(df > 0), np.nan, t_two_sided(t.fillna(0), df.where(df > 0, 1.0))))
+
+
+@F.pandas_udf(DoubleType())
+def _reach(level: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(np.where(df > 0, t_reach(level, df.where(df > 0, 1.0)), np.nan))
 
 
 @F.pandas_udf(DoubleType())
 def _f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(np.where(f.isna(), np.nan, f_upper(f.fillna(0), d1.fillna(1), d2.fillna(1))))
+    return pd.Series(np.where(f.isna() | ~(d1 > 0) | ~(d2 > 0), np.nan, f_upper(f.fillna(0), d1.where(d1 > 0, 1.0), d2.where(d2 > 0, 1.0))))
 
 
 @F.pandas_udf(DoubleType())
@@ -120,6 +138,11 @@ def p_t(t: Column, df: Column) -> Column:
     return _t(t.cast("double"), df.cast("double"))
 
 
+def q_t(level: Column, df: Column) -> Column:
+    """The t that a two-sided interval of that level reaches to."""
+    return _reach(level.cast("double"), df.cast("double"))
+
+
 def p_f(f: Column, d1: Column, d2: Column) -> Column:
     return _f(f.cast("double"), d1.cast("double"), d2.cast("double"))
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import SEGMENT, clip01, correlation, median, ratio
+from pulseloom.functions.columns import SEGMENT, clip01, correlation, median, ratio, rounded
 from pulseloom.functions.lineage import settle
 from pulseloom.operators.rr import resample
 
@@ -412,3 +412,28 @@ PHASE_ROW = {
 def phase_rows(analysis: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """One wide row per segment with the plain names that phase comparisons use."""
     return analysis.select(*keys, *[F.col(c).alias(name) for name, c in PHASE_ROW.items()])
+
+
+# The columns of the summary tables; a table has those of its columns that there are.
+TABLES = {
+    "basic": ("n", "mean_hr", "std_hr", "min_hr", "max_hr", "mean_nni", "sdnn", "cvnn"),
+    "time": ("mean_nni", "sdnn", "rmssd", "nn50", "pnn50", "nn20", "pnn20", "cvnn", "cvsd"),
+    "frequency": ("total_power", "vlf_power", "lf_power", "hf_power", "lf_hf_ratio", "lf_nu", "hf_nu"),
+    "nonlinear": ("sd1", "sd2", "sd1_sd2_ratio", "ellipse_area"),
+}
+
+
+def complete_table(rr: DataFrame, keys: Sequence[str] = SEGMENT, shared: Shared | None = None) -> DataFrame:
+    """Time-domain, spectral and Poincare columns of every segment, a row each."""
+    known = shared or Shared.of(rr, keys)
+    return time_domain(known.beats, keys, known).join(known.bands, list(keys)).join(poincare(known.beats, keys, known), list(keys))
+
+
+def table_set(complete: DataFrame, name: str, keys: Sequence[str] = SEGMENT, digits: int = 2) -> DataFrame:
+    """One of TABLES, or `complete`, rounded; nothing is computed that the table doesn't show. A table without any column is an error."""
+    if name != "complete" and name not in TABLES:
+        raise ValueError(f"{name} is not one of {[*TABLES, 'complete']}")
+    have = [c for c in complete.columns if c not in keys and (name == "complete" or c in TABLES[name])]
+    if not have:
+        raise ValueError(f"no column of table {name}")
+    return rounded(complete.select(*keys, *have), digits)

@@ -17,7 +17,7 @@ from pulseloom.functions.columns import SEGMENT
 from pulseloom.functions.dist import p_chi2, p_t
 from pulseloom.functions.ordered import running
 from pulseloom.operators.hrv import frequency_domain
-from pulseloom.operators.stats import anova, kruskal, regression
+from pulseloom.operators.stats import anova, correlations, kruskal, regression, strongest
 
 
 def normal_cdf(z: Column) -> Column:
@@ -257,6 +257,64 @@ def factors(df: DataFrame, outcome: str, categorical: Sequence[str], continuous:
     return groups, regression(rows, ["factor"], "y", "x")
 
 
+def factor_model(df: DataFrame, outcomes: Sequence[str], factors: Sequence[str], confounders: Sequence[str] = ()) -> DataFrame:
+    """outcome, model, term, coef, se, t, p_value, n, r2: each outcome on the factors together, crude and, with confounders, adjusted.
+
+    Both models are over rows that have all columns. Text columns among factors and confounders become indicators of their levels but
+    the first; levels are few by the columns' nature and come to the driver, at most 50 a column.
+    """
+    named = {}
+
+    def terms(columns: Sequence[str]) -> list[str]:
+        out = []
+        for c in columns:
+            if df.schema[c].dataType.typeName() != "string":
+                out.append(c)
+                continue
+            levels = [r[0] for r in df.select(c).dropna().distinct().orderBy(c).limit(51).collect()]
+            if len(levels) > 50:
+                raise ValueError(f"{c} has over 50 levels")
+            for v in levels[1:]:
+                named[f"{c}={v}"] = F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double"))
+                out.append(f"{c}={v}")
+        return out
+
+    crude, more = terms(factors), terms(confounders)
+    d, out = df.dropna(subset=[*factors, *confounders]).withColumns(named) if named else df.dropna(subset=[*factors, *confounders]), None
+    for y in outcomes:
+        for model, xs in (("crude", crude), ("adjusted", [*crude, *more])):
+            if model == "adjusted" and not more:
+                continue
+            part = ols(d, y, xs).select(F.lit(y).alias("outcome"), F.lit(model).alias("model"), "term", "coef", "se", "t", "p_value", "n", "r2")
+            out = part if out is None else out.union(part)
+    return out
+
+
+def subgroup_lines(df: DataFrame, outcomes: Sequence[str], factors: Sequence[str], groups: Sequence[str], least: int = 20) -> DataFrame:
+    """grouping, level, outcome, factor and regression() of the outcome on the factor within each level of `least` rows and more, in one job.
+
+    n counts the rows that have outcome and factor; null levels are no subgroup.
+    """
+    cells = [
+        F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("level"), F.lit(o).alias("outcome"), F.lit(c).alias("factor"), F.col(o).cast("double").alias("y"), F.col(c).cast("double").alias("x"))
+        for g in groups for o in outcomes for c in factors
+    ]
+    keys = ["grouping", "level", "outcome", "factor"]
+    d = regression(df.select(F.inline(F.array(*cells))).where("level is not null"), keys, "y", "x").where(F.col("n") >= least)
+    return d.withColumn("r", F.signum("slope") * F.sqrt(F.greatest(F.lit(0.0), "r2")))
+
+
+def insights(df: DataFrame, outcomes: Sequence[str], factors: Sequence[str], confounders: Sequence[str] = (), least_r: float = 0.5, least_r2: float = 0.2) -> DataFrame:
+    """kind, outcome, factor, measure, finding: the three strongest of outcome and factor with |r| over least_r, and outcomes of which
+    the factors (with the confounders, where given) explain more than least_r2."""
+    pairs = strongest(correlations(df, list(outcomes), list(factors)), 3, least_r)
+    text = F.format_string("strong %s association of %s and %s (r = %.3f)", "direction", "a", "b", "r")
+    found = pairs.select(F.lit("association").alias("kind"), F.col("a").alias("outcome"), F.col("b").alias("factor"), F.col("r").alias("measure"), text.alias("finding"))
+    fit = factor_model(df, outcomes, factors, confounders).where(F.col("model") == ("adjusted" if confounders else "crude")).where((F.col("term") == "intercept") & (F.col("r2") > least_r2))
+    told = F.format_string("the factors explain %.1f %% of the variance of %s", 100 * F.col("r2"), "outcome")
+    return found.union(fit.select(F.lit("model"), "outcome", F.lit(None).cast("string"), F.col("r2"), told))
+
+
 def _draw(keys: Sequence[str], n: Column, seed: int) -> Column:
     """The beat that draw p of repetition rep takes, 1 to n, from a hash of segment, repetition and draw."""
     text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("p").cast("string"), F.lit(str(seed)))

@@ -6,6 +6,7 @@ values, so ties are exact and no task sorts a whole metric.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,19 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import correlation, median, ratio
-from pulseloom.functions.dist import normal_quantile, p_chi2, p_f, p_t, p_z
+from pulseloom.functions.dist import normal_quantile, p_chi2, p_f, p_t, p_z, q_t
 from pulseloom.functions.ordered import SLICES, running
 
 
+# The percentiles that a description lists beside the quartiles.
+PERCENTILES = (1, 5, 10, 20, 30, 40, 60, 70, 80, 90, 95, 99)
+
+
 def describe(long: DataFrame) -> DataFrame:
-    """Moments, quartiles, fences, spread and outliers per (metric, grp)."""
-    q = lambda p: F.percentile("value", F.lit(p))
+    """Moments, quartiles, PERCENTILES, fences, spread and outliers per (metric, grp); all percentiles come from one buffer."""
+    wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75, **{f"p{p}": p / 100 for p in PERCENTILES}}
     s = long.groupBy("metric", "grp").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"), q(0.05).alias("p5"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), q(0.95).alias("p95"),
+        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"), F.percentile("value", F.array(*map(F.lit, wanted.values()))).alias("at"),
     )
+    s = s.withColumns({name: F.col("at")[k] for k, name in enumerate(wanted)}).drop("at")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    d = long.join(s.select("metric", "grp", F.col("median").alias("m"), (F.col("q1") - fence).alias("lo"), (F.col("q3") + fence).alias("hi")), ["metric", "grp"])
+    s = s.withColumns({"lower_bound": F.col("q1") - fence, "upper_bound": F.col("q3") + fence})
+    d = long.join(s.select("metric", "grp", F.col("median").alias("m"), F.col("lower_bound").alias("lo"), F.col("upper_bound").alias("hi")), ["metric", "grp"])
     d = d.groupBy("metric", "grp").agg(median(F.abs(F.col("value") - F.col("m"))).alias("mad"), F.count_if(~F.col("value").between(F.col("lo"), F.col("hi"))).alias("n_outliers"))
     return s.join(d, ["metric", "grp"]).withColumns({"cv": F.try_divide("std", "mean"), "value_range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1")})
 
@@ -49,16 +56,17 @@ def two_groups(long: DataFrame, a: str, b: str) -> DataFrame:
     return long.where(F.col("grp").isin(a, b)).groupBy("metric").agg(own(F.count, a).alias("na"), own(F.avg, a).alias("ma"), own(F.var_samp, a).alias("va"), own(F.count, b).alias("nb"), own(F.avg, b).alias("mb"), own(F.var_samp, b).alias("vb"))
 
 
-def t_test(long: DataFrame, a: str, b: str, equal: bool = False) -> DataFrame:
-    """Student's or Welch's t, degrees of freedom, difference of means, p."""
+def t_test(long: DataFrame, a: str, b: str, equal: bool = False, level: float = 0.95) -> DataFrame:
+    """Student's or Welch's t, degrees of freedom, difference of means with its standard error and interval (low, high), p."""
     m = two_groups(long, a, b)
     na, nb, va, vb = (F.col(c) for c in ("na", "nb", "va", "vb"))
     if equal:
         df, se = (na + nb - 2).cast("double"), F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb))
     else:
         df, se = F.try_divide((va / na + vb / nb) ** 2, (va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), F.sqrt(va / na + vb / nb)
-    m = m.withColumns({"t": F.try_divide(F.col("ma") - F.col("mb"), se), "df": df, "difference": F.col("ma") - F.col("mb")})
-    return m.select("metric", "t", "df", "difference", p_t(F.col("t"), F.col("df")).alias("p_value"))
+    m = m.withColumns({"t": F.try_divide(F.col("ma") - F.col("mb"), se), "df": df, "difference": F.col("ma") - F.col("mb"), "se": se})
+    m = m.withColumn("reach", q_t(F.lit(level), F.col("df")) * F.col("se"))
+    return m.select("metric", "t", "df", "difference", "se", (F.col("difference") - F.col("reach")).alias("low"), (F.col("difference") + F.col("reach")).alias("high"), p_t(F.col("t"), F.col("df")).alias("p_value"))
 
 
 def effect_sizes(long: DataFrame, a: str, b: str) -> DataFrame:
@@ -91,10 +99,18 @@ def mann_whitney(long: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ks_two_sample(long: DataFrame, a: str, b: str) -> DataFrame:
-    """The greatest gap of the two distribution functions."""
+    """The greatest gap d of the two distribution functions and the p-value of Kolmogorov's limiting law at sqrt(na nb / (na + nb)) d."""
     c = running(value_counts(long, a, b), ["metric"], "value", {"a": F.col("ca"), "b": F.col("cb")}, totals=True)
     gap = F.abs(F.try_divide(F.col("a") + F.col("ca"), "total_a") - F.try_divide(F.col("b") + F.col("cb"), "total_b"))
-    return c.withColumn("gap", gap).groupBy("metric").agg(F.max("gap").alias("d"))
+    s = c.withColumn("gap", gap).groupBy("metric").agg(F.max("gap").alias("d"), F.max("total_a").alias("na"), F.max("total_b").alias("nb"))
+    return s.select("metric", "d", kolmogorov_p(F.col("d") * F.sqrt(F.try_divide(F.col("na") * F.col("nb"), F.col("na") + F.col("nb")))).alias("p_value"))
+
+
+def kolmogorov_p(x: Column) -> Column:
+    """P(K > x) of Kolmogorov's law: 100 terms of its alternating series; below 0.2 it is 1 to twelve digits."""
+    term = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + term(k))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
 def anova(long: DataFrame) -> DataFrame:
@@ -196,14 +212,53 @@ def friedman(blocks: DataFrame) -> DataFrame:
     return s.select("metric", "chi2", (F.col("chi2") / (n * (k - 1))).alias("kendall_w"), p_chi2(F.col("chi2"), (k - 1).cast("double")).alias("p_value"))
 
 
-def correlations(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """a, b, n, r, p for all pairs of columns over rows that have both: one aggregation."""
-    pairs = [(a, b) for k, a in enumerate(metrics) for b in metrics[k + 1 :]]
+def correlations(df: DataFrame, metrics: list[str], others: list[str] | None = None) -> DataFrame:
+    """a, b, n, r, p for all pairs of columns, or of one of `metrics` and one of `others`, over rows that have both: one aggregation."""
+    pairs = [(a, b) for k, a in enumerate(metrics) for b in (metrics[k + 1 :] if others is None else others)]
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double"))
     per = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(both(a, b, a)).alias("n"), correlation(both(a, b, a), both(a, b, b)).alias("r")) for a, b in pairs]
     d = df.agg(F.array(*per).alias("x")).select(F.inline("x"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
-    return d.withColumn("p_value", p_t(t, F.col("n") - 2))
+    return d.withColumn("p_value", F.when((F.abs("r") >= 1) & (F.col("n") > 2), 0.0).otherwise(p_t(t, F.col("n") - 2)))
+
+
+def strongest(pairs: DataFrame, top: int = 10, least: float = 0.0) -> DataFrame:
+    """The `top` pairs of correlations() by |r|, ties by name, with |r| over `least`: direction, and strength by 0.5 and 0.7."""
+    size = F.abs("r")
+    strength = F.when(size > 0.7, "strong").when(size > 0.5, "moderate").otherwise("weak")
+    d = pairs.where(size > least).orderBy(F.desc(size), "a", "b").limit(top)
+    return d.withColumns({"strength": strength, "direction": F.when(F.col("r") > 0, "positive").otherwise("negative")})
+
+
+def _leaves(r: np.ndarray) -> list[int]:
+    """Leaf order of Ward's clustering of columns at distance 1 - |r|; the cluster made first is the left one."""
+    d = {(i, j): 1 - abs(r[i, j]) for i in range(len(r)) for j in range(i + 1, len(r))}
+    inside, made = {i: [i] for i in range(len(r))}, len(r)
+    while len(inside) > 1:
+        i, j = min(d, key=lambda p: (d[p], p))
+        between, a, b = d.pop((i, j)), inside.pop(i), inside.pop(j)
+        for k, c in inside.items():
+            far = [d.pop((min(k, x), max(k, x))) for x in (i, j)]
+            n = [len(a) + len(c), len(b) + len(c), len(c)]
+            d[k, made] = math.sqrt((n[0] * far[0] ** 2 + n[1] * far[1] ** 2 - n[2] * between**2) / (len(a) + len(b) + len(c)))
+        inside[made] = a + b
+        made += 1
+    return inside.popitem()[1] if inside else []
+
+
+def ordered_matrix(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """The whole matrix a, b, r, p_value with the places a_at and b_at that put like columns side by side (Ward's leaves over 1 - |r|).
+
+    The driver sees one row a pair of columns. Columns without an r count as uncorrelated.
+    """
+    at = {m: k for k, m in enumerate(metrics)}
+    half = correlations(df, metrics).collect()
+    r = np.eye(len(metrics))
+    for x in half:
+        r[at[x["a"]], at[x["b"]]] = r[at[x["b"]], at[x["a"]]] = 0.0 if x["r"] is None else x["r"]
+    place = {metrics[k]: p for p, k in enumerate(_leaves(r))}
+    cells = [(x[i], x[j], x["r"], x["p_value"]) for x in half for i, j in (("a", "b"), ("b", "a"))] + [(m, m, 1.0, 0.0) for m in metrics]
+    return df.sparkSession.createDataFrame([(*c, place[c[0]], place[c[1]]) for c in cells], "a string, b string, r double, p_value double, a_at int, b_at int")
 
 
 def ranked(df: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pulseloom.functions.columns import rounded
 from pulseloom.functions.ordered import numbered
 from pulseloom.operators import align, hrv, stats, timeagg
 from pulseloom.plans.base import SAMPLES, SUBJECT, beats, nn_sql
-from pulseloom.plans.hrv import TIME, r6
+from pulseloom.plans.hrv import FREQUENCY_COLUMNS, POINCARE, SPECTRUM, TIME, r6
 from pulseloom.sources.samples import event_samples, table
 
 QUERIES, ORACLES = {}, {}
@@ -98,6 +98,13 @@ query("g24_metric_summary", f"WITH {nn_sql()}, {TIME.format(keys='subject, sol')
 query("h28_grouping_sets", f"WITH {nn_sql()}, {TIME.format(keys='subject, sol')} SELECT subject, sol, round(avg(rmssd), 6) AS rmssd, round(avg(sdnn), 6) AS sdnn, count(*) AS n FROM tt GROUP BY GROUPING SETS ((), (subject), (sol))")(
     lambda s, d: hrv.time_domain(beats(s, d)).groupingSets([[], ["subject"], ["sol"]], "subject", "sol").agg(F.avg("rmssd").alias("rmssd"), F.avg("sdnn").alias("sdnn"), F.count("*").alias("n"))
 )
+_COMPLETE = f"WITH {nn_sql()}, {SPECTRUM.format(keys='subject, sol')}, {TIME.format(keys='subject, sol')}, {POINCARE.format(keys='subject, sol')}, ct AS (SELECT *, CASE WHEN sd1 > 0 THEN sd2 / sd1 ELSE 0 END AS sd1_sd2_ratio, pi() * sd1 * sd2 AS ellipse_area FROM tt JOIN fd USING (subject, sol) JOIN pc USING (subject, sol))"
+_WHOLE = dict.fromkeys(c for c in (*hrv.TIME_DOMAIN, *FREQUENCY_COLUMNS, *hrv.TABLES["nonlinear"]))
+_DIGITS = dict.fromkeys(FREQUENCY_COLUMNS, 4) | {"ellipse_area": 2}
+for _name in (*hrv.TABLES, "complete"):
+    query(f"h27_{_name}", f"{_COMPLETE} SELECT subject, sol, {', '.join(c if c in ('n', 'nn50', 'nn20') else f'round({c}, {_DIGITS.get(c, 6)}) AS {c}' for c in hrv.TABLES.get(_name, _WHOLE))} FROM ct")(
+        lambda s, d, name=_name: (lambda t: t.withColumns({c: F.round(c, n) for c, n in _DIGITS.items() if c in t.columns}))(hrv.table_set(hrv.complete_table(beats(s, d)), name, digits=6))
+    )
 query("h27_table_set", f"WITH {nn_sql()}, {TIME.format(keys='subject, sol')} SELECT subject, sol, round(mean_nni, 2) AS mean_nni, round(sdnn, 2) AS sdnn, round(rmssd, 2) AS rmssd, round(pnn50, 2) AS pnn50 FROM tt")(lambda s, d: rounded(hrv.time_domain(beats(s, d)).select("subject", "sol", *METRICS), 2))
 query(
     "h29_assess",
@@ -132,13 +139,14 @@ def _long(s, d):
     return timeagg.unpivot(li, ("grp", "id"), ("l_quantity", "l_discount"))
 
 
+QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75, **{f"p{p}": p / 100 for p in stats.PERCENTILES}}
 SKEW = "avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5)"
 query(
     "t1_describe",
     f"""WITH {LONG}, c AS (SELECT *, avg(value) OVER (PARTITION BY metric, grp) AS m FROM lg), g AS (SELECT metric, grp, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, var_samp(value) AS variance, min(value) AS mi, max(value) AS ma, {SKEW} AS skew, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS kurtosis,
-quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.95) AS p95 FROM c GROUP BY metric, grp),
+{', '.join(f'quantile_cont(value, {q}) AS {n}' for n, q in QUANTILES.items())} FROM c GROUP BY metric, grp),
 x AS (SELECT metric, grp, quantile_cont(abs(value - median), 0.5) AS mad, count(*) FILTER (NOT value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)) AS n_outliers FROM lg JOIN g USING (metric, grp) GROUP BY metric, grp)
-SELECT metric, grp, n, {r6('mean', 'std', 'variance', 'skew', 'kurtosis', 'p5', 'q1', 'median', 'q3', 'p95', 'mad')}, round(mi, 6) AS min, round(ma, 6) AS max, n_outliers, round(std / mean, 6) AS cv, round(ma - mi, 6) AS value_range, round(q3 - q1, 6) AS iqr FROM g JOIN x USING (metric, grp)""",
+SELECT metric, grp, n, {r6('mean', 'std', 'variance', 'skew', 'kurtosis', *QUANTILES, 'mad')}, round(q1 - 1.5::DOUBLE * (q3 - q1), 6) AS lower_bound, round(q3 + 1.5::DOUBLE * (q3 - q1), 6) AS upper_bound, round(mi, 6) AS min, round(ma, 6) AS max, n_outliers, round(std / mean, 6) AS cv, round(ma - mi, 6) AS value_range, round(q3 - q1, 6) AS iqr FROM g JOIN x USING (metric, grp)""",
 )(lambda s, d: stats.describe(_long(s, d)))
 query("t1_mode", f"WITH {LONG}, c AS (SELECT metric, grp, value, count(*) AS c FROM lg GROUP BY ALL) SELECT metric, grp, round(value, 6) AS mode, c AS n FROM c QUALIFY row_number() OVER (PARTITION BY metric, grp ORDER BY c DESC, value) = 1")(lambda s, d: stats.mode(_long(s, d)))
 query(
@@ -146,8 +154,9 @@ query(
     f"WITH {LONG}, c AS (SELECT *, avg(value) OVER (PARTITION BY metric, grp) AS m FROM lg), g AS (SELECT metric, grp, count(value) AS n, {SKEW} AS skew, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS kurtosis FROM c GROUP BY metric, grp) SELECT metric, grp, n, {r6('skew', 'kurtosis')}, round(n / 6 * (skew * skew + kurtosis * kurtosis / 4), 5) AS jb FROM g",
 )(lambda s, d: stats.jarque_bera(_long(s, d)).drop("p_value").withColumn("jb", F.round("jb", 5)))
 TWO = f"""WITH {LONG}, m AS (SELECT metric, count(value) FILTER (grp = 'A') AS na, avg(value) FILTER (grp = 'A') AS ma, var_samp(value) FILTER (grp = 'A') AS va, count(value) FILTER (grp = 'R') AS nb, avg(value) FILTER (grp = 'R') AS mb, var_samp(value) FILTER (grp = 'R') AS vb FROM lg GROUP BY metric)"""
-query("t4_welch_t", TWO + " SELECT metric, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round(ma - mb, 6) AS difference FROM m")(lambda s, d: stats.t_test(_long(s, d), "A", "R").drop("p_value").withColumn("df", F.round("df", 4)))
-query("t4_student_t", TWO + " SELECT metric, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS t, CAST(na + nb - 2 AS DOUBLE) AS df, round(ma - mb, 6) AS difference FROM m")(lambda s, d: stats.t_test(_long(s, d), "A", "R", True).drop("p_value"))
+query("t4_welch_t", TWO + " SELECT metric, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round(ma - mb, 6) AS difference, round(sqrt(va / na + vb / nb), 6) AS se FROM m")(lambda s, d: stats.t_test(_long(s, d), "A", "R").drop("p_value", "low", "high").withColumn("df", F.round("df", 4)))
+query("t4_student_t", TWO + " SELECT metric, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS t, CAST(na + nb - 2 AS DOUBLE) AS df, round(ma - mb, 6) AS difference, round(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS se FROM m")(lambda s, d: stats.t_test(_long(s, d), "A", "R", True).drop("p_value", "low", "high"))
+query("t4_mean_difference")(lambda s, d: stats.t_test(_long(s, d), "A", "R"))
 COUNTS = f"WITH {LONG}, vc AS (SELECT metric, value, count(*) FILTER (grp = 'A') AS ca, count(*) FILTER (grp = 'R') AS cb FROM lg WHERE grp IN ('A', 'R') GROUP BY metric, value)"
 query(
     "t5_mann_whitney",
@@ -157,7 +166,8 @@ u AS (SELECT *, ra - na * (na + 1) / 2 AS u, na + nb AS n FROM s) SELECT metric,
 query("t6_wilcoxon", f"WITH {PAIRS}, df AS (SELECT round(x - y, 9) AS d FROM pr WHERE round(x - y, 9) <> 0), rk AS (SELECT d, (rank() OVER (ORDER BY abs(d)) * 2 + count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM df) SELECT 'hr' AS metric, count(*) AS n, round(sum(r) FILTER (d > 0), 6) AS w_plus, round(sum(r) FILTER (d < 0), 6) AS w_minus FROM rk")(
     lambda s, d: stats.wilcoxon(_pairs(s, d).withColumn("metric", F.lit("hr"))).drop("z", "p_value")
 )
-query("t7_ks", COUNTS + ", g AS (SELECT metric, abs(sum(ca) OVER w / sum(ca) OVER a - sum(cb) OVER w / sum(cb) OVER a) AS gap FROM vc WINDOW w AS (PARTITION BY metric ORDER BY value), a AS (PARTITION BY metric)) SELECT metric, round(max(gap), 6) AS d FROM g GROUP BY metric")(lambda s, d: stats.ks_two_sample(_long(s, d), "A", "R"))
+query("t7_ks", COUNTS + """, g AS (SELECT metric, abs(sum(ca) OVER w / sum(ca) OVER a - sum(cb) OVER w / sum(cb) OVER a) AS gap, sum(ca) OVER a AS na, sum(cb) OVER a AS nb FROM vc WINDOW w AS (PARTITION BY metric ORDER BY value), a AS (PARTITION BY metric)), k AS (SELECT metric, max(gap) AS d, max(gap) * sqrt(max(na * nb / (na + nb))) AS x FROM g GROUP BY metric)
+SELECT metric, round(d, 6) AS d, round(CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * x * x)) FROM range(1, 101) AS q(j)))) END, 6) AS p_value FROM k""")(lambda s, d: stats.ks_two_sample(_long(s, d), "A", "R"))
 ANOVA = """gm AS (SELECT metric, grp, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM {src} GROUP BY metric, grp), gg AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS grand, n / v AS wt, sum(n / v) OVER w AS sw, sum(n / v * m) OVER w / sum(n / v) OVER w AS centre FROM gm WINDOW w AS (PARTITION BY metric)),
 an AS (SELECT metric, count(*) AS k, sum(n)::DOUBLE AS n, sum(n * pow(m - grand, 2)) AS b, sum((n - 1) * v) AS wi, sum(wt * pow(m - centre, 2)) AS wb, sum(pow(1 - wt / sw, 2) / (n - 1)) AS lam FROM gg GROUP BY metric),
 av AS (SELECT metric, b / (k - 1) / (wi / (n - k)) AS f, CAST(k - 1 AS DOUBLE) AS df1, n - k AS df2, b / (b + wi) AS eta_squared, wb / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lam) AS welch_f, (k * k - 1) / (3 * lam) AS welch_df2 FROM an)"""
@@ -192,6 +202,18 @@ query("t17_bootstrap_quantiles")(lambda s, d: stats.bootstrap_quantiles(_long(s,
 query("t18_permutation")(lambda s, d: stats.permutation(_long(s, d), "A", "R", reps=10_000))
 COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 query("t19_pearson", "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for k, a in enumerate(COLS) for b in COLS[k + 1 :]))(lambda s, d: stats.correlations(table(s, d, "lineitem"), list(COLS)).drop("p_value"))
+_FIVE = ("mean_nni", "sdnn", "rmssd", "pnn50", "mean_hr")
+_PAIRS = [(a, b) for k, a in enumerate(_FIVE) for b in _FIVE[k + 1 :]]
+query(
+    "g19_strongest_correlations",
+    f"WITH {nn_sql()}, {TIME.format(keys='subject, sol')}, r AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r FROM tt" for a, b in _PAIRS)}) SELECT a, b, n, round(r, 6) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.5 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM r WHERE abs(r) > 0.3 ORDER BY abs(r) DESC, a, b LIMIT 10",
+)(lambda s, d: stats.strongest(stats.correlations(hrv.time_domain(beats(s, d)), list(_FIVE)), 10, 0.3).drop("p_value"))
+query(
+    "t19_ordered_matrix",
+    f"""WITH h AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for k, a in enumerate(COLS[:3]) for b in COLS[:3][k + 1 :])}), best AS (SELECT a, b FROM h ORDER BY 1 - abs(r) LIMIT 1), m AS (SELECT unnest({list(COLS[:3])!r}) AS m),
+pl AS (SELECT m, CASE WHEN m = a THEN 1 WHEN m = b THEN 2 ELSE 0 END AS place FROM m, best), f AS (SELECT a, b, r FROM h UNION ALL SELECT b, a, r FROM h UNION ALL SELECT m, m, 1 FROM m)
+SELECT f.a, f.b, round(r, 6) AS r, x.place AS a_at, y.place AS b_at FROM f JOIN pl x ON x.m = f.a JOIN pl y ON y.m = f.b""",
+)(lambda s, d: stats.ordered_matrix(table(s, d, "lineitem"), list(COLS[:3])).drop("p_value"))
 query("t19_spearman", "WITH r AS (SELECT (rank() OVER (ORDER BY o_totalprice) * 2 + count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS x, (rank() OVER (ORDER BY o_custkey) * 2 + count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS y FROM orders) SELECT 'o_totalprice' AS a, 'o_custkey' AS b, count(*) AS n, round(corr(x, y), 6) AS r FROM r")(
     lambda s, d: stats.correlations(stats.ranked(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"], ["o_orderkey"]), ["o_totalprice", "o_custkey"]).drop("p_value")
 )

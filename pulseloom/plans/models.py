@@ -147,6 +147,23 @@ query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
 query("t28_isolation_forest")(lambda s, d: linear.isolation_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"], ["subject", "sol"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("mean_nni").alias("mean_nni"), F.avg("sdnn").alias("sdnn"), F.avg("rmssd").alias("rmssd")))
 
+_OUT, _CTX = ("rmssd", "sdnn"), ("mean_nni", "sol")
+query(
+    "t29_subgroups",
+    _T + " " + " UNION ALL ".join(
+        f"SELECT 'subject' AS grouping, subject AS level, '{o}' AS outcome, '{c}' AS factor, round(regr_slope({o}, {c}), 5) AS slope, round(regr_intercept({o}, {c}), 4) AS intercept, round(regr_r2({o}, {c}), 6) AS r2, count(*) AS n, round(corr({o}, {c}), 6) AS r FROM f GROUP BY subject HAVING count(*) >= 20"
+        for o in _OUT for c in _CTX
+    ),
+)(lambda s, d: linear.subgroup_lines(_metrics(s, d), _OUT, _CTX, ["subject"]).drop("se", "p_value").withColumns({"slope": F.round("slope", 5), "intercept": F.round("intercept", 4)}))
+query("t29_factor_model", digits=4)(lambda s, d: linear.factor_model(_metrics(s, d), _OUT, _CTX, ["subject"]))
+_R2 = "(corr({o}, mean_nni) ** 2 + corr({o}, sol) ** 2 - 2 * corr({o}, mean_nni) * corr({o}, sol) * corr(mean_nni, sol)) / (1 - corr(mean_nni, sol) ** 2)"
+query(
+    "t29_insights",
+    _T + f""", ra AS ({' UNION ALL '.join(f"SELECT '{o}' AS a, '{c}' AS b, corr({o}, {c}) AS r FROM f" for o in _OUT for c in _CTX)}), rb AS (SELECT * FROM ra WHERE abs(r) > 0.1 ORDER BY abs(r) DESC, a, b LIMIT 3), rm AS ({' UNION ALL '.join(f"SELECT '{o}' AS outcome, {_R2.format(o=o)} AS r2 FROM f" for o in _OUT)})
+SELECT 'association' AS kind, a AS outcome, b AS factor, round(r, 6) AS measure, printf('strong %s association of %s and %s (r = %.3f)', CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, a, b, r) AS finding FROM rb
+UNION ALL SELECT 'model', outcome, NULL, round(r2, 6), printf('the factors explain %.1f %% of the variance of %s', 100 * r2, outcome) FROM rm WHERE r2 > 0.01""",
+)(lambda s, d: linear.insights(_metrics(s, d), _OUT, _CTX, least_r=0.1, least_r2=0.01))
+
 _mixed = lambda s, d: mixed.mixed_model(_metrics(s, d), "mean_nni", ["sol"], "subject", ["sol"])
 query("t23_mixed_model", digits=4)(lambda s, d: _mixed(s, d)[0])
 query("t23_random_effects", digits=4)(lambda s, d: _mixed(s, d)[1])
