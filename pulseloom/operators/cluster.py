@@ -1,16 +1,16 @@
-"""Clustering of metric tables with pyspark.ml."""
+"""Clustering of metric tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.functions.lineage import settle
+from pulseloom.functions.lineage import remove, settle
+from pulseloom.operators import kmeans as many
 
 
 def prepare(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -28,11 +28,11 @@ def _vector(df: DataFrame, kept: Sequence[str]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, kept: Sequence[str], k: int, seeds: Sequence[int] = range(1, 11)) -> DataFrame:
-    """cluster of the best of several seeds by inertia."""
-    v = _vector(df, kept).cache()
-    models = [KMeans(k=k, seed=s, maxIter=50).fit(v) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(v).withColumnRenamed("prediction", "cluster").drop("features")
+    """cluster of the best of several starts by inertia, all of which move in the same passes; null where a feature is null or NaN."""
+    trash, z = [], [f"z_{f}" for f in kept]
+    best = many.search(many.points(df, z, trash), [k], list(seeds))
+    remove(df.sparkSession, trash)
+    return df.withColumn("cluster", many.nearest(best[k], z) if best else F.lit(None).cast("int"))
 
 
 def bisecting(df: DataFrame, kept: Sequence[str], k: int, seed: int = 1) -> DataFrame:
@@ -64,17 +64,21 @@ def validate(df: DataFrame, kept: Sequence[str]) -> DataFrame:
 
 
 def choose_k(df: DataFrame, kept: Sequence[str], ks: Sequence[int] = range(2, 11), seeds: Sequence[int] = range(1, 11)) -> DataFrame:
-    """k, silhouette, calinski_harabasz, davies_bouldin, inertia and votes for each k; the elbow, the greatest second difference of inertia, votes too."""
-    spark, rows, n = df.sparkSession, [], df.count()
-    for k in (k for k in ks if k < n):
-        got = kmeans(df, kept, k, seeds)
-        sil = ClusteringEvaluator(predictionCol="cluster").evaluate(_vector(got, kept))
-        v = validate(got, kept).first()
-        rows.append((k, float(sil), float(v["calinski_harabasz"]), float(v["davies_bouldin"]), float(v["inertia"])))
-    best = [max(rows, key=lambda r: r[1])[0], max(rows, key=lambda r: r[2])[0], min(rows, key=lambda r: r[3])[0]]
+    """k, silhouette, calinski_harabasz, davies_bouldin, inertia and votes for each k below the number of rows; the elbow, the greatest
+    second difference of inertia, votes too. All k and starts move in the same passes; two more passes measure the best of every k."""
+    spark, trash = df.sparkSession, []
+    d = many.points(df, [f"z_{f}" for f in kept], trash)
+    n = d.agg(F.sum("n")).first()[0] or 0
+    best = many.search(d, [k for k in ks if k < n], list(seeds)) if n > min(ks) else {}
+    rows = [(k, v["silhouette"], v["calinski_harabasz"], v["davies_bouldin"], v["inertia"]) for k, v in zip(best, many.measures(d, list(best.values())), strict=True)] if best else []
+    remove(spark, trash)
+    votes = []
+    for column, turn in ((1, 1), (2, 1), (3, -1)):
+        scored = [r for r in rows if r[column] is not None]
+        votes += [max(scored, key=lambda r: turn * r[column])[0]] if scored else []
     bends = [(a[4] - 2 * b[4] + c[4], b[0]) for a, b, c in zip(rows, rows[1:], rows[2:], strict=False)]
-    best.append(max(bends)[1] if bends else best[0])
-    return spark.createDataFrame([(*r, best.count(r[0])) for r in rows], "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, votes int")
+    votes += [max(bends)[1]] if bends else votes[:1]
+    return spark.createDataFrame([(*r, votes.count(r[0])) for r in rows], "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, votes int")
 
 
 def profiles(df: DataFrame, features: Sequence[str]) -> DataFrame:
