@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.functions.lineage import remove, settle
+from pulseloom.functions.lineage import remove
 from pulseloom.operators import kmeans as many
 
 
@@ -126,24 +126,3 @@ def phenotypes(profile: DataFrame) -> DataFrame:
 def balance_rule(lf_hf: Column) -> Column:
     """sympathetic from 1.8 on, parasympathetic up to 1.0, else balanced."""
     return F.when(lf_hf >= 1.8, "sympathetic").when(lf_hf <= 1.0, "parasympathetic").otherwise("balanced")
-
-
-def density(df: DataFrame, x: str, y: str, eps: float, least: int, key: str) -> DataFrame:
-    """Density clusters in two dimensions: neighbours by an eps grid, core points, least label over core links, as text; -1 is noise."""
-    p = df.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
-    around = p.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy").withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    near = p.join(around, ["cx", "cy"]).where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 <= eps * eps).select("id", "o")
-    near = settle(near)
-    core = near.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("id")
-    links = near.join(core, "id").join(core.select(F.col("id").alias("o")), "o")
-    links = settle(links)
-    label = core.withColumn("label", F.col("id"))
-    while True:
-        moved = links.join(label.select(F.col("id").alias("o"), "label"), "o").groupBy("id").agg(F.min("label").alias("new")).join(label, "id").withColumn("changed", F.col("new") < F.col("label"))
-        moved = settle(moved)
-        done = moved.where("changed").isEmpty()
-        label = moved.select("id", F.col("new").alias("label"))
-        if done:
-            break
-    border = near.join(label.select(F.col("id").alias("o"), "label"), "o").groupBy("id").agg(F.min("label").alias("label"))
-    return df.join(border, df[key] == border["id"], "left").withColumn("cluster", F.coalesce(F.col("label").cast("string"), F.lit("-1"))).drop("id", "label")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions.columns import rounded
 from pulseloom.operators import arima, cluster, forecast, hrv, mixed, neighbours
 from pulseloom.operators import models as linear
+from pulseloom.operators.density import density
 from pulseloom.plans.base import SUBJECT, beats, nn_sql
 from pulseloom.plans.groups import SERIES, _long, series
 from pulseloom.plans.hrv import TIME
@@ -36,7 +37,23 @@ _T = f"WITH {nn_sql()}, {TIME.format(keys='subject, sol')}, f AS (SELECT subject
 query("m1_prepare", _T + " SELECT subject, sol, " + ", ".join(f"round(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 6) AS z_{f}" for f in FEATURES) + " FROM f")(lambda s, d: (lambda p: p[0].select("subject", "sol", *[f"z_{f}" for f in p[1]]))(cluster.prepare(_metrics(s, d), FEATURES)))
 query("m2_kmeans")(lambda s, d: (lambda p: cluster.profiles(cluster.kmeans(p[0], p[1], 3), FEATURES))(cluster.prepare(_metrics(s, d), FEATURES)))
 query("m3_bisecting")(lambda s, d: (lambda p: cluster.profiles(cluster.bisecting(p[0], p[1], 3), FEATURES))(cluster.prepare(_metrics(s, d), FEATURES)))
-query("m4_density")(lambda s, d: (lambda p: cluster.density(p[0].withColumn("id0", F.concat_ws(":", "subject", F.col("sol").cast("string"))), "z_mean_nni", "z_rmssd", 0.5, 4, "id0").groupBy("cluster").agg(F.count("*").alias("n")))(cluster.prepare(_metrics(s, d), FEATURES)))
+_KEYED = lambda s, d: (lambda p: p[0].withColumn("id0", F.concat_ws(":", "subject", F.col("sol").cast("string"))))(cluster.prepare(_metrics(s, d), FEATURES))
+_DENSE = _T + f""", x AS (SELECT subject || ':' || sol AS id, {', '.join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in FEATURES)} FROM f), nb AS (SELECT a.id AS p, b.id AS q FROM x a JOIN x b ON {{near}} <= {{eps}} * {{eps}}),
+co AS (SELECT p FROM nb GROUP BY p HAVING count(*) >= 4), ln AS (SELECT p, q FROM nb WHERE p IN (SELECT p FROM co) AND q IN (SELECT p FROM co)), rc AS (SELECT p AS root, p AS node FROM co UNION SELECT root, q FROM rc JOIN ln ON ln.p = rc.node),
+lb AS (SELECT node, min(root) AS label FROM rc GROUP BY node), bd AS (SELECT nb.p AS id, min(label) AS label FROM nb JOIN lb ON lb.node = nb.q GROUP BY nb.p)"""
+_DENSE = _DENSE.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _near(*features: str) -> str:
+    return " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in features)
+
+
+query("m4_density", _DENSE.format(near=_near("mean_nni", "rmssd"), eps="0.5::DOUBLE") + " SELECT coalesce(label, '-1') AS cluster, count(*) AS n FROM x LEFT JOIN bd USING (id) GROUP BY ALL")(
+    lambda s, d: density(_KEYED(s, d), ["z_mean_nni", "z_rmssd"], 0.5, 4, "id0").groupBy("cluster").agg(F.count("*").alias("n"))
+)
+query("m4_density_four", _DENSE.format(near=_near("mean_nni", "sdnn", "rmssd", "pnn50"), eps="0.9::DOUBLE") + " SELECT id AS id0, coalesce(label, '-1') AS cluster FROM x LEFT JOIN bd USING (id)")(
+    lambda s, d: density(_KEYED(s, d), ["z_mean_nni", "z_sdnn", "z_rmssd", "z_pnn50"], 0.9, 4, "id0").select("id0", "cluster")
+)
 query("m5_choose_k")(lambda s, d: (lambda p: cluster.choose_k(p[0], p[1]))(cluster.prepare(_metrics(s, d), FEATURES)))
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import dist
+from pulseloom.operators.density import density
 from pulseloom.operators import align, clean, cluster, forecast, hrv, rr, stats, timeagg
 from pulseloom.plans import catalog
 from pulseloom.sources import files
@@ -218,7 +219,7 @@ def test_partial_autocorrelation(spark):
 
 def test_density_clusters(spark):
     rows = [(i, 0.1 * (i % 5), 0.1 * (i // 5)) for i in range(25)] + [(100 + i, 10 + 0.1 * (i % 5), 0.1 * (i // 5)) for i in range(25)] + [(999, 5.0, 5.0)]
-    d = cluster.density(spark.createDataFrame(rows, "id0 long, x double, y double"), "x", "y", 0.25, 4, "id0")
+    d = density(spark.createDataFrame(rows, "id0 long, x double, y double"), ["x", "y"], 0.25, 4, "id0")
     assert sorted(r["count"] for r in d.groupBy("cluster").count().collect()) == [1, 25, 25]
 
 
