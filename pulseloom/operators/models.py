@@ -140,29 +140,6 @@ def inflation(df: DataFrame, xs: Sequence[str]) -> DataFrame:
     return out
 
 
-def spline_trend(df: DataFrame, x: str, y: str, knots: int = 3, points: int = 50) -> DataFrame:
-    """A cubic spline with knots at quantiles on an even grid: x, fitted, low, high (95 % of residuals)."""
-    s = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, F.array(*[F.lit((k + 1) / (knots + 1)) for k in range(knots)])).alias("q")).first()  # one row
-    if s["lo"] is None:
-        raise ValueError("no values to fit")
-    span = (s["hi"] - s["lo"]) or 1.0
-    names = ["u1", "u2", "u3", *[f"k{k}" for k in range(knots)]]
-
-    def basis(d: DataFrame) -> DataFrame:
-        u = (F.col(x) - s["lo"]) / span
-        return d.withColumns({"u1": u, "u2": u**2, "u3": u**3, **{f"k{k}": F.greatest(F.lit(0.0), u - (q - s["lo"]) / span) ** 3 for k, q in enumerate(s["q"])}})
-
-    spark = df.sparkSession
-    d = basis(df)
-    sd = with_residuals(d, y, names).agg(F.stddev_samp("residual").alias("sd"))
-    c = ols(d, y, names).groupBy().pivot("term", ["intercept", *names]).agg(F.first("coef")).toDF("b", *[f"b_{n}" for n in names])
-    grid = basis(spark.range(points).select((F.lit(float(s["lo"])) + F.col("id") * (span / (points - 1))).alias(x))).join(F.broadcast(c)).join(F.broadcast(sd))
-    fitted = F.col("b")
-    for n in names:
-        fitted = fitted + F.col(f"b_{n}") * F.col(n)
-    return grid.select(x, fitted.alias("fitted"), (fitted - 1.959964 * F.col("sd")).alias("low"), (fitted + 1.959964 * F.col("sd")).alias("high"))
-
-
 def mahalanobis_outliers(df: DataFrame, features: Sequence[str], share: float = 0.1, rounds: int = 3) -> DataFrame:
     """distance and outlier (the most distant share), with centre and covariance made anew from the rest in each round.
 

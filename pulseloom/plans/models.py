@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import rounded
-from pulseloom.operators import arima, cluster, forecast, hrv, mixed, neighbours
+from pulseloom.operators import arima, cluster, forecast, hrv, mixed, neighbours, splines
 from pulseloom.operators import models as linear
 from pulseloom.operators.density import density
 from pulseloom.plans.base import SUBJECT, beats, nn_sql
@@ -160,7 +160,16 @@ query("t21_ols_one_predictor", "SELECT 'l_quantity' AS term, round(regr_slope(l_
 query("t21_ols", digits=4)(lambda s, d: linear.ols(_li(s, d), "l_extendedprice", COLS))
 query("t21_confounding", digits=4)(lambda s, d: linear.confounding(_li(s, d), "l_extendedprice", "l_quantity", ["l_discount", "l_tax"]))
 query("t22_diagnostics", digits=3)(lambda s, d: linear.diagnostics(_li(s, d), "l_extendedprice", COLS))
-query("t25_spline_trend", digits=3)(lambda s, d: linear.spline_trend(series(s, d).withColumn("x", F.col("i").cast("double")), "x", "y"))
+_trended = lambda s, d: series(s, d).withColumn("x", F.col("i").cast("double"))
+query("t25_spline_trend", digits=3)(lambda s, d: splines.trend(_trended(s, d), "x", "y"))
+_MONOMIALS = "SELECT i / 1.0::DOUBLE AS u, i * i / 1.0::DOUBLE AS v, y FROM si"
+query(
+    "t25_quadratic_trend",
+    f"""WITH {SERIES}, q AS ({_MONOMIALS}), c AS (SELECT count(*) AS n, regr_sxx(u, u) AS uu, regr_sxx(v, v) AS vv, regr_sxy(u, v) AS uv, regr_sxy(u, y) AS uy, regr_sxy(v, y) AS vy, regr_sxx(y, y) AS yy FROM q),
+b AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b1, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b2 FROM c), e AS (SELECT *, yy - b1 * uy - b2 * vy AS sse FROM b)
+SELECT 2 AS df, n, round(1 - sse / yy, 6) AS r2, round(8 + n * (ln(2 * pi()) + ln(sse / n) + 1), 3) AS aic, round(4 * ln(n) + n * (ln(2 * pi()) + ln(sse / n) + 1), 3) AS bic FROM e""",
+)(lambda s, d: splines.choices(_trended(s, d), "x", "y", (2,)).drop("chosen").withColumns({"aic": F.round("aic", 3), "bic": F.round("bic", 3)}))
+query("t25_spline_choices", digits=4)(lambda s, d: splines.choices(_trended(s, d), "x", "y"))
 query("t28_outliers")(lambda s, d: linear.mahalanobis_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("rmssd").alias("rmssd")))
 query("t28_isolation_forest")(lambda s, d: linear.isolation_outliers(_metrics(s, d), ["mean_nni", "sdnn", "rmssd"], ["subject", "sol"]).groupBy("outlier").agg(F.count("*").alias("n"), F.avg("mean_nni").alias("mean_nni"), F.avg("sdnn").alias("sdnn"), F.avg("rmssd").alias("rmssd")))
 
