@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import median
-from pulseloom.functions.ordered import beside, framed, running
+from pulseloom.functions.ordered import FRAME_ROWS, beside, framed, running
 from pulseloom.operators.models import normal_score
 
 
@@ -132,14 +134,33 @@ def pivot(df: DataFrame, by: Sequence[str], column: str, value: str, names: Sequ
     return df.groupBy(*by).pivot(column, list(names)).agg(F.avg(value))
 
 
-def autocorrelation(df: DataFrame, keys: Sequence[str], value: str = "x", at: str = "i", lags: int = 40) -> DataFrame:
-    """lag, acf from 0 to `lags` for series numbered by `at`: shifted copies meet in one aggregation, without a self-join."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("c", F.col(value) - F.avg(value).over(w)).select(*keys, at, "c")
-    moved = d.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(*keys, "lag", (F.col(at) - F.col("lag")).alias("k"), F.col("c").alias("later"))
-    pairs = d.select(*keys, F.col(at).alias("k"), "c").join(moved, [*keys, "k"])
-    total = d.groupBy(*keys).agg(F.sum(F.col("c") * F.col("c")).alias("total"))
-    return pairs.groupBy(*keys, "lag").agg(F.sum(F.col("c") * F.col("later")).alias("s")).join(total, list(keys)).select(*keys, "lag", (F.col("s") / F.col("total")).alias("acf"))
+def autocorrelation(df: DataFrame, keys: Sequence[str], value: str = "x", at: str = "i", lags: int = 40, rows: int = FRAME_ROWS) -> DataFrame:
+    """lag, acf from 0 to `lags` for series numbered by `at`: products within blocks of `rows` numbers that also get the `lags` rows before
+    them, summed over the blocks. No join; a series is as many tasks as it has blocks."""
+    size = max(rows, lags + 1)
+    block = lambda shift: F.floor((F.col(at) + shift) / size)
+    d = df.select(*keys, F.col(at).cast("long").alias(at), (F.col(value) - F.avg(value).over(Window.partitionBy(*keys))).cast("double").alias("c"))
+    d = d.withColumn("block_", F.explode(F.array_distinct(F.array(block(0), block(lags)))))
+
+    def products(t: pa.Table) -> pa.Table:
+        place = t[at].to_numpy() - t["block_"][0].as_py() * size + lags
+        c, there, known = np.zeros(size + lags), np.zeros(size + lags, bool), np.zeros(size + lags, bool)
+        valid = ~t["c"].is_null().to_numpy()
+        there[place], known[place[valid]], c[place[valid]] = True, True, t["c"].drop_null().to_numpy()
+        lag, s = [], []
+        for k in range(lags + 1):
+            before = slice(lags - k, lags - k + size)
+            if (there[lags:] & there[before]).any():
+                both = known[lags:] & known[before]
+                lag.append(k)
+                s.append(float((c[lags:] * c[before])[both].sum()) if both.any() else None)
+        group = t.select(list(keys)).take(pa.array([0] * len(lag), pa.int64()))
+        return group.append_column("lag", pa.array(lag, pa.int32())).append_column("s", pa.array(s, pa.float64()))
+
+    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys])
+    sums = d.groupBy(*keys, "block_").applyInArrow(products, f"{kinds}, lag int, s double").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+    total = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*keys))  # lags + 1 rows a group
+    return sums.select(*keys, "lag", F.try_divide("s", total).alias("acf"))
 
 
 def partial_autocorrelation(acf: DataFrame, keys: Sequence[str]) -> DataFrame:
