@@ -147,7 +147,7 @@ def rank_sums(long: DataFrame) -> DataFrame:
     d = long.where(F.col("value").isNotNull())
     c = running(d.groupBy("metric", "value").agg(F.count("*").alias("c")), ["metric"], "value", {"ahead": F.col("c")})
     c = c.select("metric", "value", "c", (F.col("ahead") + (F.col("c") + 1) / 2).alias("rank"))
-    ties = c.groupBy("metric").agg(F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"))
+    ties = c.groupBy("metric").agg(F.sum(tied(F.col("c"))).alias("ties"))
     g = d.groupBy("metric", "grp", "value").agg(F.count("*").alias("k")).join(c, ["metric", "value"])
     return g.groupBy("metric", "grp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("rank_sum")).join(ties, "metric")
 

@@ -32,3 +32,7 @@ COUNTS = (1_600_000, 0, 600_000, 200_000)
 def test_kruskal_of_over_two_million_rows(long):
     row = stats.kruskal(long).first()
     assert row["h"] == pytest.approx(expected(*COUNTS)[0], rel=1e-9)
+
+
+def test_dunn_of_over_two_million_ties(long):
+    assert stats.dunn(long).first()["z"] == pytest.approx(expected(*COUNTS)[2], rel=1e-9)
