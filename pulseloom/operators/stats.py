@@ -96,7 +96,7 @@ def mann_whitney(long: DataFrame, a: str, b: str) -> DataFrame:
     """U of a, rank-biserial correlation, z with tie correction and p."""
     t = F.col("ca") + F.col("cb")
     c = running(value_counts(long, a, b), ["metric"], "value", {"ahead": t}).withColumn("rank", F.col("ahead") + (t + 1) / 2)
-    s = c.groupBy("metric").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("ca") * F.col("rank")).alias("ra"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    s = c.groupBy("metric").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("ca") * F.col("rank")).alias("ra"), F.sum(tied(t)).alias("ties"))
     na, nb = F.col("na"), F.col("nb")
     n, u = na + nb, F.col("ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -200,9 +200,9 @@ def wilcoxon(pairs: DataFrame, key: str = "metric") -> DataFrame:
     d = pairs.withColumn("d", F.round(F.col("x") - F.col("y"), 9)).where("d <> 0")
     c = d.groupBy(key, F.abs("d").alias("size")).agg(F.count_if(F.col("d") > 0).alias("plus"), F.count("*").alias("c"))
     c = running(c, [key], "size", {"ahead": F.col("c")}).withColumn("rank", F.col("ahead") + (F.col("c") + 1) / 2)
-    s = c.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("c") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"))
+    s = c.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("c") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum(tied(F.col("c"))).alias("ties"))
     n = F.col("n")
-    s = s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48))
+    s = s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n / 24.0 * (n + 1) * (2 * n + 1) - F.col("ties") / 48))
     return s.select(key, "n", "w_plus", "w_minus", "z", p_z(F.col("z")).alias("p_value"))
 
 

@@ -36,3 +36,15 @@ def test_kruskal_of_over_two_million_rows(long):
 
 def test_dunn_of_over_two_million_ties(long):
     assert stats.dunn(long).first()["z"] == pytest.approx(expected(*COUNTS)[2], rel=1e-9)
+
+
+def test_mann_whitney_of_over_two_million_ties(long):
+    assert stats.mann_whitney(long, "a", "b").first()["z"] == pytest.approx(expected(*COUNTS)[1], rel=1e-9)
+
+
+def test_wilcoxon_of_over_two_million_ties(spark):
+    d = spark.range(2_400_000).select(F.lit("m").alias("metric"), F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0).alias("x"), F.lit(0.0).alias("y"))
+    n = 2_400_000
+    sd = np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48)
+    row = stats.wilcoxon(d).first()
+    assert row["z"] == pytest.approx((1_600_000 * (n + 1) / 2 - n * (n + 1) / 4) / sd, rel=1e-9)
