@@ -153,12 +153,14 @@ def mean_fill(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 def interpolate(samples: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Nulls of hr filled linearly in time between the nearest known values, at the ends by the nearest one, as `filled`."""
     w = over_segment(tuple(keys), "t", "seq")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("hr").isNotNull(), F.struct("t", "hr"))
-    d = samples.withColumns({"p": F.last(at, True).over(back), "f": F.first(at, True).over(ahead)})
+    d = samples.withColumns({"p": F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "row_": F.row_number().over(w)})
+    # The next known value is the last one in reverse: a frame that ends with the group is gone through anew from every row.
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("row_")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("f", F.last(at, True).over(ahead))
     share = (F.col("t") - F.col("p.t")) / (F.col("f.t") - F.col("p.t"))
     between = F.when(F.col("f.t") > F.col("p.t"), F.col("p.hr") + share * (F.col("f.hr") - F.col("p.hr")))
-    return d.withColumn("filled", F.coalesce("hr", between, F.col("p.hr"), F.col("f.hr"))).drop("p", "f")
+    return d.withColumn("filled", F.coalesce("hr", between, F.col("p.hr"), F.col("f.hr"))).drop("p", "f", "row_")
 
 
 def interval_stats(samples: DataFrame, keys: Sequence[str] = ("subject",), cap: float = 0.99) -> DataFrame:
