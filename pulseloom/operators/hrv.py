@@ -186,8 +186,11 @@ def band_of(freq: Column) -> Column:
     return out
 
 
-def frequency_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """Powers per band by trapezoids inside the band, normalised units, shares and peaks; 0 where a segment is too short."""
+def frequency_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT, segments: DataFrame | None = None) -> DataFrame:
+    """Powers per band by trapezoids inside the band, normalised units, shares and peaks; 0 where a segment is too short.
+
+    `segments` are the keys of all segments, where known beforehand, so that the beats are gone through once.
+    """
     p = psd(rr, keys).withColumn("band", band_of(F.col("freq"))).where("band is not null")
     w = Window.partitionBy(*keys, "band").orderBy("k")
     p = p.withColumn("area", (F.lead("power").over(w) + F.col("power")) / 2 * (F.lead("freq").over(w) - F.col("freq")))
@@ -196,7 +199,7 @@ def frequency_domain(rr: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
         *[F.coalesce(F.max(F.when(F.col("band") == n, F.col("power"))), F.lit(0.0)).alias(f"{n}_power") for n, _, _ in BANDS],
         *[F.coalesce(F.max(F.when((F.col("band") == n) & (F.col("power") > 0), F.col("top.freq"))), F.lit(0.0)).alias(f"{n}_peak") for n, _, _ in BANDS],
     )
-    wide = rr.select(*keys).distinct().join(wide, list(keys), "left").fillna(0.0)
+    wide = (segments or rr.select(*keys).distinct()).join(wide, list(keys), "left").fillna(0.0)
     lf, hf, vlf = F.col("lf_power"), F.col("hf_power"), F.col("vlf_power")
     total = vlf + lf + hf
     return wide.select(

@@ -292,16 +292,25 @@ def insights(df: DataFrame, outcomes: Sequence[str], factors: Sequence[str], con
     return found.union(fit.select(F.lit("model"), "outcome", F.lit(None).cast("string"), F.col("r2"), told))
 
 
-def _draw(keys: Sequence[str], n: Column, seed: int) -> Column:
+def _draw(keys: Sequence[str], n: Column, seed: int, p: Column | None = None) -> Column:
     """The beat that draw p of repetition rep takes, 1 to n, from a hash of segment, repetition and draw."""
-    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("p").cast("string"), F.lit(str(seed)))
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), (F.col("p") if p is None else p).cast("string"), F.lit(str(seed)))
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n + 1).cast("int")
 
 
-def resampled(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3) -> DataFrame:
-    """keys, rep, i, rr: each repetition's n draws of a segment's n beats, numbered anew; a join on the beat's number, no sort of raw beats."""
+def _numbered(rr: DataFrame, keys: Sequence[str], reps: int) -> tuple[DataFrame, DataFrame]:
+    """The beats to look up, and keys, rep, p, n: a row per repetition and draw.
+
+    Beats repeat and pack well, so their tables look small: the lookups are hash joins of exchanged sides, never broadcasts.
+    """
     d = rr.select(*keys, F.col("i").cast("int").alias("i"), "rr")
     draws = d.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).select(*keys, F.col("i").alias("p"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return d.hint("shuffle_hash"), draws
+
+
+def resampled(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3) -> DataFrame:
+    """keys, rep, i, rr: each repetition's n draws of a segment's n beats, numbered anew; a join on the beat's number, no sort of raw beats."""
+    d, draws = _numbered(rr, keys, reps)
     return draws.withColumn("i", _draw(keys, F.col("n"), seed)).join(d, [*keys, "i"]).select(*keys, "rep", F.col("p").alias("i"), "rr")
 
 
@@ -311,16 +320,24 @@ def _interval(names: Sequence[str], level: float) -> list[Column]:
 
 
 def bootstrap_intervals(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3, level: float = 0.95) -> DataFrame:
-    """low and high of sdnn, rmssd, pnn50, sd1 and sd2 per segment over resampled beats; resampling loses their order."""
-    o = Window.partitionBy(*keys, "rep").orderBy("i")
-    got = resampled(rr, keys, reps, seed).withColumns({"d": F.col("rr") - F.lag("rr").over(o), "s": F.col("rr") + F.lag("rr").over(o)})
+    """low and high of sdnn, rmssd, pnn50, sd1 and sd2 per segment over resampled beats; resampling loses their order.
+
+    A draw looks up its own beat and that of the draw before it, so no repetition is sorted or held by one task.
+    """
+    d, draws = _numbered(rr, keys, reps)
+    draws = draws.withColumns({"i": _draw(keys, F.col("n"), seed), "i_before": F.when(F.col("p") > 1, _draw(keys, F.col("n"), seed, F.col("p") - 1)).otherwise(0)})
+    got = draws.select(*keys, "rep", "i", "i_before").join(d, [*keys, "i"]).select(*keys, "rep", "rr", F.col("i_before").alias("i"))
+    before = rr.select(*keys, F.col("i").cast("int").alias("i"), F.col("rr").alias("rr_before"))
+    got = got.join(before.union(before.select(*keys, F.lit(0), F.lit(None).cast("double")).distinct()).hint("shuffle_hash"), [*keys, "i"])
+    got = got.withColumns({"d": F.col("rr") - F.col("rr_before"), "s": F.col("rr") + F.col("rr_before")})
     m = got.groupBy(*keys, "rep").agg(F.stddev_samp("rr").alias("sdnn"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rmssd"), (100 * F.avg((F.abs("d") > 50).cast("double"))).alias("pnn50"), (F.stddev_pop("d") / math.sqrt(2)).alias("sd1"), (F.stddev_pop("s") / math.sqrt(2)).alias("sd2"))
     return m.groupBy(*keys).agg(*_interval(("sdnn", "rmssd", "pnn50", "sd1", "sd2"), level))
 
 
 def bootstrap_bands(rr: DataFrame, keys: Sequence[str] = SEGMENT, reps: int = 50, seed: int = 3, level: float = 0.95) -> DataFrame:
     """low and high of lf_power, hf_power and lf_hf_ratio per segment over the spectra of resampled beats."""
-    m = frequency_domain(resampled(rr, keys, reps, seed), (*keys, "rep"))
+    each = rr.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    m = frequency_domain(resampled(rr, keys, reps, seed), (*keys, "rep"), each)
     return m.groupBy(*keys).agg(*_interval(("lf_power", "hf_power", "lf_hf_ratio"), level))
 
 
