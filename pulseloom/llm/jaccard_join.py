@@ -6,8 +6,9 @@ within both parts the order is that of the hashes. Any order gives the same link
 the prefixes. The order is cut at fixed pivots into FRAGMENTS fragments.
 
 * Candidates. Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, in the global order (the
-  prefix filter). Nodes that meet at a prefix shingle are first compared with two hubs of it, its least and greatest node, so that
-  a group of thousands of near copies makes links, not all its pairs. Links make components. Where a shingle then still joins nodes
+  prefix filter). A prefix shingle has two hubs, its least and greatest node. A node is first compared with the hub that it meets
+  at most shingles, then with its other hubs of other components, so that a group of thousands of near copies makes about a pair a
+  copy, not all its pairs. Links make components. Where a shingle then still joins nodes
   of different components, every such pair across components is a candidate, if sizes, positions and parity bitmaps allow the
   threshold (none of these turns away a pair that reaches it). So no link that joins two components is lost.
 * Verification. Each set is cut by the fragments; a pair's overlaps are counted in each fragment by itself, as a row of a pair and
@@ -78,6 +79,12 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, at: int) -> Iterator[tu
                 size, first = 0, k + 1
 
 
+def _narrowed(cells: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs."""
+    top = cells.max()
+    return cells.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
 def used_cells(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     """A bit for each cell of the count table: whether it is much used. The order depends on it, no result does."""
 
@@ -88,14 +95,15 @@ def used_cells(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32)
         for k in range(0, len(cells), _PIECE):
             if cells[k : k + _PIECE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // _PIECE], pa.int32()), pa.array([cells[k : k + _PIECE].astype(np.int64).tobytes()])], names=["piece", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // _PIECE], pa.int32()), pa.array([_narrowed(cells[k : k + _PIECE])])], names=["piece", "cells"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = sums.setdefault(piece, np.zeros(_PIECE, np.int64))
-                own += np.frombuffer(cells.as_buffer(), np.int64)
+                raw = cells.as_buffer()
+                own += np.frombuffer(raw, f"<u{raw.size // _PIECE}")
         for piece, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([own.tobytes()])], names=["piece", "cells"])
 
@@ -171,33 +179,57 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     """doc_id, text_hash, n_shingles, component_id for every document. What the result reads is settled under `trash`."""
     spark, spent = docs.sparkSession, []
     used = spark.sparkContext.broadcast(used_cells(docs, width, text_col))
-    rows = settle(signatures(docs, used, width, percent, id_col, text_col), spent)
+    fat: list[str] = []  # with prefixes, which nothing reads once they are laid out by shingle
+    rows = settle(signatures(docs, used, width, percent, id_col, text_col), fat)
     nodes = rows.where("n > 0").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id())
-    nodes = settle(nodes.select("node", "n", "digest", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "parity", "prefix"), spent)
-    known = nodes.select("node", "n", "parity")
+    nodes = settle(nodes.select("node", "n", "digest", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "parity", "prefix"), fat)
     firsts = nodes.select("node", F.posexplode("prefix").alias("i", "s"))
-    hubs = settle(firsts.groupBy("s").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"), spent)
-    members = settle(firsts.join(hubs, "s"), spent)
+    rows, nodes = settle(rows.select("doc_id", "text_hash", "n", "digest"), spent), settle(nodes.drop("prefix"), spent)
+    known = nodes.select("node", "n", "parity")
+    hubs = settle(firsts.groupBy("s").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"), fat)
+    met: list[str] = []
+    members = settle(firsts.join(hubs, "s"), met)
+    remove(spark, fat)
 
-    def wanted(pairs: DataFrame) -> DataFrame:
-        own = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return settle(own.join(nodes.select("node", "digest", "w_id", "w_hash"), "node"), spent)
+    def wanted(pairs: DataFrame, own: list[str]) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return settle(ends.join(nodes.select("node", "digest", "w_id", "w_hash"), "node"), own)
 
     def links(pairs: DataFrame) -> DataFrame:
-        cut = settle(segments(docs, wanted(pairs), used, width, id_col, text_col), spent)
-        return settle(linked(pairs, cut, percent), spent)
+        own: list[str] = []
+        cut = settle(segments(docs, wanted(pairs, own), used, width, id_col, text_col), own)
+        found = settle(linked(pairs, cut, percent), spent)
+        remove(spark, own)
+        return found
+
+    def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+        """labels after further links between components."""
+        ends = settle(labelled(more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), labels), spent)
+        new = components(more.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), spent)
+        moved = labels.select("node", F.col("label").alias("old")).join(new.toDF("old", "new"), "old", "left")
+        return settle(moved.select("node", F.coalesce("new", "old").alias("label")).union(new.join(labels.select("node"), "node", "left_anti")), spent)
 
     def side(name: str) -> DataFrame:
         return known.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("parity").alias(f"p{name}"))
 
-    spokes = members.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
-    spokes = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    spokes = spokes.join(side("a"), "a").join(side("b"), "b").where(able("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb")
-    labels = components(links(settle(spokes, spent)), spent)
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        turn = F.col("a") > F.col("b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+
+    spokes = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    spokes = settle(spokes.join(side("a"), "a").join(side("b"), "b").where(able("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb", "shared"), spent)
+    best = spokes.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nearest"), "b", "na", "nb")).alias("x")).select("a", "x.b", "x.na", "x.nb")
+    labels = components(links(settle(both_ways(best), spent)), spent)
+    ends = labelled(nodes.select("node"), labels)
+    others = spokes.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").where("la <> lb")
+    others = settle(both_ways(others), spent)
+    if not others.isEmpty():
+        labels = joined(labels, links(others))
     # The rest: shingles whose nodes aren't all of one component, pairs across components.
     placed = settle(labelled(members.where("size > 2").select("node", "s", "i"), labels), spent)
     mixed_up = settle(placed.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("s"), spent)
     rest = settle(placed.join(mixed_up, "s", "left_semi").join(known, "node"), spent)
+    remove(spark, met)
     one = rest.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
     other = rest.select("s", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     # What both can still share from this shingle on; the first shingle that two sets share in the global order always passes.
@@ -205,11 +237,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     across = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (left * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & able("na", "nb", "pa", "pb", percent))
     pairs = settle(across.select("a", "b", "na", "nb").distinct(), spent)
     if not pairs.isEmpty():
-        more = links(pairs)
-        to_label = rest.select("node", "label").distinct()
-        joined = components(more.join(to_label.toDF("a", "la"), "a").join(to_label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), spent)
-        moved = labels.select("node", F.col("label").alias("old")).join(joined.toDF("old", "new"), "old", "left")
-        labels = settle(moved.select("node", F.coalesce("new", "old").alias("label")).union(joined.join(labels.select("node"), "node", "left_anti")), spent)
+        labels = joined(labels, links(pairs))
     named = settle(labelled(nodes.select("digest", "node"), labels).select("digest", "label"), spent)
     out = settle(rows.select("doc_id", "text_hash", "n", "digest").join(named, "digest", "left").drop("digest"), trash)
     first = settle(out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first")).withColumnRenamed("label", "f_label"), trash)

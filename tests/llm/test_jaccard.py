@@ -76,3 +76,21 @@ def test_overlaps_are_summed_over_fragments(spark):
 def test_no_documents(spark):
     got = jaccard_join.similar(spark.createDataFrame([], SCHEMA))
     assert got.count() == 0 and got.columns == ["doc_id", "text_hash", "n_shingles", "component_id"]
+
+
+def test_near_copies_make_about_a_pair_a_copy(spark, monkeypatch):
+    pick = random.Random(8)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in pick.sample(range(300), 3):
+            w[at] = f"v{pick.randrange(10**6)}"
+        texts.append(" ".join(w))
+    compared = []
+    own = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, *more: (compared.append(pairs.count()), own(pairs, *more))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = jaccard_join.similar(docs).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 150
+    assert sum(compared) < 2 * 150
