@@ -10,7 +10,8 @@ the prefixes. The order is cut at fixed pivots into FRAGMENTS fragments.
   at most shingles, then with its other hubs of other components, so that a group of thousands of near copies makes about a pair a
   copy, not all its pairs. Links make components. Where a shingle then still joins nodes
   of different components, every such pair across components is a candidate, if sizes, positions and parity bitmaps allow the
-  threshold (none of these turns away a pair that reaches it). So no link that joins two components is lost.
+  threshold (none of these turns away a pair that reaches it). Where two components have many, a few are compared first, in rounds,
+  and what these join is no candidate any more; all others are compared. So no link that joins two components is lost.
 * Verification. Each set is cut by the fragments; a pair's overlaps are counted in each fragment by itself, as a row of a pair and
   a fragment, and summed per pair. So a very long document is many small segments.
 
@@ -42,6 +43,8 @@ WIDTH, PERCENT = 5, 80
 CELL_BITS, OFTEN = 22, 48
 FRAGMENT_BITS = 2
 FRAGMENTS = 2 << FRAGMENT_BITS
+#: While there are more than CROWD candidates across two components on average, PICKS of each two are compared first, in at most ROUNDS rounds.
+CROWD, PICKS, ROUNDS = 4, 3, 3
 _PIECE = 1 << 16
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
@@ -235,9 +238,22 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     # What both can still share from this shingle on; the first shingle that two sets share in the global order always passes.
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     across = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (left * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & able("na", "nb", "pa", "pb", percent))
-    pairs = settle(across.select("a", "b", "na", "nb").distinct(), spent)
+    pairs = settle(across.groupBy("a", "b", "na", "nb").agg(F.first("la").alias("la"), F.first("lb").alias("lb"), F.count("*").alias("shared")), spent)
+    for turn in range(ROUNDS):
+        pair, sides = F.struct("a", "b", "na", "nb"), (F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("h"))
+        picks = [F.max_by(pair, F.struct("shared", F.xxhash64("a", "b")))] + [F.min_by(pair, F.xxhash64("a", "b", F.lit(PICKS * turn + k))) for k in range(1, PICKS)]
+        between = settle(pairs.groupBy(*sides).agg(F.count("*").alias("c"), F.array(*picks).alias("p")), spent)
+        few, every = between.agg(F.count("*"), F.sum("c")).first()
+        if not every or every <= CROWD * few:
+            break
+        found = links(between.select(F.explode("p").alias("p")).select("p.*").distinct())
+        if found.isEmpty():
+            break
+        labels = joined(labels, found)
+        ends = settle(labelled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), labels), spent)
+        pairs = settle(pairs.drop("la", "lb").join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").where("la <> lb"), spent)
     if not pairs.isEmpty():
-        labels = joined(labels, links(pairs))
+        labels = joined(labels, links(pairs.select("a", "b", "na", "nb")))
     named = settle(labelled(nodes.select("digest", "node"), labels).select("digest", "label"), spent)
     out = settle(rows.select("doc_id", "text_hash", "n", "digest").join(named, "digest", "left").drop("digest"), trash)
     first = settle(out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first")).withColumnRenamed("label", "f_label"), trash)

@@ -94,3 +94,22 @@ def test_near_copies_make_about_a_pair_a_copy(spark, monkeypatch):
     got = jaccard_join.similar(docs).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 150
     assert sum(compared) < 2 * 150
+
+
+def test_components_of_near_copies_meet_in_few_pairs(spark, monkeypatch):
+    """Copies with one to three words replaced, of which many pairs link and many don't; the first comparisons leave several components."""
+    pick = random.Random(9)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(140)]
+    texts = []
+    for _ in range(240):
+        w = list(base)
+        for at in pick.sample(range(140), pick.choice((1, 2, 3))):
+            w[at] = f"v{pick.randrange(10**6)}"
+        texts.append(" ".join(w))
+    compared = []
+    own = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, *more: (compared.append(pairs.count()), own(pairs, *more))[1])
+    rows = list(enumerate(texts))
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows, 5, 80)
+    assert sum(compared) < 5 * 240
