@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import SEGMENT, clip01, correlation, median, ratio, rounded
 from pulseloom.functions.lineage import settle
+from pulseloom.operators import boxes
 from pulseloom.operators.rr import resample
 
 
@@ -242,33 +243,45 @@ def dfa(rr: DataFrame, keys: Sequence[str] = SEGMENT, max_boxes: int | None = No
     return rr.select(*keys).distinct().join(got, list(keys), "left").fillna(0.0)
 
 
-LONG = 5000  # beats from which templates are bucketed by two values
+#: Beats from which templates meet in cells of their first two values, not of the first alone; partitions of the cells.
+LONG, CELL_TASKS = 1 << 21, 192
 
 
 def entropy(rr: DataFrame, keys: Sequence[str] = SEGMENT, m: int = 2, r: float = 0.2, least: int = 50) -> DataFrame:
     """phi(m) - phi(m + 1) with self-matches, all templates, tolerance r x sd; 0 below `least` beats.
 
-    Templates meet only in neighbouring buckets of their first value, in segments of LONG beats and more of their first two, as
-    wide as the tolerance.
+    Equal templates are one row with their number. Templates meet only in neighbouring cells of their first value, in segments of
+    LONG beats and more of their first two, as wide as the tolerance; those of a cell are counted there, not paired (`operators.boxes`).
     """
     w = Window.partitionBy(*keys)
     o = w.orderBy("i")
     d = rr.withColumns({"n": F.count("*").over(w), "tol": r * F.stddev_pop("rr").over(w)}).where(F.col("n") >= least)
-    d = d.select(*keys, "i", "n", "tol", *[F.lead("rr", k).over(o).alias(f"x{k}") for k in range(m + 1)]).where(F.col(f"x{m - 1}").isNotNull())
+    xs = [f"x{k}" for k in range(m + 1)]
+    d = d.select(*keys, "n", "tol", *[F.lead("rr", k).over(o).alias(x) for k, x in enumerate(xs)]).where(F.col(xs[m - 1]).isNotNull())
+    d = d.groupBy(*keys, "n", "tol", *xs).agg(F.count("*").alias("w"))
     bucket = lambda x: F.floor(F.col(x) / F.when(F.col("tol") > 0, F.col("tol")).otherwise(1.0))
     fine = (F.col("n") >= LONG) & F.lit(m > 1)
-    a = d.withColumn("cell", F.struct(bucket("x0").alias("p"), F.when(fine, bucket(f"x{min(1, m - 1)}")).otherwise(F.lit(0).cast("long")).alias("q")))
-    beside = lambda p, q: F.struct((F.col("cell.p") + p).alias("p"), (F.col("cell.q") + q).alias("q"))
-    around = F.when(fine, F.array(*[beside(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1)])).otherwise(F.array(*[beside(p, 0) for p in (-1, 0, 1)]))
-    b = a.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)], F.explode(around).alias("b_cell"))
-    near = F.col("cell") == F.col("b_cell")
-    for k in keys:
-        near = near & (F.col(k) == F.col(f"b_{k}"))
-    for k in range(m):
-        near = near & (F.abs(F.col(f"x{k}") - F.col(f"y{k}")) <= F.col("tol"))
-    hit = a.join(b, near).groupBy(*keys, "i", "n", f"x{m}").agg(F.count("*").alias("c"), F.count_if(F.abs(F.col(f"x{m}") - F.col(f"y{m}")) <= F.col("tol")).alias("c1"))
-    phi = F.avg(F.log(F.col("c") / (F.col("n") - m + 1)))
-    phi1 = F.avg(F.when(F.col(f"x{m}").isNotNull(), F.log(F.col("c1") / (F.col("n") - m))))
+    d = d.withColumns({"p": bucket("x0"), "q": F.when(fine, bucket(xs[min(1, m - 1)])).otherwise(F.lit(0).cast("long"))})
+    step = lambda p, q: F.struct(F.lit(p).alias("dp"), F.lit(q).alias("dq"))
+    around = F.when(fine, F.array(*[step(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1)])).otherwise(F.array(*[step(p, 0) for p in (-1, 0, 1)]))
+    d = d.withColumn("at", F.explode(around))
+    own = ((F.col("at.dp") == 0) & (F.col("at.dq") == 0)).alias("own")
+    d = d.select(*keys, (F.col("p") + F.col("at.dp")).alias("p"), (F.col("q") + F.col("at.dq")).alias("q"), own, "n", "tol", "w", *xs)
+
+    def count(cell: pd.DataFrame) -> pd.DataFrame:
+        asked = cell["own"].to_numpy()
+        x, weight, tol = cell[xs].to_numpy(float, na_value=np.nan), cell["w"].to_numpy(np.int64), cell["tol"].iloc[0]
+        out = cell.loc[asked, [*keys, "n", "w", xs[m]]].rename(columns={xs[m]: "last"})
+        out["c"] = boxes.within(x[:, :m], weight, x[asked, :m], tol)
+        out["c1"] = boxes.within(x, weight, x[asked], tol)
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    cells = d.repartition(CELL_TASKS, *keys, "p", "q").groupBy(*keys, "p", "q")  # few bytes, much work: not to be coalesced
+    hit = cells.applyInPandas(count, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n long, w long, last double, c long, c1 long"]))
+    phi = F.sum(F.col("w") * F.log(F.col("c") / (F.col("n") - m + 1))) / F.sum("w")
+    full = F.col("last").isNotNull()
+    phi1 = F.sum(F.when(full, F.col("w") * F.log(F.col("c1") / (F.col("n") - m)))) / F.sum(F.when(full, F.col("w")))
     got = hit.groupBy(*keys).agg((phi - phi1).alias("sample_entropy")).withColumn("approximate_entropy", F.col("sample_entropy"))
     return rr.select(*keys).distinct().join(got, list(keys), "left").fillna(0.0)
 
