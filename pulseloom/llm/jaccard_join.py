@@ -6,10 +6,12 @@ within both parts the order is that of the hashes. Any order gives the same link
 the prefixes. The order is cut at fixed pivots into FRAGMENTS fragments.
 
 * Candidates. Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, in the global order (the
-  prefix filter). A prefix shingle has two hubs, its least and greatest node. A node is first compared with the hub that it meets
-  at most shingles, then with its other hubs of other components, so that a group of thousands of near copies makes about a pair a
-  copy, not all its pairs. Links make components. Where a shingle then still joins nodes
-  of different components, every such pair across components is a candidate, if sizes, positions and parity bitmaps allow the
+  prefix filter). A prefix shingle has two hubs: the node with the least share of its set in front of the shingle, which of near copies is
+  nearest to most others, and its greatest node (or least, if that is the first hub). A node is first compared with the hub that it
+  meets at most shingles, then with its other hubs of other components, so that a group of thousands of near copies makes about a pair
+  a copy, not all its pairs. Links make components. Where a shingle then still joins nodes of different components beside the hubs,
+  nodes that can't reach the threshold with any size left there go, those of its commonest component only meet others, and a pair is
+  made where it first meets, not at each shingle. Every such pair is a candidate, if sizes, positions and parity bitmaps allow the
   threshold (none of these turns away a pair that reaches it). Where two components have many, a few are compared first, in rounds,
   and what these join is no candidate any more; all others are compared. So no link that joins two components is lost.
 * Verification. Each set is cut by the fragments; a pair's overlaps are counted in each fragment by itself, as a row of a pair and
@@ -31,8 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulseloom.llm.common import documents, remove, settle
 from pulseloom.llm.minhash_dedup import BROADCAST_ROWS, able, components, labelled, parity
@@ -45,6 +48,8 @@ FRAGMENT_BITS = 2
 FRAGMENTS = 2 << FRAGMENT_BITS
 #: While there are more than CROWD candidates across two components on average, PICKS of each two are compared first, in at most ROUNDS rounds.
 CROWD, PICKS, ROUNDS = 4, 3, 3
+#: Two nodes that share one of the last BEFORE such shingles have met there and make no further row.
+BEFORE = 3
 _PIECE = 1 << 16
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
@@ -178,6 +183,21 @@ def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("both") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def meetings(rest: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb, la, lb, spare: pairs of different labels that can reach the threshold, some more than once.
+
+    rest has s, node, label, n, cap, before, parity and main. Times percent, cap is the size of the greatest set that can reach the threshold with
+    this one if they share nothing in front of s; before are the node's last shingles in front of s; the nodes of label main only have to meet others.
+    """
+    one = rest.where("label <> main").select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("parity").alias("pa"), F.col("before").alias("ba"))
+    other = rest.select("s", "main", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("cap").alias("cb"), F.col("parity").alias("pb"), F.col("before").alias("bb"))
+    once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    # The first shingle that two sets share in the global order always passes.
+    spare = F.least(F.col("ca") - F.col("nb") * percent, F.col("cb") - F.col("na") * percent)
+    met = one.join(other, "s").where(once & (spare >= 0) & able("na", "nb", "pa", "pb", percent) & ~F.arrays_overlap("ba", "bb"))
+    return met.select("a", "b", "na", "nb", "la", "lb", spare.alias("spare"))
+
+
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", trash: list[str] | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for every document. What the result reads is settled under `trash`."""
     spark, spent = docs.sparkSession, []
@@ -186,10 +206,13 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     rows = settle(signatures(docs, used, width, percent, id_col, text_col), fat)
     nodes = rows.where("n > 0").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id())
     nodes = settle(nodes.select("node", "n", "digest", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "parity", "prefix"), fat)
-    firsts = nodes.select("node", F.posexplode("prefix").alias("i", "s"))
+    firsts = nodes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
     rows, nodes = settle(rows.select("doc_id", "text_hash", "n", "digest"), spent), settle(nodes.drop("prefix"), spent)
     known = nodes.select("node", "n", "parity")
-    hubs = settle(firsts.groupBy("s").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"), fat)
+    # Of near copies the one with least of its own in front of a shared shingle is nearest to most others.
+    centre = F.min_by("node", F.struct((F.col("i") / F.col("n")).alias("share"), (-F.col("n")).alias("longest"), "node"))
+    hubs = firsts.groupBy("s").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), centre.alias("hub")).where("size > 1")
+    hubs = settle(hubs.select("s", "size", "hub", F.when(F.col("hub") == F.col("high"), F.col("low")).otherwise(F.col("high")).alias("second")), fat)
     met: list[str] = []
     members = settle(firsts.join(hubs, "s"), met)
     remove(spark, fat)
@@ -215,11 +238,11 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     def side(name: str) -> DataFrame:
         return known.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("parity").alias(f"p{name}"))
 
-    def both_ways(pairs: DataFrame) -> DataFrame:
+    def both_ways(pairs: DataFrame, *more: Column | str) -> DataFrame:
         turn = F.col("a") > F.col("b")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"), *more).distinct()
 
-    spokes = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    spokes = members.select(F.col("node").alias("a"), F.explode(F.array("hub", "second")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     spokes = settle(spokes.join(side("a"), "a").join(side("b"), "b").where(able("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb", "shared"), spent)
     best = spokes.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nearest"), "b", "na", "nb")).alias("x")).select("a", "x.b", "x.na", "x.nb")
     labels = components(links(settle(both_ways(best), spent)), spent)
@@ -228,20 +251,24 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     others = settle(both_ways(others), spent)
     if not others.isEmpty():
         labels = joined(labels, links(others))
-    # The rest: shingles whose nodes aren't all of one component, pairs across components.
-    placed = settle(labelled(members.where("size > 2").select("node", "s", "i"), labels), spent)
-    mixed_up = settle(placed.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("s"), spent)
-    rest = settle(placed.join(mixed_up, "s", "left_semi").join(known, "node"), spent)
+    # The rest: shingles whose nodes beside the hubs, which have met all, aren't all of one component; pairs across components.
+    cap = (F.col("n") - F.col("i")) * (100 + percent) - F.col("n") * percent
+    placed = members.where("size > 2").select("node", "s", "i", "n", F.col("node").isin(F.col("hub"), F.col("second")).alias("was_hub"), cap.alias("cap"))
+    placed = settle(labelled(placed, labels), spent)
+    ranges = placed.where("not was_hub").groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h"), (F.min("n") * percent).alias("least"), F.max("cap").alias("most"))
+    ranges = settle(ranges.where("l <> h").select("s", "least", "most"), spent)
+    before = F.collect_list("s").over(Window.partitionBy("node").orderBy("i").rowsBetween(-BEFORE, -1))
+    rest = placed.join(ranges, "s").withColumn("before", before).where((~F.col("was_hub")) & (F.col("cap") >= F.col("least")) & (F.col("n") * percent <= F.col("most")))
+    rest = settle(rest.select("s", "node", "label", "n", "cap", "before").join(known.select("node", "parity"), "node"), spent)
     remove(spark, met)
-    one = rest.select("s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("parity").alias("pa"))
-    other = rest.select("s", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
-    # What both can still share from this shingle on; the first shingle that two sets share in the global order always passes.
-    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    across = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (left * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & able("na", "nb", "pa", "pb", percent))
-    pairs = settle(across.groupBy("a", "b", "na", "nb").agg(F.first("la").alias("la"), F.first("lb").alias("lb"), F.count("*").alias("shared")), spent)
+    # The nodes of a shingle's commonest component only have to meet those of other components.
+    main = rest.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c"))
+    rest = settle(rest.join(main.where("c > 1").drop("c"), "s"), spent)
+    across = both_ways(meetings(rest, percent), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), "spare")
+    pairs = settle(across.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.max("spare").alias("spare")), spent)
     for turn in range(ROUNDS):
         pair, sides = F.struct("a", "b", "na", "nb"), (F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("h"))
-        picks = [F.max_by(pair, F.struct("shared", F.xxhash64("a", "b")))] + [F.min_by(pair, F.xxhash64("a", "b", F.lit(PICKS * turn + k))) for k in range(1, PICKS)]
+        picks = [F.max_by(pair, F.struct("spare", F.xxhash64("a", "b")))] + [F.min_by(pair, F.xxhash64("a", "b", F.lit(PICKS * turn + k))) for k in range(1, PICKS)]
         between = settle(pairs.groupBy(*sides).agg(F.count("*").alias("c"), F.array(*picks).alias("p")), spent)
         few, every = between.agg(F.count("*"), F.sum("c")).first()
         if not every or every <= CROWD * few:

@@ -113,3 +113,22 @@ def test_components_of_near_copies_meet_in_few_pairs(spark, monkeypatch):
     got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows, 5, 80)
     assert sum(compared) < 5 * 240
+
+
+def test_rows_across_components_grow_with_the_copies(spark, monkeypatch):
+    """Copies around a text, most of which link with it and few with each other; other texts share its first words."""
+    pick = random.Random(10)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(140)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        w = list(base)
+        for at in pick.sample(range(140), pick.choice((1, 2, 3, 4))):
+            w[at] = f"v{pick.randrange(10**6)}"
+        texts.append(" ".join(w))
+    made = []
+    own = jaccard_join.meetings
+    monkeypatch.setattr(jaccard_join, "meetings", lambda *given: (made.append(own(*given).count()), own(*given))[1])
+    rows = list(enumerate(texts))
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows, 5, 80)
+    assert sum(made) < 2 * 400
